@@ -112,7 +112,7 @@ def candidates(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     lower = texts.select(F.xxhash64("text").alias("hash"), F.lower("text").alias("low"))
     present = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams]))
     held = lower.select("hash", present.alias("grams")).where(F.size("grams") > 0)
-    postings = held.groupBy("hash").agg(F.first("grams").alias("grams")).select("hash", F.explode("grams").alias("gram"))
+    postings = held.groupBy("hash").agg(F.array_distinct(F.flatten(F.collect_set("grams"))).alias("grams")).select("hash", F.explode("grams").alias("gram"))
     branches = postings.join(F.broadcast(queries), "gram").groupBy("hash", "kind", "stretches", "stretch", "branch", "need").agg(F.count("*").alias("n")).where("n = need")
     stretches = branches.groupBy("hash", "kind", "stretches").agg(F.count_distinct("stretch").alias("n")).where("n = stretches")
     return stretches.groupBy("hash").agg(F.collect_set("kind").alias("kinds"))
