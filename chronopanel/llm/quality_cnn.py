@@ -31,7 +31,7 @@ CELL = CHUNK // STRIDE // 2
 DIM, FILTERS = 8, 24
 PAD = 256
 SAMPLE_ROWS, SAMPLE_BYTES = 1000, 1 << 16
-STEPS, BATCH, DRAWN, RATE = 700, 32, 6, 0.01
+STEPS, BATCH, DRAWN, RATE = 400, 32, 4, 0.01
 SEED = 5
 _CELLS = 512
 
