@@ -52,7 +52,7 @@ def clean(docs: DataFrame, text_col: str = "text", least_words: int = LEAST_WORD
     and cleaned (the text without failed lines)."""
     made = [*MEASURES, "base_failed", "lost", "kept", "cleaned"]
     docs = docs.drop(*made)
-    text, empty = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.expr("cast(array() as array<string>)")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     d = docs.withColumns({"__words": F.array_remove(F.split(text, BLANKS), ""), "__lines": F.split(text, "\n", -1)})
     window = lambda i: F.xxhash64(F.get("__words", i), F.get("__words", i + 1), F.get("__words", i + 2))
     with_word = F.filter("__lines", lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
@@ -81,7 +81,9 @@ def clean(docs: DataFrame, text_col: str = "text", least_words: int = LEAST_WORD
         "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("bigint"),
         "lost": F.coalesce(F.lit(1.0) - F.try_divide(chars("__good"), chars("__lines")), F.lit(0.0)),
         "cleaned": F.when(F.size("__good") == F.size("__lines"), text).otherwise(F.array_join("__good", "\n")),
+        "__row": F.monotonically_increasing_id(),
     })
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    d = d.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= most_lost))
+    # Filters on `kept` stay above the row number. Pushed below it they would compute all measures once for each use.
+    d = d.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("lost") <= most_lost) & (F.col("__row") >= 0))
     return d.select(*docs.columns, *made)
