@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronopanel.llm.common import stored
@@ -59,16 +59,17 @@ def fingerprint(text: str, words: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE) -> DataFrame:
-    """id_col and fingerprint (bigint with the fingerprint's bits) of each row."""
+    """id_col, fingerprint (bigint with the fingerprint's bits) and text_hash (XXH64) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(x or "", words) for x in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["id", "fingerprint"])
+            texts = batch.column(1).to_pylist()
+            found = [np.array([f(x) for x in texts], np.uint64).view(np.int64) for f in (lambda x: fingerprint(x, words), lambda x: xxhash.xxh64_intdigest(x.encode(), SEED))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, found)], ["id", "fingerprint", "text_hash"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, fingerprint bigint").withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, fingerprint bigint, text_hash bigint").withColumnRenamed("id", id_col)
 
 
 class BKTree:
@@ -199,11 +200,24 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, words: int = SHINGLE, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """id_col, fingerprint (bigint) and component_id (the smallest id of its group) of each row."""
+    """id_col, fingerprint (bigint), text_hash, root (the group's smallest fingerprint) and component_id (its
+    smallest id) of each row."""
     marked = stored(fingerprints(docs, id_col, text_col, words), "fingerprints")
     nodes = stored(marked.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(id_col).alias("least")), "nodes")
     groups = components(links(nodes, radius, shard_rows))
     rooted = nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = rooted.join(smallest, "root").select(F.col("fp").alias("fingerprint"), "component_id")
-    return marked.join(labels, "fingerprint").select(id_col, "fingerprint", "component_id")
+    labels = rooted.join(smallest, "root").select(F.col("fp").alias("fingerprint"), "root", "component_id")
+    return marked.join(labels, "fingerprint").select(id_col, "fingerprint", "text_hash", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that near_duplicates() leaves, one of each group: that of the smallest id (no id
+    comes last), then of the smallest hash of its text, and one of rows that repeat both."""
+    groups = near_duplicates(docs, id_col, text_col, **options)
+    first = F.min(F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), F.col("text_hash").alias("hash")))
+    kept = groups.groupBy("root").agg(first.alias("first")).select(F.col("first.no").alias("__no"), F.xxhash64("first.id").alias("__id"), F.col("first.hash").alias("__hash"), F.col("first.id").alias("__own"))
+    key = ["__no", "__id", "__hash"]
+    keyed = docs.withColumns({"__no": F.col(id_col).isNull(), "__id": F.xxhash64(id_col), "__hash": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+    joined = keyed.join(kept, key).where(F.col(id_col).eqNullSafe(F.col("__own")))
+    return joined.withColumn("__copy", F.row_number().over(Window.partitionBy(*key).orderBy(*key))).where("__copy = 1").select(*docs.columns)
