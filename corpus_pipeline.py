@@ -1,13 +1,66 @@
-"""The training-data pipeline: documents to packed pieces."""
+"""The training-data pipeline: documents are filtered, cleaned, deduplicated, freed of secrets and packed.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
+documents. Stage results are written to the shared folder and read again. Where a stage changes a text, it
+sets n_chars to the new length.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronopanel.llm import packing, quality_cnn, quality_rules, secrets, simhash
+from chronopanel.llm.common import stored, table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose probability of good quality is at least one half."""
+    model = quality_cnn.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_cnn.score(docs, model).where("score >= 0.5").select(*COLUMNS)
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules keep, without the lines that fail."""
+    cleaned = quality_rules.clean(docs).where("kept")
+    changed = ~F.col("cleaned").eqNullSafe(F.col("text"))
+    return cleaned.withColumns({"n_chars": F.when(changed, F.length("cleaned").cast("bigint")).otherwise(F.col("n_chars")), "text": F.col("cleaned")}).select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.one_of_each(docs).select(*COLUMNS)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets in their texts replaced by a mark."""
+    scanned = secrets.scan(docs).withColumn("__found", F.size("spans") > 0)
+    clean = secrets.redact(scanned)
+    return clean.withColumn("n_chars", F.when(F.col("__found"), F.length("text").cast("bigint")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of tokenised documents with their sequence and offset."""
+    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return pieces.withColumn("ids_crc32", F.crc32("ids"))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("quality_rules", rules),
+    ("near_dedup", near_dedup),
+    ("secret_scans", secret_scans),
+    ("packing", pack),
+]
+#: Neither the classifier's training nor fingerprints and greedy packing can be said in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
