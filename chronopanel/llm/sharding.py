@@ -26,6 +26,8 @@ SHARDS = 16
 SEED = 17
 BUCKET_BYTES = 16 << 20
 SALTS = 256
+#: With more buckets than this, their places are joined by a shuffle instead of a broadcast.
+BROADCAST_BUCKETS = 100_000
 LAW = "rows"
 
 
@@ -48,6 +50,7 @@ def shuffle_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id"
     sizes = written.groupBy("__bucket").agg(F.count("*").alias("n"))
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     places = sizes.select("__bucket", (F.sum("n").over(before) - F.col("n")).alias("__before"), F.sum("n").over(Window.partitionBy()).alias("__of"))
+    places = F.broadcast(places) if buckets <= BROADCAST_BUCKETS else places
     place, of, cut = F.col("__before") + F.col("__at"), F.col("__of"), F.lit(shards)
     least, longer = F.floor(of / cut), F.pmod(of, cut)
     in_long = place < longer * (least + 1)
