@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronopanel.llm import ann, byte_bpe, chat, packing, quality_cnn, quality_rules, secrets, sharding, simhash, warc
+from chronopanel.llm import ann, byte_bpe, chat, oracle, packing, quality_cnn, quality_rules, secrets, sharding, simhash, warc
 from chronopanel.llm.common import new_path, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -86,4 +86,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_secrets": oracle.secrets_sql(), "op10_quality_rules": oracle.rules_sql()}
