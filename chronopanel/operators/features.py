@@ -42,7 +42,7 @@ def shape(df: DataFrame, v: str = "v") -> DataFrame:
     """Seventeen statistics of a curve; skewness and excess kurtosis are biased, 0 with three values or fewer."""
     steps = F.struct("step", F.coalesce(v, F.lit(0.0)).alias("v"))
     moment = lambda k: F.avg(F.pow(F.col(v) - F.col("__m"), F.lit(k)))
-    d = df.withColumn("__m", F.avg(v).over(series.WHOLE))
+    d = df.withColumn("__m", F.avg(v).over(series.whole()))
     q = F.percentile(v, F.array(*[F.lit(x) for x in (0.1, 0.25, 0.5, 0.75, 0.9)]))
     a = d.groupBy(*KEYS).agg(
         F.avg(v).alias("mean"), F.max(v).alias("max"), F.min(v).alias("min"), F.stddev_pop(v).alias("std"), q.alias("q"), F.count(v).alias("n"),
@@ -79,7 +79,7 @@ def dynamics(df: DataFrame, v: str = "v") -> DataFrame:
     """Changes between steps, smoothness, lag-1 autocorrelation and number of rises above the mean. Nulls are
     removed before values are paired for the last two, which are 0 with four values or fewer."""
     valid = Window.partitionBy(*KEYS, F.col(v).isNotNull()).orderBy("step")
-    d = series.differences(df, v).withColumns({"__m": F.avg(v).over(series.WHOLE), "__next": F.lead(v).over(valid), "__prev": F.lag(v).over(valid)})
+    d = series.differences(df, v).withColumns({"__m": F.avg(v).over(series.whole()), "__next": F.lead(v).over(valid), "__prev": F.lag(v).over(valid)})
     x, m = F.col(v), F.col("__m")
     rise = x.isNotNull() & (x > m) & (F.col("__prev") <= m)
     a = d.groupBy(*KEYS).agg(
@@ -95,9 +95,9 @@ def dynamics(df: DataFrame, v: str = "v") -> DataFrame:
 
 def phenology(df: DataFrame, threshold: float = 0.3, v: str = "v") -> DataFrame:
     """Peak, green-up, season and growth features of a curve (usually filled and smoothed)."""
-    d = series.differences(df, v).withColumns({"__peak": F.max(v).over(series.WHOLE), "__above": F.coalesce(F.col(v) > threshold, F.lit(False))})
-    before = series.ORDER.rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumns({"__i": F.coalesce(F.min(F.when(F.col(v) == F.col("__peak"), F.col("step"))).over(series.WHOLE), F.lit(0)), "__last": F.last(F.when(F.col("__above"), F.col("step")), ignorenulls=True).over(before)})
+    d = series.differences(df, v).withColumns({"__peak": F.max(v).over(series.whole()), "__above": F.coalesce(F.col(v) > threshold, F.lit(False))})
+    before = series.order().rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumns({"__i": F.coalesce(F.min(F.when(F.col(v) == F.col("__peak"), F.col("step"))).over(series.whole()), F.lit(0)), "__last": F.last(F.when(F.col("__above"), F.col("step")), ignorenulls=True).over(before)})
     half = F.when((F.col("step") <= F.col("__i")) & (F.col(v) >= 0.5 * F.col("__peak")), F.col("step"))
     new = F.col("__above") & (F.col("__last").isNull() | (F.col("step") - F.col("__last") >= 3))
     steps = F.struct("step", F.coalesce(v, F.lit(0.0)).alias("v"))
@@ -123,12 +123,12 @@ def window_anchored(df: DataFrame, steps: int, v: str = "v") -> DataFrame:
 def harmonics(df: DataFrame, steps: int, v: str = "v") -> DataFrame:
     """Amplitudes and phases of the discrete Fourier transform, dominance of the first and spectral entropy.
     Nulls take the series' mean."""
-    mean = F.avg(v).over(series.WHOLE)
+    mean = F.avg(v).over(series.whole())
     x = df.withColumn("__x", F.coalesce(F.col(v), mean) - mean).select(*KEYS, "step", "__x", F.explode(F.sequence(F.lit(1), F.lit(steps // 2))).alias("k"))
     angle = F.lit(2 * 3.141592653589793 / steps) * F.col("k") * F.col("step")
     f = x.groupBy(*KEYS, "k").agg(F.sum(F.col("__x") * F.cos(angle)).alias("re"), (-F.sum(F.col("__x") * F.sin(angle))).alias("im"))
     f = f.withColumns({"amp": F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")) / steps}).withColumn("e", F.col("amp") * F.col("amp"))
-    total = F.sum("e").over(series.WHOLE)
+    total = F.sum("e").over(series.whole())
     f = f.withColumn("p", F.col("e") / (total + EPS))
     of = lambda c, k: F.max(F.when(F.col("k") == k, c))
     phase = F.atan2("im", "re")

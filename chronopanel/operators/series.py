@@ -5,25 +5,37 @@ aggregation by entity and band after them not again."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 KEYS = ("entity", "band")
-ORDER = Window.partitionBy(*KEYS).orderBy("step")
-BACK = ORDER.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-AHEAD = ORDER.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-WHOLE = Window.partitionBy(*KEYS)
+
+
+def order() -> WindowSpec:
+    return Window.partitionBy(*KEYS).orderBy("step")
+
+
+def back() -> WindowSpec:
+    return order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def ahead() -> WindowSpec:
+    return order().rowsBetween(Window.currentRow, Window.unboundedFollowing)
+
+
+def whole() -> WindowSpec:
+    return Window.partitionBy(*KEYS)
 
 
 def at(v: str | Column, k: int) -> Column:
     """The value k steps ahead."""
-    return F.lead(v, k).over(ORDER) if k > 0 else F.lag(v, -k).over(ORDER) if k else (F.col(v) if isinstance(v, str) else v)
+    return F.lead(v, k).over(order()) if k > 0 else F.lag(v, -k).over(order()) if k else (F.col(v) if isinstance(v, str) else v)
 
 
 def gap_fill(df: DataFrame, v: str = "v") -> DataFrame:
     """Nulls between values become linear in step, those at the ends the nearest value."""
     point = F.when(F.col(v).isNotNull(), F.struct(F.col("step").alias("s"), F.col(v).alias("v")))
-    d = df.withColumns({"__p": F.last(point, ignorenulls=True).over(BACK), "__n": F.first(point, ignorenulls=True).over(AHEAD)})
+    d = df.withColumns({"__p": F.last(point, ignorenulls=True).over(back()), "__n": F.first(point, ignorenulls=True).over(ahead())})
     p, n = F.col("__p"), F.col("__n")
     between = p["v"] + (n["v"] - p["v"]) * (F.col("step") - p["s"]) / (n["s"] - p["s"])
     filled = F.when(F.col(v).isNotNull(), F.col(v)).when(p.isNotNull() & n.isNotNull(), between).otherwise(F.coalesce(p["v"], n["v"]))
@@ -37,7 +49,7 @@ QUADRATIC = ((31, 9, -3, -5, 3), (9, 13, 12, 6, -5), (-3, 12, 17, 12, -3), (-5,
 def smooth(df: DataFrame, v: str = "v") -> DataFrame:
     """Savitzky-Golay of window 5 and order 2; the ends follow the quadratic of the first and last five.
     Series of fewer than five steps stay as they are (a quadratic through three points is exact)."""
-    d = df.withColumns({"__i": F.row_number().over(ORDER) - 1, "__t": F.count("*").over(WHOLE)})
+    d = df.withColumns({"__i": F.row_number().over(order()) - 1, "__t": F.count("*").over(whole())})
     i, last = F.col("__i"), F.col("__t") - 1
 
     def fit(row: int) -> Column:
@@ -60,6 +72,6 @@ def differences(df: DataFrame, v: str = "v") -> DataFrame:
 
 def runs(df: DataFrame, above: Column, name: str = "streak") -> DataFrame:
     """name: length so far of the run of steps for which `above` holds."""
-    d = df.withColumns({"__a": F.coalesce(above, F.lit(False)), "__i": F.row_number().over(ORDER)})
-    broken = F.coalesce(F.last(F.when(~F.col("__a"), F.col("__i")), ignorenulls=True).over(BACK), F.lit(0))
+    d = df.withColumns({"__a": F.coalesce(above, F.lit(False)), "__i": F.row_number().over(order())})
+    broken = F.coalesce(F.last(F.when(~F.col("__a"), F.col("__i")), ignorenulls=True).over(back()), F.lit(0))
     return d.withColumn(name, F.when(F.col("__a"), F.col("__i") - broken).otherwise(0)).drop("__a", "__i")
