@@ -28,6 +28,7 @@ import tiktoken
 from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LEAF = 1024
 SEAM = 32
@@ -150,4 +151,4 @@ def decode(rows: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str
 
     rows = rows.drop(out_col)
     names = rows.columns
-    return rows.mapInArrow(run, rows.schema.add(out_col, "binary"))
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out_col, T.BinaryType())]))

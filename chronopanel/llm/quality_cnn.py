@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WIDTH, STRIDE, CHUNK = 8, 4, 512
 CELL = CHUNK // STRIDE // 2
@@ -162,5 +163,5 @@ def score(docs: DataFrame, model: Model | float, text_col: str = "text") -> Data
             found = [model.score((x or "").encode()) if isinstance(model, Model) else model for x in texts]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(found, pa.float64())], [*names, "score"])
 
-    schema = docs.schema.add("score", "double")
+    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
     return docs.withColumn("__text", F.col(text_col).cast("string")).mapInArrow(run, schema)
