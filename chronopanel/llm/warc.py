@@ -43,9 +43,13 @@ _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-L
 
 
 def fit_dictionary(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html") -> bytes:
-    """A dictionary trained on the beginnings of a bounded sample; of plain header text if it is too small."""
-    rows = pages.select(F.substring(F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary"), 1, SAMPLE_BYTES).alias("head"), id_col)
-    heads = [bytes(r["head"]) for r in rows.orderBy(F.xxhash64(id_col), "head").limit(SAMPLE_ROWS).collect()]
+    """A dictionary trained on the beginnings of a bounded sample; of plain header text if it is too small.
+    Ids are drawn first, so that only the drawn pages' beginnings come to the driver."""
+    order = F.xxhash64("id")
+    drawn = pages.select(F.col(id_col).alias("id")).where("id is not null").distinct().orderBy(order, "id").limit(SAMPLE_ROWS)
+    head = F.substring(F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary"), 1, SAMPLE_BYTES)
+    rows = pages.select(F.col(id_col).alias("id"), head.alias("head")).join(F.broadcast(drawn), "id").groupBy("id").agg(F.min("head").alias("head"))
+    heads = [bytes(r["head"]) for r in rows.orderBy(order, "id").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [x for x in heads if x]).as_bytes()
     except zstandard.ZstdError:
