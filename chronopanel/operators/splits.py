@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronopanel.session import checkpointed
+
 
 def largest_per_group(df: DataFrame, by: list[str], size: str, tie: str) -> DataFrame:
     """The row of largest size of each group, ties to the smallest `tie`; reduced before the shuffle."""
@@ -19,28 +21,46 @@ def balance(df: DataFrame, label: str, key: str, n: int, seed: int = 42) -> Data
     return df.withColumn("__r", rank).where(F.col("__r") <= n).drop("__r")
 
 
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with `name`: the place (bigint, from 0) of each row in the given order, without a task that sees all
+    rows. Rows are dealt out by range and sorted within partitions; a row's place is its partition's start,
+    from one count for each partition, and its place there."""
+    kept = df.drop(name)
+    dealt = checkpointed(kept.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()))
+    own = dealt.withColumns({"__part": F.shiftright("__id", 33), "__at": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = own.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    joined = own.join(F.broadcast(starts), "__part")  # a row for each partition
+    return joined.select(*kept.columns, (F.col("__start") + F.col("__at")).alias(name))
+
+
 def sequential_ids(df: DataFrame, label: str, order: str) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy(label).orderBy(order)) - 1
-    return df.withColumn("plot_id", F.concat_ws("_", F.when(F.col(label) == 1, "pos").otherwise("neg"), F.lpad(n.cast("string"), 4, "0")))
+    """df with plot_id: pos_ or neg_ and the row's place among those of its label."""
+    n = numbered(df, [label, order], "__i")
+    first = n.groupBy(label).agg(F.min("__i").alias("__first"))
+    place = (F.col("__i") - F.col("__first")).cast("string")
+    padded = F.when(F.length(place) < 4, F.lpad(place, 4, "0")).otherwise(place)
+    return n.join(first, label).withColumn("plot_id", F.concat_ws("_", F.when(F.col(label) == 1, "pos").otherwise("neg"), padded)).select(*df.columns, "plot_id")
 
 
 def group_folds(df: DataFrame, group: str, label: str, folds: int = 5, seed: int = 42) -> DataFrame:
-    """df with `fold`: groups stay whole; they are dealt out in turn, in order of their share of positives
-    and a seeded hash, so that folds resemble each other. Only one row for each group is ordered."""
-    g = df.groupBy(group).agg(F.avg(label).alias("__share"), F.count("*").alias("__n"))
-    order = Window.orderBy("__share", F.desc("__n"), F.xxhash64(group, F.lit(seed)), group)
-    return df.join(g.select(group, F.pmod(F.row_number().over(order) - 1, F.lit(folds)).alias("fold")), group)
+    """df with `fold`: groups stay whole; they are dealt out in turn, in order of their share of positives,
+    their size and a seeded hash, so that folds resemble each other."""
+    g = df.groupBy(group).agg(F.avg(label).alias("__share"), F.count("*").alias("__n")).withColumn("__h", F.xxhash64(group, F.lit(seed)))
+    placed = numbered(g, ["__share", "__n", "__h", group], "__i")
+    return df.join(placed.select(group, F.pmod("__i", F.lit(folds)).cast("int").alias("fold")), group)
 
 
 def leave_one_out(df: DataFrame, plot: str, label: str) -> DataFrame:
-    """Fold table: each positive plot is held out once, together with its own negatives."""
+    """Fold table: each positive plot is held out once."""
     plots = df.where(F.col(label) == 1).select(F.col(plot).alias("held_out")).distinct()
-    return plots.withColumn("fold", F.dense_rank().over(Window.orderBy("held_out")) - 1)
+    return numbered(plots, ["held_out"], "fold").withColumn("fold", F.col("fold").cast("int"))
 
 
 def round_robin(df: DataFrame, windows: int, order: str, name: str = "window") -> DataFrame:
     """df with rows dealt to windows in turn, in the given order."""
-    return df.withColumn(name, F.pmod(F.row_number().over(Window.orderBy(order)) - 1, F.lit(windows)))
+    return numbered(df, [order], name).withColumn(name, F.pmod(F.col(name), F.lit(windows)).cast("int"))
 
 
 def leaks(names: DataFrame, column: str, tokens: list[str]) -> DataFrame:
