@@ -97,8 +97,16 @@ def utm(lon: Column, lat: Column, zone: int = 44) -> tuple[Column, Column]:
 
 
 def _crosses(ring: Column) -> Column:
-    nxt = lambda i: F.get(ring, i + 1)
-    return F.transform(F.slice(ring, F.lit(1), F.size(ring) - 1), lambda p, i: F.struct((p["x"] * nxt(i)["y"] - nxt(i)["x"] * p["y"]).alias("c"), (p["x"] + nxt(i)["x"]).alias("sx"), (p["y"] + nxt(i)["y"]).alias("sy")))
+    """Of each side: its cross product and the sums of its ends, from the first point (else small rings far
+    from the origin lose their digits)."""
+    first = F.element_at(ring, 1)
+    near = lambda p: (p["x"] - first["x"], p["y"] - first["y"])
+
+    def side(p: Column, i: Column) -> Column:
+        (ax, ay), (bx, by) = near(p), near(F.get(ring, i + 1))
+        return F.struct((ax * by - bx * ay).alias("c"), (ax + bx).alias("sx"), (ay + by).alias("sy"))
+
+    return F.transform(F.slice(ring, F.lit(1), F.size(ring) - 1), side)
 
 
 def ring_area(ring: Column) -> Column:
@@ -107,9 +115,9 @@ def ring_area(ring: Column) -> Column:
 
 
 def ring_centroid(ring: Column) -> tuple[Column, Column]:
-    c = _crosses(ring)
+    c, first = _crosses(ring), F.element_at(ring, 1)
     area = F.aggregate(c, F.lit(0.0), lambda s, p: s + p["c"]) / 2
-    return tuple(F.try_divide(F.aggregate(c, F.lit(0.0), _moment(k)), 6 * area) for k in ("sx", "sy"))
+    return tuple(first[axis] + F.try_divide(F.aggregate(c, F.lit(0.0), _moment(f"s{axis}")), 6 * area) for axis in "xy")
 
 
 def _moment(key: str):
