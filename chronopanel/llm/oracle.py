@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronopanel.llm import quality_rules, secrets
+from chronopanel.llm import chat, quality_rules, secrets, warc
 
 
 def _kind_sql(rank: int, rule: secrets.Rule) -> str:
@@ -33,3 +33,22 @@ def rules_sql() -> str:
  coalesce(1 - {total(f"list_filter(ls, lambda x: {passes})")} / nullif({total("ls")}, 0), 0) as lost from d left join cov using (doc_id)),
  b as (select *, n_words < {quality_rules.LEAST_WORDS} or 100 * n_repeat_words > 50 * n_words as base_failed from m)
  select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and lost <= 0.3 as kept, round(lost, 6) as lost from b"""
+
+
+def warc_sql() -> str:
+    return f"""with p as (select page_id, octet_length(encode(coalesce(html, ''))) as size, sha1(coalesce(html, '')) as digest from pages),
+ g as (select digest, max(page_id) as latest from p where size >= {warc.LEAST} group by 1),
+ m as (select p.*, latest, latest is not null and page_id is distinct from latest as again from p left join g on p.digest = g.digest and size >= {warc.LEAST})
+ select page_id, size as payload_bytes, digest as payload_digest, case when again then 'revisit' else 'response' end as record_type, case when again then latest end as refers_to, cast(null as varchar) as problem from m"""
+
+
+def chat_sql() -> str:
+    return f"""with r as (select distinct conv_id as conv, turn, role, text from conversations where conv_id is not null),
+ b as (select *, coalesce(cast(floor(turn / {chat.BLOCK_TURNS}) as bigint), -(1::bigint << 62)) as block from r),
+ p as (select *, row_number() over (partition by conv, block order by turn nulls first, role nulls first, text nulls first) as place from b),
+ c as (select conv, count(*) as n, list(row(block, place, role, text) order by block, place) as turns from p group by 1),
+ d as (select turns, n, min(conv) as conv, count(*) as n_copies from c group by 1, 2),
+ kept as (select * from d anti join (select distinct turns[1:k] as head from (select turns, unnest(range(1, n)) as k from c)) on turns = head)
+ select conv as conv_id, cast(row_number() over (partition by conv order by block) - 1 as int) as part, n as n_turns, n_copies,
+ string_agg('{chat.START}' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '{chat.END}' || chr(10), '' order by place) as rendered
+ from p join kept using (conv) group by conv, block, n, n_copies"""

@@ -86,4 +86,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_secrets": oracle.secrets_sql(), "op10_quality_rules": oracle.rules_sql()}
+    return {"op6_secrets": oracle.secrets_sql(), "op8_warc": oracle.warc_sql(), "op9_chat_formatting": oracle.chat_sql(), "op10_quality_rules": oracle.rules_sql()}
