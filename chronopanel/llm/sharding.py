@@ -8,7 +8,8 @@ most one (the law `rows`).
 
 A row's place is the place of its bucket plus its place there, so no task sees more than one bucket, and
 only the table of bucket sizes is ordered as a whole. The hash takes the text too: rows that share an id,
-or have none, scatter; rows equal in both differ in a salt, which follows the order in which they are read.
+or have none, scatter; rows equal in both differ in a salt, which follows the order in which they are read and has at least as
+many values as there are buckets.
 A bucket is written whole by one task, so a task that runs again cannot mix two permutations.
 
 Null texts count zero bytes. All columns stay; columns named `shard` or `slot` are replaced. An empty
@@ -41,7 +42,7 @@ def shuffle_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id"
     docs = docs.drop("shard", "slot")
     total = docs.agg(F.sum(row_bytes(text_col))).first()[0] or 0
     buckets = -(-total // bucket_bytes) or 1
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(max(SALTS, buckets)))
     key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col), salt)
     keyed = docs.select(key.alias("__key"), F.struct(*docs.columns).alias("__row")).withColumn("__bucket", F.pmod("__key", F.lit(buckets)))
     scattered = keyed.repartition(buckets, "__bucket").sortWithinPartitions("__bucket", "__key")
