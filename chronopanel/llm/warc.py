@@ -2,7 +2,8 @@
 
 An archive is a skippable frame with the dictionary, then one frame for each record, compressed with it.
 Between records stands an empty skippable frame: it is the line separator of Spark's text writer, which so
-commits the archives on any store, a task at a time. Readers of Zstandard pass over it.
+commits the archives on any store, a task at a time. Readers of Zstandard pass over it. A task begins a new
+archive after `records` records, so an archive stays readable in one piece however much a task is given.
 
 Of records with equal payloads of at least `least` bytes, the one with the largest page id is a response,
 and the others are revisits that refer to it; smaller payloads are always responses. Groups are counted by
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 LEAST = 1000
 DICTIONARY_BYTES = 1 << 16
 SAMPLE_ROWS, SAMPLE_BYTES = 512, 8192
+ARCHIVE_RECORDS = 4096
 #: Magic numbers of the dictionary's frame, of dictionaries and of frames; the separator is a skippable frame of no bytes.
 DICTIONARY_MAGIC, RAW_MAGIC, FRAME_MAGIC = b"\x5d\x2a\x4d\x18", b"\x37\xa4\x30\xec", b"\x28\xb5\x2f\xfd"
 SEPARATOR = "P*M\x18\x00\x00\x00\x00"
@@ -85,23 +87,26 @@ def classify(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html
     )
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", least: int = LEAST) -> None:
-    """An archive for each partition of pages, under path."""
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", payload_col: str = "html", url_col: str = "url", least: int = LEAST, records: int = ARCHIVE_RECORDS) -> None:
+    """Archives of pages under path, each of at most `records` records of one partition."""
     dictionary = fit_dictionary(pages, id_col, payload_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=True)
         lead = DICTIONARY_MAGIC + struct.pack("<I", len(dictionary)) + dictionary
+        written = 0
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 frames = []
                 for r in b.slice(at, 256).to_pylist():
-                    frames.append(lead + made.compress(record(r["page"], r["kind"], r["url"], r["refers_to"], r["payload"], r["digest"], r["size"])))
-                    lead = b""
+                    frame = made.compress(record(r["page"], r["kind"], r["url"], r["refers_to"], r["payload"], r["digest"], r["size"]))
+                    # the writer begins a file at just these rows
+                    frames.append(frame if written % records else lead + frame)
+                    written += 1
                 yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["frame"])
 
     frames = classify(pages, id_col, payload_col, url_col, least).mapInArrow(run, "frame binary")
-    frames.select(F.col("frame").cast("string")).write.option("lineSep", SEPARATOR).text(path)
+    frames.select(F.col("frame").cast("string")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", records).text(path)
 
 
 def frame_end(data: memoryview, at: int) -> int:

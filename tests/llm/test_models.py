@@ -74,14 +74,17 @@ def test_classifier(spark):
     assert quality_cnn.score(odd.limit(0), model).count() == 0
 
 
-def test_archives(spark, tmp_path):
+@pytest.mark.parametrize("records", [4096, 2])
+def test_archives(spark, tmp_path, records):
     big = "é" * 600
     rows = [(1, "http://a/ b\r\nx", big, 1), (2, None, big, 1), (3, "u", big, 1), (4, "u", "small", 1), (5, "u", "small", 1), (6, "u", None, 1), (None, "u", big, 1), (7, "u", "y" * 300_000, 1), (3, "u", big, 1)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, digest int")
     at = str(tmp_path / "a")
-    warc.write_archives(pages, at)
+    warc.write_archives(pages.coalesce(1), at, records=records)
     got = warc.read_archives(spark, at).collect()
     assert len(got) == len(rows) and all(r.problem is None for r in got)
+    if records == 2:
+        assert len(list((tmp_path / "a").glob("*.txt"))) >= len(rows) / 2
     for r in got:
         html = next(x[2] for x in rows if x[0] == r.page_id) or ""
         assert r.payload_digest == hashlib.sha1(html.encode()).hexdigest() and r.payload_bytes == len(html.encode())
