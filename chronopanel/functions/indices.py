@@ -74,3 +74,8 @@ def clipped_ratio(a: Column, b: Column, limit: float = 50.0) -> Column:
     """a / b within -limit to limit; null where either is null."""
     x = F.try_divide(a, b + EPS)
     return F.when(x > limit, limit).when(x < -limit, -limit).otherwise(x)
+
+
+def plain_ratio(a: Column, b: Column) -> Column:
+    """The normalised difference without a term that keeps the divisor from zero: null where that is zero."""
+    return F.try_divide(a - b, a + b)

@@ -135,3 +135,34 @@ def parse_ring(text: Column) -> Column:
     parts = F.transform(F.split(F.trim(text), r"\s+"), lambda p: F.split(p, ","))
     point = lambda q: F.struct(F.get(q, 0).try_cast("double").alias("x"), F.get(q, 1).try_cast("double").alias("y"))
     return F.filter(F.transform(parts, point), lambda p: p["x"].isNotNull() & p["y"].isNotNull())
+
+
+def synthetic_year(step: Column, steps: int, anchor: int = 9, first: int = 2025) -> Column:
+    """The year of synthetic_month(): steps from the middle on whose month is before the anchor are in the next."""
+    early = (step < steps // 2) | (synthetic_month(step, steps, anchor) >= anchor)
+    return F.when(early, first).otherwise(first + 1)
+
+
+def tag_date(name: Column) -> Column:
+    """The date that a column name ends with (_2024_03_15), or null."""
+    return F.try_to_date(F.nullif(F.regexp_extract(name, r"_([0-9]{4}_[0-9]{2}_[0-9]{2})$", 1), F.lit("")), "yyyy_MM_dd")
+
+
+def tag_step(name: Column) -> Column:
+    """The step that a column name ends with (_t07), or null."""
+    return F.nullif(F.regexp_extract(name, r"_t([0-9]+)$", 1), F.lit("")).cast("int")
+
+
+def tag_band(name: Column) -> Column:
+    """The name without its date or step; null for a name without either."""
+    bare = F.regexp_replace(name, r"_(?:[0-9]{4}_[0-9]{2}_[0-9]{2}|t[0-9]+)$", "")
+    return F.when(bare != name, bare)
+
+
+def in_box(lon: Column, lat: Column, box: tuple[float, float, float, float] = (77.1, 84.6, 23.9, 30.4)) -> Column:
+    """Whether the point lies within (west, east, south, north), edges included."""
+    return lon.between(box[0], box[1]) & lat.between(box[2], box[3])
+
+
+def approx_pixels(area_ha: Column, per_ha: int = 100) -> Column:
+    return F.bround(area_ha * per_ha, 0).cast("bigint")

@@ -69,3 +69,12 @@ def first_match(left: DataFrame, right: DataFrame, on: list[str], order: str) ->
 def step_of_dates(df: DataFrame, entity: str, date: str) -> DataFrame:
     """df with `step`: the rank of the date among the entity's dates, from 0."""
     return df.withColumn("step", F.dense_rank().over(Window.partitionBy(entity).orderBy(date)) - 1)
+
+
+def legacy_mask(scene: Column, flags: Column, excluded: tuple[int, ...] = (1, 2, 3, 8, 9, 10), bits: tuple[int, ...] = (10, 11)) -> Column:
+    """The older pixel mask: excluded classes instead of allowed ones, and no cloud probability."""
+    return ~scene.isin(*excluded) & (flags.bitwiseAND(F.lit(sum(1 << b for b in bits))) == 0)
+
+
+def optical_flag(scene: Column, classes: tuple[int, ...] = (4, 5, 6, 7, 11)) -> Column:
+    return F.coalesce(scene.isin(*classes), F.lit(False)).cast("int")

@@ -55,3 +55,9 @@ def range_lookup(df: DataFrame, boxes: list[tuple], x: str, y: str, default: str
         inside = F.col(x).between(x0, x1) & F.col(y).between(y0, y1)
         out = (F if out is None else out).when(inside, name)
     return out.otherwise(default)
+
+
+def distance_shares(nearest: DataFrame, limits: tuple[int, ...] = (500, 2000, 10000), nn: str = "nn") -> DataFrame:
+    """One row: rows, their median distance, and for each limit the share of rows nearer than that."""
+    shares = [F.avg((F.col(nn) < x).cast("double")).alias(f"below_{x}") for x in limits]
+    return nearest.agg(F.count(nn).alias("n"), F.median(nn).alias("median"), *shares)

@@ -73,3 +73,21 @@ def align(df: DataFrame, features: list[str]) -> DataFrame:
     """Just these features in this order; missing ones, nulls, NaN and infinities become 0."""
     fixed = lambda c: F.when(F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == float("inf")), 0.0).otherwise(F.col(c))
     return df.select("entity", *[(fixed(c) if c in df.columns else F.lit(0.0)).cast("double").alias(c) for c in features])
+
+
+def first_rows(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
+    """The first n rows of each group. The limit is part of the feature: a cap on the pixels of a plot."""
+    return df.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__r") <= n).drop("__r")
+
+
+def hold_out(df: DataFrame, column: str, values: list, key: str, share: float = 0.2, seed: int = 42) -> DataFrame:
+    """df with `split`: test where the column is one of the values; of the rest a seeded share is validation."""
+    drawn = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
+    return df.withColumn("split", F.when(F.col(column).isin(*values), "test").when(drawn, "validation").otherwise("train"))
+
+
+def matched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left with the columns of right by key, which is unique there; a key that is missing there fails the job."""
+    found = left.join(right.withColumn("__there", F.lit(True)), key, "left")
+    missing = F.raise_error(F.concat(F.lit("no match for "), F.col(key).cast("string"))).cast("boolean")
+    return found.where(F.coalesce("__there", missing)).drop("__there")

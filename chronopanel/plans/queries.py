@@ -634,3 +634,76 @@ def feature_table_long(filled: DataFrame, names: dict[str, list[str]] | None = N
             out = part if out is None else out.unionByName(part)
     v = F.col("value")
     return out.withColumn("value", F.round(F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), 0.0).otherwise(v), 6) + 0.0)
+
+
+# ---- tags, masks, caps and hold-outs
+
+
+@query(f"""with {o.FILLED}, {o.WIDE}, w as (select *, power(10, -signup) as vv, power(10, -error) as vh from wide) select entity, step, round((view - click) / (view + click), 6) + 0.0 as ndvi, round((purchase - view) / (purchase + view), 6) + 0.0 as ndwi, round(4 * vh / (vv + vh + 1e-8), 6) + 0.0 as rvi from w""")
+def plain_indices(spark, d):
+    """The older set: normalised differences without an added term, radar taken as decibels in any case."""
+    linear = {b: indices.to_linear(F.col(c) * -10) for b, c in (("VV", "signup"), ("VH", "error"))}
+    ndvi, ndwi = indices.plain_ratio(F.col("view"), F.col("click")), indices.plain_ratio(F.col("purchase"), F.col("view"))
+    w = t.wide(t.filled(spark, d)).select("entity", "step", ndvi.alias("ndvi"), ndwi.alias("ndwi"), indices.index("RVI", **linear).alias("rvi"))
+    return rounded(w, ["entity", "step"])
+
+
+@query("""select l_orderkey, l_linenumber, scene not in (1, 2, 3, 8, 9, 10) and (flags & 3072) = 0 as clear, cast(scene in (4, 5, 6, 7, 11) as int) as optical
+ from (select l_orderkey, l_linenumber, l_partkey % 12 as scene, (l_suppkey * 512) % 4096 as flags from lineitem)""")
+def legacy_masks(spark, d):
+    scene, flags = F.col("l_partkey") % 12, (F.col("l_suppkey") * 512) % 4096
+    return t.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", composite.legacy_mask(scene, flags).alias("clear"), composite.optical_flag(scene).alias("optical"))
+
+
+_TAGS = "case p_partkey % 5 when 0 then 'B4_2024_0' || (p_partkey % 9 + 1) || '_15' when 1 then 'B8A_t' || lpad(cast(p_partkey % 21 as {s}), 2, '0') when 2 then 'VV_2024_02_31' when 3 then 'plot_id' else 'NDVI_t' || (p_partkey % 130) end"
+
+
+@query(f"""select p_partkey, nullif(regexp_replace(name, '_([0-9]{{4}}_[0-9]{{2}}_[0-9]{{2}}|t[0-9]+)$', ''), name) as band, cast(try_strptime(nullif(regexp_extract(name, '_([0-9]{{4}}_[0-9]{{2}}_[0-9]{{2}})$', 1), ''), '%Y_%m_%d') as date) as tag_date, cast(nullif(regexp_extract(name, '_t([0-9]+)$', 1), '') as int) as tag_step
+ from (select p_partkey, {_TAGS.format(s='varchar')} as name from part)""")
+def time_tags(spark, d):
+    n = F.col("name")
+    x = t.read(spark, d, "part").select("p_partkey", F.expr(_TAGS.format(s="string")).alias("name"))
+    return x.select("p_partkey", scalars.tag_band(n).alias("band"), scalars.tag_date(n).alias("tag_date"), scalars.tag_step(n).alias("tag_step"))
+
+
+@query("""select p_partkey, cast(case when s < 10 or (case when m = 0 then 12 else m end) >= 9 then 2025 else 2026 end as int) as year from (select p_partkey, s, (cast(round_even(9 + (s - 10) * 0.5::double, 0) as int) % 12 + 12) % 12 as m from (select p_partkey, p_partkey % 21 as s from part))""")
+def synthetic_year(spark, d):
+    return t.read(spark, d, "part").select("p_partkey", scalars.synthetic_year((F.col("p_partkey") % 21).cast("int"), 21).alias("year"))
+
+
+@query(f"with {o.POINTS} select vec_id, case when lon < 78 then 32643 when lon < 84 then 32644 else 32645 end as zone, cast(round_even((label + 0.125) * 100, 0) as bigint) as pixels from points where lon between 77.1 and 84.6 and lat between 23.9 and 30.4 and label + 0.125 >= 0.5")
+def plot_filters(spark, d):
+    area = F.col("label") + 0.125
+    p = t.points(spark, d).where(scalars.in_box(F.col("lon"), F.col("lat")) & (area >= 0.5))
+    return p.select("vec_id", scalars.utm_zone(F.col("lon")).alias("zone"), scalars.approx_pixels(area).alias("pixels"))
+
+
+@query(f"with {o.POINTS}, p as (select vec_id, lon * 1000 as x, lat * 1000 as y from points), m as (select a.vec_id, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) as nn from p a join p b on a.vec_id <> b.vec_id group by 1) select count(*) as n, round(median(nn), 6) + 0.0 as median, " + ", ".join(f"round(avg(case when nn < {x} then 1.0 else 0.0 end), 6) + 0.0 as below_{x}" for x in (5, 20, 100)) + " from m")
+def nn_shares(spark, d):
+    p = t.points(spark, d).select("vec_id", (F.col("lon") * 1000).alias("x"), (F.col("lat") * 1000).alias("y"))
+    return rounded(spatial.distance_shares(spatial.nearest_distance(p, "vec_id", cell=16.0), (5, 20, 100)), ["n"])
+
+
+@query("select l_suppkey, l_orderkey, l_linenumber, l_quantity from lineitem qualify row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_quantity) <= 20")
+def pixel_cap(spark, d):
+    x = t.read(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity")
+    return splits.first_rows(x, ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_quantity"], 20)
+
+
+@query("select lang, case when lang in ('fr', 'de') then 'test' else 'train' end as split, count(*) as n from documents group by 1, 2")
+def region_holdout(spark, d):
+    x = splits.hold_out(t.read(spark, d, "documents").select("doc_id", "lang"), "lang", ["fr", "de"], "doc_id", share=0.0)
+    return x.groupBy("lang", "split").agg(F.count("*").alias("n"))
+
+
+@query("select o_custkey, o_orderkey, c_nationkey from orders join customer on o_custkey = c_custkey")
+def key_alignment(spark, d):
+    c = t.read(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
+    return splits.matched(t.read(spark, d, "orders").select("o_custkey", "o_orderkey"), c, "o_custkey")
+
+
+@query(f"with {o.FILLED} select entity, band, count(*) as n, round(sum(coalesce(v, 0) * (step + 1)), 6) + 0.0 as weighted from filled group by 1, 2")
+def tensor_build(spark, d):
+    x = features.tensor(t.filled(spark, d).withColumn("v", F.coalesce("v", F.lit(0.0))))
+    total = F.aggregate(F.transform("values", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    return rounded(x.select("entity", "band", F.size("values").cast("bigint").alias("n"), total.alias("weighted")), KEYS)
