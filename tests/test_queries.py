@@ -22,7 +22,7 @@ def duck():
 
 def normal(df: pd.DataFrame) -> list:
     def value(v):
-        if v is None or v is pd.NaT or v != v:
+        if v is None or v is pd.NaT or v is pd.NA or v != v:
             return None
         if hasattr(v, "year"):
             return str(v)[:10]
