@@ -158,3 +158,13 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("composited").agg(F.sum("n")).first()[0] == 1000
+
+
+def test_matched_fails_on_missing_keys(spark):
+    from pyspark.errors import PySparkException
+
+    left = spark.createDataFrame([(1, "a"), (2, "b")], "k int, x string")
+    right = spark.createDataFrame([(1, 5), (2, None), (3, 7)], "k int, y int")
+    assert {tuple(r) for r in splits.matched(left, right, "k").collect()} == {(1, "a", 5), (2, "b", None)}
+    with pytest.raises(PySparkException, match="no match for 1"):
+        splits.matched(left, right.where("k > 1"), "k").collect()
