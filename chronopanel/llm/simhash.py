@@ -214,7 +214,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that near_duplicates() leaves, one of each group: that of the smallest id (no id
     comes last), then of the smallest hash of its text, and one of rows that repeat both."""
-    groups = near_duplicates(docs, id_col, text_col, **options)
+    return first_of_each(docs, near_duplicates(docs, id_col, text_col, **options), id_col, text_col)
+
+
+def first_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that one_of_each() leaves of groups (id_col, text_hash and root of each row)."""
     first = F.min(F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), F.col("text_hash").alias("hash")))
     kept = groups.groupBy("root").agg(first.alias("first")).select(F.col("first.no").alias("__no"), F.xxhash64("first.id").alias("__id"), F.col("first.hash").alias("__hash"), F.col("first.id").alias("__own"))
     key = ["__no", "__id", "__hash"]

@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronopanel.llm import packing, quality_cnn, quality_rules, secrets, simhash
+from chronopanel.llm import near_copies, packing, quality_cnn, quality_rules, secrets
 from chronopanel.llm.common import stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -31,8 +31,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.one_of_each(docs).select(*COLUMNS)
+    """One document of each group of near copies: five-word shingles, similarity of 0.8 or more."""
+    return near_copies.one_of_each(docs).select(*COLUMNS)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
