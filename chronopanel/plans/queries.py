@@ -696,6 +696,12 @@ def region_holdout(spark, d):
     return x.groupBy("lang", "split").agg(F.count("*").alias("n"))
 
 
+@query()
+def region_holdout_rows(spark, d):
+    """The split of each row, with the default share of validation rows."""
+    return splits.hold_out(t.read(spark, d, "documents").select("doc_id", "lang"), "lang", ["fr", "de"], "doc_id")
+
+
 @query("select o_custkey, o_orderkey, c_nationkey from orders join customer on o_custkey = c_custkey")
 def key_alignment(spark, d):
     c = t.read(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey")
