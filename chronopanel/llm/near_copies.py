@@ -1,13 +1,21 @@
-"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Near copies by SimHash: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Groups are what such links connect. Shingles are XXH64 of five lower-cased words, or of all words of a
-shorter text. Candidates come from MinHash, links from the sets themselves:
+The same operator as `simhash`, for a similarity instead of a few bits. Groups are what links connect.
+Shingles are XXH64 of five lower-cased words, or of all words of a shorter text. Fingerprints and BK-trees
+give candidates, the sets themselves give links:
 
 * Texts of equal sets are one node, so copies never meet in pairs.
-* `BANDS` bands of `ROWS` minima each: a pair of similarity s shares a band with probability
-  1 - (1 - s^ROWS)^BANDS, which is 0.9994 at 0.8 and more above. A pair that shares none is not linked.
-* Nodes that bands connect are a candidate group. Only the sets of such nodes are made, after a bitmap of
-  fixed size has left out most other rows, and each goes to the task of its group.
+* A fingerprint has `BITS` bits: a bit is 1 if more than half of the set's mixed hashes have it. Sets of
+  Jaccard similarity 0.8 have a cosine of 8/9 or more, so a bit differs with a probability of 0.151 at most,
+  and `RADIUS` bits are about four standard deviations above the number that differ.
+* At that radius no band of bits must be equal, so shards are values of bits drawn at random: as many bits
+  (`width`) as leave about `SHARD_NODES` nodes to a value, drawn anew so often (`tables`) that a pair of
+  similarity 0.8 shares none with probability `MISS`. (Of sets below ten shingles, whose bits are coarser,
+  more are missed: 0.05 of the pairs of four and five.)
+* Each shard has a BK-tree. In a shard of more than `TREE_NODES` nodes all are candidates of one another:
+  they are linked to its smallest node, in any number of tasks.
+* Nodes that candidates connect are a candidate group. Only the sets of such nodes are made, after a bitmap
+  of fixed size has left out most other rows, and each goes to the task of its group.
 * A group of more than `block_rows` nodes is dealt into blocks, to each of which its smallest node is added.
   Groups that these links do not make one meet again: all nodes outside the group's largest part against
   all others, a pair of blocks a task. So every pair of a group is compared unless links connect it already.
@@ -18,6 +26,7 @@ Null texts count as empty. Columns besides the id and the text are not passed on
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import acos, ceil, log, log2, pi
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +39,18 @@ from chronopanel.llm.common import stored
 
 WORDS = 5
 LEAST = 0.8
-BANDS, ROWS = 14, 4
+BITS = 192
+RADIUS = 48
+MISS = 0.005
+SHARD_NODES = 32
+TREE_NODES = 512
 BLOCK_ROWS = 256
-BITS = 1 << 26
-_CHUNK = 1 << 12
-_RANDOM = np.random.default_rng(simhash.SEED)
-_FACTORS, _TERMS = (_RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+MARKS = 1 << 26
+_LANES = BITS // 64
+_CHUNK = 255  # counts of one byte each
+_SHIFTS = np.arange(8, dtype=np.uint64)
+_ONES = np.uint64(0x0101010101010101)
+_PRINT = [f"p{k}" for k in range(_LANES)]
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
@@ -45,13 +60,24 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, simhash.SEED) for x in joined), np.uint64))
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """One hash of each band's minima."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+def fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """The bits of a set of hashes, as words of 64. Each hash is mixed once for each word."""
+    total = np.zeros((_LANES, 8, 8), np.int64)
     for at in range(0, len(hashes), _CHUNK):
-        mixed = hashes[at : at + _CHUNK, None] * _FACTORS + _TERMS
-        np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=0), out=least)
-    return np.array([xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)], np.uint64)
+        x = hashes[at : at + _CHUNK, None] + np.arange(1, _LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x ^= x >> np.uint64(31)
+        total += ((x[:, :, None] >> _SHIFTS) & _ONES).sum(axis=0).view(np.uint8).reshape(_LANES, 8, 8)
+    ones = (2 * total > len(hashes)).transpose(0, 2, 1)  # word, byte, bit
+    return np.packbits(ones.reshape(-1), bitorder="little").view("<u8")
+
+
+def plan(nodes: int, least: float = LEAST) -> tuple[int, int]:
+    """Bits of a shard's value, and how often they are drawn."""
+    width = min(max(12, round(log2(max(nodes, 1) / SHARD_NODES))), 40)
+    same = 1 - acos(2 * least / (1 + least)) / pi
+    return width, ceil(log(MISS) / log(1 - same**width))
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -69,31 +95,112 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text_hash, node (XXH64 of the set of shingles) and bands of each row."""
+    """id, text_hash, node (XXH64 of the set of shingles) and the words of the fingerprint of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(x) for x in batch.column(1).to_pylist()]
-            nodes = np.array([_set_hash(x) for x in sets], np.uint64).view(np.int64)
-            flat = np.concatenate([bands(x) for x in sets] or [np.zeros(0, np.uint64)]).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes), lists], ["id", "text_hash", "node", "bands"])
+            nodes, prints = np.zeros(batch.num_rows, np.uint64), np.zeros((batch.num_rows, _LANES), np.uint64)
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                found = shingles(text)
+                nodes[row], prints[row] = _set_hash(found), fingerprint(found)
+            cols = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (nodes, *prints.T)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *cols], ["id", "text_hash", "node", *_PRINT])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return _rows(docs, id_col, text_col).mapInArrow(run, f"id {kind}, text_hash bigint, node bigint, bands array<bigint>")
+    return _rows(docs, id_col, text_col).mapInArrow(run, f"id {kind}, text_hash bigint, node bigint, " + ", ".join(f"{p} bigint" for p in _PRINT))
+
+
+def _shards(nodes: DataFrame, width: int, tables: int) -> DataFrame:
+    """node and its fingerprint, once for each shard: key."""
+    rng = np.random.default_rng(simhash.SEED)
+    drawn = np.zeros((BITS, tables))
+    for k in range(tables):
+        drawn[rng.choice(BITS, width, replace=False), k] = 2.0 ** np.arange(width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = np.column_stack([batch.column(k + 1).to_numpy() for k in range(_LANES)]).astype("<i8")
+            bits = np.unpackbits(words.view(np.uint8).reshape(batch.num_rows, -1), axis=1, bitorder="little")
+            keys = (bits.astype(np.float64) @ drawn).astype(np.int64) + (np.arange(tables, dtype=np.int64) << 40)
+            ends = np.arange(batch.num_rows + 1, dtype=np.int32) * tables
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["node", *_PRINT, "keys"])
+
+    kept = nodes.select("node", *_PRINT)
+    return kept.mapInArrow(run, "node bigint, " + ", ".join(f"{p} bigint" for p in _PRINT) + ", keys array<bigint>").select("node", *_PRINT, F.explode("keys").alias("key"))
+
+
+def _linked(nodes: list[int], prints: list[int], radius: int) -> Iterator[tuple[int, int]]:
+    """(node, smallest node it is linked with here) of one shard's nodes, through its BK-tree."""
+    tree, first, parent = simhash.BKTree(radius), {}, {}
+
+    def top(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    for node, x in zip(nodes, prints, strict=True):
+        for y in tree.near(x):
+            a, b = top(node), top(first[y])
+            parent[max(a, b)] = min(a, b)
+        if x not in first:
+            tree.add(x)
+            first[x] = node
+    return ((x, r) for x in parent if (r := top(x)) != x)
+
+
+def candidates(nodes: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES) -> DataFrame:
+    """Edges (a, b) between nodes (node and fingerprint of each) that connect just what candidates connect."""
+    shards = _shards(nodes, *plan(nodes.count()))
+    full = shards.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where(F.col("n") > tree_nodes).select("key", "b")
+    full = stored(full, "full-shards")
+    marked = shards.join(full, "key", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, nodes, prints, out = None, [], [], []
+
+        def batch_of() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+            out.clear()
+            return made
+
+        for batch in batches:
+            key = batch.column(0).to_numpy()
+            node = batch.column(1).to_pylist()
+            words = [batch.column(k + 2).to_numpy().view(np.uint64).tolist() for k in range(_LANES)]
+            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
+                    continue
+                if at != key[lo]:
+                    if len(nodes) > 1:
+                        out.extend(_linked(nodes, prints, radius))
+                    at, nodes, prints = key[lo], [], []
+                nodes += node[lo:hi]
+                prints += [sum(w << (64 * k) for k, w in enumerate(x)) for x in zip(*(w[lo:hi] for w in words), strict=True)]
+            if len(out) > 10_000:
+                yield batch_of()
+        if len(nodes) > 1:
+            out.extend(_linked(nodes, prints, radius))
+        if out:
+            yield batch_of()
+
+    small = marked.where("b is null").select("key", "node", *_PRINT)
+    found = small.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint")
+    return found.union(marked.where("b is not null").select(F.col("node").alias("a"), "b")).where("a <> b").distinct()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """key and set (its hashes' bytes) of the rows of docs whose key is wanted, and of few others."""
-    at = F.pmod(F.col("key"), F.lit(BITS))
-    words = wanted.groupBy((at / 32).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(pmod(key, {BITS}), 32) as int))")).alias("bits")).toArrow()
-    bitmap = np.zeros(BITS // 32, np.uint32)
+    at = F.pmod(F.col("key"), F.lit(MARKS))
+    words = wanted.groupBy((at / 32).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(pmod(key, {MARKS}), 32) as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(MARKS // 32, np.uint32)
     bitmap[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = batch.column(0).to_numpy() % BITS
+            key = batch.column(0).to_numpy() % MARKS
             some = batch.filter(pa.array((shared.value[key // 32] >> (key % 32).astype(np.uint32)) & np.uint32(1) == 1))
             yield pa.RecordBatch.from_arrays([some.column(0), pa.array([shingles(x).tobytes() for x in some.column(1).to_pylist()], pa.binary())], ["key", "set"])
 
@@ -148,14 +255,14 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     """id_col, text_hash and root (the group's smallest node) of each row."""
     marked = stored(marks(docs, id_col, text_col), "marks")
     row = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "text_hash"))
-    nodes = stored(marked.groupBy("node").agg(row.alias("row"), F.min("bands").alias("bands")).select("node", F.xxhash64("row.id", "row.text_hash").alias("key"), "bands"), "nodes")
+    of_set = [F.min(p).alias(p) for p in _PRINT]  # equal sets have one fingerprint
+    nodes = marked.groupBy("node").agg(row.alias("row"), *of_set).select("node", F.xxhash64("row.id", "row.text_hash").alias("key"), *_PRINT)
+    nodes = stored(nodes, "nodes")
 
-    shards = nodes.select("node", F.explode("bands").alias("band"))
-    shared = shards.groupBy("band").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
-    candidates = simhash.components(shards.join(shared, "band").select(F.col("node").alias("a"), "b"))
-    sizes = candidates.groupBy("root").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    near = simhash.components(candidates(nodes))
+    sizes = near.groupBy("root").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
     block = lambda n: F.expr(f"cast(pmod(xxhash64(node), {n}) as int)")
-    dealt = stored(candidates.join(sizes, "root").withColumnRenamed("root", "grp").withColumn("block", block("blocks")).join(nodes.select("node", "key"), "node"), "candidates")
+    dealt = stored(near.join(sizes, "root").withColumnRenamed("root", "grp").withColumn("block", block("blocks")).join(nodes.select("node", "key"), "node"), "candidates")
     sets = stored(_sets(docs, dealt, id_col, text_col).join(dealt.select("key", "node"), "key").select("node", "set"), "sets")
 
     everywhere = F.when(F.col("node") == F.col("grp"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
