@@ -6,18 +6,20 @@ import numpy as np
 import public_tokenizers as P
 
 import corpus_pipeline
-from chronopanel.llm import byte_bpe, quality_cnn, secrets, simhash
+from chronopanel.llm import byte_bpe, quality_cnn, secrets
 from chronopanel.llm.common import stored, table
 
 DATA = "/root/testdata/sf0.001"
 
 
 def groups(texts):
-    prints = [simhash.fingerprint(t) for t in texts]
+    """Groups of texts linked by a Jaccard similarity of 0.8 or more of their sets of five words."""
+    words = [t.encode().lower().split() for t in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in words]
     group = list(range(len(texts)))
     for a in range(len(texts)):
         for b in range(a):
-            if (prints[a] ^ prints[b]).bit_count() <= 3 and group[a] != group[b]:
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and group[a] != group[b]:
                 old, new = max(group[a], group[b]), min(group[a], group[b])
                 group = [new if g == old else g for g in group]
     return group
