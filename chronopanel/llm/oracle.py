@@ -6,9 +6,15 @@ from chronopanel.llm import chat, quality_rules, secrets, warc
 
 
 def _kind_sql(rank: int, rule: secrets.Rule) -> str:
-    pattern = rule.regex.replace("'", "''")
-    return f"""select doc_id, '{rule.kind}' as kind, {rank} as ord, cast(coalesce(list_sum(list_transform(gaps[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(found[1:k - 1], lambda x: length(x))), 0) as bigint) as start, length(found[k]) as size, length(held[k]) as held
- from (select doc_id, gaps, found, held, unnest(range(1, len(found) + 1)) as k from (select doc_id, string_split_regex(t, '{pattern}') as gaps, regexp_extract_all(t, '{pattern}', 0) as found, regexp_extract_all(t, '{pattern}', {rule.group}) as held from texts)) where length(held[k]) >= {rule.least}"""
+    pattern, group, least = rule.regex.replace("'", "''"), rule.group, rule.least
+    before = ""
+    if pattern.startswith("(?<!["):  # not in DuckDB's regexes: the character before is part of the match here
+        held_back, own = pattern[4:].split(")", 1)
+        pattern, group = f"(?:^|[^{held_back[1:-1]}])({own})", 1
+        before = " + length(found[k]) - length(held[k])"
+    size = "length(held[k])" if before else "length(found[k])"
+    return f"""select doc_id, '{rule.kind}' as kind, {rank} as ord, cast(coalesce(list_sum(list_transform(gaps[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(found[1:k - 1], lambda x: length(x))), 0){before} as bigint) as start, {size} as size, length(held[k]) as held
+ from (select doc_id, gaps, found, held, unnest(range(1, len(found) + 1)) as k from (select doc_id, string_split_regex(t, '{pattern}') as gaps, regexp_extract_all(t, '{pattern}', 0) as found, regexp_extract_all(t, '{pattern}', {group}) as held from texts)) where length(held[k]) >= {least}"""
 
 
 def secrets_sql() -> str:

@@ -7,6 +7,11 @@ alternative's trigrams are intersected, alternatives of a stretch are united, st
 The texts that remain are candidates, and only there the rule's regex runs. A rule without mandatory
 trigrams scans every text.
 
+Copies of one text may be many, so the candidates meet the rows under one of `SALTS` salts.
+
+A text may have any number of matches: running sums go in blocks, so n matches take n^1.5 small steps, and
+a text is redacted from chunks of it, so that a place is found without reading up to it.
+
 Hashes that collide only add candidates. Spans count code points, with exclusive ends; matches of one rule
 are leftmost and do not overlap, and matches that are too short are dropped after matching. Null texts
 count as empty and have no spans. Repeated rows and all other columns stay; a column named `spans` is
@@ -16,6 +21,7 @@ replaced.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from itertools import product
 
@@ -42,10 +48,13 @@ ADDED = (
     Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]+", 0, 20),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    # begins where a run of its characters does, else each eyJ of a run would read on to the run's end
+    Rule("web_token", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
 )
 RULES = BASE + ADDED
 _MOST = 64
+SALTS = 32
+_CHUNK = 4096
 
 
 def trigram_query(regex: str) -> list[list[frozenset[str]]]:
@@ -111,29 +120,53 @@ def candidates(texts: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     queries = texts.sparkSession.range(1).selectExpr("inline(array(" + ", ".join(row.format(*(str(x).replace("'", "\\'") for x in p)) for p in parts) + "))")
     lower = texts.select(F.xxhash64("text").alias("hash"), F.lower("text").alias("low"))
     present = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams]))
-    held = lower.select("hash", present.alias("grams")).where(F.size("grams") > 0)
-    postings = held.groupBy("hash").agg(F.array_distinct(F.flatten(F.collect_set("grams"))).alias("grams")).select("hash", F.explode("grams").alias("gram"))
+    held = lower.select("hash", present.alias("grams")).groupBy("hash").agg(F.array_distinct(F.flatten(F.collect_set("grams"))).alias("grams"))
+    postings = held.select("hash", F.explode("grams").alias("gram"))
     branches = postings.join(F.broadcast(queries), "gram").groupBy("hash", "kind", "stretches", "stretch", "branch", "need").agg(F.count("*").alias("n")).where("n = need")
     stretches = branches.groupBy("hash", "kind", "stretches").agg(F.count_distinct("stretch").alias("n")).where("n = stretches")
     return stretches.groupBy("hash").agg(F.collect_set("kind").alias("kinds"))
 
 
-def _spans(text: Column, rule: Rule) -> Column:
-    """Of each match that is long enough: start, end."""
-    pattern = F.lit(rule.regex if rule.group else _at_least(rule))
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    sizes = F.transform(found, F.length)
-    marks = F.arrays_zip(gaps.alias("gap"), sizes.alias("size"), (F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), F.length) if rule.group else sizes).alias("held"))
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("out"))
+def _running(items: str, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """What step (of a state and an item: the next state, and a value of type `kind` or null) gives for the
+    items in turn, without nulls. items: a column. Values gather in blocks, as to add to an array copies it."""
+    size, none = F.size(items), F.expr(f"cast(array() as array<{kind}>)")
+    width = F.greatest(F.lit(64), F.ceil(F.sqrt(size)).cast("int"))
+    starts = F.when(size > 0, F.sequence(F.lit(1), F.greatest(size, F.lit(1)), width))
+
+    def one(t: Column, x: Column) -> Column:
+        after, value = step(t["state"], x)
+        return F.struct(after.alias("state"), F.when(value.isNull(), t["out"]).otherwise(F.concat(t["out"], F.array(value))).alias("out"))
+
+    def block(done: Column, at: Column) -> Column:
+        begun = F.struct(F.element_at(done, -1)["state"].alias("state"), none.alias("out"))
+        return F.concat(done, F.array(F.aggregate(F.slice(items, at, width), begun, one)))
+
+    blocks = F.aggregate(starts, F.array(F.struct(state.alias("state"), none.alias("out"))), block)
+    return F.coalesce(F.flatten(F.transform(blocks, lambda x: x["out"])), none)
+
 
-    def step(s: Column, m: Column) -> Column:
-        start = s["at"] + m["gap"]
-        end = start + F.coalesce(m["size"], F.lit(0))
-        span = F.struct(start.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(m["held"] >= rule.least, F.concat(s["out"], F.array(span))).otherwise(s["out"]).alias("out"))
+def _with_spans(texts: DataFrame, text: str, rules: tuple[Rule, ...], wanted: Callable[[Rule], Column | None]) -> DataFrame:
+    """texts with, for each rule, start and end of each match that is long enough in column __<kind>, where
+    wanted (a condition, or None for all rows) holds. Only texts with a match are gone through again."""
+    pattern = {r.kind: F.lit(r.regex if r.group else _at_least(r)) for r in rules}
+    found, marks, spans = {}, {}, {}
+    for r in rules:
+        p, f, m = pattern[r.kind], f"__found_{r.kind}", f"__marks_{r.kind}"
+        matches, condition = F.regexp_extract_all(text, p, F.lit(0)), wanted(r)
+        found[f] = matches if condition is None else F.when(condition, matches)
+        sizes = F.transform(f, F.length)
+        held = F.transform(F.regexp_extract_all(text, p, F.lit(r.group)), F.length) if r.group else sizes
+        zipped = F.arrays_zip(F.transform(F.split(text, p, -1), F.length).alias("gap"), sizes.alias("size"), held.alias("held"))
+        marks[m] = F.when(F.size(f) > 0, zipped)
 
-    return F.aggregate(marks, zero, step)["out"]
+        def step(at: Column, x: Column, least: int = r.least) -> tuple[Column, Column]:
+            start = at + x["gap"]
+            end = start + F.coalesce(x["size"], F.lit(0))
+            return end, F.when(x["held"] >= least, F.struct(start.alias("start"), end.alias("end")))
+
+        spans[f"__{r.kind}"] = _running(m, F.lit(0), step, "struct<start:int,end:int>")
+    return texts.withColumns(found).withColumns(marks).withColumns(spans)
 
 
 def _at_least(rule: Rule) -> str:
@@ -147,15 +180,10 @@ def scan(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULE
     """docs with `spans`: array of (start, end, kind) in order of start, then of the rules."""
     docs = docs.drop("spans")
     own = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    found = candidates(docs.select(own.alias("text")), rules).select(F.col("hash").alias("__hash"), F.col("kinds").alias("__kinds"))
-    keyed = docs.withColumns({"__text": own, "__hash": F.xxhash64(own)}).join(found, "__hash", "left")
-    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-
-    def of(rule: Rule) -> Column:
-        spans = _spans(F.col("__text"), rule)
-        return F.when(F.array_contains("__kinds", rule.kind), spans).otherwise(none) if trigram_query(rule.regex) else spans
-
-    matched = keyed.withColumns({f"__{r.kind}": of(r) for r in rules})
+    found = candidates(docs.select(own.alias("text")), rules).select(F.col("hash").alias("__hash"), F.col("kinds").alias("__kinds"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    keyed = docs.withColumns({"__text": own, "__hash": F.xxhash64(own), "__salt": salt}).join(found, ["__hash", "__salt"], "left")
+    matched = _with_spans(keyed, "__text", rules, lambda r: F.array_contains("__kinds", r.kind) if trigram_query(r.regex) else None)
 
     def ranked(kind: str, rank: int) -> Column:
         return F.transform(f"__{kind}", lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rule"), x["end"].alias("end")))
@@ -168,12 +196,21 @@ def scan(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULE
 def redact(scanned: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """What scan() returned, without `spans`, and with each stretch of spans in the text replaced by mark."""
     text = F.col(text_col)
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        new = F.concat(s["out"], text.substr(s["at"] + 1, x["start"] - s["at"]), F.lit(mark))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] >= s["at"], new).otherwise(s["out"]).alias("out"))
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        before = F.struct(at.alias("start"), x["start"].alias("end"))
+        return F.greatest(at, x["end"]), F.when(x["start"] >= at, before)
+
+    some = F.size("spans") > 0
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))
+    rest = F.struct(F.array_max(F.transform("spans", lambda x: x["end"])).alias("start"), F.length(text).alias("end"))
+    d = scanned.withColumns({"__chunks": F.when(some, chunks), "__between": F.when(some, F.concat(_running("spans", F.lit(0), step, "struct<start:int,end:int>"), F.array(rest)))})
+
+    def piece(x: Column) -> Column:
+        first, last = (F.floor(at / _CHUNK).cast("int") for at in (x["start"], F.greatest(x["start"], x["end"] - 1)))
+        one = F.coalesce(F.get("__chunks", first), F.lit(""))
+        held = F.when(first == last, one).otherwise(F.array_join(F.slice("__chunks", first + 1, last - first + 1), ""))
+        return F.substring(held, x["start"] - first * _CHUNK + 1, x["end"] - x["start"])
 
-    done = F.aggregate("spans", zero, step)
-    changed = F.concat(done["out"], text.substr(done["at"] + 1, F.length(text)))
-    return scanned.withColumn(text_col, F.when(F.size("spans") > 0, changed).otherwise(text)).drop("spans")
+    changed = F.array_join(F.transform("__between", piece), mark)
+    return d.withColumn(text_col, F.when(some, changed).otherwise(text)).drop("spans", "__chunks", "__between")
