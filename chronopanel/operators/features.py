@@ -156,6 +156,13 @@ def tensor(df: DataFrame, v: str = "v") -> DataFrame:
     return df.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("step", v))).alias("s")).select(*KEYS, F.col(f"s.{v}").alias("values"))
 
 
+def cube(df: DataFrame, channels: list[str], v: str = "v", missing: float = 0.0) -> DataFrame:
+    """Each entity as one array (steps, in order) of arrays (values of the channels, in the given order)."""
+    of = [F.coalesce(F.max(F.when(F.col("band") == c, F.col(v))), F.lit(missing)).alias(f"c{k}") for k, c in enumerate(channels)]
+    rows = df.groupBy("entity", "step").agg(*of).select("entity", F.struct("step", F.array(*[f"c{k}" for k in range(len(channels))]).alias("row")).alias("s"))
+    return rows.groupBy("entity").agg(F.sort_array(F.collect_list("s")).alias("s")).select("entity", F.col("s.row").alias("cube"))
+
+
 def to_long(df: DataFrame, prefix: str) -> DataFrame:
     """(entity, feature, value) of a table of features by entity and band."""
     names = [c for c in df.columns if c not in KEYS]

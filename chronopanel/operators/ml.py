@@ -25,11 +25,11 @@ def model_factory(name: str, seed: int = 42, **params):
 
 
 def weighted(df: DataFrame, label: str = "label") -> DataFrame:
-    """df with `weight` that balances the classes."""
-    counts = df.groupBy(label).agg(F.count("*").alias("__n"))
-    total = df.agg(F.count("*").alias("__t"), F.count_distinct(label).alias("__k"))
-    w = counts.join(F.broadcast(total)).select(label, (F.col("__t") / (F.col("__k") * F.col("__n"))).alias("weight"))
-    return df.join(F.broadcast(w), label)
+    """df with `weight` that balances the classes; rows without a label stay, with a weight of null."""
+    counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("__n"))
+    per = counts.agg(F.sum("__n").alias("__t"), F.count("*").alias("__k"))
+    w = counts.join(F.broadcast(per)).select(label, (F.col("__t") / (F.col("__k") * F.col("__n"))).alias("weight"))
+    return df.drop("weight").join(F.broadcast(w), label, "left")  # a row for each class
 
 
 def assemble(df: DataFrame, features: list[str]) -> DataFrame:
@@ -44,7 +44,7 @@ def cross_validate(df: DataFrame, name: str, fold: str = "fold", **params) -> Da
     """Out-of-fold scores of assembled rows. The loop is over folds, each a distributed fit."""
     out = None
     for k in sorted(r[0] for r in df.select(fold).distinct().collect()):
-        model = model_factory(name, **params).fit(weighted(df.where(F.col(fold) != k)))
+        model = model_factory(name, **params).fit(weighted(df.where((F.col(fold) != k) & F.col("label").isNotNull())))
         part = probability(model, df.where(F.col(fold) == k))
         out = part if out is None else out.unionByName(part)
     return out

@@ -24,31 +24,55 @@ def buffered_antijoin(left: DataFrame, right: DataFrame, distance: float, x: str
     return l.join(r, (l["__cx"] == r["__cx"]) & (l["__cy"] == r["__cy"]) & near, "left_anti").select(*left.columns)
 
 
-def nearest_distance(df: DataFrame, key: str, x: str = "x", y: str = "y", cell: float = 1.0, rounds: int = 64) -> DataFrame:
-    """key and nn: the distance to the nearest other row (null if there is none). Rows meet those of the nine
-    cells around them. A neighbour within the cell size is the nearest; rows without one go on with cells of
-    twice the size. What is left is written after each round, so that no round is computed again."""
-    out, todo = None, df.select(F.col(key).alias("__k"), F.col(x).alias("__px"), F.col(y).alias("__py"))
-    every = df.select(F.col(key).alias("__o"), F.col(x).alias("__x"), F.col(y).alias("__y"))
-    for k in range(rounds):
-        size = cell * 2**k
-        a, b = _cells(todo, "__px", "__py", size, False), _cells(every, "__x", "__y", size, True)
-        d = F.hypot(F.col("__px") - F.col("__x"), F.col("__py") - F.col("__y"))
-        found = a.join(b, ["__cx", "__cy"]).where(F.col("__k") != F.col("__o")).groupBy("__k").agg(F.min(d).alias("nn")).where(F.col("nn") <= size)
-        step = checkpointed(todo.join(found, "__k", "left"))
-        best = step.where("nn is not null").select("__k", "nn")
-        out = best if out is None else out.unionByName(best)
+def nearest_distance(df: DataFrame, key: str, x: str = "x", y: str = "y", cell: float = 1.0, crowd: int = 64) -> DataFrame:
+    """key and nn of each row: the distance to the nearest row of another key, null if there is none or a
+    coordinate is missing.
+
+    Rows at one place are one place, and 0 apart. Places look for others in the nine cells around them; a
+    neighbour within the cell size is the nearest, and places without one go on with cells of twice the size,
+    until a cell covers all. The first cells are so small that none holds more than `crowd` places. Only the
+    places that are left are put into nine cells, and they are written after each round."""
+    rows = df.select(F.col(key).alias("__k"), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
+    known = F.col("__x").isNotNull() & F.col("__y").isNotNull() & ~F.isnan("__x") & ~F.isnan("__y")
+    own = F.struct("__x", "__y")
+    places = rows.where(known).groupBy("__x", "__y").agg(F.min("__k").alias("__lo"), F.max("__k").alias("__hi"))
+    one = F.col("__lo").eqNullSafe(F.col("__hi"))
+    places = checkpointed(places.select("__x", "__y", F.when(one, F.col("__lo")).alias("__k"), (~one).alias("__shared")))
+    extent, count = places.agg((F.greatest(F.max("__x") - F.min("__x"), F.max("__y") - F.min("__y"))).alias("e"), F.count("*").alias("n")).first()
+    out = places.where("__shared").select("__x", "__y", F.lit(0.0).alias("nn"))
+    todo = places.where("not __shared").select("__x", "__y", "__k")
+    if not count or count < 2:
+        out = out.unionByName(todo.select("__x", "__y", F.lit(None).cast("double").alias("nn")))
+        return _by_place(rows, known, own, out, key)
+    size = min(float(cell), extent)
+    while size > extent * 1e-9 and _cells(places, "__x", "__y", size, False).groupBy("__cx", "__cy").count().where(F.col("count") > crowd).limit(1).count():
+        size /= 2
+    others = places.select(F.col("__x").alias("__ox"), F.col("__y").alias("__oy"), F.col("__k").alias("__o"))
+    while True:
+        a, b = _cells(todo, "__x", "__y", size, True), _cells(others, "__ox", "__oy", size, False)
+        d = F.hypot(F.col("__x") - F.col("__ox"), F.col("__y") - F.col("__oy"))
+        another = F.coalesce(F.col("__k") != F.col("__o"), F.lit(True))
+        found = a.join(b, ["__cx", "__cy"]).where(another).groupBy("__x", "__y").agg(F.min(d).alias("nn"))
+        last = size >= extent
+        step = checkpointed(todo.join(found if last else found.where(F.col("nn") <= size), ["__x", "__y"], "left"))
+        out = out.unionByName((step if last else step.where("nn is not null")).select("__x", "__y", "nn"))
         todo = step.where("nn is null").drop("nn")
-        if todo.isEmpty():
-            break
-    return out.unionByName(todo.select("__k", F.lit(None).cast("double").alias("nn"))).withColumnRenamed("__k", key)
+        if last or todo.isEmpty():
+            return _by_place(rows, known, own, out, key)
+        size *= 2
+
+
+def _by_place(rows: DataFrame, known: Column, own: Column, found: DataFrame, key: str) -> DataFrame:
+    at = found.select(F.struct("__x", "__y").alias("__at"), "nn")
+    joined = rows.withColumn("__at", F.when(known, own)).join(at, "__at", "left")
+    return joined.select(F.col("__k").alias(key), "nn")
 
 
 def block_id(lon: Column, lat: Column, size: float = 0.05) -> Column:
     return F.concat_ws("_", F.floor(lat / size).cast("string"), F.floor(lon / size).cast("string"))
 
 
-def range_lookup(df: DataFrame, boxes: list[tuple], x: str, y: str, default: str) -> Column:
+def range_lookup(boxes: list[tuple], x: str, y: str, default: str) -> Column:
     """The name of the first box (name, x0, x1, y0, y1) that holds the point: a fixed, short list, as one expression."""
     out = None
     for name, x0, x1, y0, y1 in boxes:
@@ -57,6 +81,20 @@ def range_lookup(df: DataFrame, boxes: list[tuple], x: str, y: str, default: str
     return out.otherwise(default)
 
 
+def range_join(df: DataFrame, boxes: DataFrame, key: str, cell: float, x: str = "x", y: str = "y", default: str = "Unknown") -> DataFrame:
+    """df with `box`: the name of the first box by `ord` that holds the row's point, edges included, else the
+    default. boxes has ord, name, x0, x1, y0, y1 and may be any size: both sides meet by grid cell, a box being
+    put into all cells that it touches. key is unique in df."""
+    across = F.sequence(F.floor(F.col("x0") / cell), F.floor(F.col("x1") / cell))
+    up = F.sequence(F.floor(F.col("y0") / cell), F.floor(F.col("y1") / cell))
+    spread = boxes.where("x0 <= x1 and y0 <= y1").withColumn("__cx", F.explode(across)).withColumn("__cy", F.explode(up))
+    points = _cells(df.select(F.col(key).alias("__k"), F.col(x).alias("__x"), F.col(y).alias("__y")), "__x", "__y", cell, False)
+    inside = F.col("__x").between(F.col("x0"), F.col("x1")) & F.col("__y").between(F.col("y0"), F.col("y1"))
+    first = points.join(spread, ["__cx", "__cy"]).where(inside).groupBy("__k").agg(F.min_by("name", "ord").alias("__box"))
+    found = df.drop("box").join(first, df[key] == first["__k"], "left")
+    return found.withColumn("box", F.coalesce("__box", F.lit(default))).drop("__k", "__box")
+
+
 def distance_shares(nearest: DataFrame, limits: tuple[int, ...] = (500, 2000, 10000), nn: str = "nn") -> DataFrame:
     """One row: rows, their median distance, and for each limit the share of rows nearer than that."""
     shares = [F.avg((F.col(nn) < x).cast("double")).alias(f"below_{x}") for x in limits]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronopanel.session import checkpointed
@@ -15,9 +15,14 @@ def largest_per_group(df: DataFrame, by: list[str], size: str, tie: str) -> Data
     return best.select(*by, "b.*")
 
 
+def drawn(key: str, seed: int) -> Column:
+    """A hash of seed and key that other engines have too: 32 hexadecimal digits."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+
+
 def balance(df: DataFrame, label: str, key: str, n: int, seed: int = 42) -> DataFrame:
     """At most n rows of each label, in the order of a seeded hash of the key."""
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(key, F.lit(seed)), key))
+    rank = F.row_number().over(Window.partitionBy(label).orderBy(drawn(key, seed), key))
     return df.withColumn("__r", rank).where(F.col("__r") <= n).drop("__r")
 
 
@@ -41,15 +46,18 @@ def sequential_ids(df: DataFrame, label: str, order: str) -> DataFrame:
     first = n.groupBy(label).agg(F.min("__i").alias("__first"))
     place = (F.col("__i") - F.col("__first")).cast("string")
     padded = F.when(F.length(place) < 4, F.lpad(place, 4, "0")).otherwise(place)
-    return n.join(first, label).withColumn("plot_id", F.concat_ws("_", F.when(F.col(label) == 1, "pos").otherwise("neg"), padded)).select(*df.columns, "plot_id")
+    first = first.withColumnRenamed(label, "__label")  # one row for each label, one of which may be null
+    return n.join(first, n[label].eqNullSafe(first["__label"])).withColumn("plot_id", F.concat_ws("_", F.when(F.col(label) == 1, "pos").otherwise("neg"), padded)).select(*df.columns, "plot_id")
 
 
 def group_folds(df: DataFrame, group: str, label: str, folds: int = 5, seed: int = 42) -> DataFrame:
     """df with `fold`: groups stay whole; they are dealt out in turn, in order of their share of positives,
-    their size and a seeded hash, so that folds resemble each other."""
-    g = df.groupBy(group).agg(F.avg(label).alias("__share"), F.count("*").alias("__n")).withColumn("__h", F.xxhash64(group, F.lit(seed)))
+    their size and a seeded hash, so that folds resemble each other. Rows without a group are a group."""
+    g = df.groupBy(group).agg(F.avg(label).alias("__share"), F.count("*").alias("__n")).withColumn("__h", drawn(group, seed))
     placed = numbered(g, ["__share", "__n", "__h", group], "__i")
-    return df.join(placed.select(group, F.pmod("__i", F.lit(folds)).cast("int").alias("fold")), group)
+    placed = placed.select(F.col(group).alias("__group"), F.pmod("__i", F.lit(folds)).cast("int").alias("fold"))
+    kept = df.drop("fold")
+    return kept.join(placed, kept[group].eqNullSafe(placed["__group"])).drop("__group")
 
 
 def leave_one_out(df: DataFrame, plot: str, label: str) -> DataFrame:
@@ -82,8 +90,9 @@ def first_rows(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFr
 
 def hold_out(df: DataFrame, column: str, values: list, key: str, share: float = 0.2, seed: int = 42) -> DataFrame:
     """df with `split`: test where the column is one of the values; of the rest a seeded share is validation."""
-    drawn = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
-    return df.withColumn("split", F.when(F.col(column).isin(*values), "test").when(drawn, "validation").otherwise("train"))
+    place = F.conv(F.substring(drawn(key, seed), 1, 8), 16, 10).cast("bigint")
+    chosen = place < int(share * (1 << 32))
+    return df.withColumn("split", F.when(F.col(column).isin(*values), "test").when(chosen, "validation").otherwise("train"))
 
 
 def matched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -82,7 +82,8 @@ _NDVI = "(view - click) / nullif(view + click + 1e-8, 0)"
 
 @query(_OPT + ", ".join(f"round({e}, 6) + 0.0 as {n}" for n, e in {
     "NDVI": _NDVI,
-    "EVI": "2.5 * (view - click) / nullif(view + 6 * click - 7.5 * purchase + 1 + 1e-8, 0)",
+    # rounding decides the value where the divisor is close to zero: null there, on both sides
+    "EVI": "case when abs(view + 6 * click - 7.5 * purchase + 1) > 0.01 then 2.5 * (view - click) / nullif(view + 6 * click - 7.5 * purchase + 1 + 1e-8, 0) end",
     "NDWI": "(signup - view) / nullif(signup + view + 1e-8, 0)",
     "LSWI": "(view - error) / nullif(view + error + 1e-8, 0)",
     "SAVI": "(view - click) / nullif(view + click + 0.5 + 1e-8, 0) * 1.5",
@@ -90,13 +91,15 @@ _NDVI = "(view - click) / nullif(view + click + 1e-8, 0)"
     "NBR": "(view - purchase) / nullif(view + purchase + 1e-8, 0)",
     "GNDVI": "(view - signup) / nullif(view + signup + 1e-8, 0)",
     "GRVI": "(signup - click) / nullif(signup + click + 1e-10, 0)",
-}.items()) + " from wide where abs(view + 6 * click - 7.5 * purchase + 1) > 0.01 or view is null or click is null or purchase is null")
+}.items()) + " from wide")
 def spectral_indices_optical(spark, d):
     w = t.wide(t.filled(spark, d))
     b = _R | {"B12": "purchase"}
-    bad = F.abs(F.col("view") + 6 * F.col("click") - 7.5 * F.col("purchase") + 1) > 0.01
+    stable = F.abs(F.col("view") + 6 * F.col("click") - 7.5 * F.col("purchase") + 1) > 0.01
     names = ("NDVI", "EVI", "NDWI", "LSWI", "SAVI", "MSAVI", "NBR", "GNDVI", "GRVI")
-    return rounded(w.where(F.coalesce(bad, F.lit(True))).select("entity", "step", *[indices.index(n, **b).alias(n) for n in names]), ["entity", "step"])
+    made = {n: indices.index(n, **b) for n in names}
+    made["EVI"] = F.when(stable, made["EVI"])
+    return rounded(w.select("entity", "step", *[c.alias(n) for n, c in made.items()]), ["entity", "step"])
 
 
 _NDRE = "(view - click) / nullif(view + click + 1e-8, 0)"
@@ -136,10 +139,10 @@ def db_autodetect(spark, d):
     return rounded(composite.linear_if_db(x, "vv", ("vv", "vh")).select("entity", "step", "vv", "vh"), ["entity", "step"])
 
 
-@query(f"""with {o.FILLED}, {o.WIDE}, r as (select entity, case when signup is null or ndvi is null then null else greatest(least(signup / (ndvi + 1e-8), 50), -50) end as r from (select *, {_NDVI} as ndvi from wide) where abs(ndvi) > 0.001)
+@query(f"""with {o.FILLED}, {o.WIDE}, r as (select entity, case when signup is null or ndvi is null then null else greatest(least(signup / (ndvi + 1e-8), 50), -50) end as r from (select *, {_NDVI} as ndvi from wide))
  select entity, round(avg(r), 4) + 0.0 as mean, round(stddev_pop(r), 4) + 0.0 as std, round(quantile_cont(r, 0.5), 4) + 0.0 as p50 from r group by 1""")
 def sar_optical_ratio(spark, d):
-    w = t.wide(t.filled(spark, d)).withColumn("ndvi", indices.index("NDVI", **_R)).where("abs(ndvi) > 0.001")
+    w = t.wide(t.filled(spark, d)).withColumn("ndvi", indices.index("NDVI", **_R))
     r = w.select("entity", indices.clipped_ratio(F.col("signup"), F.col("ndvi")).alias("r"))
     return rounded(r.groupBy("entity").agg(F.avg("r").alias("mean"), F.stddev_pop("r").alias("std"), F.percentile("r", F.lit(0.5)).alias("p50")), ["entity"], 4)
 
@@ -210,10 +213,11 @@ _PH = f"""with {o.SMOOTHED}, a as (select *, max(v) over s as peak, v - lag(v) o
 
 
 @query(_PH + f""" select entity, band, {o.rounded("auc peak_value")}, peak_idx, greenup_half, {o.rounded("max_rise max_fall")}, season_length, n_seasons, {o.rounded("amplitude")},
- round(case when season_length > 0 then (peak_idx - greenup_half) / (season_length + 1e-8) else 0.0 end, 6) + 0.0 as asymmetry, round(1 / (sd2 + 1e-8), 3) + 0.0 as smoothness from f where sd2 > 1e-6""")
+ round(case when season_length > 0 then (peak_idx - greenup_half) / (season_length + 1e-8) else 0.0 end, 6) + 0.0 as asymmetry, case when sd2 > 1e-6 then round(1 / (sd2 + 1e-8), 3) + 0.0 end as smoothness from f""")
 def phenology_curve(spark, d):
-    p = features.phenology(series.smooth(t.filled(spark, d))).where("smoothness < 1e6")
-    return rounded(p.withColumn("smoothness", F.round("smoothness", 3)), KEYS)
+    """Smoothness is null for curves that are straight but for rounding."""
+    p = features.phenology(series.smooth(t.filled(spark, d)))
+    return rounded(p.withColumn("smoothness", F.when(F.col("smoothness") < 1e6, F.round("smoothness", 3))), KEYS)
 
 
 @query(_PH + " select entity, band, season_length, n_seasons from f")
@@ -282,10 +286,11 @@ _DYN = f"""with {o.FILLED}, a as (select *, v - lag(v) over w as d1, lead(v) ove
  dyn as (select entity, band, max_rise, max_fall, mean_abs_change, roughness, sd2, case when n > 4 and var > 1e-8 then cov / ((n - 1) * var) else 0.0 end as autocorr_lag1, case when n > 4 then rises else 0 end as n_peaks from g)"""
 
 
-@query(_DYN + f" select entity, band, {o.rounded('max_rise max_fall mean_abs_change roughness')}, round(1 / (sd2 + 1e-8), 3) + 0.0 as smoothness from dyn where sd2 > 1e-6")
+@query(_DYN + f" select entity, band, {o.rounded('max_rise max_fall mean_abs_change roughness')}, case when sd2 > 1e-6 then round(1 / (sd2 + 1e-8), 3) + 0.0 end as smoothness from dyn")
 def dynamics(spark, d):
-    x = features.dynamics(t.filled(spark, d)).where("smoothness < 1e6").drop("autocorr_lag1", "n_peaks")
-    return rounded(x.withColumn("smoothness", F.round("smoothness", 3)), KEYS)
+    """Smoothness is null for curves that are straight but for rounding."""
+    x = features.dynamics(t.filled(spark, d)).drop("autocorr_lag1", "n_peaks")
+    return rounded(x.withColumn("smoothness", F.when(F.col("smoothness") < 1e6, F.round("smoothness", 3))), KEYS)
 
 
 @query(_DYN + " select entity, band, round(autocorr_lag1, 6) + 0.0 as autocorr_lag1 from dyn")
@@ -453,12 +458,12 @@ def synthetic_month(spark, d):
     return t.read(spark, d, "part").select("p_partkey", scalars.synthetic_month((F.col("p_partkey") % 21).cast("int"), 21).alias("month"))
 
 
-@query("""select p_partkey, case when contains(f, 'rice') then 'rice' when contains(f, 'maize') or contains(f, 'corn') then 'maize' when contains(f, 'wheat') then 'wheat' when contains(f, 'water') or contains(f, 'pond') then 'water' else 'unlabeled (numeric)' end as kind
- from (select p_partkey, case p_partkey % 5 when 0 then 'rice_1' when 1 then 'Corn_2' when 2 then 'wheat' when 3 then 'pond_9' else '17' end as f0, lower(f0) as f from part)""")
+_WORD = "case p_partkey % 23 " + " ".join(f"when {k} then '{w.capitalize()}_' || p_partkey" for k, (w, _) in enumerate(scalars.CLASS_WORDS)) + " when 21 then p_partkey || '' else 'corn by the river' end"
+
+
+@query("select p_partkey, case " + " ".join(f"when contains(f, '{w}') then '{c}'" for w, c in scalars.CLASS_WORDS) + f" else 'unlabeled (numeric)' end as kind from (select p_partkey, lower({_WORD}) as f from part)")
 def filename_class(spark, d):
-    k = F.col("p_partkey") % 5
-    name = F.when(k == 0, "rice_1").when(k == 1, "Corn_2").when(k == 2, "wheat").when(k == 3, "pond_9").otherwise("17")
-    return t.read(spark, d, "part").select("p_partkey", scalars.class_of_filename(name).alias("kind"))
+    return t.read(spark, d, "part").select("p_partkey", scalars.class_of_filename(F.expr(_WORD)).alias("kind"))
 
 
 @query(f"""with {o.SCORES} select doc_id, case when score >= 0.685 then 'HIGH' when score >= 0.458 then 'MODERATE' when score * 50 >= 20 then 'LOW' else 'NON-HIGH' end as verdict,
@@ -490,7 +495,14 @@ _BOXES = [("north", 77.0, 78.0, 29.3, 30.4), ("east", 77.65, 84.0, 28.0, 29.5),
 
 @query(f"with {o.POINTS} select vec_id, case " + " ".join(f"when lon between {a} and {b} and lat between {c} and {e} then '{n}'" for n, a, b, c, e in _BOXES) + " else 'Unknown' end as district from points")
 def range_join_district(spark, d):
-    return t.points(spark, d).select("vec_id", spatial.range_lookup(None, _BOXES, "lon", "lat", "Unknown").alias("district"))
+    boxes = spark.createDataFrame([(k, *b) for k, b in enumerate(_BOXES)], "ord int, name string, x0 double, x1 double, y0 double, y1 double")
+    found = spatial.range_join(t.points(spark, d), boxes, "vec_id", 0.5, "lon", "lat")
+    return found.select("vec_id", F.col("box").alias("district"))
+
+
+@query(f"with {o.POINTS} select vec_id, case " + " ".join(f"when lon between {a} and {b} and lat between {c} and {e} then '{n}'" for n, a, b, c, e in _BOXES) + " else 'Unknown' end as district from points")
+def range_lookup_district(spark, d):
+    return t.points(spark, d).select("vec_id", spatial.range_lookup(_BOXES, "lon", "lat", "Unknown").alias("district"))
 
 
 @query(f"with {o.POINTS}, p as (select vec_id, lon * 1000 as x, lat * 1000 as y from points) select a.vec_id, round(min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)), 6) as nn from p a join p b on a.vec_id <> b.vec_id group by 1")
@@ -529,15 +541,16 @@ def lopo_folds(spark, d):
     return splits.leave_one_out(x, "s_suppkey", "label")
 
 
-@query()
+@query(f"""with {o.SCORES}, g as (select source, avg(y) as share, count(*) as n from scores group by 1),
+ f as (select source, cast((row_number() over (order by share nulls first, n, md5('42:' || source), source nulls first) - 1) % 5 as int) as fold from g)
+ select s.doc_id, s.source, f.fold from scores s join f on s.source is not distinct from f.source""")
 def group_kfold(spark, d):
     return splits.group_folds(t.scores(spark, d), "source", "y").select("doc_id", "source", "fold")
 
 
-@query("with l as (select doc_id, quality from labels) select quality, least(count(*), 50) as n from l group by 1")
+@query("select doc_id, quality from labels qualify row_number() over (partition by quality order by md5('42:' || doc_id), doc_id) <= 50")
 def balanced_subsample(spark, d):
-    x = splits.balance(t.read(spark, d, "labels").select("doc_id", "quality"), "quality", "doc_id", 50)
-    return x.groupBy("quality").agg(F.count("*").alias("n"))
+    return splits.balance(t.read(spark, d, "labels").select("doc_id", "quality"), "quality", "doc_id", 50)
 
 
 _CM = f"""with {o.SCORES}, c as (select source, count(*) filter (where y = 0 and score < 0.5) as tn, count(*) filter (where y = 0 and score >= 0.5) as fp, count(*) filter (where y = 1 and score < 0.5) as fn, count(*) filter (where y = 1 and score >= 0.5) as tp, avg((score - y) ** 2) as brier from scores group by 1),
@@ -696,7 +709,7 @@ def region_holdout(spark, d):
     return x.groupBy("lang", "split").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("select doc_id, lang, case when lang in ('fr', 'de') then 'test' when cast('0x' || substr(md5('42:' || doc_id), 1, 8) as bigint) < 858993459 then 'validation' else 'train' end as split from documents")
 def region_holdout_rows(spark, d):
     """The split of each row, with the default share of validation rows."""
     return splits.hold_out(t.read(spark, d, "documents").select("doc_id", "lang"), "lang", ["fr", "de"], "doc_id")
@@ -708,8 +721,13 @@ def key_alignment(spark, d):
     return splits.matched(t.read(spark, d, "orders").select("o_custkey", "o_orderkey"), c, "o_custkey")
 
 
-@query(f"with {o.FILLED} select entity, band, count(*) as n, round(sum(coalesce(v, 0) * (step + 1)), 6) + 0.0 as weighted from filled group by 1, 2")
+@query(f"with {o.FILLED} select entity, band, step as place, round(coalesce(v, 0), 6) + 0.0 as v from filled")
 def tensor_build(spark, d):
     x = features.tensor(t.filled(spark, d).withColumn("v", F.coalesce("v", F.lit(0.0))))
-    total = F.aggregate(F.transform("values", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
-    return rounded(x.select("entity", "band", F.size("values").cast("bigint").alias("n"), total.alias("weighted")), KEYS)
+    return rounded(x.select("entity", "band", F.posexplode("values").alias("place", "v")), ["entity", "band", "place"])
+
+
+@query(f"with {o.FILLED} select entity, step as place, cast(list_position(['click','error','purchase','signup','view'], band) - 1 as int) as channel, round(coalesce(v, 0), 6) + 0.0 as v from filled")
+def tensor_cube(spark, d):
+    x = features.cube(t.filled(spark, d), t.EVENT_BANDS).select("entity", F.posexplode("cube").alias("place", "row"))
+    return rounded(x.select("entity", "place", F.posexplode("row").alias("channel", "v")), ["entity", "place", "channel"])
