@@ -1,10 +1,13 @@
 """Approximate nearest neighbours by a hierarchical k-means tree.
 
-The tree is fitted on the driver on a sample of at most `sample_rows` vectors; every row is then indexed:
-it descends to a leaf. A search goes best bin first: a priority queue of nodes by the distance of their
-centre gives leaves in order. How many leaves are visited is calibrated: for at most `calibrate_rows`
-vectors the exact neighbours are found by brute force over all rows, in blocks, and visits widen until the
-mean recall reaches `target`. A query visits more leaves if those hold fewer than k rows.
+The top of the tree is fitted on the driver on a sample of at most `sample_rows` vectors. Leaves that hold
+many more than `leaf_rows` rows then get subtrees, each fitted in a task on a bounded sample of its leaf, so
+the tree grows with the table, up to `max_leaves` leaves (their centres are what each worker holds; in larger
+tables leaves grow). Every row is indexed: it descends to a leaf. A search goes best bin first: a priority
+queue of nodes by the distance of their centre gives leaves in order. How many leaves are visited is
+calibrated: for at most `calibrate_rows` vectors that no tree was fitted on, the exact neighbours are found by
+brute force over all rows, in blocks, and visits widen until the mean recall reaches `target`. A query visits
+more leaves if those hold fewer than k rows.
 
 Leaves hold whatever the data puts there, so a leaf is dealt into blocks of about `block_rows` rows, and a
 query meets each block of its leaves. A task keeps one block and lets the queries stream past it; it gives
@@ -19,6 +22,7 @@ each found. Other columns are not passed on. Without queries or candidates the r
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +34,10 @@ from chronopanel.llm.common import stored
 
 K = 10
 BRANCHES = 16
-LEAF_ROWS = 64
+LEAF_ROWS = 128
+MAX_LEAVES = 1 << 17
+#: Rows of a sample for each leaf fitted on it, at least.
+FIT_ROWS = 32
 SAMPLE_ROWS = 20_000
 CALIBRATE_ROWS = 128
 TARGET = 0.96
@@ -44,6 +51,24 @@ class KMeansTree:
     def __init__(self, points: np.ndarray, branches: int = BRANCHES, leaf_rows: int = LEAF_ROWS):
         self.centres, self.children, self.leaf, self.leaves = [], [], [], 0
         self._grow(points, branches, leaf_rows, np.random.default_rng(SEED))
+        self.centres = np.clip(self.centres, -1e30, 1e30).astype(np.float32)
+
+    def graft(self, trees: dict[int, KMeansTree]) -> None:
+        """Put these trees in the place of leaves, and number all leaves anew."""
+        at = {self.leaf[i]: i for i, below in enumerate(self.children) if not below}
+        parts, base = [self.centres], len(self.centres)
+        for leaf, tree in trees.items():
+            moved = [[base + c - 1 for c in below] for below in tree.children]  # its root stays this node
+            self.children[at[leaf]] = moved[0]
+            self.children += moved[1:]
+            parts.append(tree.centres[1:])
+            base += len(tree.children) - 1
+        self.centres, self.leaves = np.concatenate(parts), 0
+        self.leaf = [-1] * len(self.children)
+        for i, below in enumerate(self.children):
+            if not below:
+                self.leaf[i] = self.leaves
+                self.leaves += 1
 
     def _grow(self, points: np.ndarray, branches: int, leaf_rows: int, rng: np.random.Generator) -> int:
         own = len(self.centres)
@@ -69,7 +94,7 @@ class KMeansTree:
             if not below:
                 out[rows] = self.leaf[node]
             elif len(rows):
-                nearest = _distances(points[rows], np.array([self.centres[c] for c in below])).argmin(axis=1)
+                nearest = _distances(points[rows], self.centres[below].astype(np.float64)).argmin(axis=1)
                 todo += [(c, rows[nearest == j]) for j, c in enumerate(below)]
         return out
 
@@ -79,7 +104,7 @@ class KMeansTree:
         while heap:
             _, node = heapq.heappop(heap)
             if below := self.children[node]:
-                near = _distances(point[None], np.array([self.centres[c] for c in below]))[0]
+                near = _distances(point[None], self.centres[below].astype(np.float64))[0]
                 for d, c in zip(near.tolist(), below, strict=True):
                     heapq.heappush(heap, (d, c))
             else:
@@ -118,13 +143,16 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def _nearest(queries: np.ndarray, own: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Of each query the places of its k nearest points, and their distances."""
     for q, i in zip(queries, own, strict=True):
-        diff = points - q
-        d = np.sqrt(np.einsum("ij,ij->i", diff, diff))
-        d[ids == i] = np.inf
-        some = np.argpartition(d, k - 1)[:k] if len(d) > k else np.arange(len(d))
-        some = np.flatnonzero(d <= d[some].max()) if len(d) > k else some
-        some = some[np.lexsort((ids[some], d[some]))][:k]
-        some = some[np.isfinite(d[some])]
+        with np.errstate(over="ignore"):
+            diff = points - q
+            d = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+            for row in np.flatnonzero(~np.isfinite(d)):  # the squares overflow, the distance may not
+                most = np.abs(diff[row]).max()
+                d[row] = most * np.sqrt(((diff[row] / most) ** 2).sum()) if np.isfinite(most) else np.inf
+        others = np.flatnonzero(ids != i)
+        if len(others) > k:
+            others = others[d[others] <= np.partition(d[others], k - 1)[k - 1]]
+        some = others[np.lexsort((ids[others], d[others]))][:k]
         yield some, d[some]
 
 
@@ -139,26 +167,27 @@ def search(
     calibrate_rows: int = CALIBRATE_ROWS,
     block_rows: int = BLOCK_ROWS,
     leaf_rows: int = LEAF_ROWS,
+    max_leaves: int = MAX_LEAVES,
 ) -> DataFrame:
     """query_id, rank (from 1), id_col, score. is_query: a condition on the column `id`."""
     rows = usable(vectors, id_col, vector_col)
     schema = f"query_id bigint, rank int, {id_col} bigint, score double"
-    sample = rows.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(sample_rows).toArrow()
-    if not sample.num_rows:
+    total = rows.count()
+    drawn = rows.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(sample_rows + calibrate_rows).toArrow()
+    if not total:
         return vectors.sparkSession.createDataFrame([], schema)
-    points = _matrix(sample["vec"].combine_chunks())
-    tree = KMeansTree(points, leaf_rows=leaf_rows)
-
-    def located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tree.locate(_matrix(b.column(1))))], ["id", "vec", "leaf"])
-
-    indexed = stored(rows.mapInArrow(located, "id bigint, vec array<double>, leaf int"), "leaves")
-    sizes = np.zeros(tree.leaves, np.int64)
-    for r in indexed.groupBy("leaf").count().collect():  # one row for each leaf of the tree at most
-        sizes[r["leaf"]] = r["count"]
-    some = sample.slice(0, calibrate_rows)
-    visits = _calibrated(indexed, tree, points[: some.num_rows], some["id"].to_numpy(), k, target)
+    # the last of the sample calibrate and take no part in fitting, unless there are few
+    apart = min(calibrate_rows, drawn.num_rows // 2) if drawn.num_rows > 4 * k else 0
+    fitted, held = drawn.slice(0, drawn.num_rows - apart), drawn.slice(drawn.num_rows - apart) if apart else drawn
+    points = _matrix(fitted["vec"].combine_chunks())
+    tree = KMeansTree(points, leaf_rows=max(FIT_ROWS, leaf_rows * len(points) // total))
+    held_ids = held["id"].to_pylist() if apart else []
+    tree = _grown(rows.where(~F.col("id").isin(held_ids)) if apart else rows, tree, leaf_rows, max_leaves, sample_rows)
+
+    indexed = stored(_located(rows, tree), "leaves")
+    sizes = _sizes(indexed, tree)
+    some = held.slice(0, calibrate_rows)
+    visits = _calibrated(indexed, tree, _matrix(some["vec"].combine_chunks()), some["id"].to_numpy(), k, target)
     blocks = -(-sizes // block_rows)
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,8 +206,15 @@ def search(
                 yield pa.RecordBatch.from_arrays([part.column(0).take(places), part.column(1).take(places), leaves, block], ["id", "vec", "leaf", "block"])
 
     queries = indexed.where(is_query).groupBy("id").agg(F.min("vec").alias("vec")).mapInArrow(asked, "id bigint, vec array<double>, leaf int, block int")
-    of = F.get(F.array(*[F.lit(int(x)) for x in np.maximum(blocks, 1)]), F.col("leaf"))
-    dealt = indexed.select("id", "vec", "leaf", F.pmod(F.xxhash64("id", "vec"), of).cast("int").alias("block"))
+
+    def dealing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of = np.maximum(blocks, 1)[b.column(2).to_numpy()]
+            block = (b.column(3).to_numpy() % of).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(block)], ["id", "vec", "leaf", "block"])
+
+    mixed = indexed.select("id", "vec", "leaf", F.xxhash64("id", "vec").alias("mixed"))
+    dealt = mixed.mapInArrow(dealing, "id bigint, vec array<double>, leaf int, block int")
     meet = dealt.withColumn("asks", F.lit(False)).union(queries.withColumn("asks", F.lit(True)))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,6 +242,58 @@ def search(
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
+def _located(rows: DataFrame, tree: KMeansTree) -> DataFrame:
+    """rows (id, vec) with their leaf."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(tree.locate(_matrix(b.column(1))))], ["id", "vec", "leaf"])
+
+    return rows.select("id", "vec").mapInArrow(run, "id bigint, vec array<double>, leaf int")
+
+
+def _sizes(located: DataFrame, tree: KMeansTree) -> np.ndarray:
+    sizes = np.zeros(tree.leaves, np.int64)
+    for r in located.groupBy("leaf").count().collect():  # one row for each leaf of the tree at most
+        sizes[r["leaf"]] = r["count"]
+    return sizes
+
+
+def _grown(rows: DataFrame, tree: KMeansTree, leaf_rows: int, max_leaves: int, sample_rows: int) -> KMeansTree:
+    """The tree with subtrees in its leaves until these hold about leaf_rows rows, or can't be split."""
+    whole = 1 << 30
+    while True:
+        located = _located(rows, tree)
+        sizes = _sizes(located, tree)
+        wide = [(int(leaf), int(n)) for leaf, n in enumerate(sizes) if n > 4 * leaf_rows]
+        room = max_leaves - tree.leaves
+        if not wide or room <= 0:
+            return tree
+        share = min(1.0, room / sum(n / leaf_rows for _, n in wide))  # of the leaves that would be made
+        want = {leaf: max(2, int(share * n / leaf_rows)) for leaf, n in wide}
+        take = np.zeros(tree.leaves, np.int64)
+        for leaf, n in wide:
+            take[leaf] = min(whole, int(whole * min(FIT_ROWS * want[leaf], sample_rows) / n))
+
+        def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array(b.column(3).to_numpy() < take[b.column(2).to_numpy()])).select(["vec", "leaf"])
+
+        def fit(key: tuple, group: pa.Table) -> pa.Table:
+            points = _matrix(group["vec"].combine_chunks())
+            made = KMeansTree(points, leaf_rows=max(1, -(-len(points) // want[key[0].as_py()])))
+            return pa.table({"leaf": pa.array([key[0].as_py()], pa.int32()), "tree": pa.array([pickle.dumps(made)], pa.binary())})
+
+        mixed = located.withColumn("mixed", F.pmod(F.xxhash64("id", "vec", F.lit(SEED)), F.lit(whole)))
+        sample = mixed.mapInArrow(drawn, "vec array<double>, leaf int")
+        found = sample.groupBy("leaf").applyInArrow(fit, "leaf int, tree binary")
+        trees = {r["leaf"]: pickle.loads(r["tree"]) for r in found.toLocalIterator()}  # max_leaves leaves in all
+        trees = {leaf: x for leaf, x in trees.items() if x.leaves > 1}
+        if not trees:
+            return tree
+        tree.graft(trees)
+
+
 def _calibrated(indexed: DataFrame, tree: KMeansTree, points: np.ndarray, ids: np.ndarray, k: int, target: float) -> int:
     """Leaf visits at which the mean recall of these points' exact neighbours reaches the target."""
 
