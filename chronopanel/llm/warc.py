@@ -2,13 +2,15 @@
 
 An archive is a skippable frame with the dictionary, then one frame for each record, compressed with it.
 Between records stands an empty skippable frame: it is the line separator of Spark's text writer, which so
-commits the archives on any store, a task at a time. Readers of Zstandard pass over it. A task begins a new
-archive after `records` records, so an archive stays readable in one piece however much a task is given.
+commits the archives on any store, a task at a time. Readers of Zstandard pass over it. The writer's lines
+are runs of frames of about `LINE_BYTES` bytes, and a longer frame is followed by empty lines, so that a new
+archive begins after about LINES * LINE_BYTES bytes, and after `records` records at most: an archive stays
+readable in one piece however much a task is given.
 
 Of records with equal payloads of at least `least` bytes, the one with the largest page id is a response,
 and the others are revisits that refer to it; smaller payloads are always responses. Groups are counted by
-digest before records meet them, so a payload that many pages share is one row of that side, and Spark
-splits the pages' side where it is skewed.
+digest before records meet them, so a payload that many pages share is one row of that side; it is met under
+`SALTS` salts, in as many tasks. Payloads too small for a group are dealt out at random.
 
 The reader takes the dictionary from the leading frame, follows the frames' block headers to each record's
 end, and checks the version line, the header lines, the content length, the end of the record and the
@@ -37,6 +39,8 @@ LEAST = 1000
 DICTIONARY_BYTES = 1 << 16
 SAMPLE_ROWS, SAMPLE_BYTES = 512, 8192
 ARCHIVE_RECORDS = 4096
+LINES, LINE_BYTES = 64, 1 << 20
+SALTS = 16
 #: Magic numbers of the dictionary's frame, of dictionaries and of frames; the separator is a skippable frame of no bytes.
 DICTIONARY_MAGIC, RAW_MAGIC, FRAME_MAGIC = b"\x5d\x2a\x4d\x18", b"\x37\xa4\x30\xec", b"\x28\xb5\x2f\xfd"
 SEPARATOR = "P*M\x18\x00\x00\x00\x00"
@@ -81,7 +85,11 @@ def classify(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html
     rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("bigint")})
     groups = rows.where(F.col("size") >= least).groupBy("digest").agg(F.max("page").alias("latest"), F.count("*").alias("n")).where("n > 1 and latest is not null").select("digest", "latest")
     revisit = F.coalesce((F.col("size") >= least) & F.col("latest").isNotNull() & ~F.col("page").eqNullSafe(F.col("latest")), F.lit(False))
-    joined = rows.join(groups, "digest", "left")
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
+    alone = F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))  # no digest
+    rows = rows.withColumn("key", F.when(F.col("size") >= least, F.concat_ws("-", "digest", salt)).otherwise(alone))
+    every = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select(F.concat_ws("-", "digest", "salt").alias("key"), "latest")
+    joined = rows.join(every, "key", "left")
     return joined.select(
         "page", "url", F.when(revisit, F.lit(b"")).otherwise(F.col("payload")).alias("payload"), "digest", "size", F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("latest")).alias("refers_to")
     )
@@ -94,19 +102,45 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", payload
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=True)
         lead = DICTIONARY_MAGIC + struct.pack("<I", len(dictionary)) + dictionary
-        written = 0
+        row, out, line, held, size = 0, [], [], 0, 0
+
+        def end_line(fill: int = 0) -> None:
+            nonlocal row, held, size
+            for content in [between.join(line), *[b""] * fill]:
+                # the writer begins a file at just these rows
+                out.append(content if row % lines else lead + content)
+                row += 1
+            size += held
+            line.clear()
+            held = 0
+
+        def batch_of() -> pa.RecordBatch:
+            nonlocal size
+            made, size = pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"]), 0
+            out.clear()
+            return made
+
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                frames = []
                 for r in b.slice(at, 256).to_pylist():
                     frame = made.compress(record(r["page"], r["kind"], r["url"], r["refers_to"], r["payload"], r["digest"], r["size"]))
-                    # the writer begins a file at just these rows
-                    frames.append(frame if written % records else lead + frame)
-                    written += 1
-                yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], ["frame"])
-
+                    if line and (len(line) >= per_line or held + len(frame) > LINE_BYTES):
+                        end_line()
+                    line.append(frame)
+                    held += len(frame)
+                    if held > LINE_BYTES:
+                        end_line(held // LINE_BYTES)
+                    if size > 4 * LINE_BYTES:
+                        yield batch_of()
+        if line:
+            end_line()
+        if out:
+            yield batch_of()
+
+    lines = min(LINES, records)
+    per_line, between = max(1, records // lines), SEPARATOR.encode()
     frames = classify(pages, id_col, payload_col, url_col, least).mapInArrow(run, "frame binary")
-    frames.select(F.col("frame").cast("string")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", records).text(path)
+    frames.select(F.col("frame").cast("string")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", lines).text(path)
 
 
 def frame_end(data: memoryview, at: int) -> int:
