@@ -25,7 +25,7 @@ from chronopanel.llm.common import stored
 
 SHARDS = 16
 SEED = 17
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 64 << 20
 SALTS = 256
 #: With more buckets than this, their places are joined by a shuffle instead of a broadcast.
 BROADCAST_BUCKETS = 100_000
