@@ -9,9 +9,10 @@ calibrated: for at most `calibrate_rows` vectors that no tree was fitted on, the
 brute force over all rows, in blocks, and visits widen until the mean recall reaches `target`. A query visits
 more leaves if those hold fewer than k rows.
 
-Leaves hold whatever the data puts there, so a leaf is dealt into blocks of about `block_rows` rows, and a
-query meets each block of its leaves. A task keeps one block and lets the queries stream past it; it gives
-the block's k nearest, and the k nearest of those are the result. The nearness is the Euclidean distance
+Neighbouring leaves share a bucket of about `block_rows` rows; a leaf of more rows has a bucket of its own,
+dealt into blocks. A query comes once to each block of the buckets that hold its leaves. A task keeps one
+block and lets the queries stream past it; it gives the k nearest in the query's leaves there, and the k
+nearest of those are the result. The nearness is the Euclidean distance
 in double precision, ties go to the smaller id.
 
 Vectors that are null, empty, zero, hold null or non-finite components or differ in length from most take
@@ -188,7 +189,8 @@ def search(
     sizes = _sizes(indexed, tree)
     some = held.slice(0, calibrate_rows)
     visits = _calibrated(indexed, tree, _matrix(some["vec"].combine_chunks()), some["id"].to_numpy(), k, target)
-    blocks = -(-sizes // block_rows)
+    bucket = _buckets(sizes, block_rows)
+    blocks = np.maximum(-(-np.bincount(bucket, sizes).astype(np.int64) // block_rows), 1)
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -196,52 +198,73 @@ def search(
                 part = b.slice(at, 64)
                 out = []
                 for row, q in enumerate(_matrix(part.column(1))):
-                    held = 0
+                    held, own = 0, {}
                     for n, leaf in enumerate(tree.visit(q)):
                         if n >= visits and held > k:
                             break
                         held += int(sizes[leaf])
-                        out += [(row, leaf, block) for block in range(int(blocks[leaf]))]
-                places, leaves, block = (pa.array(x, pa.int32()) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(places), part.column(1).take(places), leaves, block], ["id", "vec", "leaf", "block"])
+                        own.setdefault(int(bucket[leaf]), []).append(leaf)
+                    out += [(row, b, block, leaves) for b, leaves in own.items() for block in range(int(blocks[b]))]
+                places, buckets, block, leaves = zip(*out, strict=True)
+                at_rows = pa.array(places, pa.int32())
+                cols = [part.column(0).take(at_rows), part.column(1).take(at_rows), pa.array(buckets, pa.int32()), pa.array(block, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(cols, names)
 
-    queries = indexed.where(is_query).groupBy("id").agg(F.min("vec").alias("vec")).mapInArrow(asked, "id bigint, vec array<double>, leaf int, block int")
+    names = ["id", "vec", "bucket", "block", "leaves"]
+    kinds = "id bigint, vec array<double>, bucket int, block int, leaves array<int>"
+    queries = indexed.where(is_query).groupBy("id").agg(F.min("vec").alias("vec")).mapInArrow(asked, kinds)
 
     def dealing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            of = np.maximum(blocks, 1)[b.column(2).to_numpy()]
-            block = (b.column(3).to_numpy() % of).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(block)], ["id", "vec", "leaf", "block"])
+            leaf = b.column(2).to_numpy()
+            of = blocks[bucket[leaf]]
+            own = pa.ListArray.from_arrays(pa.array(np.arange(len(leaf) + 1, dtype=np.int32)), b.column(2))
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(bucket[leaf]), pa.array((b.column(3).to_numpy() % of).astype(np.int32)), own], names)
 
     mixed = indexed.select("id", "vec", "leaf", F.xxhash64("id", "vec").alias("mixed"))
-    dealt = mixed.mapInArrow(dealing, "id bigint, vec array<double>, leaf int, block int")
+    dealt = mixed.mapInArrow(dealing, kinds)
     meet = dealt.withColumn("asks", F.lit(False)).union(queries.withColumn("asks", F.lit(True)))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, parts, block = None, [], [], None
+        at, parts, block, begin = None, [], None, None
         for b in batches:
-            key = np.column_stack([b.column(2).to_numpy(), b.column(3).to_numpy(), b.column(4).to_numpy(zero_copy_only=False)])
+            key = np.column_stack([b.column(2).to_numpy(), b.column(3).to_numpy(), b.column(5).to_numpy(zero_copy_only=False)])
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 if lo == hi:
                     continue
                 if at != (now := tuple(key[lo, :2])):
-                    at, ids, parts, block = now, [], [], None
-                own, found = b.column(0).slice(lo, hi - lo).to_numpy(), _matrix(b.column(1).slice(lo, hi - lo))
+                    at, parts, block = now, [], None
+                own, found, leaves = b.column(0).slice(lo, hi - lo).to_numpy(), _matrix(b.column(1).slice(lo, hi - lo)), b.column(4).slice(lo, hi - lo)
                 if not key[lo, 2]:
-                    ids.append(own)
-                    parts.append(found)
-                elif ids:
-                    block = block or (np.concatenate(ids), np.concatenate(parts))
-                    near = list(_nearest(found, own, block[1], block[0], k))
-                    cols = np.repeat(own, [len(x) for x, _ in near]), block[0][np.concatenate([x for x, _ in near])], np.concatenate([d for _, d in near])
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "id", "score"])
-
-    found = meet.repartition("leaf", "block").sortWithinPartitions("leaf", "block", "asks").mapInArrow(compare, "query_id bigint, id bigint, score double")
+                    parts.append((own, found, leaves.flatten().to_numpy()))
+                elif parts:
+                    if block is None:
+                        block = [np.concatenate(x) for x in zip(*parts, strict=True)]
+                        order = np.argsort(block[2], kind="stable")
+                        block = [x[order] for x in block]
+                        begin = np.searchsorted(block[2], np.arange(tree.leaves + 1))
+                    for q, i, visited in zip(found, own, leaves.to_pylist(), strict=True):
+                        rows = np.concatenate([np.arange(begin[x], begin[x + 1]) for x in sorted(visited)])
+                        (near, away), = _nearest(q[None], np.array([i]), block[1][rows], block[0][rows], k)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), i)), pa.array(block[0][rows][near]), pa.array(away)], ["query_id", "id", "score"])
+
+    found = meet.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "asks").mapInArrow(compare, "query_id bigint, id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
+def _buckets(sizes: np.ndarray, block_rows: int) -> np.ndarray:
+    """The bucket of each leaf: leaves in order (neighbours in the tree) while they hold block_rows rows."""
+    out, now, held = np.zeros(len(sizes), np.int32), 0, 0
+    for leaf, n in enumerate(sizes.tolist()):
+        if held and held + n > block_rows:
+            now, held = now + 1, 0
+        out[leaf] = now
+        held += n
+    return out
+
+
 def _located(rows: DataFrame, tree: KMeansTree) -> DataFrame:
     """rows (id, vec) with their leaf."""
 
