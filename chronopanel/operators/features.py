@@ -164,7 +164,9 @@ def cube(df: DataFrame, channels: list[str], v: str = "v", missing: float = 0.0)
 
 
 def to_long(df: DataFrame, prefix: str) -> DataFrame:
-    """(entity, feature, value) of a table of features by entity and band."""
+    """(entity, feature, value) of a table of features by entity and band, or by entity."""
     names = [c for c in df.columns if c not in KEYS]
     pairs = F.array(*[F.struct(F.lit(n).alias("n"), F.col(n).cast("double").alias("v")) for n in names])
-    return df.select("entity", "band", F.explode(pairs).alias("p")).select("entity", F.concat_ws("_", F.lit(prefix), "band", "p.n").alias("feature"), F.col("p.v").alias("value"))
+    keys = [k for k in KEYS if k in df.columns]
+    name = F.concat_ws("_", F.lit(prefix), *keys[1:], "p.n")
+    return df.select(*keys, F.explode(pairs).alias("p")).select("entity", name.alias("feature"), F.col("p.v").alias("value"))

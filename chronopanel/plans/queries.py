@@ -11,6 +11,7 @@ from chronopanel.functions import indices, scalars
 from chronopanel.operators import composite, features, metrics, series, spatial, splits
 from chronopanel.plans import oracle as o
 from chronopanel.plans import tables as t
+from chronopanel.session import checkpointed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -179,6 +180,16 @@ def relative_step_rename(spark, d):
 
 # ---- features
 
+
+def _steady(df: DataFrame) -> DataFrame:
+    """Smoothness is null for curves that are straight but for rounding, which decides it there."""
+    return df.withColumn("smoothness", F.when(F.col("smoothness") < 1e6, F.round("smoothness", 3)))
+
+
+def _phases(df: DataFrame) -> DataFrame:
+    return df.withColumns({f"phase{k}": F.when(F.col(f"amp{k}") > 1e-6, F.round(f"phase{k}", 4)) for k in (1, 2)})
+
+
 _STATS = "min max mean median p10 p25 p75 p90 std range cv"
 _CV = "case when abs(avg(v)) > 1e-8 then stddev_pop(v) / (abs(avg(v)) + 1e-8) when avg(v) is not null then 0.0 end"
 
@@ -215,9 +226,7 @@ _PH = f"""with {o.SMOOTHED}, a as (select *, max(v) over s as peak, v - lag(v) o
 @query(_PH + f""" select entity, band, {o.rounded("auc peak_value")}, peak_idx, greenup_half, {o.rounded("max_rise max_fall")}, season_length, n_seasons, {o.rounded("amplitude")},
  round(case when season_length > 0 then (peak_idx - greenup_half) / (season_length + 1e-8) else 0.0 end, 6) + 0.0 as asymmetry, case when sd2 > 1e-6 then round(1 / (sd2 + 1e-8), 3) + 0.0 end as smoothness from f""")
 def phenology_curve(spark, d):
-    """Smoothness is null for curves that are straight but for rounding."""
-    p = features.phenology(series.smooth(t.filled(spark, d)))
-    return rounded(p.withColumn("smoothness", F.when(F.col("smoothness") < 1e6, F.round("smoothness", 3))), KEYS)
+    return rounded(_steady(features.phenology(series.smooth(t.filled(spark, d)))), KEYS)
 
 
 @query(_PH + " select entity, band, season_length, n_seasons from f")
@@ -288,9 +297,7 @@ _DYN = f"""with {o.FILLED}, a as (select *, v - lag(v) over w as d1, lead(v) ove
 
 @query(_DYN + f" select entity, band, {o.rounded('max_rise max_fall mean_abs_change roughness')}, case when sd2 > 1e-6 then round(1 / (sd2 + 1e-8), 3) + 0.0 end as smoothness from dyn")
 def dynamics(spark, d):
-    """Smoothness is null for curves that are straight but for rounding."""
-    x = features.dynamics(t.filled(spark, d)).drop("autocorr_lag1", "n_peaks")
-    return rounded(x.withColumn("smoothness", F.when(F.col("smoothness") < 1e6, F.round("smoothness", 3))), KEYS)
+    return rounded(_steady(features.dynamics(t.filled(spark, d)).drop("autocorr_lag1", "n_peaks")), KEYS)
 
 
 @query(_DYN + " select entity, band, round(autocorr_lag1, 6) + 0.0 as autocorr_lag1 from dyn")
@@ -312,9 +319,7 @@ _DFT = f"""with {o.FILLED}, x as (select entity, band, step, v - avg(v) over (pa
 
 @query(_DFT + f" select entity, band, {o.rounded('amp1 amp2 amp3')}, case when amp1 > 1e-6 then round(phase1, 4) + 0.0 end as phase1, case when amp2 > 1e-6 then round(phase2, 4) + 0.0 end as phase2, {o.rounded('dominance')} from h")
 def harmonics(spark, d):
-    h = features.harmonics(t.filled(spark, d), t.STEPS)
-    h = h.withColumns({f"phase{k}": F.when(F.col(f"amp{k}") > 1e-6, F.round(f"phase{k}", 4)) for k in (1, 2)})
-    return rounded(h.drop("entropy"), KEYS)
+    return rounded(_phases(features.harmonics(t.filled(spark, d), t.STEPS)).drop("entropy"), KEYS)
 
 
 @query(_DFT + " select entity, band, round(entropy, 6) + 0.0 as entropy from h")
@@ -327,23 +332,29 @@ def spectral_entropy(spark, d):
  round(quantile_cont(rvi, 0.75), 6) + 0.0 as rvi_p75, round(avg(vh), 6) + 0.0 as vh_mean, round(stddev_pop(vh), 6) + 0.0 as vh_std, round(case when abs(avg(vh)) > 1e-8 then stddev_pop(vh) / (abs(avg(vh)) + 1e-8) else 0.0 end, 6) + 0.0 as vh_cv,
  round(avg(vv), 6) + 0.0 as vv_mean, round(stddev_pop(vv), 6) + 0.0 as vv_std, count(*) filter (where rvi > 0.7) as rvi_days_above_07 from s group by 1""")
 def sar_structure(spark, d):
-    w = t.wide(t.filled(spark, d))
+    return rounded(_radar(t.wide(t.filled(spark, d))), ["entity"])
+
+
+def _radar(w: DataFrame) -> DataFrame:
     s = w.select("entity", indices.index("CR", VV="signup", VH="error").alias("cr"), indices.index("RVI", VV="signup", VH="error").alias("rvi"), F.col("error").alias("vh"), F.col("signup").alias("vv"))
     two = [f(c).alias(f"{c}_{n}") for c in ("cr", "rvi", "vh", "vv") for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"))]
     a = s.groupBy("entity").agg(*two, F.max("cr").alias("cr_max"), F.max("rvi").alias("rvi_max"), F.percentile("rvi", F.lit(0.75)).alias("rvi_p75"), F.count_if(F.col("rvi") > 0.7).alias("rvi_days_above_07"))
     a = a.withColumn("vh_cv", F.when(F.abs("vh_mean") > 1e-8, F.col("vh_std") / (F.abs("vh_mean") + 1e-8)).otherwise(0.0))
-    return rounded(a.withColumns({c: F.round(c, 4) for c in ("cr_mean", "cr_std", "cr_max")}), ["entity"])
+    return a.withColumns({c: F.round(c, 4) for c in ("cr_mean", "cr_std", "cr_max")})
 
 
 @query(f"""with {o.FILLED}, {o.WIDE}, a as ({_corr_sql("view", "error", "wide", 5, "0.0", "corr_vh")}), b as ({_corr_sql("view", "signup", "wide", 5, "0.0", "corr_vv")}),
  c as (select entity, round(avg(error / (view + 1e-8)), 4) + 0.0 as ratio_mean, round(stddev_pop(error / (view + 1e-8)), 4) + 0.0 as ratio_std from wide group by 1) select * from a join b using (entity) join c using (entity)""")
 def cross_sensor(spark, d):
-    w = t.wide(t.filled(spark, d))
+    return rounded(_cross(t.wide(t.filled(spark, d))), ["entity"])
+
+
+def _cross(w: DataFrame) -> DataFrame:
     a = features.correlation(w, "view", "error", ["entity"], 5, 0.0).withColumnRenamed("r", "corr_vh")
     b = features.correlation(w, "view", "signup", ["entity"], 5, 0.0).withColumnRenamed("r", "corr_vv")
     ratio = F.try_divide(F.col("error"), F.col("view") + 1e-8)
     c = w.groupBy("entity").agg(F.round(F.avg(ratio), 4).alias("ratio_mean"), F.round(F.stddev_pop(ratio), 4).alias("ratio_std"))
-    return rounded(a.join(b, "entity").join(c, "entity"), ["entity"])
+    return a.join(b, "entity").join(c, "entity")
 
 
 @query(f"with {o.OBS} select entity, band, round(coalesce(avg(v), 0), 6) + 0.0 as mean, round(coalesce(stddev_pop(v), 0), 6) + 0.0 as std, round(coalesce(max(v), 0), 6) + 0.0 as max, round(coalesce(min(v), 0), 6) + 0.0 as min from obs group by 1, 2")
@@ -619,36 +630,84 @@ def topk_importance(spark, d):
     return spark.createDataFrame(ml.importances(model, names, 3), "feature string, importance double")
 
 
-@query(f"""with {o.FILLED}, {o.smooth("filled", "smoothed", 14)}, st as (select entity, band, avg(v) as mean, stddev_pop(v) as std, max(v) - min(v) as range from filled group by 1, 2),
- ph as (select entity, band, max(v) as peak_value, count(*) filter (where v > 0.3) as season_length from smoothed group by 1, 2),
- du as (select entity, band, count(*) filter (where v > 0.5) as above_05 from filled group by 1, 2),
- long as (select entity, 'stats_' || band || '_' || f as feature, value from (select entity, band, mean, std, range from st) unpivot include nulls (value for f in (mean, std, range))
- union all select entity, 'phenology_' || band || '_' || f, value from (select entity, band, peak_value, cast(season_length as double) as season_length from ph) unpivot include nulls (value for f in (peak_value, season_length))
- union all select entity, 'duration_' || band || '_above_05', above_05 from du) select entity, feature, round(coalesce(value, 0), 6) + 0.0 as value from long""")
-def feature_table(spark, d):
-    return feature_table_long(t.filled(spark, d), {"stats": ["mean", "std", "range"], "phenology": ["peak_value", "season_length"], "duration": ["above_05"]})
-
-
-def feature_table_long(filled: DataFrame, names: dict[str, list[str]] | None = None) -> DataFrame:
-    """(entity, feature, value) of all feature families of filled series, or of the named features; nulls and
-    non-finite values are 0. The families share the panel's partitioning by entity and band."""
-    families = {
-        "stats": lambda: features.temporal_stats(filled),
-        "shape": lambda: features.shape(filled),
-        "duration": lambda: features.duration(filled),
-        "dynamics": lambda: features.dynamics(filled),
-        "phenology": lambda: features.phenology(series.smooth(filled)),
-    }
+#: Index curves that go through the families beside the bands, and their SQL over `wide`.
+CURVES = {
+    "NDVI": _NDVI,
+    "NDWI": "(signup - view) / nullif(signup + view + 1e-8, 0)",
+    "LSWI": "(view - error) / nullif(view + error + 1e-8, 0)",
+    "GNDVI": "(view - signup) / nullif(view + signup + 1e-8, 0)",
+    "SAVI": "(view - click) / nullif(view + click + 0.5 + 1e-8, 0) * 1.5",
+}
+_CURVES = (
+    o.GRID + ", " + o.fill("grid", "bands") + ", " + o.WIDE.replace("from filled", "from bands") + ", filled as (select entity, band, step, v from bands"
+    + "".join(f" union all select entity, '{n}', step, {e} from wide" for n, e in CURVES.items()) + ")"
+)
+_MONTH = f"(cast(round_even(9 + (step - {t.STEPS // 2}) * 0.5::double, 0) as int) % 12 + 12) % 12"
+_DATED = f"""months as (select entity, band, step, v, make_date(case when step < {t.STEPS // 2} or m >= 9 then 2025 else 2026 end, m, 1) as month_start
+ from (select *, case when {_MONTH} = 0 then 12 else {_MONTH} end as m from filled))"""
+#: Family, registered query whose features it has, and whether these are of an entity and band.
+FAMILIES = (
+    ("stats", "temporal_stats", True), ("shape", "shape_stats", True), ("duration", "duration_streak", True), ("duration", "green_span", True),
+    ("dynamics", "dynamics", True), ("dynamics", "autocorr_lag1", True), ("dynamics", "n_peaks", True), ("phenology", "phenology_curve", True),
+    ("harmonics", "harmonics", True), ("harmonics", "spectral_entropy", True), ("window", "window_anchored", True), ("seasonal", "seasonal_split", True),
+    ("interannual", "interannual_diff", True), ("radar", "sar_structure", False), ("cross", "cross_sensor", False), ("pearson", "pearson_cross", False),
+)
+
+
+def _family_sql(family: str, name: str, by_band: bool) -> str:
+    sql = SQL[name]
+    mine = {o.MONTHS: f"{_CURVES}, {_DATED}", o.FILLED: _CURVES, o.GRID: _CURVES}
+    source = next(x for x in mine if x in sql)
+    before, rest = sql.split(source, 1)  # the series have the bands' wide table already, and stand for the grid
+    sql = before + mine[source] + rest.replace(f", {o.WIDE}", "", 1).replace("from grid", "from filled")
+    keys = "entity, band" if by_band else "entity"
+    feature = f"'{family}_' || band || '_' || f" if by_band else f"'{family}_' || f"
+    return f"""select entity, {feature} as feature, value from (select {keys}, columns(* exclude ({keys}))::double from ({sql})) unpivot include nulls (value for f in (columns(* exclude ({keys}))))"""
+
+
+def feature_families(series_: DataFrame, wide: DataFrame) -> list[tuple[str, DataFrame]]:
+    """Family and features, by entity and band of the filled series (entity, band, step, v) or by entity of the
+    bands (wide). The series are dealt out by entity and band, sorted and written once; the written table keeps
+    both, so no window or aggregate of a family shuffles or sorts them again."""
+    x = checkpointed(series_.select("entity", "band", "step", "v").repartition(*KEYS).sortWithinPartitions(*KEYS, "step"))
+    step = F.col("step").cast("int")
+    return [
+        ("stats", features.temporal_stats(x)),
+        ("shape", features.shape(x).withColumn("peak_trough", F.round("peak_trough", 4))),
+        ("duration", features.duration(x)),
+        ("dynamics", _steady(features.dynamics(x))),
+        ("phenology", _steady(features.phenology(series.smooth(x)))),
+        ("harmonics", _phases(features.harmonics(x, t.STEPS))),
+        ("window", features.window_anchored(x, t.STEPS)),
+        ("seasonal", features.seasonal(x, scalars.synthetic_month(step, t.STEPS))),
+        ("interannual", features.interannual(x, scalars.synthetic_year(step, t.STEPS))),
+        ("radar", _radar(wide)),
+        ("cross", _cross(wide)),
+        ("pearson", features.correlation(wide, "view", "signup", ["entity"])),
+    ]
+
+
+def feature_table_long(families: list[tuple[str, DataFrame]]) -> DataFrame:
+    """(entity, feature, value) of all families; nulls and non-finite values are 0."""
     out = None
-    for family, make in families.items():
-        if names is None or family in names:
-            f = make()
-            part = features.to_long(f if names is None else f.select("entity", "band", *names[family]), family)
-            out = part if out is None else out.unionByName(part)
+    for family, f in families:
+        part = features.to_long(rounded(f, [k for k in KEYS if k in f.columns]), family)
+        out = part if out is None else out.unionByName(part)
     v = F.col("value")
     return out.withColumn("value", F.round(F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), 0.0).otherwise(v), 6) + 0.0)
 
 
+@query("select entity, feature, round(coalesce(value, 0), 6) + 0.0 as value from (" + " union all ".join(_family_sql(*x) for x in FAMILIES) + ")")
+def feature_table(spark, d):
+    """All families of the bands and of the index curves."""
+    bands = t.filled(spark, d).select("entity", "band", "step", "v")
+    wide = checkpointed(t.wide(bands).repartition("entity"))
+    bands = wide.unpivot(["entity", "step"], t.EVENT_BANDS, "band", "v")
+    curves = F.explode(F.array(*[F.struct(F.lit(n).alias("band"), indices.index(n, **_R).alias("v")) for n in CURVES])).alias("c")
+    both = bands.unionByName(wide.select("entity", "step", curves).select("entity", "c.band", "step", "c.v"))
+    return feature_table_long(feature_families(both, wide))
+
+
 # ---- tags, masks, caps and hold-outs
 
 
