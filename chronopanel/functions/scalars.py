@@ -124,6 +124,18 @@ def _moment(key: str):
     return lambda s, p: s + p[key] * p["c"]
 
 
+def ring_bbox(ring: Column) -> tuple[Column, Column, Column, Column]:
+    """Least x, least y, largest x and largest y of a ring of (x, y)."""
+    x, y = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
+    return F.array_min(x), F.array_min(y), F.array_max(x), F.array_max(y)
+
+
+def tag_phase(step: Column, steps: int) -> Column:
+    """early, peak or late: the third of the steps that a step is in; null outside of them."""
+    third = F.floor(step * 3 / steps)
+    return F.when(third == 0, "early").when(third == 1, "peak").when(third == 2, "late")
+
+
 def is_closed(ring: Column, tolerance: float = 1e-4) -> Column:
     """At least four points, the first and last within the tolerance on each axis."""
     a, b = F.element_at(ring, 1), F.element_at(ring, -1)

@@ -58,3 +58,14 @@ def summarize_folds(folds: DataFrame, by: list[str], metrics: list[str]) -> Data
 def prediction_summary(df: DataFrame, by: list[str], threshold: float = 0.6) -> DataFrame:
     share = F.avg((F.col("score") >= threshold).cast("double"))
     return df.groupBy(*by).agg(F.avg("score").alias("mean_proba"), F.max("score").alias("max_proba"), F.min("score").alias("min_proba"), share.alias("fraction"), (share >= 0.5).cast("int").alias("predicted"))
+
+
+def best(summary: DataFrame, name: str, score: str) -> DataFrame:
+    """One row: the model of the largest score, ties to the first name. Null scores come last."""
+    top = F.max_by(F.struct(*summary.columns), F.struct(F.coalesce(score, F.lit(float("-inf"))), _last_first(name)))
+    return summary.agg(top.alias("b")).select("b.*")
+
+
+def _last_first(name: str) -> Column:
+    """An array of which the largest is that of the smallest name: its characters' codes, negated, and an end."""
+    return F.concat(F.transform(F.split(F.col(name).cast("string"), ""), lambda c: -F.ascii(c)), F.array(F.lit(1)))

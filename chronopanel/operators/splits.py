@@ -60,6 +60,11 @@ def group_folds(df: DataFrame, group: str, label: str, folds: int = 5, seed: int
     return kept.join(placed, kept[group].eqNullSafe(placed["__group"])).drop("__group")
 
 
+def block_folds(df: DataFrame, block: Column, label: str, folds: int = 5, seed: int = 42) -> DataFrame:
+    """df with `fold`: rows of one spatial block stay together, dealt out as in group_folds()."""
+    return group_folds(df.withColumn("__block", block), "__block", label, folds, seed).drop("__block")
+
+
 def leave_one_out(df: DataFrame, plot: str, label: str) -> DataFrame:
     """Fold table: each positive plot is held out once."""
     plots = df.where(F.col(label) == 1).select(F.col(plot).alias("held_out")).distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronopanel.functions import indices, scalars
-from chronopanel.operators import composite, features, metrics, series, spatial, splits
+from chronopanel.operators import composite, detect, features, metrics, series, spatial, splits
 from chronopanel.plans import oracle as o
 from chronopanel.plans import tables as t
 from chronopanel.session import checkpointed
@@ -708,6 +708,42 @@ def feature_table(spark, d):
     return feature_table_long(feature_families(both, wide))
 
 
+@query(f"""with {o.SCORES}, p as (select source, avg(score) as mean_proba, max(score) as max_proba, min(score) as min_proba, avg(case when score >= 0.6 then 1.0 else 0.0 end) as fraction, avg(score * 100) as pct from scores group by 1)
+ select source, round(mean_proba, 6) + 0.0 as mean_proba, max_proba, min_proba, round(fraction, 6) + 0.0 as fraction, cast(fraction >= 0.5 as int) as predicted,
+ case when mean_proba >= 0.685 then 'HIGH' when mean_proba >= 0.458 then 'MODERATE' when fraction * 100 >= 20 then 'LOW' else 'NON-HIGH' end as verdict,
+ case when pct >= 80 then 'EXCELLENT' when pct >= 60 then 'GOOD' when pct >= 40 then 'FAIR' else 'POOR' end as data_quality from p""")
+def detect_verdicts(spark, d):
+    s = t.scores(spark, d).withColumn("pct", F.col("score") * 100)
+    return rounded(detect.verdicts(s, ["source"], valid="pct"), ["source"])
+
+
+@query(SQL["cv_summary"].replace("select model, round", "select cast(model as varchar) as model, round", 1) + " qualify row_number() over (order by round(avg(macro_f1), 6) desc, cast(model as varchar)) = 1")
+def best_model(spark, d):
+    return metrics.best(cv_summary(spark, d).withColumn("model", F.col("model").cast("string")), "model", "macro_f1_mean")
+
+
+@query(f"""with {o.POINTS}, b as (select *, cast(cast(floor(lat / 0.05) as bigint) as varchar) || '_' || cast(cast(floor(lon / 0.05) as bigint) as varchar) as block, cast(label >= 2 as int) as y from points),
+ g as (select block, avg(y) as share, count(*) as n from b group by 1), f as (select block, cast((row_number() over (order by share, n, md5('42:' || block), block) - 1) % 5 as int) as fold from g)
+ select vec_id, fold from b join f using (block)""")
+def spatial_block_folds(spark, d):
+    p = t.points(spark, d).withColumn("y", (F.col("label") >= 2).cast("int"))
+    return splits.block_folds(p, spatial.block_id(F.col("lon"), F.col("lat")), "y").select("vec_id", "fold")
+
+
+@query(f"with {o.POINTS} select vec_id, round(lon - 0.01, 6) as x0, round(lat - label * 0.001, 6) as y0, round(lon + 0.02, 6) as x1, round(lat + 0.03, 6) as y1 from points")
+def ring_bbox(spark, d):
+    corner = lambda x, y: F.struct((F.col("lon") + x).alias("x"), (F.col("lat") + y).alias("y"))
+    low = -F.col("label") * 0.001
+    ring = F.array(corner(F.lit(0.0), low), corner(F.lit(0.02), F.lit(0.0)), corner(F.lit(0.01), F.lit(0.03)), corner(F.lit(-0.01), F.lit(0.0)), corner(F.lit(0.0), low))
+    box = scalars.ring_bbox(ring)
+    return t.points(spark, d).select("vec_id", *[F.round(c, 6).alias(n) for c, n in zip(box, ("x0", "y0", "x1", "y1"), strict=True)])
+
+
+@query("select p_partkey, case cast(floor(s * 3 / 21) as int) when 0 then 'early' when 1 then 'peak' when 2 then 'late' end as phase from (select p_partkey, p_partkey % 25 - 2 as s from part)")
+def tag_phase(spark, d):
+    return t.read(spark, d, "part").select("p_partkey", scalars.tag_phase(F.col("p_partkey") % 25 - 2, 21).alias("phase"))
+
+
 # ---- tags, masks, caps and hold-outs
 
 
