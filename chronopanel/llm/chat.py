@@ -12,7 +12,9 @@ task holds more than a block. A turn's place is its block and its place there.
 
 Rows without a conversation id belong to no conversation and are left out. Null turns stand before all
 others in a block of their own; null roles render as `unknown`, null texts as empty, and they hash unlike
-those words. Other columns are not passed on.
+those words. Other columns are not passed on. Marks that stand in a text are rendered as they are, so a reader
+of the rendered string alone can take them for turns; escape them before where that matters. A turn's place is
+hashed with its block, so equal conversations that are numbered from different blocks are not equal here.
 """
 
 from __future__ import annotations
