@@ -121,3 +121,16 @@ def test_chats(spark, block):
     whole = "".join(got[got.conv_id == 7].rendered)
     assert whole == "".join(f"<|im_start|>{'user' if i % 2 == 0 else 'unknown'}\n{t}<|im_end|>\n" for i, t in enumerate("xyzxyz"))
     assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_chats_numbered_otherwise(spark):
+    """Snapshots match by the places of their turns, whatever their numbers: from 0 or 1, with gaps, over blocks."""
+    talk = [(k, "user", f"t{k}") for k in range(7)]
+    rows = [(1, *x) for x in talk] + [(2, k + 1, r, x) for k, r, x in talk[:5]] + [(3, 5000 + 3 * k, r, x) for k, r, x in talk[:3]] + [(4, None, r, x) for _, r, x in talk]
+    rows += [(5, k, "user", x) for k, x in enumerate(["t1", "t0", "t0", "t1"])] + [(6, k, "user", x) for k, x in enumerate(["t0", "t1", "t1", "t0"])]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")
+    for block in (2, 3, 1024):
+        got = chat.format_chats(df, block).toPandas()
+        assert sorted(set(got.conv_id)) == [1, 5, 6]
+        assert got[got.conv_id == 1].n_copies.iloc[0] == 2 and sorted(got[got.conv_id == 1].part) == list(range(-(-7 // block)))
+        assert got.rendered.str.count("start").max() <= block
