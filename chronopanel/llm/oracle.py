@@ -50,11 +50,10 @@ def warc_sql() -> str:
 
 def chat_sql() -> str:
     return f"""with r as (select distinct conv_id as conv, turn, role, text from conversations where conv_id is not null),
- b as (select *, coalesce(cast(floor(turn / {chat.BLOCK_TURNS}) as bigint), -(1::bigint << 62)) as block from r),
- p as (select *, row_number() over (partition by conv, block order by turn nulls first, role nulls first, text nulls first) as place from b),
- c as (select conv, count(*) as n, list(row(block, place, role, text) order by block, place) as turns from p group by 1),
+ p as (select *, row_number() over (partition by conv order by turn nulls first, role nulls first, text nulls first) as place from r),
+ c as (select conv, count(*) as n, list(row(place, role, text) order by place) as turns from p group by 1),
  d as (select turns, n, min(conv) as conv, count(*) as n_copies from c group by 1, 2),
  kept as (select * from d anti join (select distinct turns[1:k] as head from (select turns, unnest(range(1, n)) as k from c)) on turns = head)
- select conv as conv_id, cast(row_number() over (partition by conv order by block) - 1 as int) as part, n as n_turns, n_copies,
+ select conv as conv_id, cast((place - 1) // {chat.BLOCK_TURNS} as int) as part, n as n_turns, n_copies,
  string_agg('{chat.START}' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '{chat.END}' || chr(10), '' order by place) as rendered
- from p join kept using (conv) group by conv, block, n, n_copies"""
+ from p join kept using (conv) group by conv, part, n, n_copies"""

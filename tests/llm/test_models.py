@@ -134,3 +134,11 @@ def test_chats_numbered_otherwise(spark):
         assert sorted(set(got.conv_id)) == [1, 5, 6]
         assert got[got.conv_id == 1].n_copies.iloc[0] == 2 and sorted(got[got.conv_id == 1].part) == list(range(-(-7 // block)))
         assert got.rendered.str.count("start").max() <= block
+    import duckdb
+
+    from chronopanel.llm import oracle
+
+    conversations = df.toPandas().astype({"turn": "Int64"})  # noqa: F841 (a table of the SQL)
+    want = duckdb.sql(oracle.chat_sql()).df()
+    keys = ["conv_id", "part"]
+    assert got.sort_values(keys)[list(want.columns)].values.tolist() == want.sort_values(keys).values.tolist()
