@@ -22,13 +22,28 @@ def confusion(df: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame
 
 
 def _curve(df: DataFrame, by: list[str]) -> DataFrame:
-    """Counts at each distinct score and cumulated from the highest. Only distinct scores reach the windows."""
+    """Counts at each distinct score and cumulated from the highest. Only distinct scores reach the windows, and
+    without keys these are cut into 1,024 ranges of scores, so that no task sees all."""
     s = df.groupBy(*by, "score").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
+    if not by:
+        return _whole_curve(s)
     down = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*by)
     return s.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "P": F.sum("pos").over(whole), "N": F.sum("neg").over(whole)})
 
 
+def _whole_curve(s: DataFrame) -> DataFrame:
+    s = s.withColumn("__b", F.coalesce(F.floor(F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)) * 1024), F.lit(-1)))
+    down = Window.partitionBy("__b").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    above = Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy()
+    ranges = s.groupBy("__b").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))  # 1,026 rows at most
+    ranges = ranges.select("__b", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"__{c}") for c in "pn"], F.sum("p").over(whole).alias("P"), F.sum("n").over(whole).alias("N"))
+    run = s.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down)})
+    joined = run.join(F.broadcast(ranges), "__b")
+    return joined.withColumns({"tp": F.col("tp") + F.col("__p"), "fp": F.col("fp") + F.col("__n")}).drop("__b", "__p", "__n")
+
+
 def roc_auc(df: DataFrame, by: list[str]) -> DataFrame:
     """Mann-Whitney with mid-ranks; null if one class is missing."""
     c = _curve(df, by)
@@ -55,6 +70,13 @@ def summarize_folds(folds: DataFrame, by: list[str], metrics: list[str]) -> Data
     return folds.groupBy(*by).agg(*[f(m).alias(f"{m}_{n}") for m in metrics for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"))])
 
 
+def summed_confusion(folds: DataFrame, by: list[str]) -> DataFrame:
+    """Confusion counts summed over folds, their row percentages and the number of folds."""
+    a = folds.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("tn", "fp", "fn", "tp")], F.count("*").alias("n_folds"))
+    pct = lambda c, *of: F.round(100 * _div(F.col(c), F.greatest(F.col(of[0]) + F.col(of[1]), F.lit(1))), 2).alias(f"{c}_pct")
+    return a.select("*", pct("tn", "tn", "fp"), pct("fp", "tn", "fp"), pct("fn", "fn", "tp"), pct("tp", "fn", "tp"))
+
+
 def prediction_summary(df: DataFrame, by: list[str], threshold: float = 0.6) -> DataFrame:
     share = F.avg((F.col("score") >= threshold).cast("double"))
     return df.groupBy(*by).agg(F.avg("score").alias("mean_proba"), F.max("score").alias("max_proba"), F.min("score").alias("min_proba"), share.alias("fraction"), (share >= 0.5).cast("int").alias("predicted"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronopanel.operators import metrics
+from chronopanel.operators import metrics, spatial, splits
+from chronopanel.session import checkpointed
 
 ALIASES = {"rf": "rf", "random_forest": "rf", "xgb": "xgb", "xgboost": "xgb", "lgb": "lgb", "lightgbm": "lgb"}
 
@@ -55,6 +56,23 @@ def fold_metrics(scored: DataFrame, fold: str = "fold") -> DataFrame:
     return metrics.confusion(s, [fold]).join(metrics.roc_auc(s, [fold]), fold).join(metrics.average_precision(s, [fold]), fold)
 
 
+def evaluate(df: DataFrame, name: str, fold: str = "fold", x: str | None = None, y: str | None = None, buffer: float = 500.0, **params) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Grouped cross-validation of assembled rows: out-of-fold scores, metrics of each fold, and a row with the
+    best threshold of the out-of-fold scores.
+
+    With coordinates each fold has a second row (`buffered`) over the rows that are at least `buffer` away from
+    all rows of other folds, if two or more of these remain, of both classes. Rows without a label are scored
+    and count in no metric."""
+    scored = checkpointed(cross_validate(df, name, fold, **params))
+    labelled = scored.where(F.col("label").isNotNull())
+    folds = fold_metrics(labelled, fold).withColumn("buffered", F.lit(False))
+    if x is not None and y is not None:
+        far = checkpointed(spatial.buffered_antijoin(labelled, labelled, buffer, x, y, fold))
+        fit = far.groupBy(fold).agg(F.count("*").alias("__n"), F.min("label").alias("__lo"), F.max("label").alias("__hi")).where("__n > 1 and __lo < __hi").select(fold)
+        folds = folds.unionByName(fold_metrics(far.join(fit, fold), fold).withColumn("buffered", F.lit(True)))
+    return scored, folds, metrics.youden(labelled.withColumn("y", F.col("label")), [])
+
+
 def stack(df: DataFrame, names: list[str], key: str, **params) -> DataFrame:
     """Scores of a logistic regression on the out-of-fold scores of the named models."""
     parts = [cross_validate(df, n, **params).select(key, F.col("score").alias(n)) for n in names]
@@ -79,3 +97,30 @@ def random_search(df: DataFrame, name: str, ranges: dict[str, list], trials: int
 
 def importances(model, features: list[str], top: int = 20) -> list[tuple[str, float]]:
     return sorted(zip(features, map(float, model.featureImportances.toArray()), strict=True), key=lambda x: (-x[1], x[0]))[:top]
+
+
+def permutation_importance(model, df: DataFrame, features: list[str], key: str, repeats: int = 10, top: int = 20, seed: int = 42) -> DataFrame:
+    """feature, importance_mean and importance_std: what accuracy loses when a feature's values are dealt out anew,
+    the `top` largest of a table with these features, `label` and a unique key.
+
+    Rows are numbered once in the order of a seeded hash; in each repeat a row takes a feature's value from the row
+    that many places on, drawn for each repeat. All repeats and features are scored in one job."""
+    import random
+
+    rows = df.where(F.col("label").isNotNull()).fillna(0.0, features)
+    rows = rows.select(key, "label", F.array(*[F.col(c).cast("double") for c in features]).alias("own"))
+    placed = checkpointed(splits.numbered(rows.withColumn("__h", splits.drawn(key, seed)), ["__h", key], "__i"))
+    n, rng = placed.count(), random.Random(seed)
+    steps = F.array(*[F.lit(rng.randrange(1, max(n, 2))).cast("bigint") for _ in range(repeats)])
+    asked = placed.select("label", "own", "__i", F.posexplode(steps).alias("__r", "__step"))
+    asked = asked.withColumn("__i", F.pmod(F.col("__i") + F.col("__step"), F.lit(max(n, 1))))
+    met = asked.join(placed.select("__i", F.col("own").alias("other")), "__i")
+    tried = met.select("label", "own", "other", "__r", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))).alias("__f"))
+    changed = F.transform("own", lambda v, i: F.when(i == F.col("__f"), F.get("other", i)).otherwise(v))
+    right = F.avg((F.col("prediction") == F.col("label")).cast("double"))
+    base = model.transform(placed.select("label", array_to_vector("own").alias("features"))).agg(right.alias("__base"))
+    after = model.transform(tried.select("label", "__r", "__f", array_to_vector(changed).alias("features"))).groupBy("__f", "__r").agg(right.alias("__right"))
+    lost = after.join(F.broadcast(base)).withColumn("lost", F.col("__base") - F.col("__right"))  # one row
+    named = F.get(F.array(*[F.lit(c) for c in features]), F.col("__f")).alias("feature")
+    out = lost.groupBy("__f").agg(F.avg("lost").alias("importance_mean"), F.stddev_pop("lost").alias("importance_std"))
+    return out.select(named, "importance_mean", "importance_std").orderBy(F.desc("importance_mean"), "feature").limit(top)

@@ -16,11 +16,14 @@ def _cells(df: DataFrame, x: str, y: str, size: float, around: bool) -> DataFram
     return df.withColumn("__dx", F.explode(side)).withColumn("__dy", F.explode(side)).withColumns({"__cx": cx + F.col("__dx"), "__cy": cy + F.col("__dy")}).drop("__dx", "__dy")
 
 
-def buffered_antijoin(left: DataFrame, right: DataFrame, distance: float, x: str = "x", y: str = "y") -> DataFrame:
+def buffered_antijoin(left: DataFrame, right: DataFrame, distance: float, x: str = "x", y: str = "y", unlike: str | None = None) -> DataFrame:
     """Rows of left with no row of right nearer than distance: an equi-join on cells of that size, of which
-    right is put into nine."""
-    l, r = _cells(left, x, y, distance, False), _cells(right.select(F.col(x).alias("__x"), F.col(y).alias("__y")), "__x", "__y", distance, True)
+    right is put into nine. With `unlike` only rows of right that differ in that column count."""
+    others = right.select(F.col(x).alias("__x"), F.col(y).alias("__y"), (F.col(unlike) if unlike else F.lit(None)).alias("__u")).distinct()
+    l, r = _cells(left, x, y, distance, False), _cells(others, "__x", "__y", distance, True)
     near = F.hypot(l[x] - r["__x"], l[y] - r["__y"]) < distance
+    if unlike:
+        near = near & ~l[unlike].eqNullSafe(r["__u"])
     return l.join(r, (l["__cx"] == r["__cx"]) & (l["__cy"] == r["__cy"]) & near, "left_anti").select(*left.columns)
 
 

@@ -630,6 +630,41 @@ def topk_importance(spark, d):
     return spark.createDataFrame(ml.importances(model, names, 3), "feature string, importance double")
 
 
+def _labelled(spark, d) -> tuple[DataFrame, list[str]]:
+    """Vectors as labelled rows: places (two components, as metres) and six further components as features."""
+    p = t.points(spark, d).select("vec_id", (F.col("label") >= 2).cast("int").alias("label"), "lon", "lat")
+    names = [f"e{k}" for k in range(2, 8)]
+    e = t.read(spark, d, "embeddings").select("vec_id", *[F.coalesce(F.get("embedding", int(n[1:])).cast("double"), F.lit(0.0)).alias(n) for n in names])
+    return p.join(e, "vec_id").withColumns({"x": F.col("lon") * 1000, "y": F.col("lat") * 1000}), names
+
+
+@query()
+def cross_validation(spark, d):
+    """Metrics of each fold of spatial blocks, all rows and those apart from other folds, with the threshold."""
+    from chronopanel.operators import ml
+
+    rows, names = _labelled(spark, d)
+    folded = splits.block_folds(ml.assemble(rows, names), spatial.block_id(F.col("lon"), F.col("lat")), "label")
+    _, folds, threshold = ml.evaluate(folded, "rf", x="x", y="y", buffer=5.0)
+    return rounded(folds.join(F.broadcast(threshold)), ["fold", "buffered"])  # one row
+
+
+@query()
+def permutation_topk(spark, d):
+    from chronopanel.operators import ml
+
+    rows, names = _labelled(spark, d)
+    model = ml.model_factory("rf").fit(ml.weighted(ml.assemble(rows, names)))
+    return ml.permutation_importance(model, rows, names, "vec_id")
+
+
+@query(_CM + """ , s as (select cast(substr(source, 4) as int) % 3 as model, sum(tn)::bigint as tn, sum(fp)::bigint as fp, sum(fn)::bigint as fn, sum(tp)::bigint as tp, count(*) as n_folds from m group by 1)
+ select *, round(100 * tn / greatest(tn + fp, 1), 2) as tn_pct, round(100 * fp / greatest(tn + fp, 1), 2) as fp_pct, round(100 * fn / greatest(fn + tp, 1), 2) as fn_pct, round(100 * tp / greatest(fn + tp, 1), 2) as tp_pct from s""")
+def cv_confusion(spark, d):
+    c = metrics.confusion(t.scores(spark, d), ["source"]).withColumn("model", F.substring("source", 4, 9).cast("int") % 3)
+    return metrics.summed_confusion(c, ["model"])
+
+
 #: Index curves that go through the families beside the bands, and their SQL over `wide`.
 CURVES = {
     "NDVI": _NDVI,

@@ -50,3 +50,47 @@ def test_out_of_fold_metrics(spark, table):
     assert sorted(r.entity for r in rows) == list(range(120)) and all(len({r.fold for r in rows if r.g == g}) == 1 for g in {r.g for r in rows})
     m = ml.fold_metrics(scored).collect()
     assert sum(r.tn + r.fp + r.fn + r.tp for r in m) == 120 and all(r.roc_auc > 0.9 for r in m)
+
+
+def test_evaluate(spark, table):
+    rows = ml.assemble(table, ["a", "b"]).withColumns({"x": F.col("entity") * 1.0, "y": F.lit(0.0), "fold": F.floor(F.col("entity") / 40).cast("int")})
+    scored, folds, threshold = ml.evaluate(rows, "rf", x="x", y="y", buffer=10.0, numTrees=5, maxDepth=3)
+    assert scored.count() == 120
+    sizes = {(r.fold, r.buffered): r.tn + r.fp + r.fn + r.tp for r in folds.collect()}
+    assert sizes == {(0, False): 40, (1, False): 40, (2, False): 40, (0, True): 31, (1, True): 22, (2, True): 31}
+    assert 0 < threshold.first().threshold <= 0.6
+    assert not ml.evaluate(rows, "rf", x="x", y="y", buffer=1000.0, numTrees=2, maxDepth=2)[1].where("buffered").count()
+
+
+def test_curves_without_keys(spark):
+    """One curve over all rows is that of a single group."""
+    rng = np.random.default_rng(3)
+    s = spark.createDataFrame([(int(a), float(b)) for a, b in zip(rng.integers(0, 2, 900), rng.choice([0.0, 0.25, 1.0, *rng.uniform(0, 1, 300)], 900), strict=True)], "y int, score double")
+    for f in (metrics.roc_auc, metrics.average_precision, metrics.youden):
+        one, by = f(s, []).first(), f(s.withColumn("g", F.lit(1)), ["g"]).drop("g").first()
+        assert one[0] == pytest.approx(by[0], abs=1e-12)
+
+
+def test_permutation_importance(spark, table):
+    model = ml.model_factory("rf", numTrees=10, maxDepth=3).fit(ml.weighted(ml.assemble(table, ["a", "b"])))
+    got = ml.permutation_importance(model, table, ["a", "b"], "entity", repeats=4).collect()
+    assert [r.feature for r in got] == ["a", "b"] and got[0].importance_mean > 0.3 and abs(got[1].importance_mean) < 0.1
+    again = ml.permutation_importance(model, table.repartition(7), ["a", "b"], "entity", repeats=4).collect()
+    assert [(r.feature, round(r.importance_mean, 12)) for r in got] == [(r.feature, round(r.importance_mean, 12)) for r in again]
+    assert ml.permutation_importance(model, table, ["a", "b"], "entity", repeats=2, top=1).count() == 1
+    # a plain loop over the same rule
+    rows = [(r.entity, r.label, [r.a, r.b]) for r in table.collect()]
+    order = [r[0] for r in table.select("entity", splits.drawn("entity", 42).alias("h")).orderBy("h", "entity").collect()]
+    import random
+
+    rng = random.Random(42)
+    shifts = [rng.randrange(1, 120) for _ in range(4)]
+    by = {k: (y, x) for k, y, x in rows}
+    from pyspark.ml.linalg import Vectors
+
+    base = np.mean([model.predict(Vectors.dense(x)) == y for _, y, x in rows])
+    lost = []
+    for s in shifts:
+        hits = [model.predict(Vectors.dense([by[order[(i + s) % 120]][1][0], by[k][1][1]])) == by[k][0] for i, k in enumerate(order)]
+        lost.append(base - np.mean(hits))
+    assert got[0].importance_mean == pytest.approx(np.mean(lost)) and got[0].importance_std == pytest.approx(np.std(lost))
