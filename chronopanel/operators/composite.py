@@ -45,6 +45,15 @@ def quality_summary(grid: DataFrame, least: int = 5) -> DataFrame:
     return grid.groupBy("entity").agg((F.avg(ok.cast("double")) * 100).alias("pct_valid"), F.count_if(~ok).alias("n_cloudy"), F.count("*").alias("n_total"))
 
 
+def extract(obs: DataFrame, steps: int, bands: list[str], counted: str, least: int = 5) -> DataFrame:
+    """A row for each entity and step of its grid: the masked median of each band, n_valid (observations of the
+    band `counted`) and the entity's quality summary by that band."""
+    grid = densify(composite(obs, ["entity", "band", "step"]), steps, bands).withColumn("v", mask_few(least=least))
+    of = [F.max(F.when(F.col("band") == b, F.col("v"))).alias(b) for b in bands]
+    wide = grid.groupBy("entity", "step").agg(*of, F.max(F.when(F.col("band") == counted, F.col("n"))).alias("n_valid"))
+    return wide.join(quality_summary(grid.where(F.col("band") == counted), least), "entity")
+
+
 def gap_fraction(df: DataFrame, entity: str, mask: Column) -> DataFrame:
     return df.groupBy(entity).agg((1 - F.avg(F.coalesce(mask.cast("double"), F.lit(0.0)))).alias("gap_fraction"))
 

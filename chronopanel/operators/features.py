@@ -120,6 +120,27 @@ def window_anchored(df: DataFrame, steps: int, v: str = "v") -> DataFrame:
     return a.select("*", (peak - early).alias("amp"), ((peak - early) / 3).alias("rise"), ((peak - late) / 4).alias("fall"))
 
 
+def month_anchored(df: DataFrame, month: Column, phases: tuple[tuple[int, ...], ...] = ((5,), (8, 9), (12, 1)), v: str = "v") -> DataFrame:
+    """As window_anchored(), with calendar months for the early, middle and late phase."""
+    mean = lambda m: F.avg(F.when(month.isin(*m), F.col(v)))
+    a = df.groupBy(*KEYS).agg(*[mean(m).alias(n) for m, n in zip(phases, ("early", "peak", "late"), strict=True)])
+    early, peak, late = F.col("early"), F.col("peak"), F.col("late")
+    return a.select("*", (peak - early).alias("amp"), ((peak - early) / 3).alias("rise"), ((peak - late) / 4).alias("fall"))
+
+
+def radar_phenology(df: DataFrame, v: str = "v", share: float = 0.75) -> DataFrame:
+    """Area, peak, steps above a threshold and spread of radar series. A band of which more than `share` of all
+    values are negative is in decibels, with a threshold of -15, others of 0.1: one aggregate row for each band,
+    joined back. Nulls count as 0 in the area and nowhere else."""
+    steps = F.struct("step", F.coalesce(v, F.lit(0.0)).alias("v"))
+    parts = df.groupBy("band").agg(F.coalesce(F.avg(F.when(F.col(v).isNotNull(), (F.col(v) < 0).cast("double"))) > share, F.lit(False)).alias("__db"))
+    above = F.col(v) > F.when(F.col("__db"), -15.0).otherwise(0.1)
+    return df.join(parts, "band").groupBy(*KEYS).agg(
+        (F.sum(F.coalesce(v, F.lit(0.0))) - (F.min(steps)["v"] + F.max(steps)["v"]) / 2).alias("sar_auc"), F.max(v).alias("sar_peak_value"),
+        F.count_if(above).alias("sar_season_length"), F.stddev_pop(v).alias("sar_std"),
+    )
+
+
 def harmonics(df: DataFrame, steps: int, v: str = "v") -> DataFrame:
     """Amplitudes and phases of the discrete Fourier transform, dominance of the first and spectral entropy.
     Nulls take the series' mean."""

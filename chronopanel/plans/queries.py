@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronopanel.functions import indices, scalars
-from chronopanel.operators import composite, detect, features, metrics, series, spatial, splits
+from chronopanel.operators import composite, detect, features, metrics, selection, series, spatial, splits
 from chronopanel.plans import oracle as o
 from chronopanel.plans import tables as t
 from chronopanel.session import checkpointed
@@ -620,14 +620,65 @@ def audit_stats(spark, d):
     return rounded(t.scores(spark, d).groupBy("lang", "source").agg(F.count("*").alias("n"), F.avg("score").alias("mean")), ["lang", "source"])
 
 
+@query(f"""with {o.POINTS}, p as (select vec_id, cast(label >= 2 as int) as kind, label + 0.125 as area, label as zone from points), q as (select *, cast(round_even(area * 100, 0) as bigint) as pixels from p)
+ select kind, count(*) as n, min(area)::double as area_min, round(quantile_cont(area, 0.1), 6)::double as area_p10, median(area)::double as area_median, round(avg(area), 6) + 0.0 as area_mean, round(quantile_cont(area, 0.9), 6)::double as area_p90, max(area)::double as area_max,
+ sum(pixels)::bigint as pixels, sum(least(pixels, 100))::bigint as pixels_capped, count(*) filter (where area < 0.5) as n_tiny, count(distinct zone) as n_zones from q group by 1""")
+def audit_areas(spark, d):
+    p = t.points(spark, d).select((F.col("label") >= 2).cast("int").alias("kind"), (F.col("label") + 0.125).alias("area"), F.col("label").alias("zone"))
+    return rounded(selection.audit(p, ["kind"], "area", ["zone"]), ["kind"])
+
+
+@query(f"""with {o.FILLED}, r as (select entity, band, step, -20 * v as v from filled where band in ('error', 'signup')), share as (select band, avg(case when v < 0 then 1.0 else 0.0 end) filter (where v is not null) > 0.75 as db from r group by 1)
+ select entity, band, round(coalesce(sum(v), 0) - (coalesce(max(v) filter (where step = 0), 0) + coalesce(max(v) filter (where step = 14), 0)) / 2, 6) + 0.0 as sar_auc, round(max(v), 6) + 0.0 as sar_peak_value,
+ count(*) filter (where v > case when db then -15.0 else 0.1 end) as sar_season_length, round(stddev_pop(v), 6) + 0.0 as sar_std from r join share using (band) group by 1, 2""")
+def sar_phenology_db(spark, d):
+    x = t.filled(spark, d).where(F.col("band").isin("error", "signup")).withColumn("v", F.col("v") * -20)
+    return rounded(features.radar_phenology(x), KEYS)
+
+
+@query(f"""with {o.MONTHS}, w as (select entity, band, avg(v) filter (where month(month_start) = 5) as early, avg(v) filter (where month(month_start) in (8, 9)) as peak, avg(v) filter (where month(month_start) in (12, 1)) as late from months group by 1, 2)
+ select entity, band, round(early, 6) + 0.0 as early, round(peak, 6) + 0.0 as peak, round(late, 6) + 0.0 as late, round(peak - early, 6) + 0.0 as amp, round((peak - early) / 3, 6) + 0.0 as rise, round((peak - late) / 4, 6) + 0.0 as fall from w""")
+def month_anchored(spark, d):
+    return rounded(features.month_anchored(t.months(spark, d), F.month("month_start")), KEYS)
+
+
+@query(f"""with {o.FILLED}, m as (select *, avg(v) over (partition by entity) as mean, var_pop(v) over (partition by entity) as var, count(v) over (partition by entity) as n from filled where band = 'error'),
+ l as (select *, (v - mean) * (lead(v) over (partition by entity order by step) - mean) as c from m where v is not null)
+ select e.entity, coalesce(round(case when max(n) > 4 and max(var) > 1e-8 then sum(c) / ((max(n) - 1) * max(var)) end, 6), 0) + 0.0 as sar_vh_autocorr_lag1 from (select distinct entity from filled) e left join l using (entity) group by 1""")
+def sar_autocorrelation(spark, d):
+    vh = t.filled(spark, d).where("band = 'error'")
+    return rounded(features.dynamics(vh).select("entity", F.col("autocorr_lag1").alias("sar_vh_autocorr_lag1")), ["entity"])
+
+
+@query(f"""with {o.GRID}, g as (select entity, step, band, case when n >= 2 then v end as v, n from grid), q as (select entity, avg(case when n >= 2 then 1.0 else 0.0 end) * 100 as pct_valid, count(*) filter (where n < 2) as n_cloudy, count(*) as n_total from g where band = 'view' group by 1)
+ select g.entity, g.step, {", ".join(f"round(max(v) filter (where band = '{b}'), 6) + 0.0 as {b}" for b in t.EVENT_BANDS)}, max(n) filter (where band = 'view') as n_valid, round(any_value(pct_valid), 6) + 0.0 as pct_valid, any_value(n_cloudy) as n_cloudy, any_value(n_total) as n_total
+ from g join q using (entity) group by 1, 2""")
+def extract_panel(spark, d):
+    """Grid, composite, join, mask, pivot and quality in one."""
+    step = F.floor(F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) / 2).cast("int")
+    e = t.read(spark, d, "events").select(F.col("user_id").alias("entity"), F.col("event_type").alias("band"), step.alias("step"), (F.col("value") / t.SCALE).alias("value"))
+    found = composite.extract(e.where(f"step between 0 and {t.STEPS - 1}"), t.STEPS, t.EVENT_BANDS, "view", 2)
+    return rounded(found, ["entity", "step"])
+
+
+@query("""select c_custkey, coalesce(c_acctbal, 0) + 0.0 as si_balance, cast(c_nationkey as double) as area_ha, cast(c_custkey % 2 as int) as label, cast(c_nationkey as varchar) as "group" from customer""")
+def feature_selection(spark, d):
+    """Meta, place, quality, leaking and stepwise columns go; what is left is numbers without gaps."""
+    c = t.read(spark, d, "customer")
+    odd = {"B4_t00": 1.0, "latitude": 29.0, "valid_pixel_count_t00": 5, "n_cloudy_windows": 1, "si_lat_mean": 2.0}
+    x = c.select("c_custkey", F.col("c_custkey").alias("plot_id"), F.col("c_nationkey").alias("group_key"), (F.col("c_custkey") % 2).cast("int").alias("label"), F.col("c_acctbal").alias("si_balance"), F.col("c_nationkey").alias("area_ha"), "c_name", *[F.lit(v).alias(n) for n, v in odd.items()])
+    rows, names = selection.features_of(x, "c_custkey", season_invariant=True)
+    return rows.select("c_custkey", *names, "label", "group")
+
+
 @query()
 def topk_importance(spark, d):
     from chronopanel.operators import ml
 
     x = t.wide(t.filled(spark, d)).fillna(0.0).withColumn("label", (F.col("view") > F.col("click")).cast("int"))
     names = ["view", "click", "purchase", "signup", "error"]
-    model = ml.model_factory("rf", numTrees=10, maxDepth=4).fit(ml.weighted(ml.assemble(x, names)))
-    return spark.createDataFrame(ml.importances(model, names, 3), "feature string, importance double")
+    model = ml.model_factory("rf").fit(ml.weighted(ml.assemble(x, names)))
+    return spark.createDataFrame(ml.importances(model, names), "feature string, importance double")
 
 
 def _labelled(spark, d) -> tuple[DataFrame, list[str]]:
