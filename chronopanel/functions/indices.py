@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EPS, SMALL = 1e-8, 1e-10
@@ -79,3 +79,21 @@ def clipped_ratio(a: Column, b: Column, limit: float = 50.0) -> Column:
 def plain_ratio(a: Column, b: Column) -> Column:
     """The normalised difference without a term that keeps the divisor from zero: null where that is zero."""
     return F.try_divide(a - b, a + b)
+
+
+def add_all(df: DataFrame) -> DataFrame:
+    """df with every index whose bands it has, in one projection; a column that is there already stays as it is."""
+    return df.select("*", *[index(name).alias(name) for name in available(df.columns) if name not in df.columns])
+
+
+def plain_all(df: DataFrame) -> DataFrame:
+    """df with the older five: normalised differences and EVI without added terms, RVI of radar in decibels."""
+    nir, red, green, blue, swir = (F.col(b) for b in ("B8", "B4", "B3", "B2", "B11"))
+    vv, vh = to_linear(F.col("VV")), to_linear(F.col("VH"))
+    return df.withColumns({
+        "NDVI": plain_ratio(nir, red),
+        "EVI": 2.5 * F.try_divide(nir - red, nir + 6 * red - 7.5 * blue + 1),
+        "NDWI": plain_ratio(green, nir),
+        "LSWI": plain_ratio(nir, swir),
+        "RVI": F.try_divide(4 * vh, vv + vh),
+    })

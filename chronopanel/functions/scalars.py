@@ -142,6 +142,37 @@ def is_closed(ring: Column, tolerance: float = 1e-4) -> Column:
     return (F.size(ring) >= 4) & (F.abs(a["x"] - b["x"]) <= tolerance) & (F.abs(a["y"] - b["y"]) <= tolerance)
 
 
+def area_ha(ring: Column, zone: int = 43) -> Column:
+    """Hectares of a closed ring of (longitude, latitude), to four digits: on the plane of the zone, else (where a
+    point has no place there) from square degrees of 111,320 metres."""
+    flat = F.transform(ring, lambda p: F.struct(*[v.alias(n) for v, n in zip(utm(p["x"], p["y"], zone), "xy", strict=True)]))
+    metres = ring_area(flat)
+    rough = ring_area(ring) * 111_320**2
+    return F.round(F.when(metres.isNull() | F.isnan(metres) | (metres == float("inf")), rough).otherwise(metres) / 10_000, 4)
+
+
+def ring_crosses_itself(ring: Column) -> Column:
+    """Whether two sides of a closed ring of (x, y) cross at a point within both. Each side meets each other one, so
+    the work grows with the square of a ring's own points."""
+    side = lambda i: (F.get(ring, i), F.get(ring, i + 1))
+
+    def turn(a: Column, b: Column, c: Column) -> Column:
+        return F.signum((b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"]))
+
+    def cross(i: Column, j: Column) -> Column:
+        (a, b), (c, d) = side(i), side(j)
+        return (turn(a, b, c) * turn(a, b, d) < 0) & (turn(c, d, a) * turn(c, d, b) < 0)
+
+    places = F.sequence(F.lit(0), F.greatest(F.size(ring) - 2, F.lit(0)))
+    return F.exists(places, lambda i: F.exists(places, lambda j: (i < j) & F.coalesce(cross(i, j), F.lit(False))))
+
+
+def tag_year_month(name: Column) -> tuple[Column, Column]:
+    """Year and month of the older tags (2024_03); 2025 and 1 for any other."""
+    found = lambda g: F.nullif(F.regexp_extract(name, r"^([0-9]{4})_(0[1-9]|1[0-2])$", g), F.lit("")).cast("int")
+    return F.coalesce(found(1), F.lit(2025)), F.coalesce(found(2), F.lit(1))
+
+
 def parse_ring(text: Column) -> Column:
     """Array of (x, y) from white-space separated lon,lat[,alt]; points that don't parse are left out."""
     parts = F.transform(F.split(F.trim(text), r"\s+"), lambda p: F.split(p, ","))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -11,6 +13,13 @@ from pyspark.sql import functions as F
 from chronopanel.operators import metrics, spatial, splits
 from chronopanel.session import checkpointed
 
+#: Least, largest and kind of each tuned parameter: whole numbers, numbers, numbers by their logarithm, or a choice.
+_TREES = {"maxIter": (200, 600, "step 50"), "maxDepth": (3, 9, "whole"), "stepSize": (0.01, 0.2, "log"), "subsamplingRate": (0.6, 1.0, "number")}
+SEARCH = {
+    "rf": {"numTrees": (100, 600, "step 50"), "maxDepth": (4, 30, "whole"), "minInstancesPerNode": (1, 10, "whole"), "featureSubsetStrategy": ["sqrt", "log2", "0.3"]},
+    "xgb": _TREES | {"minInstancesPerNode": (1, 5, "whole")},
+    "lgb": _TREES | {"minInstancesPerNode": (2, 30, "whole")},
+}
 ALIASES = {"rf": "rf", "random_forest": "rf", "xgb": "xgb", "xgboost": "xgb", "lgb": "lgb", "lightgbm": "lgb"}
 
 
@@ -74,22 +83,36 @@ def evaluate(df: DataFrame, name: str, fold: str = "fold", x: str | None = None,
 
 
 def stack(df: DataFrame, names: list[str], key: str, **params) -> DataFrame:
-    """Scores of a logistic regression on the out-of-fold scores of the named models."""
+    """Scores of a logistic regression, with balanced classes, on the out-of-fold scores of the named models."""
     parts = [cross_validate(df, n, **params).select(key, F.col("score").alias(n)) for n in names]
     joined = df.select(key, "label", "fold")
     for p in parts:
         joined = joined.join(p, key)
     x = VectorAssembler(inputCols=names, outputCol="features").transform(joined)
-    return probability(LogisticRegression(featuresCol="features", labelCol="label").fit(x), x)
+    last = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", maxIter=2000)
+    return probability(last.fit(weighted(x).where("weight is not null")), x)
+
+
+def _draw(rng, values):
+    if isinstance(values, list):
+        return rng.choice(values)
+    low, high, kind = values
+    if kind == "log":
+        return math.exp(rng.uniform(math.log(low), math.log(high)))
+    if kind == "number":
+        return rng.uniform(low, high)
+    step = 1 if kind == "whole" else int(kind.split()[1])
+    return rng.randrange(low, high + 1, step)
 
 
-def random_search(df: DataFrame, name: str, ranges: dict[str, list], trials: int, seed: int = 42) -> list[tuple[dict, float]]:
-    """Parameters drawn from the ranges and their mean macro-F1 over folds, best first."""
+def random_search(df: DataFrame, name: str, ranges: dict | None = None, trials: int = 50, seed: int = 42) -> list[tuple[dict, float]]:
+    """Parameters drawn from the ranges (those of SEARCH, unless given) and their mean macro-F1 over folds, best first."""
     import random
 
     rng, found = random.Random(seed), []
+    ranges = SEARCH[ALIASES[name.lower()]] if ranges is None else ranges
     for _ in range(trials):
-        params = {k: rng.choice(v) for k, v in ranges.items()}
+        params = {k: _draw(rng, v) for k, v in ranges.items()}
         f1 = fold_metrics(cross_validate(df, name, **params)).agg(F.avg("macro_f1")).first()[0]
         found.append((params, f1))
     return sorted(found, key=lambda x: -x[1])

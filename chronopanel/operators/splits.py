@@ -71,6 +71,27 @@ def leave_one_out(df: DataFrame, plot: str, label: str) -> DataFrame:
     return numbered(plots, ["held_out"], "fold").withColumn("fold", F.col("fold").cast("int"))
 
 
+def _paired(df: DataFrame, plots: DataFrame, plot: str, suffix: str) -> tuple[DataFrame, DataFrame, Column]:
+    """df with the plot that a row goes with (its own, or that whose local negative it is), the plots, and their match."""
+    base = F.when(F.col(plot).cast("string").endswith(suffix), F.left(F.col(plot), F.length(plot) - len(suffix)))
+    own = df.withColumn("__own", F.col(plot).cast("string")).withColumn("__base", F.coalesce(base, F.col("__own")))
+    held = plots.select(F.col("held_out").cast("string").alias("__held"), *[c for c in plots.columns if c != "held_out"])
+    return own, held, own["__base"] == held["__held"]
+
+
+def reserve(df: DataFrame, plots: DataFrame, plot: str, suffix: str = "_local_neg") -> tuple[DataFrame, DataFrame]:
+    """Rows of the plots (column held_out) and of their local negatives, and all other rows: a semi and an anti join."""
+    own, held, match = _paired(df, plots, plot, suffix)
+    return tuple(own.join(held, match, f"left_{how}").drop("__own", "__base") for how in ("semi", "anti"))
+
+
+def leave_one_out_rows(df: DataFrame, plot: str, label: str, suffix: str = "_local_neg") -> DataFrame:
+    """df with `fold`: that in which the row is held out, with its positive plot or as one of the plot's local
+    negatives; null for rows that are never held out."""
+    own, held, match = _paired(df.drop("fold"), leave_one_out(df, plot, label), plot, suffix)
+    return own.join(held, match, "left").drop("__own", "__base", "__held")
+
+
 def round_robin(df: DataFrame, windows: int, order: str, name: str = "window") -> DataFrame:
     """df with rows dealt to windows in turn, in the given order."""
     return numbered(df, [order], name).withColumn(name, F.pmod(F.col(name), F.lit(windows)).cast("int"))

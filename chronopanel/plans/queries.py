@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronopanel.functions import indices, scalars
-from chronopanel.operators import composite, detect, features, metrics, selection, series, spatial, splits
+from chronopanel.operators import composite, detect, features, metrics, scenes, selection, series, spatial, splits
 from chronopanel.plans import oracle as o
 from chronopanel.plans import tables as t
 from chronopanel.session import checkpointed
@@ -912,3 +912,137 @@ def tensor_build(spark, d):
 def tensor_cube(spark, d):
     x = features.cube(t.filled(spark, d), t.EVENT_BANDS).select("entity", F.posexplode("cube").alias("place", "row"))
     return rounded(x.select("entity", "place", F.posexplode("row").alias("channel", "v")), ["entity", "place", "channel"])
+
+
+# ---- scenes, rings and hold-outs
+
+
+@query("""with clouds as (select l_orderkey as scene, l_linenumber as pixel, min(l_quantity) as cloud from lineitem group by 1, 2),
+ p as (select l_suppkey as entity, cast(month(l_shipdate) as int) as step, l_orderkey as scene, l_linenumber as pixel, l_partkey % 12 as scl, (l_suppkey * 512) % 4096 as qa, l_extendedprice / 10000 as B8, l_tax * 1000 / 10000 as B4 from lineitem),
+ c as (select entity, step, B8, B4 from p join clouds using (scene, pixel) where scene in (select o_orderkey from orders where cast(floor(o_totalprice) as bigint) % 60 < 30) and scl in (4, 5, 6, 7) and cloud < 30 and (qa & 3072) = 0)
+ select entity, step, band, round(median(v), 9) + 0.0 as v, count(v) as n from (select entity, step, 'B8' as band, B8 as v from c union all select entity, step, 'B4', B4 from c) group by 1, 2, 3""")
+def optical_scenes(spark, d):
+    x = t.read(spark, d, "lineitem").withColumns({"scene": F.col("l_orderkey"), "pixel": F.col("l_linenumber")})
+    pixels = x.select(
+        F.col("l_suppkey").alias("entity"), F.month("l_shipdate").alias("step"), "scene", "pixel", (F.col("l_partkey") % 12).alias("scl"),
+        ((F.col("l_suppkey") * 512) % 4096).alias("qa"), F.col("l_extendedprice").alias("B8"), (F.col("l_tax") * 1000).alias("B4"),
+    )
+    of = t.read(spark, d, "orders").select(F.col("o_orderkey").alias("scene"), (F.floor("o_totalprice") % 60).alias("cloudy"))
+    return rounded(scenes.optical(pixels, of, x.select("scene", "pixel", F.col("l_quantity").alias("cloud")), ["B8", "B4"], ["entity", "step"]), ["entity", "step", "band"], 9)  # medians of two have a digit more than prices
+
+
+@query("""with p as (select l_suppkey as entity, cast(month(l_shipdate) as int) as step, 10 ** (-l_quantity / 10) as VV, 10 ** (-(l_quantity + l_tax * 10) / 10) as VH from lineitem
+ where l_orderkey in (select o_orderkey from orders where o_orderstatus = 'F' and o_orderkey % 5 <> 0 and o_orderkey % 3 <> 0))
+ select entity, step, band, round(median(v), 6) + 0.0 as v, count(v) as n from (select entity, step, 'VV' as band, VV as v from p union all select entity, step, 'VH', VH from p) group by 1, 2, 3""")
+def radar_scenes(spark, d):
+    pixels = t.read(spark, d, "lineitem").select(
+        F.col("l_suppkey").alias("entity"), F.month("l_shipdate").alias("step"), F.col("l_orderkey").alias("scene"), (-F.col("l_quantity")).alias("VV"), (-F.col("l_quantity") - F.col("l_tax") * 10).alias("VH")
+    )
+    key = F.col("o_orderkey")
+    of = t.read(spark, d, "orders").select(
+        key.alias("scene"), F.when(key % 5 == 0, "EW").otherwise("IW").alias("mode"), F.when(F.col("o_orderstatus") == "F", "DESCENDING").otherwise("ASCENDING").alias("orbit"),
+        F.when(key % 3 == 0, F.array(F.lit("VV"))).otherwise(F.array(F.lit("VV"), F.lit("VH"))).alias("polarisations"),
+    )
+    return rounded(scenes.radar(pixels, of, ["entity", "step"]), ["entity", "step", "band"])
+
+
+@query("""select l_suppkey, pixel, coalesce(B8, -999.0) + 0.0 as B8 from (select distinct l_suppkey, l_orderkey * 10 + l_linenumber as pixel, case when (l_orderkey * 10 + l_linenumber) % 7 <> 0 then (l_orderkey % 100) / 100.0::double end as B8 from lineitem)
+ qualify row_number() over (partition by l_suppkey order by md5('42:' || pixel), pixel) <= 20""")
+def pixel_sample(spark, d):
+    pixel = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    x = t.read(spark, d, "lineitem").select("l_suppkey", pixel.alias("pixel"), F.when(pixel % 7 != 0, (F.col("l_orderkey") % 100) / 100.0).alias("B8")).distinct()
+    return scenes.sample(x, ["l_suppkey"], "pixel", ["B8"], 20)
+
+
+@query(_OPT + "-1.0::double as NDVI, " + ", ".join(f"round({e}, 6) + 0.0 as {n}" for n, e in {
+    "EVI": "case when abs(view + 6 * click - 7.5 * purchase + 1) > 0.01 then 2.5 * (view - click) / nullif(view + 6 * click - 7.5 * purchase + 1 + 1e-8, 0) end",
+    "NDWI": "(signup - view) / nullif(signup + view + 1e-8, 0)",
+    "LSWI": "(view - error) / nullif(view + error + 1e-8, 0)",
+    "SAVI": "(view - click) / nullif(view + click + 0.5 + 1e-8, 0) * 1.5",
+    "MSAVI": "(2 * view + 1 - sqrt(case when (2 * view + 1) ** 2 - 8 * (view - click) < 0 then 0 else (2 * view + 1) ** 2 - 8 * (view - click) end)) / 2",
+    "GNDVI": "(view - signup) / nullif(view + signup + 1e-8, 0)",
+    "GRVI": "(signup - click) / nullif(signup + click + 1e-10, 0)",
+}.items()) + " from wide")
+def indices_of_bands(spark, d):
+    """All indices that five bands give; NDVI is there before and stays."""
+    w = t.wide(t.filled(spark, d))
+    x = indices.add_all(w.select("entity", "step", *[F.col(c).alias(b) for b, c in _R.items()], F.lit(-1.0).alias("NDVI"))).drop(*_R)
+    stable = F.abs(F.col("view") + 6 * F.col("click") - 7.5 * F.col("purchase") + 1) > 0.01
+    doubtful = w.where(~stable).select("entity", "step", F.lit(True).alias("__null"))
+    x = x.join(doubtful, ["entity", "step"], "left").withColumn("EVI", F.when(F.col("__null").isNull(), F.col("EVI"))).drop("__null")
+    return rounded(x, ["entity", "step"])
+
+
+@query(f"""with {o.FILLED}, {o.WIDE}, w as (select *, power(10, -signup) as vv, power(10, -error) as vh from wide) select entity, step, round((view - click) / nullif(view + click, 0), 6) + 0.0 as ndvi,
+ case when abs(view + 6 * click - 7.5 * purchase + 1) > 0.01 then round(2.5 * (view - click) / (view + 6 * click - 7.5 * purchase + 1), 6) + 0.0 end as evi, round((signup - view) / nullif(signup + view, 0), 6) + 0.0 as ndwi,
+ round((view - error) / nullif(view + error, 0), 6) + 0.0 as lswi, round(4 * vh / (vv + vh), 6) + 0.0 as rvi from w""")
+def plain_indices_all(spark, d):
+    x = t.wide(t.filled(spark, d)).select("entity", "step", *[F.col(c).alias(b) for b, c in _R.items()], (F.col("signup") * -10).alias("VV"), (F.col("error") * -10).alias("VH"))
+    x = indices.plain_all(x).withColumn("EVI", F.when(F.abs(F.col("B8") + 6 * F.col("B4") - 7.5 * F.col("B2") + 1) > 0.01, F.col("EVI")))
+    return rounded(x.select("entity", "step", *[F.col(c).alias(c.lower()) for c in ("NDVI", "EVI", "NDWI", "LSWI", "RVI")]), ["entity", "step"])
+
+
+_ELLIPSOID = "6378137.0::double as a, 1 / 298.257223563::double as f"
+_UTM = f"""c as (select *, f / (2 - f) as n from (select {_ELLIPSOID})), k as (select *, a / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) * 0.9996 as r, 2 * sqrt(n) / (1 + n) as e, n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 as a1, 13 * n ** 2 / 48 - 3 * n ** 3 / 5 as a2, 61 * n ** 3 / 240 as a3 from c),
+ s as (select vec_id, i, e, r, a1, a2, a3, radians(x - 75) as l, sinh(atanh(sin(radians(y))) - e * atanh(e * sin(radians(y)))) as tt from corners, k),
+ q as (select *, atan2(tt, cos(l)) as xi, atanh(sin(l) / sqrt(1 + tt * tt)) as eta from s),
+ flat as (select vec_id, i, r * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)) as x, r * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)) as y from q)"""
+_RING = "corners as (select vec_id, i, lon + [0.0, 0.02, 0.02 * (1 + label), 0.01, 0.0][i] as x, lat + [0.0, 0.001, 0.02, 0.03, 0.0][i] as y from points, (select unnest(range(1, 6)) as i))"
+
+
+def _ring(low: float = 0.001) -> Column:
+    corner = lambda x, y: F.struct((F.col("lon") + x).alias("x"), (F.col("lat") + y).alias("y"))
+    wide = F.lit(0.02) * (1 + F.col("label"))
+    return F.array(corner(F.lit(0.0), F.lit(0.0)), corner(F.lit(0.02), F.lit(low)), corner(wide, F.lit(0.02)), corner(F.lit(0.01), F.lit(0.03)), corner(F.lit(0.0), F.lit(0.0)))
+
+
+@query(f"""with {o.POINTS}, {_RING}, {_UTM}, near as (select *, x - first_value(x) over w as u, y - first_value(y) over w as v from flat window w as (partition by vec_id order by i)),
+ sides as (select vec_id, u * lead(v) over w - lead(u) over w * v as c from near window w as (partition by vec_id order by i)) select vec_id, round(abs(sum(c)) / 2 / 10000, 4) as area_ha from sides group by 1""")
+def ring_area_utm(spark, d):
+    """Hectares of each ring on the plane of zone 43."""
+    return t.points(spark, d).select("vec_id", scalars.area_ha(_ring()).alias("area_ha"))
+
+
+@query(f"with {o.POINTS} select vec_id, label = 2 as crosses from points")
+def ring_validity(spark, d):
+    """Rings of four corners, of which those of one class have two sides that cross."""
+    corner = lambda x, y: F.struct((F.col("lon") + x).alias("x"), (F.col("lat") + y).alias("y"))
+    tied = F.when(F.col("label") == 2, 0.0).otherwise(0.02)
+    straight = F.lit(0.02) - tied
+    ring = F.array(corner(F.lit(0.0), F.lit(0.0)), corner(F.lit(0.02), F.lit(0.0)), corner(tied, F.lit(0.02)), corner(straight, F.lit(0.02)), corner(F.lit(0.0), F.lit(0.0)))
+    return t.points(spark, d).select("vec_id", scalars.ring_crosses_itself(ring).alias("crosses"))
+
+
+@query("""select p_partkey, cast(case when y is not null then y else 2025 end as int) as year, cast(coalesce(m, 1) as int) as month from (select p_partkey, cast(nullif(regexp_extract(tag, '^([0-9]{4})_(0[1-9]|1[0-2])$', 1), '') as int) as y, cast(nullif(regexp_extract(tag, '^([0-9]{4})_(0[1-9]|1[0-2])$', 2), '') as int) as m
+ from (select p_partkey, case p_partkey % 3 when 0 then 'x' || p_partkey else (2020 + p_partkey % 5) || '_' || lpad(cast(p_partkey % 14 as varchar), 2, '0') end as tag from part))""")
+def tag_year_month(spark, d):
+    k = F.col("p_partkey")
+    tag = F.when(k % 3 == 0, F.concat(F.lit("x"), k)).otherwise(F.concat_ws("_", 2020 + k % 5, F.lpad((k % 14).cast("string"), 2, "0")))
+    year, month = scalars.tag_year_month(tag)
+    return t.read(spark, d, "part").select("p_partkey", year.alias("year"), month.alias("month"))
+
+
+_PLOTS = "plots as (select doc_id, case when doc_id % 3 = 2 then 'p' || (doc_id % 40) || '_local_neg' else 'p' || (doc_id % 40 + case when doc_id % 3 = 1 then 100 else 0 end) end as plot, cast(doc_id % 3 = 0 as int) as label, n_chars from documents)"
+
+
+def _plots(spark, d) -> DataFrame:
+    """Documents as plots: positive ones, their local negatives and others."""
+    k = F.col("doc_id")
+    of = F.when(k % 3 == 2, F.concat(F.lit("p"), k % 40, F.lit("_local_neg"))).otherwise(F.concat(F.lit("p"), k % 40 + F.when(k % 3 == 1, 100).otherwise(0)))
+    return t.read(spark, d, "documents").select("doc_id", of.alias("plot"), (k % 3 == 0).cast("int").alias("label"), "n_chars")
+
+
+@query(f"""with {_PLOTS}, held as (select plot, cast(row_number() over (order by plot) - 1 as int) as fold from (select distinct plot from plots where label = 1))
+ select doc_id, p.plot, label, fold from plots p left join held h on h.plot = regexp_replace(p.plot, '_local_neg$', '')""")
+def lopo_rows(spark, d):
+    return splits.leave_one_out_rows(_plots(spark, d).drop("n_chars"), "plot", "label")
+
+
+@query(f"""with {_PLOTS}, held as (select plot from (select plot, round(avg((n_chars % 10) / 10.0), 9) as gap from plots where label = 1 group by 1) order by gap desc, plot limit 3)
+ select doc_id, plot, case when regexp_replace(plot, '_local_neg$', '') in (select plot from held) then 'reserved' else 'train' end as part from plots""")
+def reserved_rows(spark, d):
+    """Rows of the three plots of the largest gaps, with their local negatives, and all others."""
+    p = _plots(spark, d)
+    gaps = p.where("label = 1").groupBy("plot").agg(F.round(F.avg((F.col("n_chars") % 10) / 10.0), 9).alias("gap"))
+    held, rest = splits.reserve(p, gaps.orderBy(F.desc("gap"), "plot").limit(3).select(F.col("plot").alias("held_out")), "plot")
+    return held.withColumn("part", F.lit("reserved")).unionByName(rest.withColumn("part", F.lit("train"))).select("doc_id", "plot", "part")

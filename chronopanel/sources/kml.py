@@ -7,45 +7,81 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronopanel.functions import scalars
+from chronopanel.operators import spatial, splits
 
 
-def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The document of each file: of an archive doc.kml, else its first KML entry; null if there is none."""
+def _unzipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The document of each archive: doc.kml, else its first KML entry; null if there is none."""
     for b in batches:
         out = []
-        for path, content in zip(b["path"], b["content"], strict=True):
-            data = bytes(content)
-            if path.lower().endswith(".kmz"):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(data)) as z:
-                        names = [n for n in z.namelist() if n.lower().endswith(".kml")]
-                        data = z.read("doc.kml" if "doc.kml" in names else names[0]) if names else None
-                except zipfile.BadZipFile:
-                    data = None
+        for content in b["content"]:
+            try:
+                with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
+                    names = [n for n in z.namelist() if n.lower().endswith(".kml")]
+                    data = z.read("doc.kml" if "doc.kml" in names else names[0]) if names else None
+            except zipfile.BadZipFile:
+                data = None
             out.append(None if data is None else data.decode("utf-8", "replace"))
         yield pd.DataFrame({"path": b["path"], "xml": out})
 
 
-def read_kml(spark: SparkSession, paths: str | list[str], label: int, state: str = "Unknown", default_anchor: str = "2024-09-01", before: int = 5, after: int = 5, recursive: bool = True) -> DataFrame:
-    """A row for each polygon (outer rings, and closed lines of at least four points) of the files, with its
-    area in hectares, planar centroid and anchor window. Files that can't be read give no rows."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.{kml,kmz,KML,KMZ}").load(paths).select("path", "content")
-    docs = files.mapInPandas(_texts, "path string, xml string").where("xml is not null").withColumn("xml", F.regexp_replace("xml", r"<(/?)[A-Za-z0-9]+:", "<$1"))
-    rings = F.regexp_extract_all("xml", F.lit(r"(?s)<outerBoundaryIs\b.*?<coordinates[^>]*>(.*?)</coordinates>"), F.lit(1))
-    lines = F.regexp_extract_all("xml", F.lit(r"(?s)<LineString\b.*?<coordinates[^>]*>(.*?)</coordinates>"), F.lit(1))
-    shapes = F.concat(F.transform(rings, lambda x: F.struct(x.alias("text"), F.lit(True).alias("polygon"))), F.transform(lines, lambda x: F.struct(x.alias("text"), F.lit(False).alias("polygon"))))
-    d = docs.select("path", F.posexplode(shapes).alias("polygon_idx", "shape")).withColumn("ring", scalars.parse_ring(F.col("shape.text")))
+def _documents(spark: SparkSession, paths: str | list[str], recursive: bool) -> DataFrame:
+    """path and xml of each file, without comments and prefixes of names; only archives go through Python."""
+
+    def files(pattern: str) -> DataFrame:
+        return spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern).load(paths).select("path", "content")
+
+    plain = files("*.{kml,KML}").select("path", F.col("content").cast("string").alias("xml"))
+    both = plain.union(files("*.{kmz,KMZ}").mapInPandas(_unzipped, "path string, xml string")).where("xml is not null")
+    bare = F.regexp_replace(F.regexp_replace("xml", r"(?s)<!--.*?-->", ""), r"<(/?)[A-Za-z0-9]+:", "<$1")
+    return both.withColumn("xml", bare)
+
+
+def _shapes(xml: Column) -> Column:
+    """Array of text (of the coordinates), polygon (or line), name and description, in order of the placemarks."""
+    found = F.regexp_extract_all(xml, F.lit(r"(?s)<Placemark\b.*?</Placemark>"), F.lit(0))
+    marks = F.when(F.size(found) > 0, found).otherwise(F.array(xml))
+
+    def said(mark: Column, tag: str) -> Column:
+        text = F.regexp_extract(mark, rf"(?s)<{tag}\b[^>]*>(.*?)</{tag}>", 1)
+        return F.trim(F.regexp_replace(text, r"<!\[CDATA\[|\]\]>", "")).alias(tag)
+
+    def of(mark: Column, tag: str, polygon: bool) -> Column:
+        texts = F.regexp_extract_all(mark, F.lit(rf"(?s)<{tag}\b.*?<coordinates[^>]*>(.*?)</coordinates>"), F.lit(1))
+        return F.transform(texts, lambda x: F.struct(x.alias("text"), F.lit(polygon).alias("polygon"), said(mark, "name"), said(mark, "description")))
+
+    return F.flatten(F.transform(marks, lambda m: F.concat(of(m, "outerBoundaryIs", True), of(m, "LineString", False))))
+
+
+def read_kml(spark: SparkSession, paths: str | list[str], label: int, state: str = "Unknown", default_anchor: str = "2024-09-01", before: int = 5, after: int = 5, recursive: bool = True, states: DataFrame | None = None) -> DataFrame:
+    """A row for each polygon (outer rings, and closed lines of at least four points) of the files: plot_id (by file
+    and place in it), group_key (class and file), its area in hectares, planar centroid, anchor window, and its
+    placemark's name and description.
+
+    Files that can't be read give no rows; if none gives any, it is an error. states: boxes as for
+    spatial.range_join(), the first of which that holds the centroid names the state, else it is `state`."""
+    d = _documents(spark, paths, recursive).select("path", F.posexplode(_shapes(F.col("xml"))).alias("polygon_idx", "shape"))
+    d = d.withColumn("ring", scalars.parse_ring(F.col("shape.text")))
     d = d.where((F.col("shape.polygon") & (F.size("ring") >= 3)) | scalars.is_closed(F.col("ring")))
     first, last = F.element_at("ring", 1), F.element_at("ring", -1)
     d = d.withColumn("ring", F.when((first["x"] == last["x"]) & (first["y"] == last["y"]), F.col("ring")).otherwise(F.concat("ring", F.array(first))))
-    flat = F.transform("ring", lambda p: F.struct(*[v.alias(n) for v, n in zip(scalars.utm(p["x"], p["y"], 43), "xy", strict=True)]))
-    name = F.element_at(F.split("path", "/"), -1)
-    d = d.withColumns({"source_file": F.url_decode(name), "area_ha": F.round(scalars.ring_area(flat) / 10_000, 4)}).where("area_ha > 0")
+    d = d.withColumns({"source_file": F.url_decode(F.element_at(F.split("path", "/"), -1)), "area_ha": scalars.area_ha(F.col("ring"))}).where("area_ha > 0")
+    d = splits.numbered(d, ["path", "polygon_idx"], "__i")
+    if d.isEmpty():
+        raise ValueError(f"no polygon in {paths}")
     d = d.withColumn("anchor_date", F.coalesce(scalars.filename_date(F.col("source_file")), F.lit(default_anchor).cast("date")))
     start, end = scalars.anchor_window(F.col("anchor_date"), before, after)
     lon, lat = scalars.ring_centroid(F.col("ring"))
-    return d.select("source_file", "polygon_idx", F.lit(label).alias("label"), F.lit(state).alias("state"), "area_ha", lon.alias("lon"), lat.alias("lat"), "anchor_date", start.alias("date_start"), end.alias("date_end"), F.col("ring").alias("geometry"))
+    kind = F.lit("pos" if label == 1 else "neg")
+    out = d.select(
+        "source_file", "polygon_idx", F.lit(label).alias("label"), F.lit(state).alias("state"), "area_ha", lon.alias("lon"), lat.alias("lat"), "anchor_date",
+        start.alias("date_start"), end.alias("date_end"), F.col("ring").alias("geometry"), F.format_string("plot_%05d", F.col("__i") + 1).alias("plot_id"),
+        F.concat_ws("__", kind, "source_file").alias("group_key"), "shape.name", "shape.description",
+    )
+    if states is None:
+        return out
+    return spatial.range_join(out, states, "plot_id", 1.0, "lon", "lat", state).withColumn("state", F.col("box")).drop("box")
