@@ -12,6 +12,7 @@ from chronopanel.operators import composite, detect, features, metrics, scenes,
 from chronopanel.plans import oracle as o
 from chronopanel.plans import tables as t
 from chronopanel.session import checkpointed
+from chronopanel.sources import kml
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -921,7 +922,7 @@ def tensor_cube(spark, d):
  p as (select l_suppkey as entity, cast(month(l_shipdate) as int) as step, l_orderkey as scene, l_linenumber as pixel, l_partkey % 12 as scl, (l_suppkey * 512) % 4096 as qa, l_extendedprice / 10000 as B8, l_tax * 1000 / 10000 as B4 from lineitem),
  c as (select entity, step, B8, B4 from p join clouds using (scene, pixel) where scene in (select o_orderkey from orders where cast(floor(o_totalprice) as bigint) % 60 < 30) and scl in (4, 5, 6, 7) and cloud < 30 and (qa & 3072) = 0)
  select entity, step, band, round(median(v), 9) + 0.0 as v, count(v) as n from (select entity, step, 'B8' as band, B8 as v from c union all select entity, step, 'B4', B4 from c) group by 1, 2, 3""")
-def optical_scenes(spark, d):
+def scenes_optical(spark, d):
     x = t.read(spark, d, "lineitem").withColumns({"scene": F.col("l_orderkey"), "pixel": F.col("l_linenumber")})
     pixels = x.select(
         F.col("l_suppkey").alias("entity"), F.month("l_shipdate").alias("step"), "scene", "pixel", (F.col("l_partkey") % 12).alias("scl"),
@@ -934,7 +935,7 @@ def optical_scenes(spark, d):
 @query("""with p as (select l_suppkey as entity, cast(month(l_shipdate) as int) as step, 10 ** (-l_quantity / 10) as VV, 10 ** (-(l_quantity + l_tax * 10) / 10) as VH from lineitem
  where l_orderkey in (select o_orderkey from orders where o_orderstatus = 'F' and o_orderkey % 5 <> 0 and o_orderkey % 3 <> 0))
  select entity, step, band, round(median(v), 6) + 0.0 as v, count(v) as n from (select entity, step, 'VV' as band, VV as v from p union all select entity, step, 'VH', VH from p) group by 1, 2, 3""")
-def radar_scenes(spark, d):
+def scenes_radar(spark, d):
     pixels = t.read(spark, d, "lineitem").select(
         F.col("l_suppkey").alias("entity"), F.month("l_shipdate").alias("step"), F.col("l_orderkey").alias("scene"), (-F.col("l_quantity")).alias("VV"), (-F.col("l_quantity") - F.col("l_tax") * 10).alias("VH")
     )
@@ -1046,3 +1047,32 @@ def reserved_rows(spark, d):
     gaps = p.where("label = 1").groupBy("plot").agg(F.round(F.avg((F.col("n_chars") % 10) / 10.0), 9).alias("gap"))
     held, rest = splits.reserve(p, gaps.orderBy(F.desc("gap"), "plot").limit(3).select(F.col("plot").alias("held_out")), "plot")
     return held.withColumn("part", F.lit("reserved")).unionByName(rest.withColumn("part", F.lit("train"))).select("doc_id", "plot", "part")
+
+
+_FILE = "case file % 3 when 0 then file || '_3aug2023.kml' when 1 then file || '_2024-03-09.kml' else file || '.kml' end"
+
+
+@query(f"""with {o.POINTS}, shapes as (select *, vec_id // 10 as file, vec_id % 7 <> 3 as fine from points), placed as (select *, row_number() over (partition by file order by vec_id) - 1 as idx from shapes),
+ corners as (select vec_id, file, idx, i, round(lon + [0.0, 0.02, 0.02 * (1 + label), 0.01, 0.0][i], 6) as x, round(lat + [0.0, 0.001, 0.02, 0.03, 0.0][i], 6) as y from placed, (select unnest(range(1, 6)) as i) where fine),
+ {_UTM}, near as (select *, x - first_value(x) over w as u, y - first_value(y) over w as v from flat window w as (partition by vec_id order by i)),
+ sides as (select vec_id, u * lead(v) over w - lead(u) over w * v as c from near window w as (partition by vec_id order by i)), areas as (select vec_id, round(abs(sum(c)) / 2 / 10000, 4) as area_ha from sides group by 1),
+ deg as (select *, first_value(x) over w as x0, first_value(y) over w as y0 from corners window w as (partition by vec_id order by i)),
+ dside as (select vec_id, file, idx, x0, y0, (x - x0) * (lead(y) over w - y0) - (lead(x) over w - x0) * (y - y0) as c, x + lead(x) over w - 2 * x0 as sx, y + lead(y) over w - 2 * y0 as sy from deg window w as (partition by vec_id order by i)),
+ centre as (select vec_id, file, cast(idx as int) as polygon_idx, max(x0) + sum(sx * c) / (3 * sum(c)) as lon, max(y0) + sum(sy * c) / (3 * sum(c)) as lat from dside group by 1, 2, 3),
+ whole as (select *, {_FILE} as source_file, case file % 3 when 0 then date '2023-08-03' when 1 then date '2024-03-09' else date '2024-09-01' end as anchor_date from centre join areas using (vec_id))
+ select 'plot_' || lpad(cast(row_number() over (order by source_file, polygon_idx) as varchar), 5, '0') as plot_id, 'pos__' || source_file as group_key, source_file, polygon_idx, area_ha, round(lon, 6) as lon, round(lat, 6) as lat,
+ anchor_date, cast(anchor_date - interval 5 month as date) as date_start, cast(anchor_date + interval 5 month as date) as date_end, 'field ' || vec_id as name, 5 as n_points from whole""")
+def kml_polygons(spark, d):
+    """Points as documents of ten placemarks each: open rings, closed lines, and lines that are no polygon."""
+    here = lambda dx, dy: F.format_string("%.6f,%.6f,0", F.round(F.col("lon") + dx, 6), F.round(F.col("lat") + dy, 6))
+    ring = [here(F.lit(0.0), 0.0), here(F.lit(0.02), 0.001), here(F.lit(0.02) * (1 + F.col("label")), 0.02), here(F.lit(0.01), 0.03)]
+    tagged = lambda tag, *inner: F.concat(F.lit(f"<{tag}>"), *inner, F.lit(f"</{tag}>"))
+    of = lambda *p: tagged("coordinates", F.concat_ws(" ", *p))
+    k = F.col("vec_id")
+    shape = F.when(k % 7 == 3, tagged("LineString", of(*ring))).when(k % 2 == 0, tagged("Polygon", tagged("outerBoundaryIs", tagged("LinearRing", of(*ring))))).otherwise(tagged("LineString", of(*ring, ring[0])))
+    marks = t.points(spark, d).select((k / 10).cast("bigint").alias("file"), k, F.when(k % 7 != 3, k).alias("fine"), tagged("Placemark", tagged("name", F.concat(F.lit("field "), k)), shape).alias("mark"))
+    docs = marks.groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "mark"))), lambda x: x["mark"]), "\n").alias("xml"))
+    docs = docs.select(F.concat(F.lit("survey/"), F.expr(_FILE)).alias("path"), tagged("kml", "xml").alias("xml"))
+    found = kml.polygons(docs, 1)
+    out = found.select("plot_id", "group_key", "source_file", "polygon_idx", "area_ha", "lon", "lat", "anchor_date", "date_start", "date_end", "name", F.size("geometry").alias("n_points"))
+    return out.withColumns({c: F.round(c, 6) for c in ("lon", "lat")})

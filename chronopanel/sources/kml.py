@@ -64,15 +64,21 @@ def read_kml(spark: SparkSession, paths: str | list[str], label: int, state: str
 
     Files that can't be read give no rows; if none gives any, it is an error. states: boxes as for
     spatial.range_join(), the first of which that holds the centroid names the state, else it is `state`."""
-    d = _documents(spark, paths, recursive).select("path", F.posexplode(_shapes(F.col("xml"))).alias("polygon_idx", "shape"))
+    d = polygons(_documents(spark, paths, recursive), label, state, default_anchor, before, after, states)
+    if d.isEmpty():
+        raise ValueError(f"no polygon in {paths}")
+    return d
+
+
+def polygons(docs: DataFrame, label: int, state: str = "Unknown", default_anchor: str = "2024-09-01", before: int = 5, after: int = 5, states: DataFrame | None = None) -> DataFrame:
+    """The rows of read_kml() from documents (path and xml)."""
+    d = docs.select("path", F.posexplode(_shapes(F.col("xml"))).alias("polygon_idx", "shape"))
     d = d.withColumn("ring", scalars.parse_ring(F.col("shape.text")))
     d = d.where((F.col("shape.polygon") & (F.size("ring") >= 3)) | scalars.is_closed(F.col("ring")))
     first, last = F.element_at("ring", 1), F.element_at("ring", -1)
     d = d.withColumn("ring", F.when((first["x"] == last["x"]) & (first["y"] == last["y"]), F.col("ring")).otherwise(F.concat("ring", F.array(first))))
     d = d.withColumns({"source_file": F.url_decode(F.element_at(F.split("path", "/"), -1)), "area_ha": scalars.area_ha(F.col("ring"))}).where("area_ha > 0")
     d = splits.numbered(d, ["path", "polygon_idx"], "__i")
-    if d.isEmpty():
-        raise ValueError(f"no polygon in {paths}")
     d = d.withColumn("anchor_date", F.coalesce(scalars.filename_date(F.col("source_file")), F.lit(default_anchor).cast("date")))
     start, end = scalars.anchor_window(F.col("anchor_date"), before, after)
     lon, lat = scalars.ring_centroid(F.col("ring"))
