@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from chronopanel.functions import scalars
 from chronopanel.operators import spatial, splits
+from chronopanel.session import checkpointed
 
 
 def _unzipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -77,6 +78,7 @@ def polygons(docs: DataFrame, label: int, state: str = "Unknown", default_anchor
     d = d.where((F.col("shape.polygon") & (F.size("ring") >= 3)) | scalars.is_closed(F.col("ring")))
     first, last = F.element_at("ring", 1), F.element_at("ring", -1)
     d = d.withColumn("ring", F.when((first["x"] == last["x"]) & (first["y"] == last["y"]), F.col("ring")).otherwise(F.concat("ring", F.array(first))))
+    d = checkpointed(d)  # else each use of a ring would parse its document again
     d = d.withColumns({"source_file": F.url_decode(F.element_at(F.split("path", "/"), -1)), "area_ha": scalars.area_ha(F.col("ring"))}).where("area_ha > 0")
     d = splits.numbered(d, ["path", "polygon_idx"], "__i")
     d = d.withColumn("anchor_date", F.coalesce(scalars.filename_date(F.col("source_file")), F.lit(default_anchor).cast("date")))
