@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronopanel.llm import chat, quality_rules, secrets, warc
+from chronopanel.llm import centroids, chat, quality_rules, secrets, warc
 
 
 def _kind_sql(rank: int, rule: secrets.Rule) -> str:
@@ -57,3 +57,23 @@ def chat_sql() -> str:
  select conv as conv_id, cast((place - 1) // {chat.BLOCK_TURNS} as int) as part, n as n_turns, n_copies,
  string_agg('{chat.START}' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '{chat.END}' || chr(10), '' order by place) as rendered
  from p join kept using (conv) group by conv, part, n, n_copies"""
+
+
+def centroids_sql() -> str:
+    far = "cast(list_sum(list_transform(list_zip(v.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as bigint)"
+    steps = [
+        f"""v as (select vec_id, list_transform(embedding, lambda x: cast(floor({centroids.SCALE} * cast(x as double)) as bigint)) as e from embeddings
+ where len(embedding) = {centroids.DIMS} and len(list_filter(embedding, lambda x: isfinite(x))) = {centroids.DIMS})""",
+        f"c0 as (select row_number() over (order by sha256('1:' || vec_id)) - 1 as k, e from v qualify k < {centroids.CENTROIDS})",
+    ]
+    for i in range(centroids.ROUNDS + 1):
+        steps.append(f"a{i} as (select vec_id, any_value(e) as e, min(row(d, k)) as best from (select v.vec_id, v.e, c.k, {far} as d from v, c{i} c) group by vec_id)")
+        if i < centroids.ROUNDS:
+            steps += [
+                f"m{i} as (select best[2] as k, d, sum(e[d]) as s, count(*) as n from a{i}, range(1, {centroids.DIMS + 1}) r(d) group by 1, 2)",
+                f"""c{i + 1} as (select c.k, coalesce(m.e, c.e) as e from c{i} c left join
+ (select k, list(cast((s - ((s % n) + n) % n) // n as bigint) order by d) as e from m{i} group by k) m using (k))""",
+            ]
+    last = centroids.ROUNDS
+    return f"""with {", ".join(steps)} select vec_id, cast(best[2] as int) as cluster, best[1] as distance, cast(sum(best[1]) over (partition by best[2]) as bigint) as cluster_inertia,
+ cast(sum(best[1]) over () as bigint) as inertia, sha256(array_to_string(c.e, ',')) as centroid_sha256 from a{last} join c{last} c on c.k = best[2]"""

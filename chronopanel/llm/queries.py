@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronopanel.llm import ann, byte_bpe, chat, oracle, packing, quality_cnn, quality_rules, secrets, sharding, simhash, warc
+from chronopanel.llm import ann, byte_bpe, centroids, chat, oracle, packing, quality_cnn, quality_rules, secrets, sharding, simhash, warc
 from chronopanel.llm.common import new_path, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -81,9 +81,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.clean(table(spark, sf_dir, "documents")).select("doc_id", *quality_rules.MEASURES, "base_failed", "kept", F.round("lost", 6).alias("lost"))
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+OPERATORS = (
+    op1_packing, op2_ann, op3_quality_cnn, op4_byte_bpe, op5_sharding, op6_secrets, op7_simhash, op8_warc, op9_chat_formatting, op10_quality_rules,
+    op13_centroid_clustering,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_ann, op3_quality_cnn, op4_byte_bpe, op5_sharding, op6_secrets, op7_simhash, op8_warc, op9_chat_formatting, op10_quality_rules)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_secrets": oracle.secrets_sql(), "op8_warc": oracle.warc_sql(), "op9_chat_formatting": oracle.chat_sql(), "op10_quality_rules": oracle.rules_sql()}
+    return {
+        "op6_secrets": oracle.secrets_sql(), "op8_warc": oracle.warc_sql(), "op9_chat_formatting": oracle.chat_sql(), "op10_quality_rules": oracle.rules_sql(),
+        "op13_centroid_clustering": oracle.centroids_sql(),
+    }

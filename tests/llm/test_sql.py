@@ -11,7 +11,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "conversations"):
+    for table in ("documents", "pages", "conversations", "embeddings"):
         con.execute(f"create view {table} as select * from '{DATA}/{table}.parquet'")
     got = queries.queries()[name](spark, DATA)
     want = con.sql(queries.oracle_sql()[name])
