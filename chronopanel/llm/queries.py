@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronopanel.llm import ann, byte_bpe, centroids, chat, oracle, packing, quality_cnn, quality_rules, secrets, sharding, simhash, warc
+from chronopanel.llm import ann, byte_bpe, centroids, chat, html_text, oracle, packing, quality_cnn, quality_rules, secrets, sharding, simhash, warc
 from chronopanel.llm.common import new_path, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -81,13 +81,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.clean(table(spark, sf_dir, "documents")).select("doc_id", *quality_rules.MEASURES, "base_failed", "kept", F.round("lost", 6).alias("lost"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
 OPERATORS = (
     op1_packing, op2_ann, op3_quality_cnn, op4_byte_bpe, op5_sharding, op6_secrets, op7_simhash, op8_warc, op9_chat_formatting, op10_quality_rules,
-    op13_centroid_clustering,
+    op11_html_extraction, op13_centroid_clustering,
 )
 
 
