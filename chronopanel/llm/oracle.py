@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronopanel.llm import centroids, chat, quality_rules, secrets, warc
+from chronopanel.llm import centroids, chat, prefix_trie, quality_rules, secrets, warc
 
 
 def _kind_sql(rank: int, rule: secrets.Rule) -> str:
@@ -77,3 +77,22 @@ def centroids_sql() -> str:
     last = centroids.ROUNDS
     return f"""with {", ".join(steps)} select vec_id, cast(best[2] as int) as cluster, best[1] as distance, cast(sum(best[1]) over (partition by best[2]) as bigint) as cluster_inertia,
  cast(sum(best[1]) over () as bigint) as inertia, sha256(array_to_string(c.e, ',')) as centroid_sha256 from a{last} join c{last} c on c.k = best[2]"""
+
+
+def trie_sql() -> str:
+    octets = "list_transform(string_split(conv::varchar, ''), lambda x: ascii(x)::bigint)"
+    of_byte = "list_reduce(list_concat([xor(a, b) & 255], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    crc = f"xor(list_reduce(list_concat([4294967295], {octets}), lambda a, b: xor(a >> 8, {of_byte})), 4294967295)"
+    return f"""with said as (select conv_id as conv, turn, coalesce(role, '') as r, coalesce(text, '') as t from conversations where conv_id is not null),
+ hashed as (select conv, turn, sha256(octet_length(encode(r)) || ':' || r || t)[1:32] as sym, octet_length(encode(t)) as size from said),
+ placed as (select conv, sym, size, row_number() over (partition by conv order by turn nulls first, sym) as n from hashed),
+ convs as (select conv as c, conv - conv % {prefix_trie.FAMILY} as p, {crc} % {prefix_trie.HEADS} as h from (select distinct conv from placed)),
+ parts as (select c, 0 as which, n, sym, size from convs join placed on conv = p and n <= h union all select c, 1, n, sym, size from convs join placed on conv = c and n > h),
+ seqs as (select c, coalesce(list(sym order by which, n) filter (where sym is not null), []) as syms, coalesce(list(size order by which, n) filter (where sym is not null), []) as sizes from convs left join parts using (c) group by c),
+ members as (select c, d, array_to_string(syms[1:d], '') as node, array_to_string(syms[1:greatest(d - 1, 0)], '') as above, coalesce(sizes[d], 0) as size, d = len(syms) as ended from seqs, unnest(range(0, len(syms) + 1)) as u(d)),
+ nodes as (select node, above, d, size, min(c) as conv_id, count(*) as n, coalesce(string_agg(c::varchar, ',' order by c) filter (where ended), '') as ends from members group by 1, 2, 3, 4),
+ kids as (select above, count(*) as k from nodes where d > 0 group by 1),
+ paths as (select m.node as v, u.node, u.n, u.size, kids.k from nodes u, unnest(range(0, u.d + 1)) as w(e), nodes m left join kids on kids.above = u.node where m.node = u.node[1:32 * e]),
+ sums as (select v, count(*) filter (where k is null) as n_leaves, sum((n - 1) * size) as saved from paths group by 1)
+ select o.conv_id, o.d as depth, case when o.d > 0 then q.conv_id end as parent_conv_id, o.n as n_convs, coalesce(kids.k, 0) as n_children, n_leaves, cast(saved as bigint) as saved_tokens, sha256(o.ends) as ends_sha256
+ from nodes o join nodes q on q.node = o.above left join kids on kids.above = o.node join sums on sums.v = o.node"""

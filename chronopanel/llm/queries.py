@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronopanel.llm import ann, byte_bpe, centroids, chat, html_text, oracle, packing, quality_cnn, quality_rules, secrets, sharding, simhash, warc
+from chronopanel.llm import ann, byte_bpe, centroids, chat, html_text, oracle, packing, prefix_trie, quality_cnn, quality_rules, secrets, sharding, simhash, warc
 from chronopanel.llm.common import new_path, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -85,13 +85,17 @@ def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op12_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
 OPERATORS = (
     op1_packing, op2_ann, op3_quality_cnn, op4_byte_bpe, op5_sharding, op6_secrets, op7_simhash, op8_warc, op9_chat_formatting, op10_quality_rules,
-    op11_html_extraction, op13_centroid_clustering,
+    op11_html_extraction, op12_conversation_prefix_trie, op13_centroid_clustering,
 )
 
 
@@ -102,5 +106,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_secrets": oracle.secrets_sql(), "op8_warc": oracle.warc_sql(), "op9_chat_formatting": oracle.chat_sql(), "op10_quality_rules": oracle.rules_sql(),
-        "op13_centroid_clustering": oracle.centroids_sql(),
+        "op12_conversation_prefix_trie": oracle.trie_sql(), "op13_centroid_clustering": oracle.centroids_sql(),
     }
