@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronopanel.session import checkpointed
+from chronopanel.operators import ranks
+from chronopanel.operators.nearest import nearest_distance  # noqa: F401
 
 
 def _cells(df: DataFrame, x: str, y: str, size: float, around: bool) -> DataFrame:
@@ -27,50 +28,6 @@ def buffered_antijoin(left: DataFrame, right: DataFrame, distance: float, x: str
     return l.join(r, (l["__cx"] == r["__cx"]) & (l["__cy"] == r["__cy"]) & near, "left_anti").select(*left.columns)
 
 
-def nearest_distance(df: DataFrame, key: str, x: str = "x", y: str = "y", cell: float = 1.0, crowd: int = 64) -> DataFrame:
-    """key and nn of each row: the distance to the nearest row of another key, null if there is none or a
-    coordinate is missing.
-
-    Rows at one place are one place, and 0 apart. Places look for others in the nine cells around them; a
-    neighbour within the cell size is the nearest, and places without one go on with cells of twice the size,
-    until a cell covers all. The first cells are so small that none holds more than `crowd` places. Only the
-    places that are left are put into nine cells, and they are written after each round."""
-    rows = df.select(F.col(key).alias("__k"), F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
-    known = F.col("__x").isNotNull() & F.col("__y").isNotNull() & ~F.isnan("__x") & ~F.isnan("__y")
-    own = F.struct("__x", "__y")
-    places = rows.where(known).groupBy("__x", "__y").agg(F.min("__k").alias("__lo"), F.max("__k").alias("__hi"))
-    one = F.col("__lo").eqNullSafe(F.col("__hi"))
-    places = checkpointed(places.select("__x", "__y", F.when(one, F.col("__lo")).alias("__k"), (~one).alias("__shared")))
-    extent, count = places.agg((F.greatest(F.max("__x") - F.min("__x"), F.max("__y") - F.min("__y"))).alias("e"), F.count("*").alias("n")).first()
-    out = places.where("__shared").select("__x", "__y", F.lit(0.0).alias("nn"))
-    todo = places.where("not __shared").select("__x", "__y", "__k")
-    if not count or count < 2:
-        out = out.unionByName(todo.select("__x", "__y", F.lit(None).cast("double").alias("nn")))
-        return _by_place(rows, known, own, out, key)
-    size = min(float(cell), extent)
-    while size > extent * 1e-9 and _cells(places, "__x", "__y", size, False).groupBy("__cx", "__cy").count().where(F.col("count") > crowd).limit(1).count():
-        size /= 2
-    others = places.select(F.col("__x").alias("__ox"), F.col("__y").alias("__oy"), F.col("__k").alias("__o"))
-    while True:
-        a, b = _cells(todo, "__x", "__y", size, True), _cells(others, "__ox", "__oy", size, False)
-        d = F.hypot(F.col("__x") - F.col("__ox"), F.col("__y") - F.col("__oy"))
-        another = F.coalesce(F.col("__k") != F.col("__o"), F.lit(True))
-        found = a.join(b, ["__cx", "__cy"]).where(another).groupBy("__x", "__y").agg(F.min(d).alias("nn"))
-        last = size >= extent
-        step = checkpointed(todo.join(found if last else found.where(F.col("nn") <= size), ["__x", "__y"], "left"))
-        out = out.unionByName((step if last else step.where("nn is not null")).select("__x", "__y", "nn"))
-        todo = step.where("nn is null").drop("nn")
-        if last or todo.isEmpty():
-            return _by_place(rows, known, own, out, key)
-        size *= 2
-
-
-def _by_place(rows: DataFrame, known: Column, own: Column, found: DataFrame, key: str) -> DataFrame:
-    at = found.select(F.struct("__x", "__y").alias("__at"), "nn")
-    joined = rows.withColumn("__at", F.when(known, own)).join(at, "__at", "left")
-    return joined.select(F.col("__k").alias(key), "nn")
-
-
 def block_id(lon: Column, lat: Column, size: float = 0.05) -> Column:
     return F.concat_ws("_", F.floor(lat / size).cast("string"), F.floor(lon / size).cast("string"))
 
@@ -98,7 +55,14 @@ def range_join(df: DataFrame, boxes: DataFrame, key: str, cell: float, x: str =
     return found.withColumn("box", F.coalesce("__box", F.lit(default))).drop("__k", "__box")
 
 
-def distance_shares(nearest: DataFrame, limits: tuple[int, ...] = (500, 2000, 10000), nn: str = "nn") -> DataFrame:
-    """One row: rows, their median distance, and for each limit the share of rows nearer than that."""
+def distance_shares(nearest: DataFrame, limits: tuple[int, ...] = (500, 2000, 10000), nn: str = "nn", by: str | None = None) -> DataFrame:
+    """Of each class (or of all, in one row): rows with a neighbour, their least, median, mean and largest distance, and
+    for each limit the share of rows nearer than that. Without any row there is one row of nulls, by class none."""
     shares = [F.avg((F.col(nn) < x).cast("double")).alias(f"below_{x}") for x in limits]
-    return nearest.agg(F.count(nn).alias("n"), F.median(nn).alias("median"), *shares)
+    figures = [F.count(nn).alias("n"), F.min(nn).alias("min"), F.avg(nn).alias("mean"), F.max(nn).alias("max"), *shares]
+    middle = ranks.quantiles(nearest, [by] if by else [], nn, {"median": 0.5})
+    if by is None:
+        return nearest.agg(*figures).join(middle, F.lit(True), "left")
+    middle = middle.withColumnRenamed(by, "__by")
+    found = nearest.groupBy(by).agg(*figures)
+    return found.join(middle, found[by].eqNullSafe(middle["__by"]), "left").drop("__by")

@@ -33,6 +33,8 @@ POINTS = "points as (select vec_id, label, cast(embedding[1] as double) * 2 + 77
 SCORES = "scores as (select d.doc_id, d.source, d.lang, l.quality as y, (d.n_chars % 1000) / 1000.0::double as score from documents d join labels l using (doc_id))"
 
 
-def rounded(names: str | list[str], digits: int = 6) -> str:
-    """round(x, digits) + 0.0 as x of each name."""
+def rounded(names: str | list[str], digits: int = 6, alias: str | None = None) -> str:
+    """round(x, digits) + 0.0 as x of each name; an expression has an alias."""
+    if alias:
+        return f"round({names}, {digits}) + 0.0 as {alias}"
     return ", ".join(f"round({n}, {digits}) + 0.0 as {n}" for n in (names.split() if isinstance(names, str) else names))

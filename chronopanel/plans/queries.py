@@ -520,7 +520,7 @@ def range_lookup_district(spark, d):
 @query(f"with {o.POINTS}, p as (select vec_id, lon * 1000 as x, lat * 1000 as y from points) select a.vec_id, round(min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)), 6) as nn from p a join p b on a.vec_id <> b.vec_id group by 1")
 def nn_distance(spark, d):
     p = t.points(spark, d).select("vec_id", (F.col("lon") * 1000).alias("x"), (F.col("lat") * 1000).alias("y"))
-    return spatial.nearest_distance(p, "vec_id", cell=16.0).withColumn("nn", F.round("nn", 6))
+    return spatial.nearest_distance(p, "vec_id").withColumn("nn", F.round("nn", 6))
 
 
 @query(f"with {o.POINTS}, p as (select vec_id, label, lon * 1000 as x, lat * 1000 as y from points) select a.vec_id from p a where a.label < 2 and not exists (select 1 from p b where b.label >= 2 and sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < 20)")
@@ -873,10 +873,23 @@ def plot_filters(spark, d):
     return p.select("vec_id", scalars.utm_zone(F.col("lon")).alias("zone"), scalars.approx_pixels(area).alias("pixels"))
 
 
-@query(f"with {o.POINTS}, p as (select vec_id, lon * 1000 as x, lat * 1000 as y from points), m as (select a.vec_id, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) as nn from p a join p b on a.vec_id <> b.vec_id group by 1) select count(*) as n, round(median(nn), 6) + 0.0 as median, " + ", ".join(f"round(avg(case when nn < {x} then 1.0 else 0.0 end), 6) + 0.0 as below_{x}" for x in (5, 20, 100)) + " from m")
+@query(f"with {o.POINTS}, p as (select vec_id, lon * 1000 as x, lat * 1000 as y from points), m as (select a.vec_id, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) as nn from p a join p b on a.vec_id <> b.vec_id group by 1) select count(*) as n, round(min(nn), 6) + 0.0 as min, round(median(nn), 6) + 0.0 as median, round(avg(nn), 6) + 0.0 as mean, round(max(nn), 6) + 0.0 as max, " + ", ".join(f"round(avg(case when nn < {x} then 1.0 else 0.0 end), 6) + 0.0 as below_{x}" for x in (5, 20, 100)) + " from m")
 def nn_shares(spark, d):
     p = t.points(spark, d).select("vec_id", (F.col("lon") * 1000).alias("x"), (F.col("lat") * 1000).alias("y"))
-    return rounded(spatial.distance_shares(spatial.nearest_distance(p, "vec_id", cell=16.0), (5, 20, 100)), ["n"])
+    return rounded(spatial.distance_shares(spatial.nearest_distance(p, "vec_id"), (5, 20, 100)), ["n"])
+
+
+@query(
+    f"""with {o.POINTS}, p as (select vec_id, cast(label >= 2 as int) as kind, lon * 1000 as x, lat * 1000 as y from points),
+ m as (select a.vec_id, any_value(a.kind) as kind, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) as nn from p a join p b on a.vec_id <> b.vec_id and a.kind = b.kind group by 1)
+ select kind, count(*) as n, {o.rounded("min(nn)", alias="min")}, {o.rounded("median(nn)", alias="median")}, {o.rounded("avg(nn)", alias="mean")}, {o.rounded("max(nn)", alias="max")}, """
+    + ", ".join(o.rounded(f"avg(case when nn < {x} then 1.0 else 0.0 end)", alias=f"below_{x}") for x in (5, 20, 100))
+    + " from m group by kind"
+)
+def nn_by_class(spark, d):
+    """Distances between places of one class, as an audit of leakage asks for them."""
+    p = t.points(spark, d).select("vec_id", (F.col("label") >= 2).cast("int").alias("kind"), (F.col("lon") * 1000).alias("x"), (F.col("lat") * 1000).alias("y"))
+    return rounded(spatial.distance_shares(spatial.nearest_distance(p, "vec_id", by="kind"), (5, 20, 100), by="kind"), ["kind", "n"])
 
 
 @query("select l_suppkey, l_orderkey, l_linenumber, l_quantity from lineitem qualify row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_quantity) <= 20")

@@ -31,7 +31,7 @@ def test_nearest_of_odd_rows(spark):
     dense = rng.normal(0, 1e-3, (400, 2)).tolist()
     points = [*dense, [50.0, 50.0], [50.0, 50.0], [900.0, -3.0], [float("nan"), 1.0], [None, 1.0]]
     df = spark.createDataFrame([(k, *p) for k, p in enumerate(points)], "k int, x double, y double")
-    got = {r.k: r.nn for r in spatial.nearest_distance(df, "k", cell=16.0).collect()}
+    got = {r.k: r.nn for r in spatial.nearest_distance(df, "k").collect()}
     xy = np.array(points[:-2], float)
     away = np.hypot(*(xy[:, None] - xy[None]).transpose(2, 0, 1))
     np.fill_diagonal(away, np.inf)

@@ -112,7 +112,7 @@ def test_distances(spark):
     p = rng.uniform(0, 100, (60, 2))
     df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(p)], "k int, x double, y double")
     d = np.hypot(*(p[:, None] - p[None]).transpose(2, 0, 1)) + np.diag([np.inf] * 60)
-    got = {r.k: r.nn for r in spatial.nearest_distance(df, "k", cell=2.0).collect()}
+    got = {r.k: r.nn for r in spatial.nearest_distance(df, "k").collect()}
     assert [got[i] for i in range(60)] == pytest.approx(d.min(axis=1).tolist())
     far = spatial.buffered_antijoin(df.where("k < 30"), df.where("k >= 30"), 8.0)
     assert {r.k for r in far.collect()} == {i for i in range(30) if d[i, 30:].min() >= 8}
