@@ -10,10 +10,13 @@ give candidates, the sets themselves give links:
   and `RADIUS` bits are about four standard deviations above the number that differ.
 * At that radius no band of bits must be equal, so shards are values of bits drawn at random: as many bits
   (`width`) as leave about `SHARD_NODES` nodes to a value, drawn anew so often (`tables`) that a pair of
-  similarity 0.8 shares none with probability `MISS`. (Of sets below ten shingles, whose bits are coarser,
-  more are missed: 0.05 of the pairs of four and five.)
-* Each shard has a BK-tree. In a shard of more than `TREE_NODES` nodes all are candidates of one another:
-  they are linked to its smallest node, in any number of tasks.
+  similarity 0.8 shares none with probability `MISS`.
+* Each shard has a BK-tree. A shard of more than `TREE_NODES` nodes is dealt into blocks, and each pair of
+  blocks has a task: the tree of one, which the other's nodes search. A subtree whose nodes are all linked with
+  the one that searches is passed over, so families of thousands of near copies cost little more than their size.
+* Pairs with a set below `SHORT` shingles, whose fingerprints are coarse, are found exactly instead: such sets
+  differ in two shingles at most, so what is left of both without one or two shingles is equal. Sets that share
+  such a rest are linked to its smallest node.
 * Nodes that candidates connect are a candidate group. Only the sets of such nodes are made, after a bitmap
   of fixed size has left out most other rows, and each goes to the task of its group.
 * A group of more than `block_rows` nodes is dealt into blocks, to each of which its smallest node is added.
@@ -43,7 +46,9 @@ BITS = 192
 RADIUS = 48
 MISS = 0.005
 SHARD_NODES = 32
-TREE_NODES = 512
+TREE_NODES = 4096
+#: Sets with fewer shingles are found by what is left of them without a few; so are those they can be similar to.
+SHORT = 10
 BLOCK_ROWS = 256
 MARKS = 1 << 26
 _LANES = BITS // 64
@@ -85,6 +90,19 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def rests(hashes: np.ndarray, least: float = LEAST) -> list[int]:
+    """Hashes of a set and of all its parts that it can have in common with a set similar to it, of which one is
+    below SHORT; none for larger sets. They are sums, and the number of shingles left."""
+    n, total = len(hashes), int(hashes.sum(dtype=np.uint64))
+    if least * n > SHORT - 1:
+        return []
+    h = hashes.tolist()
+    gone = [[], *([i] for i in range(n)), *([i, j] for i in range(n) for j in range(i))]
+    left = ((total - sum(h[i] for i in x), n - len(x)) for x in gone if n and n - len(x) >= least * n)
+    keys = {(t + k * 0x9E3779B97F4A7C15) & simhash._ALL for t, k in left}
+    return [k - (k >> 63 << 64) for k in sorted(keys)]
+
+
 def _set_hash(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), simhash.SEED)
 
@@ -95,19 +113,24 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text_hash, node (XXH64 of the set of shingles) and the words of the fingerprint of each row."""
+    """id, text_hash, node (XXH64 of the set of shingles), the words of the fingerprint, rests and size of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, prints = np.zeros(batch.num_rows, np.uint64), np.zeros((batch.num_rows, _LANES), np.uint64)
+            left, sizes = [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
                 found = shingles(text)
                 nodes[row], prints[row] = _set_hash(found), fingerprint(found)
+                left.append(rests(found))
+                sizes.append(len(found))
             cols = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (nodes, *prints.T)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *cols], ["id", "text_hash", "node", *_PRINT])
+            cols += [pa.array(left, pa.list_(pa.int64())), pa.array(sizes, pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *cols], ["id", "text_hash", "node", *_PRINT, "rests", "size"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return _rows(docs, id_col, text_col).mapInArrow(run, f"id {kind}, text_hash bigint, node bigint, " + ", ".join(f"{p} bigint" for p in _PRINT))
+    words = ", ".join(f"{p} bigint" for p in _PRINT)
+    return _rows(docs, id_col, text_col).mapInArrow(run, f"id {kind}, text_hash bigint, node bigint, {words}, rests array<bigint>, size int")
 
 
 def _shards(nodes: DataFrame, width: int, tables: int) -> DataFrame:
@@ -130,34 +153,63 @@ def _shards(nodes: DataFrame, width: int, tables: int) -> DataFrame:
     return kept.mapInArrow(run, "node bigint, " + ", ".join(f"{p} bigint" for p in _PRINT) + ", keys array<bigint>").select("node", *_PRINT, F.explode("keys").alias("key"))
 
 
-def _linked(nodes: list[int], prints: list[int], radius: int) -> Iterator[tuple[int, int]]:
-    """(node, smallest node it is linked with here) of one shard's nodes, through its BK-tree."""
-    tree, first, parent = simhash.BKTree(radius), {}, {}
+def _linked(nodes: list[int], prints: list[int], asking: list[bool], radius: int) -> list[tuple[int, int]]:
+    """(node, smallest node it is linked with here) of one task's nodes, through a BK-tree. Nodes that do not ask are
+    only in the tree. A tree node is its value, its children by distance, a node of its subtree, and whether the
+    subtree has nodes that are not linked with that one."""
+    parent = {x: x for x in nodes}
 
     def top(x: int) -> int:
-        while (up := parent.setdefault(x, x)) != x:
+        while (up := parent[x]) != x:
             parent[x] = x = parent[up]
         return x
 
-    for node, x in zip(nodes, prints, strict=True):
-        for y in tree.near(x):
-            a, b = top(node), top(first[y])
-            parent[max(a, b)] = min(a, b)
-        if x not in first:
-            tree.add(x)
-            first[x] = node
-    return ((x, r) for x in parent if (r := top(x)) != x)
+    root: list | None = None
+    for node, x, asks in zip(nodes, prints, asking, strict=True):
+        own, todo = node, [root] if root and asks else []
+        while todo:
+            value, children, other, mixed = todo.pop()
+            if not mixed and top(other) == own:
+                continue
+            d = (value[0] ^ x).bit_count()
+            if d <= radius:
+                b = top(value[1])
+                if b != own:
+                    parent[max(own, b)] = own = min(own, b)
+            if len(children) <= 2 * radius:
+                todo.extend(c for k, c in children.items() if -radius <= k - d <= radius)
+            else:
+                todo.extend(children[k] for k in range(max(d - radius, 1), d + radius + 1) if k in children)
+        if root is None:
+            root = [(x, node), {}, node, False]
+            continue
+        at = root
+        while True:
+            if not at[3] and top(at[2]) != own:
+                at[3] = True
+            d = (at[0][0] ^ x).bit_count()
+            if d not in at[1]:
+                at[1][d] = [(x, node), {}, node, False]  # d is 0 for another node of the same fingerprint
+                break
+            at = at[1][d]
+    return [(x, r) for x in parent if (r := top(x)) != x]
 
 
 def candidates(nodes: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NODES) -> DataFrame:
     """Edges (a, b) between nodes (node and fingerprint of each) that connect just what candidates connect."""
     shards = _shards(nodes, *plan(nodes.count()))
-    full = shards.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where(F.col("n") > tree_nodes).select("key", "b")
-    full = stored(full, "full-shards")
-    marked = shards.join(full, "key", "left")
+    full = shards.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > tree_nodes)
+    full = stored(full.select("key", F.ceil(F.col("n") / tree_nodes).cast("int").alias("of")), "full-shards")
+    block = F.expr("cast(pmod(xxhash64(node), coalesce(of, 1)) as int)")
+    dealt = shards.join(full, "key", "left").withColumn("block", block)
+    other = F.explode(F.when(F.col("of") > 1, F.sequence(F.lit(0), F.col("of") - 1)).otherwise(F.array(F.lit(0))))
+    tasks = dealt.select("key", "node", *_PRINT, "block", other.alias("other"))
+    tasks = tasks.select("key", F.least("block", "other").alias("tree"), F.greatest("block", "other").alias("query"), "node", *_PRINT, "block")
+    tasks = tasks.select("key", "tree", "query", (F.col("block") == F.col("query")).alias("asks"), "node", *_PRINT)
+    keys = ["key", "tree", "query"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, nodes, prints, out = None, [], [], []
+        at, nodes, prints, asking, out = None, [], [], [], []
 
         def batch_of() -> pa.RecordBatch:
             made = pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
@@ -165,29 +217,36 @@ def candidates(nodes: DataFrame, radius: int = RADIUS, tree_nodes: int = TREE_NO
             return made
 
         for batch in batches:
-            key = batch.column(0).to_numpy()
-            node = batch.column(1).to_pylist()
-            words = [batch.column(k + 2).to_numpy().view(np.uint64).tolist() for k in range(_LANES)]
-            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            where = np.column_stack([batch.column(k).to_numpy() for k in range(3)])
+            asks, node = (batch.column(k).to_pylist() for k in (3, 4))
+            words = [batch.column(k + 5).to_numpy().view(np.uint64).tolist() for k in range(_LANES)]
+            cuts = [0, *(np.flatnonzero((where[1:] != where[:-1]).any(axis=1)) + 1).tolist(), len(where)]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 if lo == hi:
                     continue
-                if at != key[lo]:
+                if at != tuple(where[lo]):
                     if len(nodes) > 1:
-                        out.extend(_linked(nodes, prints, radius))
-                    at, nodes, prints = key[lo], [], []
+                        out.extend(_linked(nodes, prints, asking, radius))
+                    at, nodes, prints, asking = tuple(where[lo]), [], [], []
                 nodes += node[lo:hi]
+                asking += asks[lo:hi]
                 prints += [sum(w << (64 * k) for k, w in enumerate(x)) for x in zip(*(w[lo:hi] for w in words), strict=True)]
             if len(out) > 10_000:
                 yield batch_of()
         if len(nodes) > 1:
-            out.extend(_linked(nodes, prints, radius))
+            out.extend(_linked(nodes, prints, asking, radius))
         if out:
             yield batch_of()
 
-    small = marked.where("b is null").select("key", "node", *_PRINT)
-    found = small.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint")
-    return found.union(marked.where("b is not null").select(F.col("node").alias("a"), "b")).where("a <> b").distinct()
+    found = tasks.repartition(*keys).sortWithinPartitions(*keys, "asks").mapInArrow(run, "a bigint, b bigint")
+    return found.where("a <> b").distinct()
+
+
+def short_candidates(nodes: DataFrame) -> DataFrame:
+    """Edges (a, b) between nodes (node, rests) that share a rest, each to the smallest of those that do."""
+    keyed = nodes.select("node", F.explode("rests").alias("rest"))
+    least = keyed.groupBy("rest").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1").select("rest", "b")
+    return keyed.join(least, "rest").select(F.col("node").alias("a"), "b").where("a <> b").distinct()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -255,11 +314,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leas
     """id_col, text_hash and root (the group's smallest node) of each row."""
     marked = stored(marks(docs, id_col, text_col), "marks")
     row = F.min(F.struct(F.col("id").isNull().alias("no"), "id", "text_hash"))
-    of_set = [F.min(p).alias(p) for p in _PRINT]  # equal sets have one fingerprint
-    nodes = marked.groupBy("node").agg(row.alias("row"), *of_set).select("node", F.xxhash64("row.id", "row.text_hash").alias("key"), *_PRINT)
+    of_set = [F.min(p).alias(p) for p in (*_PRINT, "rests", "size")]  # equal sets have one fingerprint
+    nodes = marked.groupBy("node").agg(row.alias("row"), *of_set).select("node", F.xxhash64("row.id", "row.text_hash").alias("key"), *_PRINT, "rests", "size")
     nodes = stored(nodes, "nodes")
 
-    near = simhash.components(candidates(nodes))
+    near = candidates(nodes.where(F.col("size") >= SHORT)).union(short_candidates(nodes))
+    near = simhash.components(near)
     sizes = near.groupBy("root").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
     block = lambda n: F.expr(f"cast(pmod(xxhash64(node), {n}) as int)")
     dealt = stored(near.join(sizes, "root").withColumnRenamed("root", "grp").withColumn("block", block("blocks")).join(nodes.select("node", "key"), "node"), "candidates")
