@@ -2,32 +2,86 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronopanel.functions import indices
 from chronopanel.operators import series
 
 EPS = 1e-8
 KEYS = series.KEYS
 
 
+@dataclass
+class Part:
+    """A family of features of a series: columns along the steps, aggregates of them, and the features from these.
+    Names of columns and aggregates begin with the part's own prefix, so that parts can be computed together."""
+
+    along: Callable[[DataFrame], DataFrame]
+    aggregates: dict[str, Column]
+    features: dict[str, Column]
+
+
+def together(df: DataFrame, parts: dict[str, Part]) -> DataFrame:
+    """A row for each entity and band with the features of all parts, each after its part's name: one chain of windows
+    and one aggregate, whatever the number of parts."""
+    for part in parts.values():
+        df = part.along(df)
+    a = df.groupBy(*KEYS).agg(*[c.alias(n) for part in parts.values() for n, c in part.aggregates.items()])
+    return a.select(*KEYS, *[c.alias(name + n) for name, part in parts.items() for n, c in part.features.items()])
+
+
+def _alone(df: DataFrame, part: Part) -> DataFrame:
+    return together(df, {"": part})
+
+
 def _cv(mean: Column, std: Column) -> Column:
     return F.when(F.abs(mean) > EPS, std / (F.abs(mean) + EPS)).otherwise(F.lit(0.0))
 
 
+def _quantiles(v: str) -> Column:
+    return F.percentile(v, F.array(*[F.lit(x) for x in (0.1, 0.25, 0.5, 0.75, 0.9)]))
+
+
+def _area(v: str) -> Column:
+    """Of the trapezoids between steps; nulls count as 0."""
+    steps = F.struct("step", F.coalesce(v, F.lit(0.0)).alias("v"))
+    return F.sum(F.coalesce(v, F.lit(0.0))) - (F.min(steps)["v"] + F.max(steps)["v"]) / 2
+
+
+def stats_part(v: str = "v", p: str = "") -> Part:
+    c = lambda n: F.col(p + n)
+    aggregates = {f"{p}min": F.min(v), f"{p}max": F.max(v), f"{p}mean": F.avg(v), f"{p}std": F.stddev_pop(v), f"{p}q": _quantiles(v)}
+    quantiles = {n: F.get(c("q"), i) for i, n in enumerate(("p10", "p25", "median", "p75", "p90"))}
+    spread = {"std": c("std"), "range": c("max") - c("min"), "cv": F.when(c("mean").isNotNull(), _cv(c("mean"), c("std")))}
+    return Part(lambda d: d, aggregates, {"min": c("min"), "max": c("max"), "mean": c("mean")} | quantiles | spread)
+
+
 def temporal_stats(df: DataFrame, v: str = "v") -> DataFrame:
     """Eleven statistics; nulls take no part."""
-    q = F.percentile(v, F.array(*[F.lit(x) for x in (0.1, 0.25, 0.5, 0.75, 0.9)]))
-    a = df.groupBy(*KEYS).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), q.alias("q"))
-    names = ("p10", "p25", "median", "p75", "p90")
-    return a.select(*KEYS, "min", "max", "mean", *[F.get("q", i).alias(n) for i, n in enumerate(names)], "std", (F.col("max") - F.col("min")).alias("range"), F.when(F.col("mean").isNotNull(), _cv(F.col("mean"), F.col("std"))).alias("cv"))
+    return _alone(df, stats_part(v))
 
 
-def seasonal(df: DataFrame, month: Column, wet: tuple[int, ...] = (6, 7, 8, 9), v: str = "v") -> DataFrame:
+def seasonal_part(month: Column, wet: tuple[int, ...] = (6, 7, 8, 9), v: str = "v", p: str = "") -> Part:
     inside = F.coalesce(month.isin(*wet), F.lit(False))
     of = lambda c, f: f(F.when(c, F.col(v)))
-    a = df.groupBy(*KEYS).agg(of(inside, F.avg).alias("wet_mean"), of(inside, F.stddev_pop).alias("wet_std"), of(~inside, F.avg).alias("dry_mean"), of(~inside, F.stddev_pop).alias("dry_std"))
-    return a.withColumn("contrast", F.col("dry_mean") - F.col("wet_mean"))
+    aggregates = {f"{p}wet_mean": of(inside, F.avg), f"{p}wet_std": of(inside, F.stddev_pop), f"{p}dry_mean": of(~inside, F.avg), f"{p}dry_std": of(~inside, F.stddev_pop)}
+    contrast = {"contrast": F.col(f"{p}dry_mean") - F.col(f"{p}wet_mean")}
+    return Part(lambda d: d, aggregates, {n: F.col(p + n) for n in ("wet_mean", "wet_std", "dry_mean", "dry_std")} | contrast)
+
+
+def seasonal(df: DataFrame, month: Column, wet: tuple[int, ...] = (6, 7, 8, 9), v: str = "v") -> DataFrame:
+    return _alone(df, seasonal_part(month, wet, v))
+
+
+def years_part(year: Column, first: int, second: int, v: str = "v", p: str = "") -> Part:
+    """interannual() of two years that are known."""
+    change = F.col(f"{p}b") - F.col(f"{p}a")
+    aggregates = {p + n: F.avg(F.when(year == y, F.col(v))) for n, y in (("a", first), ("b", second))}
+    return Part(lambda d: d, aggregates, {"year_diff": change, "stability": F.exp(-F.abs(change))})
 
 
 def interannual(df: DataFrame, year: Column, v: str = "v") -> DataFrame:
@@ -38,94 +92,130 @@ def interannual(df: DataFrame, year: Column, v: str = "v") -> DataFrame:
     return two.select(*KEYS, (F.col("b") - F.col("a")).alias("year_diff"), F.exp(-F.abs(F.col("b") - F.col("a"))).alias("stability"))
 
 
+def shape_part(v: str = "v", p: str = "") -> Part:
+    c = lambda n: F.col(p + n)
+    moment = lambda k: F.avg(F.pow(F.col(v) - c("__m"), F.lit(k)))
+    aggregates = {
+        "mean": F.avg(v), "max": F.max(v), "min": F.min(v), "std": F.stddev_pop(v), "q": _quantiles(v), "n": F.count(v),
+        "m2": moment(2), "m3": moment(3), "m4": moment(4), "auc": _area(v),
+    }
+    p10, p25, p50, p75, p90 = (F.get(c("q"), i) for i in range(5))
+    enough = (c("n") > 3) & (c("m2") > 0)
+    return Part(
+        lambda d: d.withColumn(p + "__m", F.avg(v).over(series.whole())),
+        {p + n: x for n, x in aggregates.items()},
+        {n: c(n) for n in ("mean", "max", "min", "std")}
+        | {"range": c("max") - c("min"), "p10": p10, "p25": p25, "p50": p50, "p75": p75, "p90": p90, "iqr": p75 - p25, "cv": _cv(c("mean"), c("std"))}
+        | {
+            "skewness": F.when(enough, F.try_divide(c("m3"), F.pow(c("m2"), F.lit(1.5)))).otherwise(0.0),
+            "kurtosis": F.when(enough, F.try_divide(c("m4"), c("m2") * c("m2")) - 3).otherwise(0.0),
+            "auc": c("auc"), "amplitude": c("max") - p10, "peak_trough": F.when(F.abs(p10) > EPS, p90 / (F.abs(p10) + EPS)).otherwise(0.0),
+        },
+    )
+
+
 def shape(df: DataFrame, v: str = "v") -> DataFrame:
     """Seventeen statistics of a curve; skewness and excess kurtosis are biased, 0 with three values or fewer."""
-    steps = F.struct("step", F.coalesce(v, F.lit(0.0)).alias("v"))
-    moment = lambda k: F.avg(F.pow(F.col(v) - F.col("__m"), F.lit(k)))
-    d = df.withColumn("__m", F.avg(v).over(series.whole()))
-    q = F.percentile(v, F.array(*[F.lit(x) for x in (0.1, 0.25, 0.5, 0.75, 0.9)]))
-    a = d.groupBy(*KEYS).agg(
-        F.avg(v).alias("mean"), F.max(v).alias("max"), F.min(v).alias("min"), F.stddev_pop(v).alias("std"), q.alias("q"), F.count(v).alias("n"),
-        moment(2).alias("m2"), moment(3).alias("m3"), moment(4).alias("m4"),
-        (F.sum(F.coalesce(v, F.lit(0.0))) - (F.min(steps)["v"] + F.max(steps)["v"]) / 2).alias("auc"),
-    )
-    p10, p25, p50, p75, p90 = (F.get("q", i) for i in range(5))
-    enough = (F.col("n") > 3) & (F.col("m2") > 0)
-    return a.select(
-        *KEYS, "mean", "max", "min", "std", (F.col("max") - F.col("min")).alias("range"), p10.alias("p10"), p25.alias("p25"), p50.alias("p50"), p75.alias("p75"), p90.alias("p90"), (p75 - p25).alias("iqr"),
-        _cv(F.col("mean"), F.col("std")).alias("cv"),
-        F.when(enough, F.try_divide(F.col("m3"), F.pow("m2", F.lit(1.5)))).otherwise(0.0).alias("skewness"),
-        F.when(enough, F.try_divide(F.col("m4"), F.col("m2") * F.col("m2")) - 3).otherwise(0.0).alias("kurtosis"),
-        "auc", (F.col("max") - p10).alias("amplitude"), F.when(F.abs(p10) > EPS, p90 / (F.abs(p10) + EPS)).otherwise(0.0).alias("peak_trough"),
-    )
+    return _alone(df, shape_part(v))
+
+
+def duration_part(thresholds: tuple[float, ...] = (0.4, 0.5, 0.6, 0.7), v: str = "v", p: str = "") -> Part:
+    tags = {f"{round(t * 10):02d}": t for t in thresholds}
+
+    def along(d: DataFrame) -> DataFrame:
+        for tag, t in tags.items():
+            d = series.runs(d, F.col(v) > t, f"{p}__s{tag}")
+        return d
+
+    aggregates = {}
+    for tag, t in tags.items():
+        above = F.count_if(F.col(v) > t)
+        aggregates |= {f"{p}above_{tag}": above, f"{p}frac_{tag}": above / F.count("*"), f"{p}streak_{tag}": F.max(f"{p}__s{tag}").cast("bigint")}
+    green = F.when(F.col(v) > 0.5, F.col("step"))
+    aggregates[f"{p}green_span"] = (F.coalesce(F.max(green), F.lit(0)) - F.coalesce(F.min(green).cast("bigint"), F.count("*"))).cast("bigint")
+    return Part(along, aggregates, {n.removeprefix(p): F.col(n) for n in aggregates})
 
 
 def duration(df: DataFrame, thresholds: tuple[float, ...] = (0.4, 0.5, 0.6, 0.7), v: str = "v") -> DataFrame:
     """Steps, share of steps and longest run above each threshold, and the span from the first to the last
     step above 0.5 (minus the number of steps if there is none)."""
-    d, tag = df, lambda t: f"{round(t * 10):02d}"
-    for t in thresholds:
-        d = series.runs(d, F.col(v) > t, f"__s{tag(t)}")
-    aggs = []
-    for t in thresholds:
-        above = F.count_if(F.col(v) > t)
-        aggs += [above.alias(f"above_{tag(t)}"), (above / F.count("*")).alias(f"frac_{tag(t)}"), F.max(f"__s{tag(t)}").cast("bigint").alias(f"streak_{tag(t)}")]
-    green = F.when(F.col(v) > 0.5, F.col("step"))
-    span = F.coalesce(F.max(green), F.lit(0)) - F.coalesce(F.min(green).cast("bigint"), F.count("*"))
-    return d.groupBy(*KEYS).agg(*aggs, span.cast("bigint").alias("green_span"))
+    return _alone(df, duration_part(thresholds, v))
+
+
+def dynamics_part(v: str = "v", p: str = "") -> Part:
+    c = lambda n: F.col(p + n)
+    x, m = F.col(v), c("__m")
+
+    def along(d: DataFrame) -> DataFrame:
+        valid = Window.partitionBy(*KEYS, x.isNotNull()).orderBy("step")
+        d = series.differences(d, v, p + "d1", p + "d2")
+        return d.withColumns({p + "__m": F.avg(v).over(series.whole()), p + "__next": F.lead(v).over(valid), p + "__prev": F.lag(v).over(valid)})
+
+    rise = x.isNotNull() & (x > m) & (c("__prev") <= m)
+    aggregates = {
+        "max_rise": F.max(c("d1")), "max_fall": F.min(c("d1")), "mean_abs_change": F.avg(F.abs(c("d1"))), "roughness": F.stddev_pop(c("d1")), "sd2": F.stddev_pop(c("d2")),
+        "cov": F.sum((x - m) * (c("__next") - m)), "var": F.avg((x - m) * (x - m)), "n": F.count(v), "rises": F.count_if(rise),
+    }
+    lag1 = F.when((c("n") > 4) & (c("var") > EPS), F.try_divide(c("cov"), (c("n") - 1) * c("var"))).otherwise(0.0)
+    features = {n: c(n) for n in ("max_rise", "max_fall", "mean_abs_change", "roughness")}
+    features |= {"smoothness": 1 / (c("sd2") + EPS), "autocorr_lag1": lag1, "n_peaks": F.when(c("n") > 4, c("rises")).otherwise(0)}
+    return Part(along, {p + n: a for n, a in aggregates.items()}, features)
 
 
 def dynamics(df: DataFrame, v: str = "v") -> DataFrame:
     """Changes between steps, smoothness, lag-1 autocorrelation and number of rises above the mean. Nulls are
     removed before values are paired for the last two, which are 0 with four values or fewer."""
-    valid = Window.partitionBy(*KEYS, F.col(v).isNotNull()).orderBy("step")
-    d = series.differences(df, v).withColumns({"__m": F.avg(v).over(series.whole()), "__next": F.lead(v).over(valid), "__prev": F.lag(v).over(valid)})
-    x, m = F.col(v), F.col("__m")
-    rise = x.isNotNull() & (x > m) & (F.col("__prev") <= m)
-    a = d.groupBy(*KEYS).agg(
-        F.max("d1").alias("max_rise"), F.min("d1").alias("max_fall"), F.avg(F.abs("d1")).alias("mean_abs_change"), F.stddev_pop("d1").alias("roughness"), F.stddev_pop("d2").alias("sd2"),
-        F.sum((x - m) * (F.col("__next") - m)).alias("cov"), F.avg((x - m) * (x - m)).alias("var"), F.count(v).alias("n"), F.count_if(rise).alias("rises"),
-    )
-    return a.select(
-        *KEYS, "max_rise", "max_fall", "mean_abs_change", "roughness", (1 / (F.col("sd2") + EPS)).alias("smoothness"),
-        F.when((F.col("n") > 4) & (F.col("var") > EPS), F.try_divide(F.col("cov"), (F.col("n") - 1) * F.col("var"))).otherwise(0.0).alias("autocorr_lag1"),
-        F.when(F.col("n") > 4, F.col("rises")).otherwise(0).alias("n_peaks"),
-    )
+    return _alone(df, dynamics_part(v))
+
+
+def phenology_part(threshold: float = 0.3, v: str = "v", p: str = "") -> Part:
+    c = lambda n: F.col(p + n)
+
+    def along(d: DataFrame) -> DataFrame:
+        d = series.differences(d, v, p + "d1", p + "d2")
+        d = d.withColumns({p + "__peak": F.max(v).over(series.whole()), p + "__above": F.coalesce(F.col(v) > threshold, F.lit(False))})
+        before = series.order().rowsBetween(Window.unboundedPreceding, -1)
+        first = F.coalesce(F.min(F.when(F.col(v) == c("__peak"), F.col("step"))).over(series.whole()), F.lit(0))
+        return d.withColumns({p + "__i": first, p + "__last": F.last(F.when(c("__above"), F.col("step")), ignorenulls=True).over(before)})
+
+    half = F.when((F.col("step") <= c("__i")) & (F.col(v) >= 0.5 * c("__peak")), F.col("step"))
+    new = c("__above") & (c("__last").isNull() | (F.col("step") - c("__last") >= 3))
+    aggregates = {
+        "peak_value": F.max(v), "peak_idx": F.max(c("__i")), "greenup_half": F.coalesce(F.min(half), F.max(c("__i"))), "season_length": F.count_if(c("__above")), "n_seasons": F.count_if(new),
+        "auc": _area(v), "max_rise": F.max(c("d1")), "max_fall": F.min(c("d1")), "p10": F.percentile(v, F.lit(0.1)), "sd2": F.stddev_pop(c("d2")),
+    }
+    features = {n: c(n) for n in ("auc", "peak_value", "peak_idx", "greenup_half", "max_rise", "max_fall", "season_length", "n_seasons")}
+    features["amplitude"] = c("peak_value") - c("p10")
+    features["asymmetry"] = F.when(c("season_length") > 0, (c("peak_idx") - c("greenup_half")) / (c("season_length") + EPS)).otherwise(0.0)
+    features["smoothness"] = 1 / (c("sd2") + EPS)
+    return Part(along, {p + n: a for n, a in aggregates.items()}, features)
 
 
 def phenology(df: DataFrame, threshold: float = 0.3, v: str = "v") -> DataFrame:
     """Peak, green-up, season and growth features of a curve (usually filled and smoothed)."""
-    d = series.differences(df, v).withColumns({"__peak": F.max(v).over(series.whole()), "__above": F.coalesce(F.col(v) > threshold, F.lit(False))})
-    before = series.order().rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumns({"__i": F.coalesce(F.min(F.when(F.col(v) == F.col("__peak"), F.col("step"))).over(series.whole()), F.lit(0)), "__last": F.last(F.when(F.col("__above"), F.col("step")), ignorenulls=True).over(before)})
-    half = F.when((F.col("step") <= F.col("__i")) & (F.col(v) >= 0.5 * F.col("__peak")), F.col("step"))
-    new = F.col("__above") & (F.col("__last").isNull() | (F.col("step") - F.col("__last") >= 3))
-    steps = F.struct("step", F.coalesce(v, F.lit(0.0)).alias("v"))
-    a = d.groupBy(*KEYS).agg(
-        F.max(v).alias("peak_value"), F.max("__i").alias("peak_idx"), F.coalesce(F.min(half), F.max("__i")).alias("greenup_half"), F.count_if("__above").alias("season_length"), F.count_if(new).alias("n_seasons"),
-        (F.sum(F.coalesce(v, F.lit(0.0))) - (F.min(steps)["v"] + F.max(steps)["v"]) / 2).alias("auc"), F.max("d1").alias("max_rise"), F.min("d1").alias("max_fall"), F.percentile(v, F.lit(0.1)).alias("p10"), F.stddev_pop("d2").alias("sd2"),
-    )
-    return a.select(
-        *KEYS, "auc", "peak_value", "peak_idx", "greenup_half", "max_rise", "max_fall", "season_length", "n_seasons", (F.col("peak_value") - F.col("p10")).alias("amplitude"),
-        F.when(F.col("season_length") > 0, (F.col("peak_idx") - F.col("greenup_half")) / (F.col("season_length") + EPS)).otherwise(0.0).alias("asymmetry"), (1 / (F.col("sd2") + EPS)).alias("smoothness"),
-    )
+    return _alone(df, phenology_part(threshold, v))
+
+
+def _anchored_part(phase: Callable[[int], Column], v: str, p: str) -> Part:
+    early, peak, late = (F.col(p + n) for n in ("early", "peak", "late"))
+    aggregates = {p + n: F.avg(F.when(phase(k), F.col(v))) for k, n in enumerate(("early", "peak", "late"))}
+    return Part(lambda d: d, aggregates, {"early": early, "peak": peak, "late": late, "amp": peak - early, "rise": (peak - early) / 3, "fall": (peak - late) / 4})
+
+
+def window_part(steps: int, v: str = "v", p: str = "") -> Part:
+    q, mid = max(1, steps // 4), steps // 2
+    spans = ((0, q - 1), (mid - 2, mid + 2), (steps - q, steps - 1))
+    return _anchored_part(lambda k: F.col("step").between(*spans[k]), v, p)
 
 
 def window_anchored(df: DataFrame, steps: int, v: str = "v") -> DataFrame:
     """Mean early, around the middle and late, and the differences between them."""
-    q, mid = max(1, steps // 4), steps // 2
-    mean = lambda a, b: F.avg(F.when(F.col("step").between(a, b), F.col(v)))
-    a = df.groupBy(*KEYS).agg(mean(0, q - 1).alias("early"), mean(mid - 2, mid + 2).alias("peak"), mean(steps - q, steps - 1).alias("late"))
-    early, peak, late = F.col("early"), F.col("peak"), F.col("late")
-    return a.select("*", (peak - early).alias("amp"), ((peak - early) / 3).alias("rise"), ((peak - late) / 4).alias("fall"))
+    return _alone(df, window_part(steps, v))
 
 
 def month_anchored(df: DataFrame, month: Column, phases: tuple[tuple[int, ...], ...] = ((5,), (8, 9), (12, 1)), v: str = "v") -> DataFrame:
     """As window_anchored(), with calendar months for the early, middle and late phase."""
-    mean = lambda m: F.avg(F.when(month.isin(*m), F.col(v)))
-    a = df.groupBy(*KEYS).agg(*[mean(m).alias(n) for m, n in zip(phases, ("early", "peak", "late"), strict=True)])
-    early, peak, late = F.col("early"), F.col("peak"), F.col("late")
-    return a.select("*", (peak - early).alias("amp"), ((peak - early) / 3).alias("rise"), ((peak - late) / 4).alias("fall"))
+    return _alone(df, _anchored_part(lambda k: month.isin(*phases[k]), v, ""))
 
 
 def radar_phenology(df: DataFrame, v: str = "v", share: float = 0.75) -> DataFrame:
@@ -141,30 +231,63 @@ def radar_phenology(df: DataFrame, v: str = "v", share: float = 0.75) -> DataFra
     )
 
 
+def harmonics_part(steps: int, v: str = "v", p: str = "") -> Part:
+    c = lambda n: F.col(p + n)
+    mean, x = F.avg(v).over(series.whole()), c("__x")
+    waves = range(1, steps // 2 + 1)
+    angle = lambda k: F.lit(2 * 3.141592653589793 / steps) * k * F.col("step")
+    aggregates = {f"{p}re{k}": F.sum(x * F.cos(angle(k))) for k in waves} | {f"{p}im{k}": -F.sum(x * F.sin(angle(k))) for k in waves}
+    amp = {k: F.sqrt(c(f"re{k}") * c(f"re{k}") + c(f"im{k}") * c(f"im{k}")) / steps for k in waves}
+    total = sum((a * a for a in amp.values()), F.lit(0.0))
+    share = {k: a * a / (total + EPS) for k, a in amp.items()}
+    none = F.lit(None).cast("double")
+    features = {f"amp{k}": amp.get(k, none) for k in (1, 2, 3)}
+    features |= {f"phase{k}": F.atan2(c(f"im{k}"), c(f"re{k}")) if k in waves else none for k in (1, 2)}
+    features |= {"dominance": share.get(1, none), "entropy": -sum((s * F.ln(s + EPS) for s in share.values()), F.lit(0.0))}
+    return Part(lambda d: d.withColumn(p + "__x", F.coalesce(F.col(v), mean) - mean), aggregates, features)
+
+
 def harmonics(df: DataFrame, steps: int, v: str = "v") -> DataFrame:
     """Amplitudes and phases of the discrete Fourier transform, dominance of the first and spectral entropy.
     Nulls take the series' mean."""
-    mean = F.avg(v).over(series.whole())
-    x = df.withColumn("__x", F.coalesce(F.col(v), mean) - mean).select(*KEYS, "step", "__x", F.explode(F.sequence(F.lit(1), F.lit(steps // 2))).alias("k"))
-    angle = F.lit(2 * 3.141592653589793 / steps) * F.col("k") * F.col("step")
-    f = x.groupBy(*KEYS, "k").agg(F.sum(F.col("__x") * F.cos(angle)).alias("re"), (-F.sum(F.col("__x") * F.sin(angle))).alias("im"))
-    f = f.withColumns({"amp": F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")) / steps}).withColumn("e", F.col("amp") * F.col("amp"))
-    total = F.sum("e").over(series.whole())
-    f = f.withColumn("p", F.col("e") / (total + EPS))
-    of = lambda c, k: F.max(F.when(F.col("k") == k, c))
-    phase = F.atan2("im", "re")
-    return f.groupBy(*KEYS).agg(
-        of(F.col("amp"), 1).alias("amp1"), of(F.col("amp"), 2).alias("amp2"), of(F.col("amp"), 3).alias("amp3"), of(phase, 1).alias("phase1"), of(phase, 2).alias("phase2"), of(F.col("p"), 1).alias("dominance"), (-F.sum(F.col("p") * F.ln(F.col("p") + EPS))).alias("entropy")
-    )
+    return _alone(df, harmonics_part(steps, v))
+
+
+def radar_structure(w: DataFrame, vv: str = "VV", vh: str = "VH") -> DataFrame:
+    """Thirteen statistics of the radar bands and their ratios, of each entity of a wide table."""
+    s = w.select("entity", indices.index("CR", VV=vv, VH=vh).alias("cr"), indices.index("RVI", VV=vv, VH=vh).alias("rvi"), F.col(vh).alias("vh"), F.col(vv).alias("vv"))
+    two = [f(c).alias(f"{c}_{n}") for c in ("cr", "rvi", "vh", "vv") for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"))]
+    a = s.groupBy("entity").agg(*two, F.max("cr").alias("cr_max"), F.max("rvi").alias("rvi_max"), F.percentile("rvi", F.lit(0.75)).alias("rvi_p75"), F.count_if(F.col("rvi") > 0.7).alias("rvi_days_above_07"))
+    return a.withColumn("vh_cv", F.when(F.abs("vh_mean") > EPS, F.col("vh_std") / (F.abs("vh_mean") + EPS)).otherwise(0.0))
+
+
+def cross_sensor(w: DataFrame, ndvi: str = "NDVI", vv: str = "VV", vh: str = "VH") -> DataFrame:
+    """Correlation of an index with both radar bands, and its ratio to one: one aggregate of a wide table."""
+    ratio = F.try_divide(F.col(vh), F.col(ndvi) + EPS)
+    with_vh, with_vv = _pairs(ndvi, vh, "h_"), _pairs(ndvi, vv, "v_")
+    a = w.groupBy("entity").agg(*with_vh.aggregates, *with_vv.aggregates, F.avg(ratio).alias("ratio_mean"), F.stddev_pop(ratio).alias("ratio_std"))
+    return a.select("entity", with_vh.r(5, 0.0).alias("corr_vh"), with_vv.r(5, 0.0).alias("corr_vv"), "ratio_mean", "ratio_std")
+
+
+class _pairs:
+    """Aggregates of pairs without nulls, and Pearson's r of them."""
+
+    def __init__(self, x: str, y: str, p: str = ""):
+        both = F.col(x).isNotNull() & F.col(y).isNotNull()
+        a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
+        of = {"n": F.count(a), "ma": F.avg(a), "mb": F.avg(b), "mab": F.avg(a * b), "sa": F.stddev_pop(a), "sb": F.stddev_pop(b)}
+        self.aggregates, self.p = [c.alias(p + n) for n, c in of.items()], p
+
+    def r(self, least: int, missing: float | None) -> Column:
+        n, ma, mb, mab, sa, sb = (F.col(self.p + x) for x in ("n", "ma", "mb", "mab", "sa", "sb"))
+        fine = (n >= least) & (sa >= EPS) & (sb >= EPS)
+        return F.when(fine, F.try_divide(mab - ma * mb, sa * sb)).otherwise(F.lit(missing).cast("double"))
 
 
 def correlation(df: DataFrame, x: str, y: str, by: list[str], least: int = 4, missing: float | None = None) -> DataFrame:
     """Pearson's r of pairs without nulls, `missing` with fewer than `least` pairs or without spread."""
-    both = F.col(x).isNotNull() & F.col(y).isNotNull()
-    a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
-    m = df.groupBy(*by).agg(F.count(a).alias("n"), F.avg(a).alias("ma"), F.avg(b).alias("mb"), F.avg(a * b).alias("mab"), F.stddev_pop(a).alias("sa"), F.stddev_pop(b).alias("sb"))
-    fine = (F.col("n") >= least) & (F.col("sa") >= EPS) & (F.col("sb") >= EPS)
-    return m.select(*by, F.when(fine, F.try_divide(F.col("mab") - F.col("ma") * F.col("mb"), F.col("sa") * F.col("sb"))).otherwise(F.lit(missing).cast("double")).alias("r"))
+    pairs = _pairs(x, y)
+    return df.groupBy(*by).agg(*pairs.aggregates).select(*by, pairs.r(least, missing).alias("r"))
 
 
 def tensor_aggregate(df: DataFrame, v: str = "v") -> DataFrame:

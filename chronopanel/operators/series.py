@@ -65,9 +65,9 @@ def median3(df: DataFrame, v: str = "v") -> DataFrame:
     return df.withColumn(v, F.when(b.isNotNull(), F.greatest(F.least(a, b), F.least(F.greatest(a, b), c))))
 
 
-def differences(df: DataFrame, v: str = "v") -> DataFrame:
+def differences(df: DataFrame, v: str = "v", d1: str = "d1", d2: str = "d2") -> DataFrame:
     """d1: change from the step before; d2: second difference around the step."""
-    return df.withColumns({"d1": F.col(v) - at(v, -1), "d2": at(v, 1) - 2 * F.col(v) + at(v, -1)})
+    return df.withColumns({d1: F.col(v) - at(v, -1), d2: at(v, 1) - 2 * F.col(v) + at(v, -1)})
 
 
 def runs(df: DataFrame, above: Column, name: str = "streak") -> DataFrame:

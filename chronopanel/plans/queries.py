@@ -183,8 +183,8 @@ def relative_step_rename(spark, d):
 
 
 def _steady(df: DataFrame) -> DataFrame:
-    """Smoothness is null for curves that are straight but for rounding, which decides it there."""
-    return df.withColumn("smoothness", F.when(F.col("smoothness") < 1e6, F.round("smoothness", 3)))
+    """Smoothness is at most 1e6: for curves that are straight but for rounding, rounding would decide it."""
+    return df.withColumn("smoothness", F.round(F.least(F.col("smoothness"), F.lit(1e6)), 3))
 
 
 def _phases(df: DataFrame) -> DataFrame:
@@ -225,7 +225,7 @@ _PH = f"""with {o.SMOOTHED}, a as (select *, max(v) over s as peak, v - lag(v) o
 
 
 @query(_PH + f""" select entity, band, {o.rounded("auc peak_value")}, peak_idx, greenup_half, {o.rounded("max_rise max_fall")}, season_length, n_seasons, {o.rounded("amplitude")},
- round(case when season_length > 0 then (peak_idx - greenup_half) / (season_length + 1e-8) else 0.0 end, 6) + 0.0 as asymmetry, case when sd2 > 1e-6 then round(1 / (sd2 + 1e-8), 3) + 0.0 end as smoothness from f""")
+ round(case when season_length > 0 then (peak_idx - greenup_half) / (season_length + 1e-8) else 0.0 end, 6) + 0.0 as asymmetry, case when sd2 is not null then round(least(1 / (sd2 + 1e-8), 1e6), 3) + 0.0 end as smoothness from f""")
 def phenology_curve(spark, d):
     return rounded(_steady(features.phenology(series.smooth(t.filled(spark, d)))), KEYS)
 
@@ -296,7 +296,7 @@ _DYN = f"""with {o.FILLED}, a as (select *, v - lag(v) over w as d1, lead(v) ove
  dyn as (select entity, band, max_rise, max_fall, mean_abs_change, roughness, sd2, case when n > 4 and var > 1e-8 then cov / ((n - 1) * var) else 0.0 end as autocorr_lag1, case when n > 4 then rises else 0 end as n_peaks from g)"""
 
 
-@query(_DYN + f" select entity, band, {o.rounded('max_rise max_fall mean_abs_change roughness')}, case when sd2 > 1e-6 then round(1 / (sd2 + 1e-8), 3) + 0.0 end as smoothness from dyn")
+@query(_DYN + f" select entity, band, {o.rounded('max_rise max_fall mean_abs_change roughness')}, case when sd2 is not null then round(least(1 / (sd2 + 1e-8), 1e6), 3) + 0.0 end as smoothness from dyn")
 def dynamics(spark, d):
     return rounded(_steady(features.dynamics(t.filled(spark, d)).drop("autocorr_lag1", "n_peaks")), KEYS)
 
@@ -337,11 +337,7 @@ def sar_structure(spark, d):
 
 
 def _radar(w: DataFrame) -> DataFrame:
-    s = w.select("entity", indices.index("CR", VV="signup", VH="error").alias("cr"), indices.index("RVI", VV="signup", VH="error").alias("rvi"), F.col("error").alias("vh"), F.col("signup").alias("vv"))
-    two = [f(c).alias(f"{c}_{n}") for c in ("cr", "rvi", "vh", "vv") for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"))]
-    a = s.groupBy("entity").agg(*two, F.max("cr").alias("cr_max"), F.max("rvi").alias("rvi_max"), F.percentile("rvi", F.lit(0.75)).alias("rvi_p75"), F.count_if(F.col("rvi") > 0.7).alias("rvi_days_above_07"))
-    a = a.withColumn("vh_cv", F.when(F.abs("vh_mean") > 1e-8, F.col("vh_std") / (F.abs("vh_mean") + 1e-8)).otherwise(0.0))
-    return a.withColumns({c: F.round(c, 4) for c in ("cr_mean", "cr_std", "cr_max")})
+    return features.radar_structure(w, "signup", "error").withColumns({c: F.round(c, 4) for c in ("cr_mean", "cr_std", "cr_max")})
 
 
 @query(f"""with {o.FILLED}, {o.WIDE}, a as ({_corr_sql("view", "error", "wide", 5, "0.0", "corr_vh")}), b as ({_corr_sql("view", "signup", "wide", 5, "0.0", "corr_vv")}),
@@ -351,11 +347,7 @@ def cross_sensor(spark, d):
 
 
 def _cross(w: DataFrame) -> DataFrame:
-    a = features.correlation(w, "view", "error", ["entity"], 5, 0.0).withColumnRenamed("r", "corr_vh")
-    b = features.correlation(w, "view", "signup", ["entity"], 5, 0.0).withColumnRenamed("r", "corr_vv")
-    ratio = F.try_divide(F.col("error"), F.col("view") + 1e-8)
-    c = w.groupBy("entity").agg(F.round(F.avg(ratio), 4).alias("ratio_mean"), F.round(F.stddev_pop(ratio), 4).alias("ratio_std"))
-    return a.join(b, "entity").join(c, "entity")
+    return features.cross_sensor(w, "view", "signup", "error").withColumns({c: F.round(c, 4) for c in ("ratio_mean", "ratio_std")})
 
 
 @query(f"with {o.OBS} select entity, band, round(coalesce(avg(v), 0), 6) + 0.0 as mean, round(coalesce(stddev_pop(v), 0), 6) + 0.0 as std, round(coalesce(max(v), 0), 6) + 0.0 as max, round(coalesce(min(v), 0), 6) + 0.0 as min from obs group by 1, 2")
