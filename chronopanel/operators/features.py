@@ -175,7 +175,7 @@ def phenology_part(threshold: float = 0.3, v: str = "v", p: str = "") -> Part:
         d = series.differences(d, v, p + "d1", p + "d2")
         d = d.withColumns({p + "__peak": F.max(v).over(series.whole()), p + "__above": F.coalesce(F.col(v) > threshold, F.lit(False))})
         before = series.order().rowsBetween(Window.unboundedPreceding, -1)
-        first = F.coalesce(F.min(F.when(F.col(v) == c("__peak"), F.col("step"))).over(series.whole()), F.lit(0))
+        first = F.coalesce(F.min(F.when(F.col(v) >= c("__peak") - 1e-9 * F.abs(c("__peak")), F.col("step"))).over(series.whole()), F.lit(0))
         return d.withColumns({p + "__i": first, p + "__last": F.last(F.when(c("__above"), F.col("step")), ignorenulls=True).over(before)})
 
     half = F.when((F.col("step") <= c("__i")) & (F.col(v) >= 0.5 * c("__peak")), F.col("step"))
@@ -192,7 +192,8 @@ def phenology_part(threshold: float = 0.3, v: str = "v", p: str = "") -> Part:
 
 
 def phenology(df: DataFrame, threshold: float = 0.3, v: str = "v") -> DataFrame:
-    """Peak, green-up, season and growth features of a curve (usually filled and smoothed)."""
+    """Peak, green-up, season and growth features of a curve (usually filled and smoothed). The peak's step is the first
+    that reaches it but for rounding."""
     return _alone(df, phenology_part(threshold, v))
 
 

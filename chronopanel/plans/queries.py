@@ -218,7 +218,7 @@ def interannual_diff(spark, d):
 _PH = f"""with {o.SMOOTHED}, a as (select *, max(v) over s as peak, v - lag(v) over w as d1, lead(v) over w - 2 * v + lag(v) over w as d2, coalesce(v > 0.3, false) as up,
  last_value(case when v > 0.3 then step end ignore nulls) over (partition by entity, band order by step rows between unbounded preceding and 1 preceding) as before
  from smoothed window s as (partition by entity, band), w as (partition by entity, band order by step)),
- b as (select *, coalesce(min(case when v = peak then step end) over (partition by entity, band), 0) as i from a),
+ b as (select *, coalesce(min(case when v >= peak - 1e-9 * abs(peak) then step end) over (partition by entity, band), 0) as i from a),
  f as (select entity, band, coalesce(sum(v), 0) - (coalesce(max(v) filter (where step = 0), 0) + coalesce(max(v) filter (where step = 14), 0)) / 2 as auc, max(peak) as peak_value, max(i) as peak_idx,
  coalesce(min(step) filter (where step <= i and v >= 0.5 * peak), max(i)) as greenup_half, max(d1) as max_rise, min(d1) as max_fall, count(*) filter (where up) as season_length,
  count(*) filter (where up and (before is null or step - before >= 3)) as n_seasons, max(v) - quantile_cont(v, 0.1) as amplitude, stddev_pop(d2) as sd2 from b group by 1, 2)"""
@@ -1081,3 +1081,6 @@ def kml_polygons(spark, d):
     found = kml.polygons(docs, 1)
     out = found.select("plot_id", "group_key", "source_file", "polygon_idx", "area_ha", "lon", "lat", "anchor_date", "date_start", "date_end", "name", F.size("geometry").alias("n_points"))
     return out.withColumns({c: F.round(c, 6) for c in ("lon", "lat")})
+
+
+from chronopanel.plans import whole  # noqa: E402, F401  (registers its queries)
