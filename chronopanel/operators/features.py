@@ -308,6 +308,22 @@ def cube(df: DataFrame, channels: list[str], v: str = "v", missing: float = 0.0)
     return rows.groupBy("entity").agg(F.sort_array(F.collect_list("s")).alias("s")).select("entity", F.col("s.row").alias("cube"))
 
 
+def clean_channels(df: DataFrame, steps: int, radar: tuple[str, ...] = ("VV", "VH"), v: str = "v", keep_missing: bool = False) -> DataFrame:
+    """Series (entity, band, step, v) as a tensor takes them: gaps filled, then the median of three for radar bands and
+    Savitzky-Golay for all others, a mask included. Series without any value are 0; of panels with fewer than five steps
+    only the nulls become 0. With keep_missing a step without a value stays null, for models that mask steps."""
+    own = df.withColumn("__own", F.col(v))
+    if steps < 5:
+        out = own.withColumn("__out", F.coalesce(F.col(v), F.lit(0.0)))
+    else:
+        filled = series.gap_fill(own, v).withColumn(v, F.coalesce(F.col(v), F.lit(0.0)))
+        both = filled.withColumns({"__radar": F.col(v), "__other": F.col(v)})
+        both = series.smooth(series.median3(both, "__radar"), "__other")
+        out = both.withColumn("__out", F.when(F.col("band").isin(*radar), F.col("__radar")).otherwise(F.col("__other")))
+    clean = F.when(F.col("__own").isNotNull(), F.col("__out")) if keep_missing else F.col("__out")
+    return out.select("entity", "band", "step", clean.alias(v))
+
+
 def to_long(df: DataFrame, prefix: str) -> DataFrame:
     """(entity, feature, value) of a table of features by entity and band, or by entity."""
     names = [c for c in df.columns if c not in KEYS]

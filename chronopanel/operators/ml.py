@@ -3,16 +3,25 @@
 from __future__ import annotations
 
 import math
+import random
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from typing import TypeVar
 
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronopanel.operators import metrics, spatial, splits
 from chronopanel.session import checkpointed
 
+T = TypeVar("T")
+#: Fits that run at the same time.
+AT_ONCE = 4
 #: Least, largest and kind of each tuned parameter: whole numbers, numbers, numbers by their logarithm, or a choice.
 _TREES = {"maxIter": (200, 600, "step 50"), "maxDepth": (3, 9, "whole"), "stepSize": (0.01, 0.2, "log"), "subsamplingRate": (0.6, 1.0, "number")}
 SEARCH = {
@@ -50,14 +59,34 @@ def probability(model, df: DataFrame) -> DataFrame:
     return model.transform(df).withColumn("score", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
 
 
+def side_by_side(jobs: list[Callable[[], T]], at_once: int = AT_ONCE) -> list[T]:
+    """Results of jobs that run at the same time, each in a pool of its own where the scheduler is fair. Spark deals the
+    executors out; the driver only waits."""
+    if not jobs:
+        return []
+    context = SparkContext._active_spark_context
+
+    def run(k: int) -> T:
+        context.setLocalProperty("spark.scheduler.pool", f"fit-{k % at_once}")
+        return jobs[k]()
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(inheritable_thread_target(SparkSession.active())(run), range(len(jobs))))
+
+
 def cross_validate(df: DataFrame, name: str, fold: str = "fold", **params) -> DataFrame:
-    """Out-of-fold scores of assembled rows. The loop is over folds, each a distributed fit."""
-    out = None
-    for k in sorted(r[0] for r in df.select(fold).distinct().collect()):
-        model = model_factory(name, **params).fit(weighted(df.where((F.col(fold) != k) & F.col("label").isNotNull())))
-        part = probability(model, df.where(F.col(fold) == k))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Out-of-fold scores of assembled rows. The rows are written once; the folds' fits, each distributed, run side by side."""
+    rows = checkpointed(df)
+
+    def fitted(k) -> Callable[[], DataFrame]:
+        def fit() -> DataFrame:
+            model = model_factory(name, **params).fit(weighted(rows.where((F.col(fold) != k) & F.col("label").isNotNull())))
+            return probability(model, rows.where(F.col(fold) == k))
+
+        return fit
+
+    parts = side_by_side([fitted(k) for k in sorted(r[0] for r in rows.select(fold).distinct().collect() if r[0] is not None)])
+    return reduce(DataFrame.unionByName, parts)
 
 
 def fold_metrics(scored: DataFrame, fold: str = "fold") -> DataFrame:
@@ -82,10 +111,14 @@ def evaluate(df: DataFrame, name: str, fold: str = "fold", x: str | None = None,
     return scored, folds, metrics.youden(labelled.withColumn("y", F.col("label")), [])
 
 
-def stack(df: DataFrame, names: list[str], key: str, **params) -> DataFrame:
-    """Scores of a logistic regression, with balanced classes, on the out-of-fold scores of the named models."""
-    parts = [cross_validate(df, n, **params).select(key, F.col("score").alias(n)) for n in names]
-    joined = df.select(key, "label", "fold")
+def stack(df: DataFrame, names: list[str], key: str, own: dict[str, dict] | None = None, **params) -> DataFrame:
+    """Scores of a logistic regression, with balanced classes, on the out-of-fold scores of the named models. params are
+    those of all models, `own` of each."""
+    own = own or {}
+    rows = checkpointed(df)
+    scored = [lambda n=n: checkpointed(cross_validate(rows, n, **(params | own.get(n, {}))).select(key, F.col("score").alias(n))) for n in names]
+    parts = side_by_side(scored)
+    joined = rows.select(key, "label", "fold")
     for p in parts:
         joined = joined.join(p, key)
     x = VectorAssembler(inputCols=names, outputCol="features").transform(joined)
@@ -93,7 +126,7 @@ def stack(df: DataFrame, names: list[str], key: str, **params) -> DataFrame:
     return probability(last.fit(weighted(x).where("weight is not null")), x)
 
 
-def _draw(rng, values):
+def _draw(rng: random.Random, values):
     if isinstance(values, list):
         return rng.choice(values)
     low, high, kind = values
@@ -105,19 +138,57 @@ def _draw(rng, values):
     return rng.randrange(low, high + 1, step)
 
 
-def random_search(df: DataFrame, name: str, ranges: dict | None = None, trials: int = 50, seed: int = 42) -> list[tuple[dict, float]]:
-    """Parameters drawn from the ranges (those of SEARCH, unless given) and their mean macro-F1 over folds, best first."""
-    import random
+def _near(rng: random.Random, values, good: list, bad: list, draws: int = 24):
+    """A value that is likely among good trials and unlikely among the others: draws around good values, of which the one
+    with the largest ratio of two densities (Parzen windows with a share of the whole range) is taken."""
+    if isinstance(values, list):
+        share = lambda v, seen: (seen.count(v) + 1) / (len(seen) + len(values))
+        return max(values, key=lambda v: (share(v, good) / share(v, bad), rng.random()))
+    low, high, kind = values
+    to, back = (math.log, math.exp) if kind == "log" else (float, float)
+    a, b = to(low), to(high)
+    width = lambda seen: (b - a) / max(2.0, len(seen) ** 0.5)
+
+    def density(x: float, seen: list) -> float:
+        w = width(seen)
+        return (1 / (b - a) + sum(math.exp(-(((x - to(s)) / w) ** 2) / 2) / (w * 2.5066) for s in seen)) / (len(seen) + 1)
+
+    tried = [min(b, max(a, rng.gauss(to(rng.choice(good)), width(good)))) for _ in range(draws)]
+    x = back(max(tried, key=lambda x: density(x, good) / density(x, bad)))
+    if kind in ("log", "number"):
+        return min(high, max(low, x))
+    step = 1 if kind == "whole" else int(kind.split()[1])
+    return min(low + round((x - low) / step) * step, low + (high - low) // step * step)
+
+
+def search(df: DataFrame, name: str, ranges: dict | None = None, trials: int = 50, seed: int = 42, at_once: int = 4, parzen: bool = True) -> list[tuple[dict, float]]:
+    """Parameters in the ranges (those of SEARCH, unless given) and their mean macro-F1 over folds, best first.
 
+    `at_once` trials run side by side on rows that are written once. After the first two rounds parameters come from a
+    tree-structured Parzen estimator (`parzen`): trials so far are cut into the best quarter and the rest, and values
+    likely in the former are drawn; without it all are drawn at random."""
     rng, found = random.Random(seed), []
     ranges = SEARCH[ALIASES[name.lower()]] if ranges is None else ranges
-    for _ in range(trials):
-        params = {k: _draw(rng, v) for k, v in ranges.items()}
-        f1 = fold_metrics(cross_validate(df, name, **params)).agg(F.avg("macro_f1")).first()[0]
-        found.append((params, f1))
+    rows = checkpointed(df)
+
+    def proposed() -> dict:
+        if not parzen or len(found) < 2 * at_once:
+            return {k: _draw(rng, v) for k, v in ranges.items()}
+        ranked = [p for p, _ in sorted(found, key=lambda x: -x[1])]
+        cut = max(1, len(ranked) // 4)
+        return {k: _near(rng, v, [p[k] for p in ranked[:cut]], [p[k] for p in ranked[cut:]]) for k, v in ranges.items()}
+
+    while len(found) < trials:
+        tried = [proposed() for _ in range(min(at_once, trials - len(found)))]
+        f1 = side_by_side([lambda p=p: fold_metrics(cross_validate(rows, name, **p)).agg(F.avg("macro_f1")).first()[0] for p in tried])
+        found += zip(tried, f1, strict=True)
     return sorted(found, key=lambda x: -x[1])
 
 
+def random_search(df: DataFrame, name: str, ranges: dict | None = None, trials: int = 50, seed: int = 42) -> list[tuple[dict, float]]:
+    return search(df, name, ranges, trials, seed, parzen=False)
+
+
 def importances(model, features: list[str], top: int = 20) -> list[tuple[str, float]]:
     return sorted(zip(features, map(float, model.featureImportances.toArray()), strict=True), key=lambda x: (-x[1], x[0]))[:top]
 
@@ -128,8 +199,6 @@ def permutation_importance(model, df: DataFrame, features: list[str], key: str,
 
     Rows are numbered once in the order of a seeded hash; in each repeat a row takes a feature's value from the row
     that many places on, drawn for each repeat. All repeats and features are scored in one job."""
-    import random
-
     rows = df.where(F.col("label").isNotNull()).fillna(0.0, features)
     rows = rows.select(key, "label", F.array(*[F.col(c).cast("double") for c in features]).alias("own"))
     placed = checkpointed(splits.numbered(rows.withColumn("__h", splits.drawn(key, seed)), ["__h", key], "__i"))

@@ -21,9 +21,20 @@ SHAPES = [
 ]
 
 
+def _words(name: str) -> list[str]:
+    return name.lower().replace("-", "_").split("_")
+
+
 def leaking(name: str) -> bool:
-    """Whether a part of the name, between underscores or hyphens, tells a place or an identity."""
-    return not set(SUSPECT).isdisjoint(name.lower().replace("-", "_").split("_"))
+    """Whether words of the name, between underscores or hyphens, tell a place or an identity. Names of more than one word
+    (plot_id) match where these words follow one another."""
+    words = _words(name)
+    return any(words[k : k + len(hint)] == hint for hint in map(_words, SUSPECT) for k in range(len(words) - len(hint) + 1))
+
+
+def tells_quality(name: str) -> bool:
+    """Whether a column or a statistic of it tells the data's quality, and so the place."""
+    return name in QUALITY or name.startswith("valid_pixel_count_")
 
 
 def without_places(df: DataFrame) -> DataFrame:
@@ -50,8 +61,7 @@ def features_of(df: DataFrame, key: str, quality: bool = False, season_invariant
     nor places, nor leak, nor (unless asked for) tell the data's quality. Nulls and non-finite values are 0."""
     chosen = season_invariant_names(df) if season_invariant else df.columns
     numeric = {f.name for f in df.schema if isinstance(f.dataType, T.NumericType)}
-    poor = lambda c: c in QUALITY or c.startswith("valid_pixel_count_")
-    names = [c for c in chosen if c in numeric and c not in (key, *META, *PLACE) and not leaking(c) and (quality or not poor(c))]
+    names = [c for c in chosen if c in numeric and c not in (key, *META, *PLACE) and not leaking(c) and (quality or not tells_quality(c))]
 
     def fixed(c: str) -> Column:
         x = F.col(c).cast("double")

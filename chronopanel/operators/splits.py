@@ -20,10 +20,45 @@ def drawn(key: str, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
 
 
+def _number(h: Column) -> Column:
+    """The first 32 bits of a drawn hash."""
+    return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint")
+
+
+def first_drawn(df: DataFrame, by: list[str], key: str, wanted: Column, seed: int = 42) -> DataFrame:
+    """df with `chosen`: whether the row is among the first `wanted` rows of its group in the order of a seeded hash of the
+    key. wanted is made from `n`, the group's rows, and the group itself, `__g`.
+
+    Rows are counted in 4,096 ranges of the hash; all of the ranges below the wanted place are chosen, none above, and only
+    rows of the range that holds it are sorted, a group's range a task. Groups are few enough that a row for each of
+    their ranges fits a shuffle; null groups are groups."""
+    group, kept = F.struct(*by) if by else F.struct(F.lit(0).alias("all")), df.drop("chosen")
+    rows = kept.withColumns({"__g": group, "__h": drawn(key, seed)}).withColumn("__b", F.coalesce(F.shiftright(_number(F.col("__h")), 20), F.lit(-1)))
+    counts = rows.groupBy("__g", "__b").agg(F.count("*").alias("__m"))
+    upto, whole = Window.partitionBy("__g").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("__g")
+    counts = counts.select("__g", "__b", "__m", F.coalesce(F.sum("__m").over(upto), F.lit(0)).alias("__before"), F.sum("__m").over(whole).alias("n"))
+    counts = counts.select("__g", "__b", (wanted - F.col("__before")).alias("__left"), "__m")
+    edge = counts.where("__left > 0 and __left < __m").select("__g", "__b", "__left")
+    whole_ranges = counts.where("__left >= __m").select("__g", "__b", F.lit(True).alias("__all"))
+    marked = rows.join(whole_ranges.unionByName(edge.withColumn("__all", F.lit(False)), allowMissingColumns=True), ["__g", "__b"], "left")
+    place = F.row_number().over(Window.partitionBy("__g", "__b").orderBy("__h", key))
+    inner = marked.where("not __all").withColumn("chosen", place <= F.col("__left"))
+    outer = marked.where("__all is null or __all").withColumn("chosen", F.coalesce("__all", F.lit(False)))
+    return inner.unionByName(outer).select(*kept.columns, "chosen")
+
+
 def balance(df: DataFrame, label: str, key: str, n: int, seed: int = 42) -> DataFrame:
     """At most n rows of each label, in the order of a seeded hash of the key."""
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(drawn(key, seed), key))
-    return df.withColumn("__r", rank).where(F.col("__r") <= n).drop("__r")
+    return first_drawn(df, [label], key, F.lit(n), seed).where("chosen").drop("chosen")
+
+
+def balance_ratio(df: DataFrame, label: str, key: str, ratio: float = 1.0, seed: int = 42) -> DataFrame:
+    """All rows of label 1, and of label 0 a drawn number: `ratio` times those of label 1 (rounded down), or all if fewer.
+    Rows without a label go."""
+    kept = df.where(F.col(label).isin(0, 1))
+    n1 = kept.agg(F.count_if(F.col(label) == 1)).first()[0]
+    wanted = F.when(F.col(f"__g.{label}") == 1, F.col("n")).otherwise(F.lit(int(ratio * n1)))
+    return first_drawn(kept, [label], key, wanted, seed).where("chosen").drop("chosen")
 
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
@@ -65,6 +100,45 @@ def block_folds(df: DataFrame, block: Column, label: str, folds: int = 5, seed:
     return group_folds(df.withColumn("__block", block), "__block", label, folds, seed).drop("__block")
 
 
+def balanced_folds(df: DataFrame, group: str, label: str, folds: int = 5, seed: int = 42, large: int = 4096) -> DataFrame:
+    """df with `fold`: groups stay whole; each goes, largest first, to the fold whose counts of labels then deviate least.
+
+    Only totals of groups are looked at. The `large` largest are placed one by one on the driver; the rest, none of which
+    is larger, are dealt out in turn in order of their labels and size, beginning with the fold that has fewest rows. So
+    the largest fold exceeds the smallest by a few of the largest groups at most. Rows without a label count in sizes."""
+    labels = sorted(r[0] for r in df.select(label).distinct().collect() if r[0] is not None)
+    totals = df.groupBy(F.col(group).alias("__group")).agg(F.count("*").alias("__n"), *[F.count_if(F.col(label) == y).alias(f"__l{i}") for i, y in enumerate(labels)])
+    totals = checkpointed(totals.withColumn("__h", drawn("__group", seed)))
+    order = [F.desc("__n"), *[F.desc(f"__l{i}") for i in range(len(labels))], "__h", "__group"]
+    top = totals.orderBy(*order).limit(large).collect()
+    whole = totals.agg(F.sum("__n").alias("n"), *[F.sum(f"__l{i}").alias(f"l{i}") for i in range(len(labels))]).first()
+    scale = [1 / max(1, x or 0) for x in whole]
+    have = [[0.0] * len(scale) for _ in range(folds)]
+    placed = []
+    for r in top:
+        own = [r["__n"] * scale[0], *(r[f"__l{i}"] * scale[i + 1] for i in range(len(labels)))]
+        k = min(range(folds), key=lambda f: (sum((h + o) ** 2 - h * h for h, o in zip(have[f], own, strict=True)), have[f][0], f))
+        have[k] = [h + o for h, o in zip(have[k], own, strict=True)]
+        placed.append((r["__h"], r["__group"], k))
+    kind = totals.schema["__group"].dataType.simpleString()
+    first = df.sparkSession.createDataFrame(placed, f"__h string, __group {kind}, __fold int")  # `large` rows at most
+    match = totals["__h"].eqNullSafe(first["__h"]) & totals["__group"].eqNullSafe(first["__group"])
+    rest = totals.join(F.broadcast(first), match, "left_anti")
+    turn = sorted(range(folds), key=lambda f: (have[f][0], f))
+    dealt = numbered(rest, [*[f"__l{i}" for i in range(len(labels))], "__n", "__h", "__group"], "__i")
+    dealt = dealt.select("__group", F.get(F.array(*map(F.lit, turn)), F.pmod("__i", F.lit(folds)).cast("int")).alias("__fold"))
+    found = first.select("__group", "__fold").unionByName(dealt).withColumnRenamed("__fold", "fold")
+    kept = df.drop("fold")
+    return kept.join(found, kept[group].eqNullSafe(found["__group"])).drop("__group")
+
+
+def balanced_block_folds(df: DataFrame, block: Column, label: str, folds: int = 5, seed: int = 42) -> DataFrame:
+    """balanced_folds() of spatial blocks; of few blocks only half as many folds are made, at least two."""
+    rows = df.withColumn("__block", block)
+    blocks = rows.select("__block").distinct().count()
+    return balanced_folds(rows, "__block", label, min(folds, max(2, blocks // 2)), seed).drop("__block")
+
+
 def leave_one_out(df: DataFrame, plot: str, label: str) -> DataFrame:
     """Fold table: each positive plot is held out once."""
     plots = df.where(F.col(label) == 1).select(F.col(plot).alias("held_out")).distinct()
@@ -114,11 +188,13 @@ def first_rows(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFr
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__r") <= n).drop("__r")
 
 
-def hold_out(df: DataFrame, column: str, values: list, key: str, share: float = 0.2, seed: int = 42) -> DataFrame:
-    """df with `split`: test where the column is one of the values; of the rest a seeded share is validation."""
-    place = F.conv(F.substring(drawn(key, seed), 1, 8), 16, 10).cast("bigint")
-    chosen = place < int(share * (1 << 32))
-    return df.withColumn("split", F.when(F.col(column).isin(*values), "test").when(chosen, "validation").otherwise("train"))
+def hold_out(df: DataFrame, column: str, values: list, key: str, share: float = 0.1, seed: int = 42) -> DataFrame:
+    """df with `split`: test where the column is one of the values; of the rest a drawn share, and one row at least, is
+    validation (none if the share is 0). Rows whose column is null are no test rows."""
+    tested = df.withColumn("__test", F.coalesce(F.col(column).isin(*values), F.lit(False)))
+    wanted = F.when(F.col("__g.__test"), 0).otherwise(F.greatest(F.lit(int(share > 0)), F.floor(F.col("n") * share)))
+    drawn_rows = first_drawn(tested, ["__test"], key, wanted, seed)
+    return drawn_rows.withColumn("split", F.when(F.col("__test"), "test").when(F.col("chosen"), "validation").otherwise("train")).drop("__test", "chosen")
 
 
 def matched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

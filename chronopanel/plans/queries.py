@@ -668,16 +668,15 @@ def feature_selection(spark, d):
 def topk_importance(spark, d):
     from chronopanel.operators import ml
 
-    x = t.wide(t.filled(spark, d)).fillna(0.0).withColumn("label", (F.col("view") > F.col("click")).cast("int"))
-    names = ["view", "click", "purchase", "signup", "error"]
-    model = ml.model_factory("rf").fit(ml.weighted(ml.assemble(x, names)))
+    rows, names = _labelled(spark, d)
+    model = ml.model_factory("rf").fit(ml.weighted(ml.assemble(rows, names)))
     return spark.createDataFrame(ml.importances(model, names), "feature string, importance double")
 
 
 def _labelled(spark, d) -> tuple[DataFrame, list[str]]:
-    """Vectors as labelled rows: places (two components, as metres) and six further components as features."""
+    """Vectors as labelled rows: places (two components, as metres) and all further components as features."""
     p = t.points(spark, d).select("vec_id", (F.col("label") >= 2).cast("int").alias("label"), "lon", "lat")
-    names = [f"e{k}" for k in range(2, 8)]
+    names = [f"e{k}" for k in range(2, 64)]
     e = t.read(spark, d, "embeddings").select("vec_id", *[F.coalesce(F.get("embedding", int(n[1:])).cast("double"), F.lit(0.0)).alias(n) for n in names])
     return p.join(e, "vec_id").withColumns({"x": F.col("lon") * 1000, "y": F.col("lat") * 1000}), names
 
@@ -896,7 +895,8 @@ def region_holdout(spark, d):
     return x.groupBy("lang", "split").agg(F.count("*").alias("n"))
 
 
-@query("select doc_id, lang, case when lang in ('fr', 'de') then 'test' when cast('0x' || substr(md5('42:' || doc_id), 1, 8) as bigint) < 858993459 then 'validation' else 'train' end as split from documents")
+@query("""select doc_id, lang, case when test then 'test' when row_number() over (partition by test order by md5('42:' || doc_id), doc_id) <= greatest(1, floor(count(*) over (partition by test) * 0.1::double)) then 'validation' else 'train' end as split
+ from (select doc_id, lang, coalesce(lang in ('fr', 'de'), false) as test from documents)""")
 def region_holdout_rows(spark, d):
     """The split of each row, with the default share of validation rows."""
     return splits.hold_out(t.read(spark, d, "documents").select("doc_id", "lang"), "lang", ["fr", "de"], "doc_id")

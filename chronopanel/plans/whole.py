@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronopanel.operators import table
+from chronopanel.functions import indices
+from chronopanel.operators import detector, features, spatial, splits, table
 from chronopanel.plans import oracle as o
 from chronopanel.plans import queries as q
 from chronopanel.plans import tables as t
-from chronopanel.session import checkpointed
+from chronopanel.session import checkpointed, shared_dir
+from chronopanel.sources import stages
 
 #: Which mixture of event types stands for each band; the same text in Spark and in SQL.
 MIXED = {
@@ -126,3 +130,136 @@ def feature_table_whole(spark, d):
     value = F.when(F.col("flat"), 0.0).when(F.col("feature").endswith("_smoothness"), F.round(F.least("value", F.lit(1e6)), 3))
     value = value.when(F.col("feature").rlike(_FOUR), F.round("value", 4)).otherwise(F.round("value", 6))
     return x.select("entity", "position", "feature", (value + 0.0).alias("value"))
+
+
+# ---- the tensor of cleaned channels
+
+CHANNELS = [*table.BANDS[:10], "NDVI", "EVI", "NDWI", "LSWI", "NDRE", "GNDVI", "SAVI", "MSAVI", "NBR", "NDMI", "VV", "VH", "RVI", "RFDI", "CR", "optical_mask"]
+_MASK = f"case when valid_pixel_count >= {LEAST} then 1.0 else 0.0 end"
+_CHANNELS = ", ".join(f'"{c}"' for c in CHANNELS)
+_TENSOR = (
+    PANEL + ", made as (select *, " + ", ".join(f'{INDEX_SQL[n]} as "{n}"' for n in CHANNELS if n in INDEX_SQL) + f", {_MASK} as optical_mask from panel), grid as (select entity, band, step, v from (select entity, step, "
+    + ", ".join(f'"{c}"::double as "{c}"' for c in CHANNELS) + f" from made) unpivot include nulls (v for band in ({_CHANNELS}))), "
+    + o.fill("grid", "gapless") + ", filled as (select entity, band, step, coalesce(v, 0) as v from gapless), " + o.smooth("filled", "smoothed", t.STEPS - 1)
+    + """, radar as (select entity, band, step, list_sort([coalesce(lag(v) over w, 0), v, coalesce(lead(v) over w, 0)])[2] as v from filled window w as (partition by entity, band order by step))"""
+)
+
+
+@q.query(f"""with {_TENSOR} select entity, step, band as channel, round(case when band in ('VV', 'VH') then r.v else s.v end, 6) + 0.0 as value, cast(coalesce(c_acctbal, 0) > 4500 as int) as label
+ from smoothed s join radar r using (entity, band, step) left join customer on c_custkey = entity""")
+def tensor_cleaned(spark, d):
+    """Twenty-six cleaned channels of each entity, written with their labels, read again and unrolled."""
+    w = panel(spark, d)
+    made = w.select("*", *[indices.index(n).alias(n) for n in CHANNELS if n in indices.REGISTRY], (F.col(table.COUNT) >= LEAST).cast("double").alias("optical_mask"))
+    long = made.unpivot(["entity", "step"], CHANNELS, "band", "v")
+    cubes = features.cube(features.clean_channels(long, t.STEPS), CHANNELS)
+    at = f"{shared_dir(spark)}/tensor-{uuid.uuid4().hex}"
+    stages.write_tensor(cubes, about(spark, d).select("entity", "label"), at, CHANNELS, t.STEPS)
+    read, channels, _ = stages.read_tensor(spark, at)
+    rows = read.select("entity", "label", F.posexplode("cube").alias("step", "row")).select("entity", "label", "step", F.posexplode("row").alias("k", "value"))
+    return rows.select("entity", "step", F.get(F.array(*map(F.lit, channels)), F.col("k")).alias("channel"), (F.round("value", 6) + 0.0).alias("value"), "label")
+
+
+# ---- from the table to verdicts
+
+#: Trees of the queries' models, fewer than the 300 of production, so that a whole run takes minutes.
+TREES = 40
+_NAMES = detector.chosen(table.schema(t.STEPS), season_invariant=True)
+#: Columns that a table at hand lacks, though the model was trained with them.
+_LACKING = _NAMES[::17]
+
+
+def labelled(spark, d) -> tuple[DataFrame, list[str]]:
+    """Vectors of the whole table (values) with their meta data, and the names of their elements."""
+    of = table.vectors(feature_rows(spark, d)).withColumnRenamed("features", "values")
+    names = table.schema(t.STEPS)
+    usable = F.get("values", names.index(table.QUALITY[0])).alias("usable")
+    return checkpointed(about(spark, d).join(of, "entity").select("*", usable)), names
+
+
+def _at_hand(rows: DataFrame, names: list[str]) -> tuple[DataFrame, list[str]]:
+    """As a table that comes from elsewhere: other order, some columns missing, one that is unknown."""
+    given = [n for n in reversed(names) if n not in _LACKING]
+    at = {n: i for i, n in enumerate(names)}
+    places = F.from_json(F.lit(str([at[n] for n in given])), "array<int>")
+    values = F.concat(F.transform(places, lambda i: F.get("values", i)), F.array(F.lit(float("nan"))))
+    return rows.withColumn("values", values), [*given, "unknown"]
+
+
+@q.query(f"""select entity, p.feature, case when p.feature in ({", ".join(f"'{n}'" for n in _LACKING)}) then 0.0 else value end as value
+ from ({q.SQL["feature_table_whole"]}) p join (values {", ".join(f"('{n}')" for n in _NAMES)}) as s(feature) using (feature) where not regexp_matches(p.feature, '_smoothness$|_phase$|^sar_cr_|^cross_|_ratio')""")
+def detect_alignment(spark, d):
+    """What a saved plan's alignment makes of a table in another order and with columns missing, by name. Features that
+    the whole table's query gives with fewer digits are left to it."""
+    rows, names = labelled(spark, d)
+    at = f"{shared_dir(spark)}/align-{uuid.uuid4().hex}"
+    hand, given = _at_hand(rows, names)
+    detector.PipelineModel([detector.Align(names=_NAMES, source=given)]).save(at)
+    found = detector.PipelineModel.load(at).transform(hand)
+    from pyspark.ml.functions import vector_to_array
+
+    listed = F.from_json(F.lit(str(_NAMES).replace("'", '"')), "array<string>")
+    x = found.select("entity", F.posexplode(vector_to_array("features")).alias("k", "value")).select("entity", F.get(listed, F.col("k")).alias("feature"), (F.round("value", 6) + 0.0).alias("value"))
+    return x.where(~F.col("feature").rlike("_smoothness$|_phase$|^sar_cr_|^cross_|_ratio"))
+
+
+@q.query()
+def detect_from_table(spark, d):
+    """Trained on the whole table, saved, loaded, applied to a table in another order: a verdict for each state."""
+    rows, names = labelled(spark, d)
+    plan = detector.train(rows, _NAMES, source=names, by=["state"], valid="usable", numTrees=TREES)
+    at = f"{shared_dir(spark)}/plan-{uuid.uuid4().hex}"
+    plan.save(at)
+    loaded = detector.PipelineModel.load(at)
+    hand, given = _at_hand(rows, names)
+    loaded.stages[0].set(loaded.stages[0].source, given)
+    return loaded.transform(hand)
+
+
+def _folded(spark, d) -> tuple[DataFrame, list[str]]:
+    from chronopanel.operators import ml
+
+    rows, names = q._labelled(spark, d)
+    folded = splits.balanced_block_folds(rows, spatial.block_id(F.col("lon"), F.col("lat")), "label", 3)
+    return ml.assemble(folded, names).select("vec_id", "label", "fold", "features"), names
+
+
+@q.query()
+def stacked_scores(spark, d):
+    """Scores of a logistic regression over the out-of-fold scores of a forest (TREES trees) and of boosted trees (10)."""
+    from chronopanel.operators import ml
+
+    rows, _ = _folded(spark, d)
+    own = {"rf": {"numTrees": TREES, "maxDepth": 8}, "xgb": {"maxIter": 10, "maxDepth": 4}}
+    return ml.stack(rows, ["rf", "xgb"], "vec_id", own=own).select("vec_id", "label", "fold", "rf", "xgb", "score")
+
+
+@q.query()
+def tuning_trials(spark, d):
+    """Six trials of a forest's parameters, in ranges of at most 30 trees of depth 6, best first."""
+    from chronopanel.operators import ml
+
+    rows, _ = _folded(spark, d)
+    ranges = {"numTrees": (10, 30, "step 10"), "maxDepth": (3, 6, "whole"), "minInstancesPerNode": (1, 10, "whole"), "featureSubsetStrategy": ["sqrt", "log2"]}
+    found = ml.search(rows, "rf", ranges, trials=6, at_once=2)
+    return spark.createDataFrame([(k, str(sorted(p.items())), f) for k, (p, f) in enumerate(found)], "place int, params string, macro_f1 double")
+
+
+# ---- folds and draws
+
+
+@q.query("select count(*) as n, count(distinct source) as n_groups, 0::bigint as n_split, true as balanced from documents join labels using (doc_id)")
+def balanced_folds_audit(spark, d):
+    """Of folds by source: rows, sources, sources in several folds, and whether no fold's rows or positives exceed the
+    least by more than the largest source's."""
+    s = checkpointed(splits.balanced_folds(t.scores(spark, d), "source", "y", 3))
+    groups = s.groupBy("source").agg(F.count_distinct("fold").alias("folds"), F.count("*").alias("n"), F.sum("y").alias("p"))
+    folds = s.groupBy("fold").agg(F.count("*").alias("n"), F.sum("y").alias("p")).agg((F.max("n") - F.min("n")).alias("dn"), (F.max("p") - F.min("p")).alias("dp"))
+    a = groups.agg(F.sum("n").alias("n"), F.count("*").alias("n_groups"), F.count_if(F.col("folds") > 1).alias("n_split"), F.max("n").alias("most_n"), F.max("p").alias("most_p"))
+    return a.join(folds).select("n", "n_groups", "n_split", ((F.col("dn") <= F.col("most_n")) & (F.col("dp") <= F.col("most_p"))).alias("balanced"))
+
+
+@q.query("""with r as (select doc_id, quality, row_number() over (partition by quality order by md5('42:' || doc_id), doc_id) as k, count(*) filter (where quality = 1) over () as n1 from labels where quality in (0, 1))
+ select doc_id, quality from r where quality = 1 or k <= floor(n1 * 0.5)""")
+def ratio_draw(spark, d):
+    return splits.balance_ratio(t.read(spark, d, "labels").select("doc_id", "quality"), "quality", "doc_id", 0.5)

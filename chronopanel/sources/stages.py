@@ -33,3 +33,17 @@ def read_model(spark: SparkSession, at: str, reader: MLReader):
     """Model, features and metrics. reader: that of the model's class, as RandomForestClassificationModel.read()."""
     about = json.loads(spark.read.text(f"{at}/about").first().value)
     return reader.load(f"{at}/model"), about["features"], about["metrics"]
+
+
+def write_tensor(cubes: DataFrame, about: DataFrame, at: str, channels: list[str], steps: int) -> None:
+    """Cubes (entity, cube) with the columns of about (entity, label and others) beside them as one Parquet table, and a
+    JSON row with the names of the channels and the number of steps. Entities that about lacks have nulls there."""
+    cubes.join(about, "entity", "left").write.mode("overwrite").parquet(f"{at}/tensor")
+    text = json.dumps({"channels": channels, "steps": steps}, sort_keys=True)
+    cubes.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{at}/about")
+
+
+def read_tensor(spark: SparkSession, at: str) -> tuple[DataFrame, list[str], int]:
+    """The table of write_tensor(), its channels and its steps."""
+    about = json.loads(spark.read.text(f"{at}/about").first().value)
+    return spark.read.parquet(f"{at}/tensor"), about["channels"], about["steps"]
