@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronopanel.llm.common import kept_apart
+
 WIDTH, STRIDE, CHUNK = 8, 4, 512
 CELL = CHUNK // STRIDE // 2
 DIM, FILTERS = 8, 24
@@ -153,8 +155,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: Model | float, text_col: str = "text") -> DataFrame:
-    """docs with score (double from 0 to 1, higher: label 1 likelier)."""
-    docs = docs.drop("score")
+    """docs with score (double from 0 to 1, higher: label 1 likelier). All other columns stay, whatever their names."""
+    return kept_apart(docs.drop("score"), lambda d, text: _scored(d, model, text), text_col)
+
+
+def _scored(docs: DataFrame, model: Model | float, text_col: str) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronopanel.llm.common import kept_apart
+
 SENTENCE_END = r"""[.!?…。！？]["')\]»”’]*(?:\s|$)"""
 MARKS = r"[#*$%&|<>]|!!"
 SYMBOLS = r"[#*$%&|<>]"
@@ -51,7 +53,10 @@ def clean(docs: DataFrame, text_col: str = "text", least_words: int = LEAST_WORD
     """docs with MEASURES (bigint), base_failed, lost (share of characters in failed lines), kept (boolean)
     and cleaned (the text without failed lines)."""
     made = [*MEASURES, "base_failed", "lost", "kept", "cleaned"]
-    docs = docs.drop(*made)
+    return kept_apart(docs.drop(*made), lambda d, text: _cleaned(d, text, made, least_words, most_lost, most_marks), text_col)
+
+
+def _cleaned(docs: DataFrame, text_col: str, made: list[str], least_words: int, most_lost: float, most_marks: float) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     d = docs.withColumns({"__words": F.array_remove(F.split(text, BLANKS), ""), "__lines": F.split(text, "\n", -1)})
     window = lambda i: F.xxhash64(F.get("__words", i), F.get("__words", i + 1), F.get("__words", i + 2))

@@ -28,6 +28,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronopanel.llm.common import kept_apart
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -178,7 +180,10 @@ def _at_least(rule: Rule) -> str:
 
 def scan(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with `spans`: array of (start, end, kind) in order of start, then of the rules."""
-    docs = docs.drop("spans")
+    return kept_apart(docs.drop("spans"), lambda d, text: _scanned(d, text, rules), text_col)
+
+
+def _scanned(docs: DataFrame, text_col: str, rules: tuple[Rule, ...]) -> DataFrame:
     own = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     found = candidates(docs.select(own.alias("text")), rules).select(F.col("hash").alias("__hash"), F.col("kinds").alias("__kinds"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
@@ -195,6 +200,10 @@ def scan(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULE
 
 def redact(scanned: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """What scan() returned, without `spans`, and with each stretch of spans in the text replaced by mark."""
+    return kept_apart(scanned, lambda d, text: _redacted(d, text, mark), text_col)
+
+
+def _redacted(scanned: DataFrame, text_col: str, mark: str) -> DataFrame:
     text = F.col(text_col)
 
     def step(at: Column, x: Column) -> tuple[Column, Column]:

@@ -1,7 +1,7 @@
 """Sharding by a two-pass external shuffle, in DataFrame functions alone.
 
 The first pass scatters rows uniformly into buckets by a seeded hash of the key columns; the number of
-buckets follows from the bytes of the table, so that a bucket fits in a task's memory. The second pass
+buckets follows from the bytes of the table, all columns counted, so that a bucket fits in a task's memory. The second pass
 shuffles each bucket (Spark's `shuffle` is a Fisher-Yates shuffle, seeded). Buckets in order, and rows in
 their shuffled order, are one random permutation, which is cut into shards whose row counts differ by at
 most one (the law `rows`).
@@ -37,10 +37,18 @@ def row_bytes(text_col: str = "text") -> Column:
     return F.coalesce(F.octet_length(text_col), F.lit(0)).cast("bigint") + 1
 
 
+def whole_bytes(docs: DataFrame) -> Column:
+    """About the bytes of a row with all of its columns."""
+    of = {"string": F.octet_length, "binary": F.octet_length}
+    fixed = ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz")
+    sizes = [of[kind](c) if kind in of else F.lit(8) if kind in fixed else F.octet_length(F.to_json(F.struct(c))) for c, kind in ((F.col(f"`{n}`"), k) for n, k in docs.dtypes)]
+    return sum((F.coalesce(x, F.lit(0)).cast("bigint") for x in sizes), F.lit(8))
+
+
 def shuffle_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """docs with shard (int) and slot (bigint, gapless from 0 in a shard)."""
     docs = docs.drop("shard", "slot")
-    total = docs.agg(F.sum(row_bytes(text_col))).first()[0] or 0
+    total = docs.agg(F.sum(whole_bytes(docs))).first()[0] or 0
     buckets = -(-total // bucket_bytes) or 1
     salt = F.pmod(F.monotonically_increasing_id(), F.lit(max(SALTS, buckets)))
     key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col), salt)

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronopanel.llm.common import stored
+from chronopanel.llm.common import kept_apart, stored
 
 RADIUS = 3
 SHINGLE = 3
@@ -219,6 +219,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def first_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that one_of_each() leaves of groups (id_col, text_hash and root of each row)."""
+    return kept_apart(docs, lambda d, key, text: _first(d, groups.select(F.col(id_col).alias(key), "text_hash", "root"), key, text), id_col, text_col)
+
+
+def _first(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
     first = F.min(F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), F.col("text_hash").alias("hash")))
     kept = groups.groupBy("root").agg(first.alias("first")).select(F.col("first.no").alias("__no"), F.xxhash64("first.id").alias("__id"), F.col("first.hash").alias("__hash"), F.col("first.id").alias("__own"))
     key = ["__no", "__id", "__hash"]
