@@ -130,6 +130,16 @@ def ring_bbox(ring: Column) -> tuple[Column, Column, Column, Column]:
     return F.array_min(x), F.array_min(y), F.array_max(x), F.array_max(y)
 
 
+def tag_in_months(tag: Column, months: tuple[int, ...]) -> Column:
+    """Whether an absolute tag (YYYY_MM_DD) lies in one of the calendar months; false for all other tags."""
+    return F.coalesce(F.month(tag_date(tag)).isin(*months), F.lit(False))
+
+
+def tag_in_steps(tag: Column, first: int, last: int) -> Column:
+    """Whether a relative tag (tNN) has one of the steps, ends included; false for all other tags."""
+    return F.coalesce(tag_step(tag).between(first, last), F.lit(False))
+
+
 def tag_phase(step: Column, steps: int) -> Column:
     """early, peak or late: the third of the steps that a step is in; null outside of them."""
     third = F.floor(step * 3 / steps)
@@ -138,7 +148,7 @@ def tag_phase(step: Column, steps: int) -> Column:
 
 def is_closed(ring: Column, tolerance: float = 1e-4) -> Column:
     """At least four points, the first and last within the tolerance on each axis."""
-    a, b = F.element_at(ring, 1), F.element_at(ring, -1)
+    a, b = F.try_element_at(ring, F.lit(1)), F.try_element_at(ring, F.lit(-1))
     return (F.size(ring) >= 4) & (F.abs(a["x"] - b["x"]) <= tolerance) & (F.abs(a["y"] - b["y"]) <= tolerance)
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronopanel.functions import scalars
+from chronopanel.operators import ranks
 
 # Column names and parts of names.
 META = ["plot_id", "group_key", "label", "source_file", "anchor_date", "date_start", "date_end", "state"]
@@ -75,12 +76,46 @@ def season_invariant_names(df: DataFrame) -> list[str]:
     return [c for c in df.columns if season_invariant(c)] or df.columns
 
 
+def _with_quantiles(found: DataFrame, df: DataFrame, by: list[str], v: str, names: dict[str, float]) -> DataFrame:
+    """found (a row for each group) with quantiles of v, which bring no group to one task."""
+    q = ranks.quantiles(df, by, v, names)
+    key = F.struct(*by)
+    return found.withColumn("__g", key).join(q.select(key.alias("__g"), *names), "__g", "left").drop("__g")
+
+
 def audit(df: DataFrame, by: list[str], area: str, distinct: list[str], cap: int = 100, tiny: float = 0.5) -> DataFrame:
     """Of each group: rows, spread of areas, pixels with and without a cap for each row, tiny areas and distinct values."""
-    pixels, q = scalars.approx_pixels(F.col(area)), F.percentile(area, F.array(*[F.lit(x) for x in (0.1, 0.5, 0.9)]))
+    pixels = scalars.approx_pixels(F.col(area))
     a = df.groupBy(*by).agg(
-        F.count("*").alias("n"), F.min(area).alias("area_min"), q.alias("__q"), F.avg(area).alias("area_mean"), F.max(area).alias("area_max"),
+        F.count("*").alias("n"), F.min(area).alias("area_min"), F.avg(area).alias("area_mean"), F.max(area).alias("area_max"),
         F.sum(pixels).alias("pixels"), F.sum(F.least(pixels, F.lit(cap))).alias("pixels_capped"), F.count_if(F.col(area) < tiny).alias("n_tiny"),
         *[F.count_distinct(c).alias(f"n_{c}s") for c in distinct],
     )
-    return a.withColumns({f"area_{n}": F.get("__q", k) for k, n in enumerate(("p10", "median", "p90"))}).drop("__q")
+    return _with_quantiles(a, df, by, area, {"area_p10": 0.1, "area_median": 0.5, "area_p90": 0.9})
+
+
+def audit_places(df: DataFrame, by: list[str], area: str, valid: str, lon: str, lat: str, box: tuple[float, float, float, float], file: str) -> DataFrame:
+    """Of each group, beside what audit() gives: files, rings that are not valid, the spread of pixels of a row, rows in and
+    out of the box (least and largest longitude, latitude), and the extent of those inside. A row without a place is out."""
+    pixels = scalars.approx_pixels(F.col(area))
+    x0, x1, y0, y1 = box
+    inside = F.coalesce(F.col(lon).between(x0, x1) & F.col(lat).between(y0, y1), F.lit(False))
+    rows = df.withColumns({"__pixels": F.coalesce(pixels, F.lit(0)), "__in": inside})
+    of = lambda f, c: f(F.when(F.col("__in"), F.col(c)))
+    a = rows.groupBy(*by).agg(
+        F.count_distinct(file).alias("n_files"), F.count("*").alias("n"), F.count_if(~F.coalesce(F.col(valid), F.lit(False))).alias("n_invalid"),
+        F.sum("__pixels").alias("pixels"), F.min("__pixels").alias("pixels_min"), F.max("__pixels").alias("pixels_max"),
+        F.count_if("__in").alias("n_inside"), F.count_if(~F.col("__in")).alias("n_outside"),
+        of(F.min, lat).alias("lat_min"), of(F.max, lat).alias("lat_max"), of(F.min, lon).alias("lon_min"), of(F.max, lon).alias("lon_max"),
+    )
+    a = a.withColumns({"lat_span": F.col("lat_max") - F.col("lat_min"), "lon_span": F.col("lon_max") - F.col("lon_min")})
+    return _with_quantiles(a, rows, by, "__pixels", {"pixels_median": 0.5})
+
+
+def most_frequent(df: DataFrame, by: list[str], column: str, top: int = 10) -> DataFrame:
+    """by, the column, n, place and n_values: the `top` most frequent values of each group, ties by value, and how many
+    values there are. The limit is part of the feature."""
+    counts = df.groupBy(*by, column).agg(F.count("*").alias("n"))
+    order = Window.partitionBy(*by).orderBy(F.desc("n"), F.asc_nulls_last(column))
+    placed = counts.withColumns({"place": F.row_number().over(order), "n_values": F.count("*").over(Window.partitionBy(*by))})
+    return placed.where(F.col("place") <= top)

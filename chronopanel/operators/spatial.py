@@ -66,3 +66,10 @@ def distance_shares(nearest: DataFrame, limits: tuple[int, ...] = (500, 2000, 10
     middle = middle.withColumnRenamed(by, "__by")
     found = nearest.groupBy(by).agg(*figures)
     return found.join(middle, found[by].eqNullSafe(middle["__by"]), "left").drop("__by")
+
+
+def extent(df: DataFrame, x: str = "x", y: str = "y", by: list[str] | None = None) -> DataFrame:
+    """The box of all places of a table, or of each group: x0, y0, x1, y1 and n, its places. Missing ones take no part."""
+    known = F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double"))
+    a = [f(F.when(known, F.col(c))).alias(n) for n, f, c in (("x0", F.min, x), ("y0", F.min, y), ("x1", F.max, x), ("y1", F.max, y))]
+    return df.groupBy(*(by or [])).agg(*a, F.count_if(known).alias("n"))

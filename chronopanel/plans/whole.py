@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronopanel.functions import indices
-from chronopanel.operators import detector, features, spatial, splits, table
+from chronopanel.functions import indices, scalars
+from chronopanel.operators import detector, features, rings, selection, spatial, splits, table
 from chronopanel.plans import oracle as o
 from chronopanel.plans import queries as q
 from chronopanel.plans import tables as t
@@ -263,3 +263,58 @@ def balanced_folds_audit(spark, d):
  select doc_id, quality from r where quality = 1 or k <= floor(n1 * 0.5)""")
 def ratio_draw(spark, d):
     return splits.balance_ratio(t.read(spark, d, "labels").select("doc_id", "quality"), "quality", "doc_id", 0.5)
+
+
+# ---- audit of places
+
+
+_BOX = (77.4, 77.9, 28.9, 29.5)
+_AUDITED = f"""p as (select vec_id, cast(label >= 2 as int) as kind, label + 0.125 as area, vec_id % 7 <> 0 as valid, lon, lat, vec_id // 3 as file, cast(round_even((label + 0.125) * 100, 0) as bigint) as pixels,
+ lon between {_BOX[0]} and {_BOX[1]} and lat between {_BOX[2]} and {_BOX[3]} as inside, cast(floor(lon * 10) as bigint) % 6 as district from points)"""
+
+
+def _audited(spark, d) -> DataFrame:
+    district = (F.floor(F.col("lon") * 10) % 6).alias("district")
+    file = F.floor(F.col("vec_id") / 3).alias("file")
+    return t.points(spark, d).select("vec_id", (F.col("label") >= 2).cast("int").alias("kind"), (F.col("label") + 0.125).cast("double").alias("area"), (F.col("vec_id") % 7 != 0).alias("valid"), "lon", "lat", file, district)
+
+
+@q.query(f"""with {o.POINTS}, {_AUDITED} select kind, count(distinct file) as n_files, count(*) as n, count(*) filter (where not valid) as n_invalid, sum(pixels)::bigint as pixels, min(pixels) as pixels_min, max(pixels) as pixels_max,
+ count(*) filter (where inside) as n_inside, count(*) filter (where not inside) as n_outside, {", ".join(f"round({f}({c}) filter (where inside), 6) + 0.0 as {c}_{f}" for c in ("lat", "lon") for f in ("min", "max"))},
+ {", ".join(f"round(max({c}) filter (where inside) - min({c}) filter (where inside), 6) + 0.0 as {c}_span" for c in ("lat", "lon"))}, median(pixels)::double as pixels_median from p group by 1""")
+def audit_places(spark, d):
+    return q.rounded(selection.audit_places(_audited(spark, d), ["kind"], "area", "valid", "lon", "lat", _BOX, "file"), ["kind"])
+
+
+@q.query(f"""with {o.POINTS}, {_AUDITED}, c as (select kind, district, count(*) as n from p group by 1, 2)
+ select kind, district, n, cast(row_number() over w as int) as place, count(*) over (partition by kind) as n_values from c window w as (partition by kind order by n desc, district nulls last) qualify place <= 4""")
+def top_districts(spark, d):
+    return selection.most_frequent(_audited(spark, d), ["kind"], "district", 4)
+
+
+@q.query(f"with {o.POINTS} select label, round(min(lon), 6) + 0.0 as x0, round(min(lat), 6) + 0.0 as y0, round(max(lon), 6) + 0.0 as x1, round(max(lat), 6) + 0.0 as y1, count(*) as n from points group by 1")
+def table_extent(spark, d):
+    return q.rounded(spatial.extent(t.points(spark, d), "lon", "lat", ["label"]), ["label", "n"])
+
+
+@q.query(f"""with {o.POINTS} select vec_id, case label when 2 then 'crosses itself' when 3 then 'no area' when 4 then 'too few points' else 'valid' end as reason, case label when 2 then 2 when 3 then 0 when 4 then 0 else 1 end as n_rings,
+ (case label when 2 then 2.0 when 3 then 0.0 when 4 then 0.0 else 4.0 end)::double as area from points""")
+def ring_repair(spark, d):
+    """Squares; those of one class are tied like a bow and become two triangles, others are flat or too short."""
+    corner = lambda x, y: F.struct((F.col("lon") + x).cast("double").alias("x"), (F.col("lat") + y).cast("double").alias("y"))
+    tied = F.when(F.col("label") == 2, 0.0).when(F.col("label") == 3, 0.01).otherwise(0.02)
+    high = F.when(F.col("label") == 3, 0.0).otherwise(0.02)
+    ring = F.array(corner(F.lit(0.0), F.lit(0.0)), corner(F.lit(0.02), F.lit(0.0)), corner(tied, high), corner(F.lit(0.02) - tied, high), corner(F.lit(0.0), F.lit(0.0)))
+    ring = F.when(F.col("label") == 4, F.slice(ring, 1, 2)).otherwise(ring)
+    x = rings.repaired(t.points(spark, d).select("vec_id", ring.alias("ring")))
+    area = F.aggregate(F.coalesce("rings", F.array().cast("array<array<struct<x:double,y:double>>>")), F.lit(0.0), lambda a, r: a + F.abs(scalars.ring_area(r)))
+    return x.select("vec_id", "reason", F.coalesce(F.size(F.col("rings")), F.lit(0)).alias("n_rings"), (F.round(area * 10_000, 3) + 0.0).alias("area"))
+
+
+@q.query("""select p_partkey, coalesce(month(cast(try_strptime(nullif(regexp_extract(name, '_([0-9]{4}_[0-9]{2}_[0-9]{2})$', 1), ''), '%Y_%m_%d') as date)) in (8, 9), false) as peak_months,
+ coalesce(cast(nullif(regexp_extract(name, '_t([0-9]+)$', 1), '') as int) between 5 and 9, false) as middle_steps
+ from (select p_partkey, """ + q._TAGS.format(s="varchar") + " as name from part)")
+def tag_phases(spark, d):
+    """Absolute tags by calendar month, relative ones by a range of steps."""
+    x = t.read(spark, d, "part").select("p_partkey", F.expr(q._TAGS.format(s="string")).alias("name"))
+    return x.select("p_partkey", scalars.tag_in_months(F.col("name"), (8, 9)).alias("peak_months"), scalars.tag_in_steps(F.col("name"), 5, 9).alias("middle_steps"))

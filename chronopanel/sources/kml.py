@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,33 +12,36 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronopanel.functions import scalars
-from chronopanel.operators import spatial, splits
+from chronopanel.operators import rings, spatial, splits
 from chronopanel.session import checkpointed
 
 
 def _unzipped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The document of each archive: doc.kml, else its first KML entry; null if there is none."""
+    """The document of each archive: doc.kml, else its first KML entry; null, and why, if there is none."""
     for b in batches:
-        out = []
+        out, why = [], []
         for content in b["content"]:
+            reason = None
             try:
                 with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
                     names = [n for n in z.namelist() if n.lower().endswith(".kml")]
                     data = z.read("doc.kml" if "doc.kml" in names else names[0]) if names else None
-            except zipfile.BadZipFile:
-                data = None
+                reason = None if names else "no KML in the archive"
+            except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, EOFError) as broken:
+                data, reason = None, f"unreadable archive: {broken}"
             out.append(None if data is None else data.decode("utf-8", "replace"))
-        yield pd.DataFrame({"path": b["path"], "xml": out})
+            why.append(reason)
+        yield pd.DataFrame({"path": b["path"], "xml": out, "fault": why})
 
 
 def _documents(spark: SparkSession, paths: str | list[str], recursive: bool) -> DataFrame:
-    """path and xml of each file, without comments and prefixes of names; only archives go through Python."""
+    """path, xml and fault of each file, without comments and prefixes of names; only archives go through Python."""
 
     def files(pattern: str) -> DataFrame:
         return spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern).load(paths).select("path", "content")
 
-    plain = files("*.{kml,KML}").select("path", F.col("content").cast("string").alias("xml"))
-    both = plain.union(files("*.{kmz,KMZ}").mapInPandas(_unzipped, "path string, xml string")).where("xml is not null")
+    plain = files("*.{kml,KML}").select("path", F.col("content").cast("string").alias("xml"), F.lit(None).cast("string").alias("fault"))
+    both = plain.union(files("*.{kmz,KMZ}").mapInPandas(_unzipped, "path string, xml string, fault string"))
     bare = F.regexp_replace(F.regexp_replace("xml", r"(?s)<!--.*?-->", ""), r"<(/?)[A-Za-z0-9]+:", "<$1")
     return both.withColumn("xml", bare)
 
@@ -63,14 +67,31 @@ def read_kml(spark: SparkSession, paths: str | list[str], label: int, state: str
     and place in it), group_key (class and file), its area in hectares, planar centroid, anchor window, and its
     placemark's name and description.
 
-    Files that can't be read give no rows; if none gives any, it is an error. states: boxes as for
+    Files that can't be read give no rows, faults() says why; if none gives any, it is an error. states: boxes as for
     spatial.range_join(), the first of which that holds the centroid names the state, else it is `state`."""
-    d = polygons(_documents(spark, paths, recursive), label, state, default_anchor, before, after, states)
+    d = polygons(_documents(spark, paths, recursive).where("xml is not null"), label, state, default_anchor, before, after, states)
     if d.isEmpty():
         raise ValueError(f"no polygon in {paths}")
     return d
 
 
+def faults(spark: SparkSession, paths: str | list[str], recursive: bool = True) -> DataFrame:
+    """path, polygon_idx (null for a whole file) and reason, of each file that gives no polygon and each ring that is left
+    out or crosses itself: what read_kml() passes over."""
+    docs = checkpointed(_documents(spark, paths, recursive))
+    shapes = docs.where("xml is not null").select("path", F.posexplode(_shapes(F.col("xml"))).alias("polygon_idx", "shape"))
+    drawn = shapes.withColumn("ring", scalars.parse_ring(F.col("shape.text"))).withColumn("line", ~F.col("shape.polygon"))
+    first, last = F.try_element_at("ring", F.lit(1)), F.try_element_at("ring", F.lit(-1))
+    closed = F.when((first["x"] == last["x"]) & (first["y"] == last["y"]), F.col("ring")).otherwise(F.concat("ring", F.array(first)))
+    open_line = F.col("line") & ~scalars.is_closed(F.col("ring"))
+    ring = F.when(F.size("ring") > 0, F.when(open_line, F.col("ring")).otherwise(closed))
+    judged = rings.repaired(drawn.select("path", "polygon_idx", open_line.alias("open"), ring.alias("ring")))
+    of_rings = judged.select("path", "polygon_idx", F.when(F.col("open"), "an open line").otherwise(F.col("reason")).alias("reason")).where(F.col("reason") != rings.VALID)
+    bare = docs.where("xml is not null").join(shapes.select("path").distinct(), "path", "left_anti").select("path", F.lit("no coordinates").alias("reason"))
+    whole = docs.where("xml is null").select("path", "fault").toDF("path", "reason").unionByName(bare)
+    return of_rings.unionByName(whole.withColumn("polygon_idx", F.lit(None).cast("int")))
+
+
 def polygons(docs: DataFrame, label: int, state: str = "Unknown", default_anchor: str = "2024-09-01", before: int = 5, after: int = 5, states: DataFrame | None = None) -> DataFrame:
     """The rows of read_kml() from documents (path and xml)."""
     d = docs.select("path", F.posexplode(_shapes(F.col("xml"))).alias("polygon_idx", "shape"))
