@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronopanel.session import checkpointed
+
 
 def _div(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -23,7 +25,7 @@ def confusion(df: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame
 
 def _curve(df: DataFrame, by: list[str]) -> DataFrame:
     """Counts at each distinct score and cumulated from the highest. Only distinct scores reach the windows, and
-    without keys these are cut into 1,024 ranges of scores, so that no task sees all."""
+    without keys these are dealt out by sampled ranges of scores, so that no task sees all, wherever scores bunch."""
     s = df.groupBy(*by, "score").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
     if not by:
         return _whole_curve(s)
@@ -33,11 +35,11 @@ def _curve(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _whole_curve(s: DataFrame) -> DataFrame:
-    s = s.withColumn("__b", F.coalesce(F.floor(F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)) * 1024), F.lit(-1)))
+    s = checkpointed(s.repartitionByRange(F.desc("score")).sortWithinPartitions(F.desc("score")).withColumn("__b", F.spark_partition_id()))
     down = Window.partitionBy("__b").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    above = Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
-    ranges = s.groupBy("__b").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))  # 1,026 rows at most
+    ranges = s.groupBy("__b").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))  # a row for each partition
     ranges = ranges.select("__b", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"__{c}") for c in "pn"], F.sum("p").over(whole).alias("P"), F.sum("n").over(whole).alias("N"))
     run = s.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down)})
     joined = run.join(F.broadcast(ranges), "__b")

@@ -971,11 +971,9 @@ def pixel_sample(spark, d):
 }.items()) + " from wide")
 def indices_of_bands(spark, d):
     """All indices that five bands give; NDVI is there before and stays."""
-    w = t.wide(t.filled(spark, d))
-    x = indices.add_all(w.select("entity", "step", *[F.col(c).alias(b) for b, c in _R.items()], F.lit(-1.0).alias("NDVI"))).drop(*_R)
     stable = F.abs(F.col("view") + 6 * F.col("click") - 7.5 * F.col("purchase") + 1) > 0.01
-    doubtful = w.where(~stable).select("entity", "step", F.lit(True).alias("__null"))
-    x = x.join(doubtful, ["entity", "step"], "left").withColumn("EVI", F.when(F.col("__null").isNull(), F.col("EVI"))).drop("__null")
+    w = t.wide(t.filled(spark, d)).select("entity", "step", *[F.col(c).alias(b) for b, c in _R.items()], F.lit(-1.0).alias("NDVI"), F.coalesce(stable, F.lit(True)).alias("__stable"))
+    x = indices.add_all(w).withColumn("EVI", F.when(F.col("__stable"), F.col("EVI"))).drop(*_R, "__stable")
     return rounded(x, ["entity", "step"])
 
 
