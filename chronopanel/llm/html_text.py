@@ -51,7 +51,7 @@ OUTSIDE = frozenset(
 )
 HEADERS = frozenset("header masthead".split())
 NOTICES = frozenset(
-    "ad ads advert adverts advertisement advertisements advertising adsense adbox adslot banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay"
+    "ad ads adsbygoogle leaderboard advert adverts advertisement advertisements advertising adsense adbox adslot banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay"
     " newsletter subscribe subscription signup login search form topbar toolbar widget".split()
 )
 ARTICLE_WORDS = frozenset("article articlebody content entry maincontent post story".split())
@@ -188,7 +188,7 @@ class _Page:
             if (at := min((x for x in map(self._last, _CLOSED_BY[name]) if x > within), default=-1)) >= 0:
                 self._pop(at)
         strip, article = _marks(name, attributes)
-        if name == "header" and strip == 1 and self.article == 3:
+        if name == "header" and strip == 1 and self.article >= 2:
             strip = 0  # the article's own
         self.where[name].append(len(self.open))
         self.open.append((name, self.strip, self.article, self.link, self.block, self.scope))

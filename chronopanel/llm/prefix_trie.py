@@ -38,8 +38,9 @@ from chronopanel.llm.common import stored
 #: Conversation c begins with turns of c - c % FAMILY, fewer than HEADS of them.
 FAMILY, HEADS = 5, 9
 SEGMENT = 64
-#: Rows of a range partition, about.
+#: Rows of a range partition, about, and how many there are at most: two keys of each come to the driver and all tasks.
 BLOCK_ROWS = 1 << 16
+MAX_BLOCKS = 20_000
 #: Segments that one window goes over.
 RUN = 1024
 _SYM, _HEAD = 16, 24
@@ -67,7 +68,7 @@ def _turns(conversations: DataFrame, conv_col: str, turn_col: str, role_col: str
 
 
 def _parts(rows: DataFrame) -> int:
-    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // BLOCK_ROWS))
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MAX_BLOCKS, -(-rows.count() // BLOCK_ROWS)))
 
 
 def _ranked(rows: DataFrame, key: str, order: list[str], rank: str) -> DataFrame:

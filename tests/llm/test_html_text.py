@@ -46,6 +46,7 @@ COMMENTS = "<p>reader says %s</p>" % ("so much " * 40)
         f"<head><title>T</title><body><div role=main>{ARTICLE}</div><div hidden>no</div>",
         f"<script>x='<article>no</article>'</script><style>p</style><!-- <article>no</article> --><article>{ARTICLE}</article>",
         f"<article><header>{ARTICLE}</header><footer>tags</footer></article>",
+        f"<header>Site</header><main><header>{ARTICLE}</header><ins class=adsbygoogle>Buy</ins></main>",
     ],
 )
 def test_shapes(page):
