@@ -4,7 +4,8 @@ Places (distinct points) are sorted along a Morton curve, which halves cells whe
 blocks of about `block_rows`. A block has a tree of its own whose cells are cut at medians, so their size follows the
 local density, and finds each place's nearest neighbour in the block. That distance, or the farthest corner of another
 block's box, bounds the search outside: only blocks whose box is nearer than the bound are asked, once, with the bound.
-What is sent to all tasks is the box of each block of classes that more than one block holds.
+What is sent to all tasks is the box of each block of classes that more than one block holds: about three at most for each
+of `MAX_BLOCKS` range partitions.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from chronopanel.session import checkpointed
 
 BLOCK_ROWS = 1 << 15
+#: Blocks at most; of larger tables blocks have more rows.
+MAX_BLOCKS = 50_000
 LEAF = 32
 #: Queries that a copy of a block answers.
 QUERIES = 1 << 17
@@ -160,6 +163,7 @@ def _of_places(places: DataFrame, corner: tuple[float, float, float], count: int
     kind = places.schema["c"].dataType.simpleString()
     place = f"c {kind}, x double, y double, id long, free boolean, nn double"
     order = ["c", "code", "x", "y"]
+    block_rows = max(block_rows, -(-count // MAX_BLOCKS))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // block_rows))
     coded = places.withColumn("code", morton(F.col("x"), F.col("y"), *corner))
     dealt = coded.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*_PLACE)

@@ -95,6 +95,44 @@ def faults(spark: SparkSession, paths: str | list[str], recursive: bool = True)
 def polygons(docs: DataFrame, label: int, state: str = "Unknown", default_anchor: str = "2024-09-01", before: int = 5, after: int = 5, states: DataFrame | None = None) -> DataFrame:
     """The rows of read_kml() from documents (path and xml)."""
     d = docs.select("path", F.posexplode(_shapes(F.col("xml"))).alias("polygon_idx", "shape"))
+    return _plots(d, label, state, default_anchor, before, after, states)
+
+
+_RING = "struct<LinearRing: struct<coordinates: string>>"
+_POLYGON = f"struct<outerBoundaryIs: {_RING}>"
+_LINE = "struct<coordinates: string>"
+_PLACEMARK = f"name string, description string, Polygon array<{_POLYGON}>, LineString array<{_LINE}>, MultiGeometry struct<Polygon: array<{_POLYGON}>, LineString: array<{_LINE}>>, broken string"
+
+
+def read_large_kml(spark: SparkSession, paths: str | list[str], label: int, state: str = "Unknown", default_anchor: str = "2024-09-01", before: int = 5, after: int = 5, recursive: bool = True, states: DataFrame | None = None) -> DataFrame:
+    """The rows of read_kml() of plain files of any size: these are split at their placemarks, each of which is a row, so
+    that no document is held whole. Names have no prefixes, geometries lie in the placemark or in one MultiGeometry, all
+    polygons of a placemark come before its lines. Placemarks that are not well formed are left out: see broken_placemarks()."""
+    d = _placemarks(spark, paths, recursive).where("broken is null")
+    of = lambda c: F.coalesce(F.col(c), F.array())
+    shape = lambda polygon: lambda text: F.struct(text.alias("text"), F.lit(polygon).alias("polygon"), F.trim(F.coalesce("name", F.lit(""))).alias("name"), F.trim(F.coalesce("description", F.lit(""))).alias("description"))
+    outer = F.transform(F.concat(of("Polygon"), of("MultiGeometry.Polygon")), lambda p: p["outerBoundaryIs"]["LinearRing"]["coordinates"])
+    lines = F.transform(F.concat(of("LineString"), of("MultiGeometry.LineString")), lambda p: p["coordinates"])
+    shapes = F.filter(F.concat(F.transform(outer, shape(True)), F.transform(lines, shape(False))), lambda s: s["text"].isNotNull())
+    d = d.select("path", "start", F.monotonically_increasing_id().alias("row"), F.posexplode(shapes).alias("k", "shape"))
+    d = splits.numbered(checkpointed(d), ["path", "start", "row", "k"], "__at")
+    first = d.groupBy("path").agg(F.min("__at").alias("__first"))
+    d = d.join(first, "path").select("path", (F.col("__at") - F.col("__first")).cast("int").alias("polygon_idx"), "shape")
+    return _plots(d, label, state, default_anchor, before, after, states)
+
+
+def broken_placemarks(spark: SparkSession, paths: str | list[str], recursive: bool = True) -> DataFrame:
+    """path and broken (its text) of the placemarks that read_large_kml() leaves out."""
+    return checkpointed(_placemarks(spark, paths, recursive)).where("broken is not null").select("path", "broken")
+
+
+def _placemarks(spark: SparkSession, paths: str | list[str], recursive: bool) -> DataFrame:
+    reader = spark.read.format("xml").schema(_PLACEMARK).option("rowTag", "Placemark").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken")
+    files = reader.option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.{kml,KML}").load(paths)
+    return files.select("*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+
+
+def _plots(d: DataFrame, label: int, state: str, default_anchor: str, before: int, after: int, states: DataFrame | None) -> DataFrame:
     d = d.withColumn("ring", scalars.parse_ring(F.col("shape.text")))
     d = d.where((F.col("shape.polygon") & (F.size("ring") >= 3)) | scalars.is_closed(F.col("ring")))
     first, last = F.element_at("ring", 1), F.element_at("ring", -1)

@@ -62,6 +62,13 @@ def test_block_with_many_queries(spark, monkeypatch):
     check(spark, [(i, float(a), float(b), "a") for i, (a, b) in enumerate(rng.normal(0, 1, (400, 2)))], block_rows=20)
 
 
+def test_bound_on_blocks(spark, monkeypatch):
+    """A large table has larger blocks instead of more of them."""
+    monkeypatch.setattr(nearest, "MAX_BLOCKS", 2)
+    rng = np.random.default_rng(10)
+    check(spark, [(i, float(a), float(b), "a") for i, (a, b) in enumerate(rng.normal(0, 1, (300, 2)))], block_rows=10)
+
+
 def test_quantiles(spark):
     rng = np.random.default_rng(9)
     rows = [("big", float(v)) for v in np.exp(rng.normal(0, 3, 5000))] + [("ties", float(v)) for v in rng.integers(0, 3, 900)] + [("small", 2.0), ("small", 4.0), ("none", None), (None, 1.0), (None, 3.0), ("big", float("nan"))]

@@ -91,3 +91,26 @@ def test_audit_of_odd_rows(spark):
     assert [(r.district, r.n) for r in sorted(top, key=lambda r: (str(r.kind), r.place)) if r.kind == "a"] == [("x", 1), ("y", 1)]
     box = spatial.extent(df, "lon", "lat").first()
     assert (box.x0, box.y0, box.x1, box.y1, box.n) == (10.0, 29.0, 77.6, 29.1, 3)
+
+
+def test_large_files_are_split_at_placemarks(spark, tmp_path):
+    """The same plots as from whole documents, from files that are read in many pieces; broken placemarks are listed."""
+    def square(x, y):
+        return f"{x},{y} {x + 0.1},{y} {x + 0.1},{y + 0.1} {x},{y + 0.1} {x},{y}"
+
+    for name, n in (("big_2024_03_01.kml", 300), ("small.kml", 2)):
+        marks = [f"<Placemark><name>p{k}</name><Polygon><outerBoundaryIs><LinearRing><coordinates>{square(77 + k * 0.01, 28)}</coordinates></LinearRing></outerBoundaryIs></Polygon></Placemark>" for k in range(n)]
+        marks.append(f"<Placemark><name>m</name><MultiGeometry>{''.join(f'<Polygon><outerBoundaryIs><LinearRing><coordinates>{square(79, 28 + k)}</coordinates></LinearRing></outerBoundaryIs></Polygon>' for k in range(2))}</MultiGeometry></Placemark>")
+        marks.append(f"<Placemark><LineString><coordinates>{square(80, 28)}</coordinates></LineString></Placemark><Placemark><name>point</name><Point><coordinates>1,2</coordinates></Point></Placemark>")
+        (tmp_path / name).write_text(f"<?xml version='1.0'?><kml><Document>{''.join(marks)}</Document></kml>")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = kml.read_large_kml(spark, str(tmp_path), 1).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = kml.read_kml(spark, str(tmp_path), 1).collect()
+    assert len(want) == 300 + 2 + 2 * 3 and sorted(map(str, got)) == sorted(map(str, want))
+    assert kml.broken_placemarks(spark, str(tmp_path)).count() == 0
+    (tmp_path / "bad.kml").write_text("<kml><Document><Placemark><name>x</Polygon></Placemark></Document></kml>")
+    assert [r.path.rsplit("/", 1)[-1] for r in kml.broken_placemarks(spark, str(tmp_path)).collect()] == ["bad.kml"]
