@@ -7,7 +7,7 @@ model is saved and loaded as one, by `PipelineModel`'s own writer and reader, an
 from __future__ import annotations
 
 from pyspark import keyword_only
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -98,4 +98,4 @@ def scorer(plan: PipelineModel) -> PipelineModel:
     return PipelineModel(plan.stages[:-1])
 
 
-__all__ = ["Align", "Pipeline", "PipelineModel", "Score", "Verdicts", "chosen", "scorer", "train"]
+__all__ = ["Align", "PipelineModel", "Score", "Verdicts", "chosen", "scorer", "train"]
