@@ -28,6 +28,8 @@ LEAF = 32
 QUERIES = 1 << 17
 #: Neighbouring places that choose blocks together.
 GROUP = 256
+#: The number of a missing value where missing values are equal.
+_NO_KEY = -(1 << 62)
 _PLACE = ["c", "x", "y", "id", "free", "nn"]
 
 
@@ -102,8 +104,8 @@ def _columns(batch: pa.RecordBatch, names: list[str]) -> list[np.ndarray]:
     return [np.nan_to_num(batch.column(n).to_numpy(zero_copy_only=False).astype(float), nan=np.inf) if n == "nn" else batch.column(n).to_numpy(zero_copy_only=False) for n in names]
 
 
-def _within(batches: Iterator[pa.RecordBatch], block_rows: int) -> Iterator[pa.RecordBatch]:
-    """Places of a partition with their block and the nearest neighbour in it."""
+def _within(batches: Iterator[pa.RecordBatch], block_rows: int, search: bool) -> Iterator[pa.RecordBatch]:
+    """Places of a partition with their block and, where that is asked, the nearest neighbour in it."""
     part = TaskContext.get().partitionId()
     got = [b for b in batches if b.num_rows]
     if not got:
@@ -115,7 +117,7 @@ def _within(batches: Iterator[pa.RecordBatch], block_rows: int) -> Iterator[pa.R
     for block, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
         own = rows.slice(a, b - a).to_batches()[0]
         x, y, ids, free, nn = _columns(own, _PLACE[1:])
-        best = Tree(x, y, ids, free).search(x, y, ids, free, nn, True)
+        best = Tree(x, y, ids, free).search(x, y, ids, free, nn, True) if search else nn
         nn = pa.array(best, mask=np.isinf(best))
         yield pa.RecordBatch.from_arrays([*own.columns[:5], nn, *[pa.array(np.full(b - a, n, np.int64)) for n in (part, block)]], [*_PLACE, "part", "block"])
 
@@ -136,43 +138,114 @@ def _asked(x: np.ndarray, y: np.ndarray, ids: np.ndarray, free: np.ndarray, best
     return np.concatenate(out) if out else np.empty((0, 2), np.int64)
 
 
+def _finite(name: str) -> Column:
+    return F.coalesce(F.abs(name) < float("inf"), F.lit(False)) & ~F.isnan(name)
+
+
+def _number(df: DataFrame, key: str, name: str) -> Column:
+    """The key (a column of df, now called name) as a number, null if it is null."""
+    whole = df.schema[key].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    return F.col(name).cast("bigint") if whole else F.when(F.col(name).isNotNull(), F.xxhash64(name))
+
+
 def nearest_distance(df: DataFrame, key: str, x: str = "x", y: str = "y", by: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """key, nn (and by) of each row: the distance to the nearest row of another key (and the same `by`), null if there
     is none or a coordinate is missing or not finite.
 
     Rows at one place are one place, and 0 apart if their keys differ. A null key differs from all keys, a null `by` is
     a value like others. Keys that are not whole numbers are compared by their XXH64."""
-    whole = df.schema[key].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
-    finite = lambda c: F.coalesce(F.abs(c) < float("inf"), F.lit(False)) & ~F.isnan(c)
     rows = df.select((F.col(by) if by else F.lit(0)).alias("c"), F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    known = finite(F.col("x")) & finite(F.col("y"))
-    number = F.col("k").cast("bigint") if whole else F.when(F.col("k").isNotNull(), F.xxhash64("k"))
+    known = _finite("x") & _finite("y")
+    number = _number(df, key, "k")
     places = rows.where(known).groupBy("c", F.col("x") + 0.0, F.col("y") + 0.0).agg(F.min(number).alias("lo"), F.max(number).alias("hi"), F.count_if(number.isNull()).alias("no"), F.count("*").alias("m")).toDF("c", "x", "y", "lo", "hi", "no", "m")
     shared = (F.col("lo") < F.col("hi")) | ((F.col("no") > 0) & (F.col("m") > 1))
     free = F.coalesce(shared, F.lit(False)) | (F.col("no") > 0)
     places = checkpointed(places.select("c", "x", "y", F.coalesce("lo", F.lit(0)).alias("id"), free.alias("free"), F.when(shared, 0.0).alias("nn")))
     x0, x1, y0, y1, count = places.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count("*")).first()
-    found = _of_places(places, (x0, y0, max(x1 - x0, y1 - y0) or 1.0), count, block_rows) if count else places.select("c", "x", "y", "nn")
+    found = _of_places(places, (x0, x1, y0, y1), count, block_rows) if count else places.select("c", "x", "y", "nn")
     at = found.select(F.struct("c", "x", "y").alias("at"), "nn")
     joined = rows.withColumn("at", F.when(known, F.struct("c", F.col("x") + 0.0, F.col("y") + 0.0))).join(at, "at", "left")
     return joined.select(F.col("k").alias(key), *([F.col("c").alias(by)] if by else []), "nn")
 
 
-def _of_places(places: DataFrame, corner: tuple[float, float, float], count: int, block_rows: int) -> DataFrame:
-    spark = places.sparkSession
-    kind = places.schema["c"].dataType.simpleString()
-    place = f"c {kind}, x double, y double, id long, free boolean, nn double"
+def near_places(left: DataFrame, right: DataFrame, distance: float, x: str = "x", y: str = "y", unlike: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """x, y and u of left's distinct places (and values of `unlike`, else null) that have a row of right nearer than
+    distance, with `unlike` one that differs in that column; nulls are equal there.
+
+    Right's places are dealt into blocks, and each place of left asks only blocks whose box is nearer than the distance
+    or the farthest corner of another block. So a dense spot costs a search in a tree for each place, not all its pairs.
+    Rows without finite coordinates are near nothing."""
+
+    def placed(df: DataFrame) -> DataFrame:
+        u = F.col(unlike) if unlike else F.lit(None).cast("int")
+        rows = df.select((F.col(x).cast("double") + 0.0).alias("x"), (F.col(y).cast("double") + 0.0).alias("y"), u.alias("u"))
+        number = F.coalesce(_number(df, unlike, "u"), F.lit(_NO_KEY)) if unlike else F.lit(_NO_KEY)
+        return rows.where(_finite("x") & _finite("y")).withColumn("id", number)
+
+    asking = checkpointed(placed(left).distinct())
+    held = placed(right).groupBy("x", "y").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    free = F.col("lo") < F.col("hi") if unlike else F.lit(True)
+    held = checkpointed(held.select(F.lit(0).alias("c"), "x", "y", F.col("lo").alias("id"), free.alias("free"), F.lit(None).cast("double").alias("nn")))
+    x0, x1, y0, y1, count = held.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count("*")).first()
+    if not count or not distance > 0:
+        return asking.select("x", "y", "u").limit(0)
+    corner = x0, x1, y0, y1
+    local = _dealt(held, corner, count, block_rows, False)
+    boxes, only, mixed, names = _boxes(_blocks(local).orderBy("part", "block").collect())
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, GROUP):
+                own = batch.slice(lo, GROUP)
+                yield from _sent(own, _asked(*_columns(own, _PLACE[1:]), boxes, only, mixed), names)
+
+    queries = asking.select(F.lit(0).alias("c"), "x", "y", "id", F.lit(False).alias("free"), F.lit(float(distance)).alias("nn"))
+    inside = lambda v, a, b: F.least(F.greatest(F.col(v), F.lit(a)), F.lit(b))
+    code = morton(inside("x", x0, x1), inside("y", y0, y1), x0, y0, max(x1 - x0, y1 - y0) or 1.0)
+    along = queries.withColumn("code", code).repartitionByRange("code", "x", "y").sortWithinPartitions("code", "x", "y").select(*_PLACE)
+    asked = checkpointed(along.mapInArrow(ask, f"{_places('int')}, part long, block long"))
+    near = _answers(local, asked, "int").where(F.col("nn") < distance).select("x", "y", "id").distinct()
+    return asking.join(near, ["x", "y", "id"], "left_semi").select("x", "y", "u")
+
+
+def _places(kind: str) -> str:
+    return f"c {kind}, x double, y double, id long, free boolean, nn double"
+
+
+def _dealt(places: DataFrame, corner: tuple[float, float, float, float], count: int, block_rows: int, search: bool) -> DataFrame:
+    """Places with part and block, in order along the curve."""
+    x0, x1, y0, y1 = corner
     order = ["c", "code", "x", "y"]
     block_rows = max(block_rows, -(-count // MAX_BLOCKS))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-count // block_rows))
-    coded = places.withColumn("code", morton(F.col("x"), F.col("y"), *corner))
+    parts = max(int(places.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count // block_rows))
+    coded = places.withColumn("code", morton(F.col("x"), F.col("y"), x0, y0, max(x1 - x0, y1 - y0) or 1.0))
     dealt = coded.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*_PLACE)
-    local = checkpointed(dealt.mapInArrow(lambda b: _within(b, block_rows), place + ", part long, block long"))
+    kind = places.schema["c"].dataType.simpleString()
+    return checkpointed(dealt.mapInArrow(lambda b: _within(b, block_rows, search), f"{_places(kind)}, part long, block long"))
+
+
+def _blocks(local: DataFrame) -> DataFrame:
+    box = [f(c).alias(n) for n, f, c in (("x0", F.min, "x"), ("x1", F.max, "x"), ("y0", F.min, "y"), ("y1", F.max, "y"))]
+    mixed = F.bool_or("free") | (F.min("id") < F.max("id"))
+    return local.groupBy("part", "block").agg(*box, F.min("id").alias("only"), mixed.alias("mixed"), F.struct(F.first("c").alias("c")).alias("g"))
+
+
+def _boxes(blocks: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return np.array([[b.x0, b.x1, b.y0, b.y1] for b in blocks]), np.array([b.only for b in blocks]), np.array([b.mixed for b in blocks]), np.array([(b.part, b.block) for b in blocks])
+
 
-    blocks = local.groupBy("part", "block").agg(
-        F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("id").alias("only"), (F.bool_or("free") | (F.min("id") < F.max("id"))).alias("mixed"), F.struct(F.first("c").alias("c")).alias("g")
-    )
-    blocks = checkpointed(blocks)
+def _sent(own: pa.RecordBatch, pairs: np.ndarray, names: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Queries with the part and block that they ask, for pairs of both."""
+    for at in range(0, len(pairs), 8192):
+        some = pairs[at : at + 8192]
+        to = names[some[:, 1]]
+        yield pa.RecordBatch.from_arrays([*own.take(pa.array(some[:, 0])).columns[:6], pa.array(to[:, 0]), pa.array(to[:, 1])], [*_PLACE, "part", "block"])
+
+
+def _of_places(places: DataFrame, corner: tuple[float, float, float, float], count: int, block_rows: int) -> DataFrame:
+    kind = places.schema["c"].dataType.simpleString()
+    local = _dealt(places, corner, count, block_rows, True)
+    blocks = checkpointed(_blocks(local))
     several = blocks.groupBy("g").count().where("count > 1").select("g")
     held = blocks.join(several, "g").orderBy("part", "block").collect()
     if not held:
@@ -180,7 +253,7 @@ def _of_places(places: DataFrame, corner: tuple[float, float, float], count: int
     of: dict = {}
     for b in held:
         of.setdefault(b.g.c, []).append(b)
-    of = {c: (np.array([[b.x0, b.x1, b.y0, b.y1] for b in bs]), np.array([b.only for b in bs]), np.array([b.mixed for b in bs]), np.array([(b.part, b.block) for b in bs])) for c, bs in of.items()}
+    of = {c: _boxes(bs) for c, bs in of.items()}
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,16 +268,20 @@ def _of_places(places: DataFrame, corner: tuple[float, float, float], count: int
                 boxes, only, mixed, names = of[c]
                 others = (names != where[a]).any(axis=1)
                 pairs = _asked(*_columns(own, _PLACE[1:]), boxes[others], only[others], mixed[others])
-                for at in range(0, len(pairs), 8192):
-                    some = pairs[at : at + 8192]
-                    to = names[others][some[:, 1]]
-                    yield pa.RecordBatch.from_arrays([*own.take(pa.array(some[:, 0])).columns[:6], pa.array(to[:, 0]), pa.array(to[:, 1])], [*_PLACE, "part", "block"])
+                yield from _sent(own, pairs, names[others])
 
-    asked = checkpointed(local.where("nn is null or nn > 0").mapInArrow(ask, place + ", part long, block long"))
+    asked = checkpointed(local.where("nn is null or nn > 0").mapInArrow(ask, f"{_places(kind)}, part long, block long"))
+    more = _answers(local, asked, kind).select("c", "x", "y", "nn")
+    return local.select("c", "x", "y", "nn").unionByName(more).groupBy("c", "x", "y").agg(F.min("nn").alias("nn"))
+
+
+def _answers(local: DataFrame, asked: DataFrame, kind: str) -> DataFrame:
+    """c, x, y, id and nn of each query, by the tree of the block that it asks."""
     copies = F.broadcast(checkpointed(asked.groupBy("part", "block").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("copies"))))
     targets = local.join(copies, ["part", "block"]).select("part", "block", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("query"), *_PLACE)
     queries = asked.join(copies, ["part", "block"]).select("part", "block", F.pmod(F.hash("x", "y"), "copies").alias("copy"), F.lit(1).alias("query"), *_PLACE)
     keys = ["part", "block", "copy"]
+    names = ["c", "x", "y", "id"]
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, tree = None, [], None
@@ -220,8 +297,7 @@ def _of_places(places: DataFrame, corner: tuple[float, float, float], count: int
                     continue
                 tree = tree or Tree(*map(np.concatenate, zip(*held, strict=True)))
                 best = tree.search(*_columns(own, _PLACE[1:]), False)
-                yield pa.RecordBatch.from_arrays([own.column("c"), own.column("x"), own.column("y"), pa.array(best, mask=np.isinf(best))], ["c", "x", "y", "nn"])
+                yield pa.RecordBatch.from_arrays([*(own.column(n) for n in names), pa.array(best, mask=np.isinf(best))], [*names, "nn"])
 
     dealt = targets.unionByName(queries).repartition(*keys).sortWithinPartitions(*keys, "query")
-    more = dealt.mapInArrow(answer, f"c {kind}, x double, y double, nn double")
-    return local.select("c", "x", "y", "nn").unionByName(more).groupBy("c", "x", "y").agg(F.min("nn").alias("nn"))
+    return dealt.mapInArrow(answer, f"c {kind}, x double, y double, id long, nn double")

@@ -6,26 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronopanel.operators import ranks
-from chronopanel.operators.nearest import nearest_distance  # noqa: F401
+from chronopanel.operators.nearest import BLOCK_ROWS, near_places, nearest_distance  # noqa: F401
 
 
-def _cells(df: DataFrame, x: str, y: str, size: float, around: bool) -> DataFrame:
-    cx, cy = F.floor(F.col(x) / size), F.floor(F.col(y) / size)
-    if not around:
-        return df.withColumns({"__cx": cx, "__cy": cy})
-    side = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    return df.withColumn("__dx", F.explode(side)).withColumn("__dy", F.explode(side)).withColumns({"__cx": cx + F.col("__dx"), "__cy": cy + F.col("__dy")}).drop("__dx", "__dy")
-
-
-def buffered_antijoin(left: DataFrame, right: DataFrame, distance: float, x: str = "x", y: str = "y", unlike: str | None = None) -> DataFrame:
-    """Rows of left with no row of right nearer than distance: an equi-join on cells of that size, of which
-    right is put into nine. With `unlike` only rows of right that differ in that column count."""
-    others = right.select(F.col(x).alias("__x"), F.col(y).alias("__y"), (F.col(unlike) if unlike else F.lit(None)).alias("__u")).distinct()
-    l, r = _cells(left, x, y, distance, False), _cells(others, "__x", "__y", distance, True)
-    near = F.hypot(l[x] - r["__x"], l[y] - r["__y"]) < distance
+def buffered_antijoin(left: DataFrame, right: DataFrame, distance: float, x: str = "x", y: str = "y", unlike: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Rows of left with no row of right nearer than distance. With `unlike` only rows of right that differ in that
+    column count; nulls are equal there. Rows whose coordinates are missing or not finite stay. Distinct places of left
+    search blocks of right by trees (`nearest.near_places`), so no pairs are made, wherever rows are dense."""
+    near = near_places(left, right, distance, x, y, unlike, block_rows).select(F.col("x").alias("__x"), F.col("y").alias("__y"), F.col("u").alias("__u"))
+    same = (left[x].cast("double") == near["__x"]) & (left[y].cast("double") == near["__y"])
     if unlike:
-        near = near & ~l[unlike].eqNullSafe(r["__u"])
-    return l.join(r, (l["__cx"] == r["__cx"]) & (l["__cy"] == r["__cy"]) & near, "left_anti").select(*left.columns)
+        same = same & left[unlike].eqNullSafe(near["__u"])
+    return left.join(near, same, "left_anti").select(*left.columns)
 
 
 def block_id(lon: Column, lat: Column, size: float = 0.05) -> Column:
@@ -48,7 +40,8 @@ def range_join(df: DataFrame, boxes: DataFrame, key: str, cell: float, x: str =
     across = F.sequence(F.floor(F.col("x0") / cell), F.floor(F.col("x1") / cell))
     up = F.sequence(F.floor(F.col("y0") / cell), F.floor(F.col("y1") / cell))
     spread = boxes.where("x0 <= x1 and y0 <= y1").withColumn("__cx", F.explode(across)).withColumn("__cy", F.explode(up))
-    points = _cells(df.select(F.col(key).alias("__k"), F.col(x).alias("__x"), F.col(y).alias("__y")), "__x", "__y", cell, False)
+    points = df.select(F.col(key).alias("__k"), F.col(x).alias("__x"), F.col(y).alias("__y"))
+    points = points.withColumns({"__cx": F.floor(F.col("__x") / cell), "__cy": F.floor(F.col("__y") / cell)})
     inside = F.col("__x").between(F.col("x0"), F.col("x1")) & F.col("__y").between(F.col("y0"), F.col("y1"))
     first = points.join(spread, ["__cx", "__cy"]).where(inside).groupBy("__k").agg(F.min_by("name", "ord").alias("__box"))
     found = df.drop("box").join(first, df[key] == first["__k"], "left")
