@@ -24,26 +24,22 @@ def confusion(df: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame
 
 
 def _curve(df: DataFrame, by: list[str]) -> DataFrame:
-    """Counts at each distinct score and cumulated from the highest. Only distinct scores reach the windows, and
-    without keys these are dealt out by sampled ranges of scores, so that no task sees all, wherever scores bunch."""
-    s = df.groupBy(*by, "score").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
-    if not by:
-        return _whole_curve(s)
-    down = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*by)
-    return s.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "P": F.sum("pos").over(whole), "N": F.sum("neg").over(whole)})
-
-
-def _whole_curve(s: DataFrame) -> DataFrame:
-    s = checkpointed(s.repartitionByRange(F.desc("score")).sortWithinPartitions(F.desc("score")).withColumn("__b", F.spark_partition_id()))
-    down = Window.partitionBy("__b").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    above = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    ranges = s.groupBy("__b").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))  # a row for each partition
-    ranges = ranges.select("__b", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"__{c}") for c in "pn"], F.sum("p").over(whole).alias("P"), F.sum("n").over(whole).alias("N"))
+    """Counts at each distinct score and cumulated from the highest, by key. Only distinct scores reach the windows. They
+    are dealt out by sampled ranges of keys and scores, so no task sees a whole key, wherever rows or scores bunch: sums
+    run within ranges and are carried on by the ranges' totals, a row for each key and range that meet."""
+    key = F.struct(*[F.col(c) for c in by]) if by else F.lit(0)  # nulls in a struct are equal
+    s = df.groupBy(key.alias("__k"), "score").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"))
+    order = ["__k", F.desc("score")]
+    s = checkpointed(s.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__b", F.spark_partition_id()))
+    down = Window.partitionBy("__k", "__b").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    above = Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("__k")
+    ranges = s.groupBy("__k", "__b").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    ranges = ranges.select("__k", "__b", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"__{c}") for c in "pn"], F.sum("p").over(whole).alias("P"), F.sum("n").over(whole).alias("N"))
     run = s.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down)})
-    joined = run.join(F.broadcast(ranges), "__b")
-    return joined.withColumns({"tp": F.col("tp") + F.col("__p"), "fp": F.col("fp") + F.col("__n")}).drop("__b", "__p", "__n")
+    carried = {"tp": F.col("tp") + F.col("__p"), "fp": F.col("fp") + F.col("__n")}
+    keys = [F.col("__k")[c].alias(c) for c in by]
+    return run.join(ranges, ["__k", "__b"]).withColumns(carried).select(*keys, "score", "pos", "neg", "tp", "fp", "P", "N")
 
 
 def roc_auc(df: DataFrame, by: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chronopanel.operators import metrics, nearest, spatial
 
@@ -45,6 +46,33 @@ def test_buffer_of_odd_tables(spark):
     assert [r["__x"] for r in spatial.buffered_antijoin(clashing, clashing.where("id is null"), 1.0).collect()] == [1]
 
 
+def test_curves_by_key(spark):
+    """A key with most rows, ties, a key of one class, null keys in one of two columns, rows without a label."""
+    rng = np.random.default_rng(5)
+    rows = [("big", 1, round(float(rng.beta(1, 9)), 3), int(rng.uniform() < 0.4)) for _ in range(4000)]
+    rows += [("big", None, float(rng.integers(0, 4)) / 3, int(rng.uniform() < 0.5)) for _ in range(60)]
+    rows += [(None, 1, float(rng.normal()), int(i % 3 == 0)) for i in range(90)] + [("one", 2, 0.3, 1), ("one", 2, 0.7, 1), ("big", 1, 0.01, None)]
+    df = spark.createDataFrame(rows, "g string, h int, score double, y int").repartition(5)
+    got = metrics.roc_auc(df, ["g", "h"]).join(metrics.average_precision(df, ["g", "h"]).withColumnsRenamed({"g": "g2", "h": "h2"}), F.col("g").eqNullSafe(F.col("g2")) & F.col("h").eqNullSafe(F.col("h2")))
+    got = {(r.g, r.h): (r.roc_auc, r.pr_auc) for r in got.collect()}
+    cut = {(r.g, r.h): r.threshold for r in metrics.youden(df, ["g", "h"]).collect()}
+    assert len(got) == len(cut) == 4
+    for g, h in got:
+        s, y = (np.array(x) for x in zip(*[(r[2], r[3]) for r in rows if r[:2] == (g, h) and r[3] is not None], strict=True))
+        pos, neg = s[y == 1], s[y == 0]
+        won = ((pos[:, None] > neg) + 0.5 * (pos[:, None] == neg)).mean() if len(neg) else None
+        levels = sorted(set(s), reverse=True)
+        tp, n = (np.array([(a >= c).sum() for c in levels]) for a in (pos, s))
+        ap = (np.diff(tp, prepend=0) / len(pos) * tp / n).sum()
+        assert got[g, h] == (pytest.approx(won) if won is not None else None, pytest.approx(ap))
+        if won is not None:
+            j = np.round(tp / len(pos) - (n - tp) / len(neg), 12)
+            assert cut[g, h] == pytest.approx(min(0.6, max(0.0, levels[int(np.argmax(j))])) if j.max() > 0 else 0.6)
+    assert cut["one", 2] == 0.5
+    empty = df.limit(0)
+    assert metrics.roc_auc(empty, ["g"]).count() == 0 and metrics.roc_auc(empty, []).first().roc_auc is None
+
+
 def test_buffer_of_a_dense_spot_ends_soon(spark):
     """30,000 places a side within the distance of each other are 900 million pairs."""
     rng = np.random.default_rng(4)
