@@ -42,6 +42,12 @@ def _curve(df: DataFrame, by: list[str]) -> DataFrame:
     return run.join(ranges, ["__k", "__b"]).withColumns(carried).select(*keys, "score", "pos", "neg", "tp", "fp", "P", "N")
 
 
+def curve(df: DataFrame, by: list[str]) -> DataFrame:
+    """by, score, pos, neg, tp, fp, n_pos and n_neg: of each distinct score the rows of both classes there and at or above
+    it, and those of the key. Rows without a label count in no class; an empty table gives no rows."""
+    return _curve(df, by).withColumnsRenamed({"P": "n_pos", "N": "n_neg"})
+
+
 def roc_auc(df: DataFrame, by: list[str]) -> DataFrame:
     """Mann-Whitney with mid-ranks; null if one class is missing."""
     c = _curve(df, by)

@@ -572,6 +572,14 @@ def brier(spark, d):
     return rounded(metrics.confusion(t.scores(spark, d), ["source"]).select("source", "brier"), ["source"])
 
 
+@query(f"""with {o.SCORES}, g as (select source, score, count(*) filter (where y = 1) as pos, count(*) filter (where y = 0) as neg from scores group by 1, 2)
+ select source, round(score, 6) + 0.0 as score, cast(sum(pos) over w as bigint) as tp, cast(sum(neg) over w as bigint) as fp, cast(sum(pos) over (partition by source) as bigint) as n_pos, cast(sum(neg) over (partition by source) as bigint) as n_neg
+ from g window w as (partition by source order by score desc)""")
+def score_curves(spark, d):
+    """Of each source the counts of both classes at or above each distinct score: the points of both curves."""
+    return rounded(metrics.curve(t.scores(spark, d), ["source"]).select("source", "score", "tp", "fp", "n_pos", "n_neg"), ["source", "tp", "fp", "n_pos", "n_neg"])
+
+
 @query(f"""with {o.SCORES}, r as (select *, rank() over (partition by source order by score) + (count(*) over (partition by source, score) - 1) / 2 as mid from scores)
  select source, round((sum(mid) filter (where y = 1) - count(*) filter (where y = 1) * (count(*) filter (where y = 1) + 1) / 2) / nullif(count(*) filter (where y = 1) * count(*) filter (where y = 0), 0), 6) + 0.0 as roc_auc from r group by 1""")
 def roc_auc(spark, d):

@@ -69,7 +69,12 @@ def test_curves_by_key(spark):
             j = np.round(tp / len(pos) - (n - tp) / len(neg), 12)
             assert cut[g, h] == pytest.approx(min(0.6, max(0.0, levels[int(np.argmax(j))])) if j.max() > 0 else 0.6)
     assert cut["one", 2] == 0.5
+    points = metrics.curve(df, ["g", "h"]).where("g = 'big' and h = 1").orderBy(F.desc("score")).collect()
+    of = [r for r in rows if r[:2] == ("big", 1)]
+    assert [r.score for r in points] == sorted({r[2] for r in of}, reverse=True)
+    assert [(r.tp, r.fp) for r in points] == [tuple(sum(r[3] == y and r[2] >= c.score for r in of) for y in (1, 0)) for c in points]
     empty = df.limit(0)
+    assert metrics.curve(empty, ["g"]).count() == 0
     assert metrics.roc_auc(empty, ["g"]).count() == 0 and metrics.roc_auc(empty, []).first().roc_auc is None
 
 
