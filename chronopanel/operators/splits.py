@@ -100,10 +100,62 @@ def block_folds(df: DataFrame, block: Column, label: str, folds: int = 5, seed:
     return group_folds(df.withColumn("__block", block), "__block", label, folds, seed).drop("__block")
 
 
+def _placed(counts: list[tuple[int, ...]], scale: list[float], folds: int) -> list[int]:
+    """The fold of each group, taken in the given order: that whose counts, scaled, then deviate least."""
+    have, chosen = [[0.0] * len(scale) for _ in range(folds)], []
+    for of in counts:
+        own = [c * s for c, s in zip(of, scale, strict=True)]
+        k = min(range(folds), key=lambda f: (sum((h + o) ** 2 - h * h for h, o in zip(have[f], own, strict=True)), have[f][0], f))
+        have[k] = [h + o for h, o in zip(have[k], own, strict=True)]
+        chosen.append(k)
+    return chosen
+
+
+def exchanged(counts: list[tuple[int, ...]], chosen: list[int], folds: int) -> list[int]:
+    """chosen, with groups moved or exchanged between two folds as long as folds differ in some count by more than the
+    largest group has of it, and a step lessens that. Where none is left that does, it stays."""
+    chosen, kinds = list(chosen), range(len(counts[0]) if counts else 0)
+    most = [max(1, max(c[i] for c in counts)) for i in kinds]
+    have = [[0] * len(kinds) for _ in range(folds)]
+    for own, k in zip(counts, chosen, strict=True):
+        have[k] = [h + o for h, o in zip(have[k], own, strict=True)]
+
+    def excess(of: list[list[int]]) -> tuple[float, float]:
+        spread = [(max(h[i] for h in of) - min(h[i] for h in of)) / most[i] for i in kinds]
+        return sum(max(0.0, s - 1) for s in spread), sum(s * s for s in spread)
+
+    now = excess(have)
+    while now[0] > 0:
+        worst = max(kinds, key=lambda i: (max(h[i] for h in have) - min(h[i] for h in have)) / most[i])
+        ends = {max(range(folds), key=lambda f: have[f][worst]), min(range(folds), key=lambda f: have[f][worst])}
+        best = None
+        members = {f: dict.fromkeys(counts[g] for g in range(len(counts)) if chosen[g] == f) for f in range(folds)}
+        for a, b in ((a, b) for a in range(folds) for b in range(folds) if a != b and (a in ends or b in ends)):
+            for x in members[a]:
+                for y in (None, *members[b]):
+                    change = [p - q for p, q in zip(x, y or [0] * len(x), strict=True)]
+                    after = list(have)
+                    after[a] = [h - c for h, c in zip(have[a], change, strict=True)]
+                    after[b] = [h + c for h, c in zip(have[b], change, strict=True)]
+                    then = excess(after)
+                    if then < now and (best is None or then < best[0]):
+                        best = (then, a, b, x, y, after)
+        if best is None:
+            return chosen
+        now, a, b, x, y, have = best
+        one = next(g for g in range(len(counts)) if chosen[g] == a and counts[g] == x)
+        other = None if y is None else next(g for g in range(len(counts)) if chosen[g] == b and counts[g] == y)
+        chosen[one] = b
+        if other is not None:
+            chosen[other] = a
+    return chosen
+
+
 def balanced_folds(df: DataFrame, group: str, label: str, folds: int = 5, seed: int = 42, large: int = 4096) -> DataFrame:
     """df with `fold`: groups stay whole; each goes, largest first, to the fold whose counts of labels then deviate least.
 
-    Only totals of groups are looked at. The `large` largest are placed one by one on the driver; the rest, none of which
+    Only totals of groups are looked at. The `large` largest are placed one by one on the driver, and exchanged where folds
+    differ in rows or a label by more than the largest group has of these; the rest, none of which
     is larger, are dealt out in turn in order of their labels and size, beginning with the fold that has fewest rows. So
     the largest fold exceeds the smallest by a few of the largest groups at most. Rows without a label count in sizes."""
     labels = sorted(r[0] for r in df.select(label).distinct().collect() if r[0] is not None)
@@ -113,13 +165,12 @@ def balanced_folds(df: DataFrame, group: str, label: str, folds: int = 5, seed:
     top = totals.orderBy(*order).limit(large).collect()
     whole = totals.agg(F.sum("__n").alias("n"), *[F.sum(f"__l{i}").alias(f"l{i}") for i in range(len(labels))]).first()
     scale = [1 / max(1, x or 0) for x in whole]
-    have = [[0.0] * len(scale) for _ in range(folds)]
-    placed = []
-    for r in top:
-        own = [r["__n"] * scale[0], *(r[f"__l{i}"] * scale[i + 1] for i in range(len(labels)))]
-        k = min(range(folds), key=lambda f: (sum((h + o) ** 2 - h * h for h, o in zip(have[f], own, strict=True)), have[f][0], f))
-        have[k] = [h + o for h, o in zip(have[k], own, strict=True)]
-        placed.append((r["__h"], r["__group"], k))
+    counts = [(r["__n"], *(r[f"__l{i}"] for i in range(len(labels)))) for r in top]
+    chosen = exchanged(counts, _placed(counts, scale, folds), folds)
+    have = [[0] for _ in range(folds)]
+    for own, k in zip(counts, chosen, strict=True):
+        have[k][0] += own[0]
+    placed = [(r["__h"], r["__group"], k) for r, k in zip(top, chosen, strict=True)]
     kind = totals.schema["__group"].dataType.simpleString()
     first = df.sparkSession.createDataFrame(placed, f"__h string, __group {kind}, __fold int")  # `large` rows at most
     match = totals["__h"].eqNullSafe(first["__h"]) & totals["__group"].eqNullSafe(first["__group"])
