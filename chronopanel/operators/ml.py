@@ -4,20 +4,23 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from typing import TypeVar
 
+import numpy as np
+import pyarrow as pa
 from pyspark import SparkContext, inheritable_thread_target
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronopanel.operators import metrics, spatial, splits
-from chronopanel.session import checkpointed
+from chronopanel.session import checkpointed, shared_dir
 
 T = TypeVar("T")
 #: Fits that run at the same time.
@@ -59,6 +62,14 @@ def probability(model, df: DataFrame) -> DataFrame:
     return model.transform(df).withColumn("score", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
 
 
+def dealt(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df written once, as many rows to each partition, for a fit or another job that takes long for each row: a partition
+    for each core at least, and one for `most` rows. Spark makes partitions by bytes, which are few here."""
+    rows = checkpointed(df)
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // most))
+    return checkpointed(rows.repartition(n))
+
+
 def side_by_side(jobs: list[Callable[[], T]], at_once: int = AT_ONCE) -> list[T]:
     """Results of jobs that run at the same time, each in a pool of its own where the scheduler is fair. Spark deals the
     executors out; the driver only waits."""
@@ -193,12 +204,91 @@ def importances(model, features: list[str], top: int = 20) -> list[tuple[str, fl
     return sorted(zip(features, map(float, model.featureImportances.toArray()), strict=True), key=lambda x: (-x[1], x[0]))[:top]
 
 
+def _nodes(model: RandomForestClassificationModel) -> list[tuple[np.ndarray, ...]] | None:
+    """Feature, threshold, left and right child (-1 in leaves) and votes of the nodes of each tree of a saved forest; none
+    where a tree asks for categories. As large as the forest, whatever the table."""
+    spark = SparkSession.active()
+    at = f"{shared_dir(spark)}/forest-{uuid.uuid4().hex}"
+    model.save(at)
+    n = F.col("nodeData")
+    split = n["split"]
+    read = spark.read.parquet(f"{at}/data").select(
+        "treeID", n["id"].alias("id"), split["featureIndex"].alias("feature"), F.coalesce(F.get(split["leftCategoriesOrThreshold"], 0), F.lit(0.0)).alias("threshold"),
+        n["leftChild"].alias("left"), n["rightChild"].alias("right"), (split["numCategories"] >= 0).alias("categories"), n["impurityStats"].alias("stats"),
+    ).orderBy("treeID", "id").toArrow()
+    of = {c: read[c].combine_chunks() for c in read.column_names}
+    left, categories = of["left"].to_numpy(), of["categories"].to_numpy(zero_copy_only=False)
+    if np.any(categories[left >= 0]):
+        return None
+    stats = of["stats"].flatten().to_numpy().reshape(len(left), -1)
+    total = stats.sum(axis=1, keepdims=True)
+    votes = np.divide(stats, total, out=np.zeros_like(stats), where=total != 0)
+    ends = np.flatnonzero(np.diff(of["treeID"].to_numpy())) + 1
+    columns = (of["feature"].to_numpy(), of["threshold"].to_numpy(), left, of["right"].to_numpy(), votes)
+    return list(zip(*[np.split(c, ends) for c in columns], strict=True))
+
+
+def _after_change(trees: list[tuple[np.ndarray, ...]], own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """For each row and feature, the class that the trees vote for when the row's feature has its other value. A tree's
+    votes change only for those features that turn the row's path at some node; only these paths are followed."""
+    rows, width = own.shape
+    sums = np.zeros((rows, width, trees[0][4].shape[1]))
+    mine, theirs = own.ravel(), other.ravel()
+    for feature, threshold, left, right, votes in trees:
+        turned, base, found = np.zeros(rows * width, bool), np.zeros(rows, np.int64), []
+        row, node = np.arange(rows), np.zeros(rows, np.int64)  # rows on their own paths
+        cell, at = np.zeros(0, np.int64), np.zeros(0, np.int64)  # rows and changed features, as one number, off them
+        while len(row) or len(cell):
+            leaf = left.take(at) < 0
+            found.append((cell[leaf], at[leaf]))
+            cell, at = cell[~leaf], at[~leaf]
+            asked = cell - cell % width + feature.take(at)
+            value = np.where(asked == cell, theirs.take(asked), mine.take(asked))
+            at = np.where(value <= threshold.take(at), left.take(at), right.take(at))
+
+            leaf = left.take(node) < 0
+            base[row[leaf]] = node[leaf]
+            row, node = row[~leaf], node[~leaf]
+            asked, limit = row * width + feature.take(node), threshold.take(node)
+            was, lower, upper = mine.take(asked) <= limit, left.take(node), right.take(node)
+            turns = (was != (theirs.take(asked) <= limit)) & ~turned.take(asked)
+            turned[asked[turns]] = True
+            cell, at = np.concatenate([cell, asked[turns]]), np.concatenate([at, np.where(was, upper, lower)[turns]])
+            node = np.where(was, lower, upper)
+        cast = np.repeat(votes[base][:, None, :], width, axis=1)
+        for c, k in found:
+            cast.reshape(rows * width, -1)[c] = votes[k]
+        sums += cast  # in the trees' order, as the model adds them
+    return sums.argmax(axis=2)
+
+
+def _right_after(met: DataFrame, trees: list[tuple[np.ndarray, ...]], size: int = 2048) -> DataFrame:
+    """__f, __r and __right, the share of rows with the right prediction, of rows (label, own, other, __r)."""
+    shared = met.sparkSession.sparkContext.broadcast(trees)
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, len(whole), size):
+                b = whole.slice(start, size)
+                values = [b[c].flatten().to_numpy().reshape(len(b), -1) for c in ("own", "other")]
+                right = _after_change(shared.value, *values) == b["label"].to_numpy()[:, None]
+                repeat = b["__r"].to_numpy()
+                for r in np.unique(repeat):
+                    sums = right[repeat == r].sum(axis=0)
+                    f = np.arange(len(sums), dtype=np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(np.full(len(f), r, np.int32)), pa.array(sums), pa.array(np.full(len(f), (repeat == r).sum()))], ["__f", "__r", "hits", "n"])
+
+    counted = met.select(F.col("label").cast("double").alias("label"), "own", "other", "__r").mapInArrow(hits, "__f int, __r int, hits bigint, n bigint")
+    return counted.groupBy("__f", "__r").agg((F.sum("hits") / F.sum("n")).alias("__right"))
+
+
 def permutation_importance(model, df: DataFrame, features: list[str], key: str, repeats: int = 10, top: int = 20, seed: int = 42) -> DataFrame:
     """feature, importance_mean and importance_std: what accuracy loses when a feature's values are dealt out anew,
     the `top` largest of a table with these features, `label` and a unique key.
 
     Rows are numbered once in the order of a seeded hash; in each repeat a row takes a feature's value from the row
-    that many places on, drawn for each repeat. All repeats and features are scored in one job."""
+    that many places on, drawn for each repeat. All repeats and features are scored in one job: those of a forest by the
+    nodes that a change reaches, those of other models by the model, a row for each changed feature."""
     rows = df.where(F.col("label").isNotNull()).fillna(0.0, features)
     rows = rows.select(key, "label", F.array(*[F.col(c).cast("double") for c in features]).alias("own"))
     placed = checkpointed(splits.numbered(rows.withColumn("__h", splits.drawn(key, seed)), ["__h", key], "__i"))
@@ -207,11 +297,18 @@ def permutation_importance(model, df: DataFrame, features: list[str], key: str,
     asked = placed.select("label", "own", "__i", F.posexplode(steps).alias("__r", "__step"))
     asked = asked.withColumn("__i", F.pmod(F.col("__i") + F.col("__step"), F.lit(max(n, 1))))
     met = asked.join(placed.select("__i", F.col("own").alias("other")), "__i")
-    tried = met.select("label", "own", "other", "__r", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))).alias("__f"))
-    changed = F.transform("own", lambda v, i: F.when(i == F.col("__f"), F.get("other", i)).otherwise(v))
+    parts = max(2 * df.sparkSession.sparkContext.defaultParallelism, n * repeats // 20_000)  # neither by bytes nor of a few rows
+    met = met.repartition(parts, "__i", "__r")
     right = F.avg((F.col("prediction") == F.col("label")).cast("double"))
     base = model.transform(placed.select("label", array_to_vector("own").alias("features"))).agg(right.alias("__base"))
-    after = model.transform(tried.select("label", "__r", "__f", array_to_vector(changed).alias("features"))).groupBy("__f", "__r").agg(right.alias("__right"))
+    forest = isinstance(model, RandomForestClassificationModel) and not model.isSet("thresholds")
+    trees = _nodes(model) if forest else None
+    if trees:
+        after = _right_after(met, trees)
+    else:
+        tried = met.select("label", "own", "other", "__r", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))).alias("__f"))
+        changed = F.transform("own", lambda v, i: F.when(i == F.col("__f"), F.get("other", i)).otherwise(v))
+        after = model.transform(tried.select("label", "__r", "__f", array_to_vector(changed).alias("features"))).groupBy("__f", "__r").agg(right.alias("__right"))
     lost = after.join(F.broadcast(base)).withColumn("lost", F.col("__base") - F.col("__right"))  # one row
     named = F.get(F.array(*[F.lit(c) for c in features]), F.col("__f")).alias("feature")
     out = lost.groupBy("__f").agg(F.avg("lost").alias("importance_mean"), F.stddev_pop("lost").alias("importance_std"))

@@ -24,3 +24,34 @@ def test_folds_differ_by_a_group_at_most(spark):
 def test_exchanges_leave_even_folds_alone():
     assert splits.exchanged([(3, 1), (3, 1), (3, 1)], [0, 1, 2], 3) == [0, 1, 2]
     assert splits.exchanged([], [], 3) == []
+
+
+def test_a_forests_changed_paths_are_the_models(spark):
+    """Classes by following changed paths, and by the model on each changed row: depths at which features come again."""
+    import numpy as np
+    from pyspark.ml.functions import array_to_vector
+
+    from chronopanel.operators import ml
+
+    rng = np.random.default_rng(3)
+    own = np.round(rng.normal(size=(300, 5)), 2)
+    label = (own[:, 0] * own[:, 1] + 0.3 * own[:, 2] > 0).astype(int) + (own[:, 3] > 1)
+    rows = spark.createDataFrame([(int(y), x.tolist()) for y, x in zip(label, own, strict=True)], "label int, own array<double>")
+    fitted = ml.model_factory("rf", numTrees=15, maxDepth=9).fit(rows.select("label", F.lit(1.0).alias("weight"), array_to_vector("own").alias("features")))
+    other = own[rng.permutation(len(own))]
+    got = ml._after_change(ml._nodes(fitted), own, other)
+    assert got.shape == own.shape
+    for f in range(own.shape[1]):
+        changed = own.copy()
+        changed[:, f] = other[:, f]
+        tried = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(changed)], "k int, x array<double>")
+        want = fitted.transform(tried.select("k", array_to_vector("x").alias("features"))).orderBy("k").select("prediction").collect()
+        assert [int(r[0]) for r in want] == got[:, f].tolist()
+
+
+def test_rows_are_dealt_to_all_cores(spark):
+    from chronopanel.operators import ml
+
+    few = spark.range(1000).coalesce(1)
+    assert ml.dealt(few).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert ml.dealt(few, most=100).rdd.getNumPartitions() == 10 and ml.dealt(few).count() == 1000
