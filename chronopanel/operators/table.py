@@ -93,8 +93,10 @@ def build(panel: DataFrame, area: DataFrame, steps: int, min_valid: int = 5, gro
 
     panel has entity, step (0 to steps - 1, all of them) and the bands and valid_pixel_count as columns; area has entity
     and area_ha. What is null or not finite becomes 0, features that a panel is too short for are 0 as well."""
+    panel = checkpointed(panel)
+    n = panel.count()
     made = panel.select("entity", "step", *[F.col(b).cast("double").alias(b) for b in (*BANDS, COUNT)], *[indices.index(n).alias(n) for n in INDICES])
-    raw = made.unpivot(["entity", "step"], ALL, "band", "v").repartition("entity", "band").sortWithinPartitions("entity", "band", "step")
+    raw = series.dealt(made.unpivot(["entity", "step"], ALL, "band", "v"), n * len(ALL))
     filled = series.gap_fill(raw.withColumn("f", F.col("v")), "f")
     x = checkpointed(series.smooth(filled.withColumn("s", F.col("f")), "s").select("entity", "band", "step", "v", "f", "s"))
 
@@ -109,10 +111,10 @@ def build(panel: DataFrame, area: DataFrame, steps: int, min_valid: int = 5, gro
         "duration": (features.duration_part(v="f", p="a_"), "si_", DURATION), "shape": (features.shape_part("f", "b_"), "si_", SHAPE), "dynamics": (features.dynamics_part("f", "c_"), "si_", DYNAMICS),
         "harmonics": (features.harmonics_part(steps, "f", "d_"), "si_", HARMONICS), "phenology": (features.phenology_part(growth, "s", "e_"), "", PHENOLOGY),
     }
-    some = lambda bands: x.where(F.col("band").isin(*bands))
+    some = lambda bands: series.spread(x.where(F.col("band").isin(*bands)), n * len(bands))
     groups = [
         x.select("entity", F.concat("band", F.lit("_t"), F.lpad(F.col("step").cast("string"), 2, "0")).alias("feature"), F.col("v").alias("value")),
-        _of_series(x, of_raw),
+        _of_series(some(ALL), of_raw),
         _of_series(some(ANCHORED), {"phases": (features.window_part(steps, "v", "a_"), "_", PHASES)}).withColumn("feature", F.substring("feature", 2, 99)).withColumn("feature", F.lower("feature")),
         _of_series(some(INVARIANT), curves),
         _of_series(some(SHAPED), {"shape": (features.shape_part("f", "b_"), "si_", SHAPE)}),
@@ -124,7 +126,7 @@ def build(panel: DataFrame, area: DataFrame, steps: int, min_valid: int = 5, gro
 
     at = lambda b, v: F.max(F.when(F.col("band") == b, F.col(v)))
     both = some(["NDVI", "VV", "VH"]).groupBy("entity", "step").agg(*[at(b, v).alias(f"{b}{k}") for b in ("NDVI", "VV", "VH") for v, k in (("f", ""), ("v", "_raw"))])
-    both = checkpointed(both.repartition("entity"))
+    both = series.spread(checkpointed(both), n, ("entity",))
     groups.append(_named(features.radar_structure(both), {n: F.lit(f"sar_{n}") for n in STRUCTURE[:-1]}))
     groups.append(_named(features.cross_sensor(both), {n: F.lit(f"cross_{e}") for n, e in CROSS.items()}))
     groups.append(_named(features.correlation(both, "NDVI", "VV", ["entity"]), {"r": F.lit("NDVI_VV_temporal_correlation")}))

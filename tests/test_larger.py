@@ -55,3 +55,17 @@ def test_rows_are_dealt_to_all_cores(spark):
     few = spark.range(1000).coalesce(1)
     assert ml.dealt(few).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert ml.dealt(few, most=100).rdd.getNumPartitions() == 10 and ml.dealt(few).count() == 1000
+
+
+def test_series_of_larger_tables_have_more_tasks(spark, monkeypatch):
+    from chronopanel.operators import series, table
+
+    made, spread = [], series.spread
+    monkeypatch.setattr(series, "ROWS", 40)
+    monkeypatch.setattr(series, "spread", lambda df, rows, *keys: made.append((rows, spread(df, rows, *keys))) or made[-1][1])
+    panel = spark.range(6).selectExpr("id as entity", "explode(sequence(0, 4)) as step").selectExpr("*", *[f"rand(1) as {b}" for b in (*table.BANDS, table.COUNT)])
+    out = table.build(panel, panel.selectExpr("entity", "1.5 as area_ha").distinct(), 5)
+    assert out.count() == 6 * len(table.schema(5))
+    assert {rows for rows, _ in made} >= {30, 30 * len(table.ALL), 30 * len(table.INVARIANT)}
+    for rows, df in made:
+        assert df.rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, -(-rows // 40))
