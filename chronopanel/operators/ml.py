@@ -23,8 +23,8 @@ from chronopanel.operators import metrics, spatial, splits
 from chronopanel.session import checkpointed, shared_dir
 
 T = TypeVar("T")
-#: Fits that run at the same time.
-AT_ONCE = 4
+#: Fits that run at the same time: as many as the splitters make folds.
+AT_ONCE = 5
 #: Least, largest and kind of each tuned parameter: whole numbers, numbers, numbers by their logarithm, or a choice.
 _TREES = {"maxIter": (200, 600, "step 50"), "maxDepth": (3, 9, "whole"), "stepSize": (0.01, 0.2, "log"), "subsamplingRate": (0.6, 1.0, "number")}
 SEARCH = {
@@ -41,7 +41,8 @@ def model_factory(name: str, seed: int = 42, **params):
         raise ValueError(f"unknown model {name!r}; one of {sorted(ALIASES)}")
     common = {"featuresCol": "features", "labelCol": "label", "weightCol": "weight", "seed": seed}
     if kind == "rf":
-        return RandomForestClassifier(**common, **({"numTrees": 300, "minInstancesPerNode": 2, "maxDepth": 12} | params))
+        # the node that a row has reached in each tree is kept, not looked up anew from the root at each level
+        return RandomForestClassifier(**common, **({"numTrees": 300, "minInstancesPerNode": 2, "maxDepth": 12, "cacheNodeIds": True} | params))
     depth = 6 if kind == "xgb" else 5
     return GBTClassifier(**common, **({"maxIter": 300, "maxDepth": depth, "stepSize": 0.05, "subsamplingRate": 0.8} | params))
 
@@ -85,19 +86,23 @@ def side_by_side(jobs: list[Callable[[], T]], at_once: int = AT_ONCE) -> list[T]
         return list(pool.map(inheritable_thread_target(SparkSession.active())(run), range(len(jobs))))
 
 
-def cross_validate(df: DataFrame, name: str, fold: str = "fold", **params) -> DataFrame:
-    """Out-of-fold scores of assembled rows. The rows are written once; the folds' fits, each distributed, run side by side."""
-    rows = checkpointed(df)
+def cross_validate(df: DataFrame, name: str, fold: str = "fold", most: int = 250_000, **params) -> DataFrame:
+    """Out-of-fold scores of assembled rows. The folds are fitted and scored side by side, each distributed, on rows that
+    are dealt out once. Each task of a fit of trees makes and sends the counts of all nodes, however few its rows, so a
+    fold has as many partitions as its share of the cores, or one for `most` rows if these are more."""
+    written = checkpointed(df.where(F.col(fold).isNotNull()))
+    folds = sorted(r[0] for r in written.select(fold).distinct().collect())
+    share = -(-df.sparkSession.sparkContext.defaultParallelism // max(1, min(AT_ONCE, len(folds))))
+    rows = checkpointed(written.repartition(max(share, -(-written.count() // most))))
 
     def fitted(k) -> Callable[[], DataFrame]:
         def fit() -> DataFrame:
             model = model_factory(name, **params).fit(weighted(rows.where((F.col(fold) != k) & F.col("label").isNotNull())))
-            return probability(model, rows.where(F.col(fold) == k))
+            return checkpointed(probability(model, rows.where(F.col(fold) == k)))  # the model goes with its fold
 
         return fit
 
-    parts = side_by_side([fitted(k) for k in sorted(r[0] for r in rows.select(fold).distinct().collect() if r[0] is not None)])
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, side_by_side([fitted(k) for k in folds]))
 
 
 def fold_metrics(scored: DataFrame, fold: str = "fold") -> DataFrame:

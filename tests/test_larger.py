@@ -57,6 +57,29 @@ def test_rows_are_dealt_to_all_cores(spark):
     assert ml.dealt(few, most=100).rdd.getNumPartitions() == 10 and ml.dealt(few).count() == 1000
 
 
+def test_folds_share_the_cores(spark):
+    """A fit has its fold's share of the cores as partitions, not as many as the rows came in, and more for many rows."""
+    from chronopanel.operators import ml
+
+    df = spark.createDataFrame([(k, float(k % 7), int(k % 7 > 3), k % 3 if k < 297 else None) for k in range(300)], "k int, a double, label int, fold int")
+    x = ml.assemble(df, ["a"]).repartition(32)
+    share = -(-spark.sparkContext.defaultParallelism // 3)
+    scored = ml.cross_validate(x, "rf", numTrees=3, maxDepth=2)
+    assert scored.rdd.getNumPartitions() == 3 * share
+    assert sorted(r.k for r in scored.select("k").collect()) == list(range(297))
+    assert ml.cross_validate(x, "rf", most=30, numTrees=3, maxDepth=2).rdd.getNumPartitions() == 3 * 10
+
+
+def test_kept_nodes_change_no_forest(spark):
+    from chronopanel.operators import ml
+
+    df = spark.createDataFrame([(float(k % 7), float(k % 11), int(k % 13 > 5), 1.0) for k in range(300)], "a double, b double, label int, weight double")
+    x = ml.assemble(df, ["a", "b"]).coalesce(2)
+    kept = ml.model_factory("rf", numTrees=5, maxDepth=4)
+    assert kept.getCacheNodeIds()
+    assert kept.fit(x).toDebugString.split("\n")[1:] == kept.copy({kept.cacheNodeIds: False}).fit(x).toDebugString.split("\n")[1:]
+
+
 def test_series_of_larger_tables_have_more_tasks(spark, monkeypatch):
     from chronopanel.operators import series, table
 
