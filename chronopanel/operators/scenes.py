@@ -39,8 +39,7 @@ def _long(df: DataFrame, bands: list[str], keys: list[str], scale: float) -> Dat
     return df.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.band", "p.value")
 
 
-def sample(pixels: DataFrame, by: list[str], key: str, bands: list[str], n: int = 500, seed: int = 42, missing: float = -999.0) -> DataFrame:
-    """At most n pixels of each plot, in the order of a seeded hash of the key, and a mark for missing values. The
-    limit is part of the feature. The window keeps n rows of a plot within each task before it shuffles."""
-    d = pixels.withColumn("__h", splits.drawn(key, seed))
-    return splits.first_rows(d, by, ["__h", key], n).drop("__h").fillna(missing, bands)
+def sample(pixels: DataFrame, by: list[str], key: str, bands: list[str], n: int = 500, seed: int = 42, missing: float = -999.0, distinct: bool = False) -> DataFrame:
+    """At most n pixels of each plot, in the order of a seeded hash of the key, and a mark for missing values. With
+    `distinct` equal rows are one pixel. The limit is part of the feature; a task has a bounded number of rows."""
+    return splits.first_rows(pixels, by, [splits.drawn(key, seed), key], n, distinct).fillna(missing, bands)

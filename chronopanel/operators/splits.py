@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from chronopanel.session import checkpointed
 
+#: Rows that a task takes of groups that are dealt out.
+ROWS = 200_000
+
 
 def largest_per_group(df: DataFrame, by: list[str], size: str, tie: str) -> DataFrame:
     """The row of largest size of each group, ties to the smallest `tie`; reduced before the shuffle."""
@@ -234,9 +237,31 @@ def align(df: DataFrame, features: list[str]) -> DataFrame:
     return df.select("entity", *[(fixed(c) if c in df.columns else F.lit(0.0)).cast("double").alias(c) for c in features])
 
 
-def first_rows(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
-    """The first n rows of each group. The limit is part of the feature: a cap on the pixels of a plot."""
-    return df.withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__r") <= n).drop("__r")
+def first_rows(df: DataFrame, by: list[str], order: list[str | Column], n: int, distinct: bool = False) -> DataFrame:
+    """The first n rows of each group; with `distinct` equal rows are one. The limit is part of the feature: a cap on the
+    pixels of a plot.
+
+    Groups are counted, then dealt out whole, some ROWS rows to a task. A group of more than a quarter of that is cut into
+    such quarters by a hash of its rows' order, and the first n of each of these meet."""
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    sizes = checkpointed(df.groupBy(*by).agg(F.count("*").alias("__n")).withColumn("__parts", F.ceil(F.col("__n") / (ROWS // 4))))
+    rows, left, parts = sizes.agg(F.sum("__n"), F.sum(F.least(F.col("__n"), F.col("__parts") * n)), F.max("__parts")).first()
+    cores = df.sparkSession.sparkContext.defaultParallelism
+
+    def first(x: DataFrame, keys: list[str], count: int, distinct: bool) -> DataFrame:
+        dealt = x.repartition(max(cores, -(-count // ROWS)), *keys)
+        dealt = dealt.distinct() if distinct else dealt
+        return dealt.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__r") <= n).drop("__r")
+
+    if (parts or 0) <= 1:
+        return first(df, by, rows or 0, distinct)
+    large = sizes.where("__parts > 1").select(*[F.col(c).alias(f"__{k}") for k, c in enumerate(by)], "__parts")
+    match = F.lit(True)
+    for k, c in enumerate(by):
+        match = match & df[c].eqNullSafe(large[f"__{k}"])
+    part = F.when(F.col("__parts").isNotNull(), F.pmod(F.xxhash64(*order), F.col("__parts"))).otherwise(0)
+    dealt = df.join(F.broadcast(large), match, "left").select(*df.columns, part.alias("__part"))  # a large group has ROWS / 4 rows at least
+    return first(first(dealt, [*by, "__part"], rows, distinct).drop("__part"), by, left, False)
 
 
 def hold_out(df: DataFrame, column: str, values: list, key: str, share: float = 0.1, seed: int = 42) -> DataFrame:

@@ -92,3 +92,30 @@ def test_series_of_larger_tables_have_more_tasks(spark, monkeypatch):
     assert {rows for rows, _ in made} >= {30, 30 * len(table.ALL), 30 * len(table.INVARIANT)}
     for rows, df in made:
         assert df.rdd.getNumPartitions() == max(spark.sparkContext.defaultParallelism, -(-rows // 40))
+
+
+def test_samples_of_larger_tables_have_more_tasks(spark, monkeypatch):
+    """A task has a bounded number of rows, whether plots are many or one is large; repeated rows and the plot null count."""
+    import hashlib
+
+    from chronopanel.operators import scenes, splits
+
+    monkeypatch.setattr(splits, "ROWS", 100, raising=False)
+
+    def wanted(rows, n):
+        first = {}
+        for plot, k, v in sorted(set(rows), key=lambda r: (hashlib.md5(f"42:{r[1]}".encode()).hexdigest(), r[1])):
+            first.setdefault(plot, []).append((plot, k, v))
+        return sorted((r for of in first.values() for r in of[:n]), key=str)
+
+    many = [(f"p{k % 50}", k, float(k)) for k in range(1000)]
+    large = [("a", k, float(k)) for k in range(1500)] + [(None, k, 0.5) for k in range(700)] + [("b", k, 1.0) for k in range(5)]
+    for rows, tasks in ((many, 10), (large * 2, 8)):
+        df = spark.createDataFrame(rows, "plot string, k int, v double")
+        got = scenes.sample(df, ["plot"], "k", ["v"], 20, distinct=True)
+        assert got.columns == df.columns and got.rdd.getNumPartitions() >= tasks
+        assert sorted(map(tuple, got.collect()), key=str) == wanted(rows, 20)
+    repeated = scenes.sample(spark.createDataFrame(large * 2, "plot string, k int, v double"), ["plot"], "k", ["v"], 20)
+    assert repeated.groupBy("plot").count().where("plot <=> 'a' or plot is null").select("count").distinct().collect() == [(20,)]
+    assert repeated.where("plot = 'b'").count() == 10 and repeated.distinct().where("plot <=> 'a'").count() == 10
+    assert scenes.sample(spark.createDataFrame([], "plot string, k int, v double"), ["plot"], "k", ["v"]).collect() == []
